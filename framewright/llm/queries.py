@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash
-from .common import table
+from . import langid, mixing, packing, simhash, substrings
+from .common import crc_fold, table
 
 
 def op1_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,28 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its text cut: stretches of 20 words or more that an earlier document, or the text itself, has before go."""
+    docs = table(spark, sf_dir, "documents")
+    found = substrings.dedup_substrings(docs, min_words=20)
+    return found.select("doc_id", "text", "removed", F.size("removed").alias("n_removed"), F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["length"]).alias("removed_bytes"))
+
+
+def op9_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; learned from those whose fold is not 1."""
+    docs = table(spark, sf_dir, "documents")
+    fold = crc_fold("doc_id", 3)
+    texts = langid.training_text(docs, fold != 1)
+    found = langid.identify(docs.select("doc_id", "text"), texts)
+    return found.select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents, sources weighing 5, 2, 1 in turn."""
+    found = mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3)
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
