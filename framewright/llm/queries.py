@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, simhash, substrings
+from . import flac, html_text, langid, mixing, packing, simhash, substrings
 from .common import crc_fold, table
 
 
@@ -24,6 +24,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = html_text.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its text cut: stretches of 20 words or more that an earlier document, or the text itself, has before go."""
     docs = table(spark, sf_dir, "documents")
@@ -31,6 +37,15 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", "removed", F.size("removed").alias("n_removed"), F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["length"]).alias("removed_bytes"))
 
 
+def op7_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a FLAC stream, read back and told by digests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), flac.padded("text").alias("payload"))
+    back = flac.read_column(flac.write_column(rows).drop("payload"))
+    pcm = F.col("decoded.pcm")
+    return back.select("doc_id", "n_bytes", F.octet_length(pcm).cast("long").alias("payload_bytes"), F.sha2(pcm, 256).alias("payload_sha256"), F.crc32(F.substring(pcm, -32, 32)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), F.col("decoded.feature").alias("feature"))
+
+
 def op9_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; learned from those whose fold is not 1."""
     docs = table(spark, sf_dir, "documents")
