@@ -493,7 +493,7 @@ def write_column(df: DataFrame, payload: str = "payload", media: str = "media")
                 made = iter(encode([v for v in values if v is not None]))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([None if v is None else next(made) for v in values], pa.binary())], [*rows.columns, media])
 
-    return rows.mapInArrow(run, rows.schema.add(media, "binary"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(media, T.BinaryType())]))
 
 
 #: What read_column gives: PCM (8 bits: unsigned, else signed little-endian), the stream's facts, and (first sample, byte of its frame in the stream) of its seek points.
@@ -540,7 +540,7 @@ def read_column(df: DataFrame, media: str = "media", decoded: str = "decoded") -
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(each(part.column(at).to_pylist()), arrow)], [*rows.columns, decoded])
 
-    return rows.mapInArrow(run, rows.schema.add(decoded, DECODED))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(decoded, DECODED)]))
 
 
 def pcm_blocks(df: DataFrame, keys: list[str], samples: int = BLOCK * SEEK, decoded: str = "decoded") -> DataFrame:
