@@ -483,7 +483,8 @@ def write_column(df: DataFrame, payload: str = "payload", media: str = "media")
     A null payload gives a null stream. A column of that name is replaced.
     """
     rows = df.drop(media)
-    at = rows.columns.index(payload)
+    names = rows.columns
+    at = names.index(payload)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -491,7 +492,7 @@ def write_column(df: DataFrame, payload: str = "payload", media: str = "media")
                 part = batch.slice(lo, hi - lo)
                 values = part.column(at).to_pylist()
                 made = iter(encode([v for v in values if v is not None]))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([None if v is None else next(made) for v in values], pa.binary())], [*rows.columns, media])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([None if v is None else next(made) for v in values], pa.binary())], [*names, media])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(media, T.BinaryType())]))
 
@@ -515,7 +516,8 @@ def read_column(df: DataFrame, media: str = "media", decoded: str = "decoded") -
     gives its error and no samples. A column of that name is replaced.
     """
     rows = df.drop(decoded)
-    at = rows.columns.index(media)
+    names = rows.columns
+    at = names.index(media)
     arrow = pa.struct([("pcm", pa.binary()), ("rate", pa.int32()), ("channels", pa.int32()), ("depth", pa.int32()), ("samples", pa.int64()), ("seek", pa.list_(pa.struct([("sample", pa.int64()), ("byte", pa.int64())]))), ("error", pa.string()), ("feature", pa.string())])
 
     def one(item: tuple[Stream, np.ndarray]) -> dict:
@@ -538,7 +540,7 @@ def read_column(df: DataFrame, media: str = "media", decoded: str = "decoded") -
         for batch in batches:
             for lo, hi in _slices(_sizes(batch.column(at))):
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(each(part.column(at).to_pylist()), arrow)], [*rows.columns, decoded])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(each(part.column(at).to_pylist()), arrow)], [*names, decoded])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(decoded, DECODED)]))
 
