@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import flac, html_text, langid, mixing, packing, simhash, substrings
+from . import flac, html_text, langid, mixing, packing, quality, simhash, spotsigs, substrings, token_counts
 from .common import crc_fold, table
 
 
@@ -18,6 +18,19 @@ def op1_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
 
 
+def op2_viterbi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram pieces of every document, counted without making them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), "n_tokens", "token_score")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from labels of those whose fold is not 0."""
+    fold = crc_fold("doc_id", 5)
+    found = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(fold != 0), "quality")
+    return found.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents over 4 words, linked within 4 bits."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, radius=4, seed=42)
@@ -46,6 +59,19 @@ def op7_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_bytes", F.octet_length(pcm).cast("long").alias("payload_bytes"), F.sha2(pcm, 256).alias("payload_sha256"), F.crc32(F.substring(pcm, -32, 32)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), F.col("decoded.feature").alias("feature"))
 
 
+def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they and the next document's are."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = spotsigs.with_next(spotsigs.with_signatures(docs, "text", "sigs"), "doc_id", ["text", "sigs"], tie="text")
+    n = F.length("text")
+    cut = F.floor(n / 3).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))
+    docs = docs.select("doc_id", n.cast("long").alias("n_chars"), "sigs", "next_sigs", edited.alias("edited"))
+    docs = spotsigs.with_signatures(docs, "edited", "edited_sigs")
+    like = lambda other: spotsigs.likeness(F.col("sigs"), F.col(other))
+    return docs.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), spotsigs.as_text(F.col("sigs")).alias("fingerprint"), spotsigs.as_text(F.col("edited_sigs")).alias("edited_fingerprint"), like("edited_sigs").alias("near_edited"), like("next_sigs").alias("near_next"))
+
+
 def op9_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; learned from those whose fold is not 1."""
     docs = table(spark, sf_dir, "documents")
