@@ -79,34 +79,42 @@ def _joined(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
         yield own, np.cumsum(size[own]) - size[own], np.frombuffer(data, np.uint8)
 
 
+def digests(raw: bytes, start: np.ndarray) -> np.ndarray:
+    """64 bits of XXH3 of each chunk, as signed numbers. Two chunks that share one by chance are no stretch of words, so none goes for it."""
+    ends = [*start[1:].tolist(), len(raw)]
+    return np.fromiter((xxhash.xxh3_64_intdigest(raw[i:j]) for i, j in zip(start.tolist(), ends, strict=True)), np.uint64, len(start)).view(np.int64)
+
+
 def chunk_table(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, at, digest): every chunk of every text, numbered within its text; digest is 64 bits of XXH3."""
+    """(doc_id, digest): the different chunks of every text."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for own, begin, data in _joined(batch.column(2)):
+            for own, begin, data in _joined(batch.column(1)):
                 start, _ = chunks(data, begin, words)
-                raw, end = data.tobytes(), np.append(start[1:], len(data))
-                digest = np.fromiter((xxhash.xxh3_64_intdigest(raw[i:j]) for i, j in zip(start.tolist(), end.tolist(), strict=True)), np.uint64, len(start)).view(np.int64)
+                digest = digests(data.tobytes(), start)
                 doc = np.searchsorted(begin, start, side="right") - 1
-                at = (np.arange(len(start)) - np.searchsorted(start, begin)[doc]).astype(np.int32)
-                took = pa.array(own[doc])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(took), batch.column(1).take(took), pa.array(at), pa.array(digest)], ["doc_id", "text_hash", "at", "digest"])
+                order = np.lexsort((digest, doc))
+                new = np.append(True, (doc[order[1:]] != doc[order[:-1]]) | (digest[order[1:]] != digest[order[:-1]]))
+                order = order[new]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own[doc[order]])), pa.array(digest[order])], ["doc_id", "digest"])
 
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("text_hash"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {id_type}, text_hash long, at int, digest long")
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, f"doc_id {id_type}, digest long")
 
 
-def cut(text: str, repeated: list[int], min_words: int = 20, words: int = WORDS) -> tuple[str, list[tuple[int, int]]]:
-    """The text without its stretches of repeated chunks of at least ``min_words`` words, and these stretches as (start, length) in UTF-8 bytes."""
+def cut(text: str, known: np.ndarray, min_words: int = 20, words: int = WORDS) -> tuple[str, list[tuple[int, int]]]:
+    """The text without its stretches of at least ``min_words`` words in chunks that are ``known`` or that it has before, and these stretches as (start, length) in UTF-8 bytes."""
     data = np.frombuffer(text.encode("utf-8"), np.uint8)
-    if not len(data) or not repeated:
+    if not len(data):
         return text, []
     start, word = chunks(data, np.array([0]), words)
     edge = np.append(start, len(data))
     marks = np.zeros(len(start) + 2, np.int8)
-    marks[np.array(repeated) + 1] = 1
+    digest = digests(data.tobytes(), start)
+    first = np.zeros(len(start), bool)
+    first[np.unique(digest, return_index=True)[1]] = True
+    marks[1:-1] = ~first | np.isin(digest, known)
     turn = np.diff(marks)
     lo, hi = edge[np.flatnonzero(turn == 1)], edge[np.flatnonzero(turn == -1)]
     held = np.searchsorted(word, hi) - np.searchsorted(word, lo)
@@ -124,20 +132,18 @@ def cut(text: str, repeated: list[int], min_words: int = 20, words: int = WORDS)
 def dedup_substrings(docs: DataFrame, min_words: int = 20, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs, with the text cut, and removed: array of (start, length) of what went, in bytes of the old text.
 
-    Documents come in the order of their id, then of their text's hash: of a
-    passage that occurs several times the first stays, also within a text. Rows of
-    equal id and text are one document and get the same result. Null and empty
-    texts stay as they are; a text that only repeats others becomes empty; rows of
-    null id come first. A column named removed is replaced.
+    Documents come in the order of their id: of a passage that occurs several times
+    the first stays, also within a text. Rows of equal id are one document, which
+    does not cut itself across its rows; rows of null id are the first document and
+    only cut within their texts. Null and empty texts stay as they are; a text that
+    only repeats others becomes empty. A column named removed is replaced.
     """
     found = materialize(chunk_table(docs, words, id_col, text_col), "chunks")
-    place = F.struct("doc_id", "text_hash", "at")
-    first = found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("digest", "first")
-    again = found.join(first, "digest").where(place != F.col("first")).select("doc_id", "text_hash", "at").distinct()
-    lists = again.groupBy("doc_id", "text_hash").agg(F.collect_list("at").alias("_at")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_key"), "_at")
+    first = found.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("early"), F.count("*").alias("n")).where("n > 1").select("digest", "first", "early")
+    again = found.join(first, "digest").where(F.col("doc_id").isNotNull() & (F.col("early") | (F.col("doc_id") > F.col("first")))).select("doc_id", "digest")
+    lists = again.groupBy("doc_id").agg(F.collect_set("digest").alias("_known")).withColumnRenamed("doc_id", "_id")
     keep = [c for c in docs.columns if c != "removed"]
-    own = docs.select(*[F.col(f"`{c}`") for c in keep], F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("_hash"))
-    own = own.join(lists, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_key")), "left").select(*[F.col(f"`{c}`") for c in keep], "_at")
+    own = docs.join(lists, F.col(f"`{id_col}`") == F.col("_id"), "left").select(*[F.col(f"`{c}`") for c in keep], "_known")
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())])))
     t = keep.index(text_col)
 
@@ -145,9 +151,12 @@ def dedup_substrings(docs: DataFrame, min_words: int = 20, words: int = WORDS, i
         for batch in batches:
             lists = batch.column(len(keep))
             texts, gone = batch.column(t).to_pylist(), [[]] * batch.num_rows
-            for i in np.flatnonzero(np.asarray(lists.is_valid())):
-                texts[i], spans = cut(texts[i], lists[int(i)].as_py(), min_words, words)
-                gone[i] = [{"start": a, "length": n} for a, n in spans]
+            none = np.zeros(0, np.int64)
+            for i, text in enumerate(texts):
+                if text:
+                    known = lists[i].values.to_numpy() if lists[i].is_valid else none
+                    texts[i], spans = cut(text, known, min_words, words)
+                    gone[i] = [{"start": a, "length": n} for a, n in spans]
             cols = [batch.column(i) for i in range(len(keep))]
             cols[t] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*cols, pa.array(gone, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))], [*keep, "removed"])
