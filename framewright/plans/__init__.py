@@ -1,3 +1,3 @@
 """Queries, one module for each group of operators; importing this registers them."""
 
-from . import aggregates, bitstreams, kernels, lookups, ordering, registry, samples, sets, timing  # noqa: F401
+from . import aggregates, bitstreams, kernels, lookups, media, ordering, registry, samples, sets, streams, timing  # noqa: F401
