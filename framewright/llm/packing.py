@@ -31,6 +31,8 @@ from .common import materialize
 
 #: Queues of their own go to so many of the largest sources; all others share one more queue.
 MAX_QUEUES = 4096
+#: The table of tasks and sources is broadcast up to so many rows (some 16 MB); beyond that it is joined by shuffle.
+MAX_BROADCAST = 200_000
 #: Ids of a text that names the special token are left to the tokenizer itself.
 SPECIAL = "<|endoftext|>"
 _SLICE_CHARS = 4_000_000
@@ -50,11 +52,12 @@ def encoder(json_path: str, ranks_path: str, pattern: str):
         import tiktoken
         from tokenizers import Tokenizer
 
-        exact = Tokenizer.from_file(json_path)
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         quick = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+        held: dict = {}
+
         def encode(text: str) -> list[int]:
             if SPECIAL not in text:
                 try:
@@ -63,7 +66,9 @@ def encoder(json_path: str, ranks_path: str, pattern: str):
                     raise
                 except BaseException:  # the library's own panic isn't an Exception
                     pass
-            return exact.encode(text, add_special_tokens=False).ids
+            if "exact" not in held:  # few texts need it, and it is large
+                held["exact"] = Tokenizer.from_file(json_path)
+            return held["exact"].encode(text, add_special_tokens=False).ids
 
         _encoders[key] = encode
     return _encoders[key]
@@ -202,6 +207,8 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, sequenc
         parts.join(F.broadcast(queue_of), F.col("source").eqNullSafe(F.col("q_source")), "left")
         .select(F.col("source").alias("b_source"), F.col("part").alias("b_part"), F.coalesce("queue", F.lit(len(named))).alias("queue"), (F.sum("n").over(Window.partitionBy("queue").orderBy("part", "source").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("base"))
     )
+    small = base.count() <= MAX_BROADCAST
+    base = F.broadcast(base) if small else base
     placed = tokens.join(base, (F.col("part") == F.col("b_part")) & F.col("source").eqNullSafe(F.col("b_source"))).select("doc_id", "source", "queue", (F.col("base") + F.col("start")).alias("start"), "n", "ids")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
