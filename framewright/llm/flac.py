@@ -28,6 +28,10 @@ RATE = 8000
 ORDER, PRECISION, SHIFT = 4, 8, 6
 PARTITIONS = 4
 _SLICE = 1_200_000
+#: More bytes than a sample takes in all channels, unless a code is absurdly long.
+BYTES = 96
+#: Frames that are handled together at most: what bounds memory for very long streams.
+GROUP = 2048
 
 
 class FlacError(ValueError):
@@ -178,7 +182,8 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     x = (raw.astype(np.int16) - 128).reshape(-1, BLOCK)
     last = np.cumsum(count)
     number = np.arange(len(x)) - np.repeat(last - count, count)
-    data, size = encode_frames(x, number)
+    parts = [encode_frames(x[i : i + GROUP], number[i : i + GROUP]) for i in range(0, len(x), GROUP)]
+    data, size = (np.concatenate([p[j] for p in parts]) for j in (0, 1))
     ends = np.append(0, np.cumsum(size))
     out = []
     for p, lo, hi in zip(payloads, (last - count).tolist(), last.tolist(), strict=True):
@@ -273,7 +278,7 @@ def _predicted(bits: Bits, at: np.ndarray, size: np.ndarray, depth: np.ndarray,
         own = linear & (order > j)
         coef[j, own] = bits.signed(at[own], precision[own])
         at = np.where(own, at + precision, at)
-    for o, c in enumerate(FIXED):
+    for o, c in enumerate(FIXED[: most + 1]):
         for j, v in enumerate(c):
             coef[j, ~linear & (order == o)] = v
     method = bits.take(at, 2)
@@ -398,7 +403,7 @@ def _in_turn(f: Stream) -> tuple[Stream, np.ndarray]:
         h = header(f.data, at, f.depth)
         if not h:
             raise FlacError(f"frame {len(parts)}: no header, or its checksum differs")
-        part, size = _read(f.data, np.array([at]), [h])
+        part, size = _read(f.data[at : at + BYTES * h[1]], np.array([0]), [h])
         end = at + int(size[0])
         if int(crc16(np.frombuffer(f.data, np.uint8), np.array([at]), np.array([end - at - 2]))[0]) != int.from_bytes(f.data[end - 2 : end], "big"):
             raise FlacError(f"frame {len(parts)}: its checksum differs")
@@ -438,7 +443,12 @@ def _together(facts: list[Stream], found: list[list[tuple]]) -> list[tuple[Strea
     if not len(at):
         return [_checked(f, []) for f in facts]
     data = b"".join(f.data for f in facts)
-    parts, size = _read(data, at, [h for frames in found for _, h in frames])
+    heads = [h for frames in found for _, h in frames]
+    parts, size = [], np.zeros(len(at), np.int64)
+    for i in range(0, len(at), GROUP):
+        j = min(i + GROUP, len(at))
+        some, size[i:j] = _read(data[at[i] : ends[j - 1]], at[i:j] - at[i], heads[i:j])
+        parts += some
     if (at + size != ends).any():
         raise FlacError("a frame ends elsewhere than the next begins")
     raw = np.frombuffer(data, np.uint8)

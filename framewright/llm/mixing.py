@@ -71,17 +71,26 @@ def knapsack(size: np.ndarray, count: np.ndarray, budget: int) -> np.ndarray:
     return took
 
 
-def fit(size: np.ndarray, count: np.ndarray, target: float) -> tuple[int, np.ndarray]:
-    """(rounds, extra): every document is taken ``rounds`` times, and ``extra`` of each size once more; their sum comes next to the target."""
+def fit(size: np.ndarray, count: np.ndarray, target: float, most: int = 3) -> np.ndarray:
+    """Copies of each size in all, at most ``most`` of each document, whose sum comes next to the target.
+
+    Whole rounds over all documents first, then a proportional share of every size,
+    then the fit of what is left; where once more of each is too little, other
+    documents are taken again.
+    """
     total = int((size * count).sum())
     if total == 0:
-        return 0, np.zeros(len(size), np.int64)
-    budget = round(target)
-    rounds, rest = divmod(budget, total)
-    share = (count * rest) // total if total < 1 << 31 else np.array([int(c) * rest // total for c in count], np.int64)
-    share = np.where(size > 0, share, 0)
-    more = knapsack(size, np.where(size > 0, count - share, 0), rest - int((share * size).sum()))
-    return rounds, share + more
+        return np.zeros(len(size), np.int64)
+    rounds, rest = divmod(round(target), total)
+    rounds = min(rounds, most)
+    left = count if rounds < most else np.zeros_like(count)
+    share = np.array([int(c) * rest // total for c in left], np.int64)
+    copies = rounds * count + np.where(size > 0, share, 0)
+    for limit in ((rounds + 1) * count, most * count):
+        gap = round(target) - int((copies * size).sum())
+        if gap > 0:
+            copies = copies + knapsack(size, np.where(size > 0, np.minimum(limit, most * count) - copies, 0), gap)
+    return np.where(size > 0, copies, 0)
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seed: int = 10, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -107,14 +116,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("size")
-        rounds, extra = fit(group["size"].to_numpy(), group["n"].to_numpy(), float(group["target"].iloc[0]))
+        rounds, extra = np.divmod(fit(group["size"].to_numpy(), group["n"].to_numpy(), float(group["target"].iloc[0]), int(most)), group["n"].to_numpy())
         return pd.DataFrame({"none": group["none"], "name": group["name"], "size": group["size"], "source_size": group["source_size"], "target": group["target"], "rounds": rounds, "extra": extra})
 
     # one row for each source and size: no group is larger than the number of different sizes
     sizes = slots.groupBy("src", "size").agg(F.sum("n").alias("n")).join(F.broadcast(plan), "src").select("src.none", "src.name", "size", "n", "source_size", "target")
     fits = sizes.groupBy("none", "name").applyInPandas(one, "none boolean, name string, size long, source_size long, target double, rounds long, extra long")
     fits = materialize(fits.select(F.struct("none", "name").alias("src"), "size", "source_size", "target", "rounds", "extra"), "fits")
-    # of the extra documents of a size, whole hash slots go first; in the slot where they end, rows are ranked
+    # of the documents of a size that are taken once more than the others, whole hash slots go first; in the slot where they end, rows are ranked
     run = Window.partitionBy("src", "size").orderBy("slot")
     slots = slots.withColumn("before", F.sum("n").over(run.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
     slots = slots.join(fits, ["src", "size"]).select("src", "size", "slot", "source_size", "target", "rounds", F.least(F.greatest(F.col("extra") - F.col("before"), F.lit(0)), F.col("n")).alias("want"), "n")
