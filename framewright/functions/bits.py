@@ -58,6 +58,19 @@ def without_emulation(hex_: Column) -> Column:
     return F.aggregate(pairs, start, add, lambda s: F.array_join(s["out"], ""))
 
 
+def with_emulation(hex_: Column) -> Column:
+    """Hexadecimal bytes with a 03 put in after two zero bytes where a byte of at most 3 follows."""
+    pairs = F.regexp_extract_all(hex_, F.lit("(..)"), F.lit(1))
+    start = F.struct(F.lit(0).alias("z"), F.array().cast("array<string>").alias("out"))
+
+    def add(s: Column, x: Column) -> Column:
+        put = (s["z"] >= 2) & x.isin("00", "01", "02", "03")
+        zero = F.when(x != "00", 0).otherwise(F.when(put, 1).otherwise(s["z"] + 1))
+        return F.struct(zero.alias("z"), F.when(put, F.concat(s["out"], F.array(F.lit("03"), x))).otherwise(F.array_append(s["out"], x)).alias("out"))
+
+    return F.aggregate(pairs, start, add, lambda s: F.array_join(s["out"], ""))
+
+
 def length_prefixed(hex_: Column, most: int) -> Column:
     """Units (pos, size, h) of bytes in which one byte of length precedes each payload; ``most`` bounds their number."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<pos:int,size:int,h:string>>").alias("out"))

@@ -1,0 +1,240 @@
+"""Headers of coded pictures, read bit by bit: small helpers for Arrow UDFs over columns of payloads."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+class Reader:
+    """Bits of a payload, the most significant first."""
+
+    def __init__(self, data: bytes, emulation: bool = True):
+        if emulation:  # the byte 3 after two zero bytes was put in by the writer
+            out, zeros = bytearray(), 0
+            for b in data:
+                if zeros >= 2 and b == 3:
+                    zeros = 0
+                    continue
+                zeros = zeros + 1 if b == 0 else 0
+                out.append(b)
+            data = bytes(out)
+        self.value, self.left = int.from_bytes(data, "big"), len(data) * 8
+
+    def u(self, n: int) -> int:
+        if n > self.left:
+            raise ValueError("the header is cut off")
+        self.left -= n
+        return self.value >> self.left & ((1 << n) - 1)
+
+    def ue(self) -> int:
+        zeros = 0
+        while not self.u(1):
+            zeros += 1
+            if zeros > 31:
+                raise ValueError("a code of over 32 bits")
+        return (1 << zeros) - 1 + self.u(zeros)
+
+    def se(self) -> int:
+        k = self.ue()
+        return (k + 1) // 2 if k % 2 else -(k // 2)
+
+
+#: Profiles whose headers tell the chroma format: fixed values of the standard.
+HIGH = frozenset((100, 110, 122, 244, 44, 83, 86, 118, 128))
+
+
+def _scaling_list(r: Reader, n: int) -> None:
+    last = next_ = 8
+    for _ in range(n):
+        if next_:
+            next_ = (last + r.se()) % 256
+        last = next_ or last
+
+
+def sequence(data: bytes) -> dict:
+    """The sequence header after its unit's first byte."""
+    r = Reader(data)
+    out = {"profile": r.u(8), "constraints": r.u(8), "level": r.u(8), "sps_id": r.ue(), "chroma": 1, "depth_luma": 8, "depth_chroma": 8}
+    if out["profile"] in HIGH:
+        out["chroma"] = r.ue()
+        if out["chroma"] == 3:
+            r.u(1)
+        out["depth_luma"], out["depth_chroma"] = r.ue() + 8, r.ue() + 8
+        r.u(1)
+        if r.u(1):
+            for i in range(8 if out["chroma"] != 3 else 12):
+                if r.u(1):
+                    _scaling_list(r, 16 if i < 6 else 64)
+    out["max_frame_num"] = 1 << (r.ue() + 4)
+    out["poc_type"] = r.ue()
+    if out["poc_type"] == 0:
+        r.ue()
+    elif out["poc_type"] == 1:
+        r.u(1), r.se(), r.se()
+        for _ in range(r.ue()):
+            r.se()
+    out["max_refs"] = r.ue()
+    r.u(1)
+    wide, high = r.ue() + 1, r.ue() + 1
+    frames_only = r.u(1)
+    if not frames_only:
+        r.u(1)
+    r.u(1)
+    crop = [r.ue() for _ in range(4)] if r.u(1) else [0] * 4
+    x, y = (1 if out["chroma"] in (0, 3) else 2), (2 if out["chroma"] == 1 else 1) * (2 - frames_only)
+    out["width"] = wide * 16 - x * (crop[0] + crop[1])
+    out["height"] = high * 16 * (2 - frames_only) - y * (crop[2] + crop[3])
+    out["rate_num"] = out["rate_den"] = None
+    if r.u(1) and _usability(r):
+        units, scale = r.u(32), r.u(32)
+        if units:
+            out["rate_num"], out["rate_den"] = scale, 2 * units
+    return out
+
+
+def _usability(r: Reader) -> int:
+    """Skips to the timing of the usability part; whether there is any."""
+    if r.u(1) and r.u(8) == 255:
+        r.u(32)
+    if r.u(1):
+        r.u(1)
+    if r.u(1):
+        r.u(4)
+        if r.u(1):
+            r.u(24)
+    if r.u(1):
+        r.ue(), r.ue()
+    return r.u(1)
+
+
+def picture(data: bytes) -> dict:
+    """The picture header's first fields."""
+    r = Reader(data)
+    out = {"pps_id": r.ue(), "sps_id": r.ue(), "cabac": bool(r.u(1))}
+    r.u(1)
+    if r.ue():
+        raise ValueError("several slice groups")
+    out["refs0"], out["refs1"] = r.ue() + 1, r.ue() + 1
+    out["weighted"], out["bipred"] = bool(r.u(1)), r.u(2)
+    out["qp"] = 26 + r.se()
+    return out
+
+
+def slice_start(data: bytes, max_frame_num: int = 16) -> dict:
+    """The slice header's first fields."""
+    r = Reader(data)
+    first, kind = r.ue(), r.ue() % 5
+    return {"first_mb": first, "kind": "PBI"[kind] if kind < 3 else ("SP", "SI")[kind - 3], "pps_id": r.ue(), "frame_num": r.u(max(1, max_frame_num.bit_length() - 1))}
+
+
+def messages(data: bytes) -> list[tuple[int, int]]:
+    """(kind, size) of the messages of a side unit; bytes of 255 add up."""
+    out, at = [], 0
+    while at < len(data) and not (at == len(data) - 1 and data[at] == 0x80):
+        values = []
+        for _ in range(2):
+            v = 0
+            while at < len(data) and data[at] == 255:
+                v, at = v + 255, at + 1
+            if at >= len(data):
+                raise ValueError("a message is cut off")
+            values.append(v + data[at])
+            at += 1
+        out.append((values[0], values[1]))
+        at += values[1]
+    return out
+
+
+def config(data: bytes) -> dict:
+    """The decoder's configuration in a container: bytes of a length, and the sizes of the parameter sets."""
+    if len(data) < 7 or data[0] != 1:
+        raise ValueError("no configuration")
+    at, sets = 6, []
+    for n in (data[5] & 31, None):
+        if n is None:
+            n, at = data[at], at + 1
+        for _ in range(n):
+            size = int.from_bytes(data[at : at + 2], "big")
+            if at + 2 + size > len(data):
+                raise ValueError("a parameter set is cut off")
+            sets.append(size)
+            at += 2 + size
+    return {"length_size": (data[4] & 3) + 1, "profile": data[1], "level": data[3], "sets": sets}
+
+
+def frame_start(data: bytes) -> dict:
+    """The uncompressed frame header's first fields of the other codec."""
+    r = Reader(data, emulation=False)
+    if r.u(2) != 2:
+        raise ValueError("no frame marker")
+    profile = r.u(1) | r.u(1) << 1
+    if profile == 3:
+        r.u(1)
+    if r.u(1):
+        return {"profile": profile, "show_existing": r.u(3), "key": False, "shown": True, "width": None, "height": None}
+    key, shown = not r.u(1), bool(r.u(1))
+    r.u(1)
+    out = {"profile": profile, "show_existing": None, "key": key, "shown": shown, "width": None, "height": None}
+    if key:
+        if r.u(24) != 0x498342:
+            raise ValueError("no sync code")
+        if profile >= 2:
+            r.u(1)
+        if r.u(3) != 7:
+            r.u(1)
+            if profile & 1:
+                r.u(3)
+        elif profile & 1:
+            r.u(1)
+        out["width"], out["height"] = r.u(16) + 1, r.u(16) + 1
+    return out
+
+
+def superframe(data: bytes) -> list[tuple[int, int]]:
+    """(offset, size) of the frames of a payload, by the index at its end; without a sound index it is one frame."""
+    if data and data[-1] >> 5 == 6:
+        n, wide = (data[-1] & 7) + 1, (data[-1] >> 3 & 3) + 1
+        index = 2 + n * wide
+        if len(data) >= index and data[-index] == data[-1]:
+            sizes = [int.from_bytes(data[len(data) - index + 1 + i * wide :][:wide], "little") for i in range(n)]
+            if sum(sizes) <= len(data) - index:
+                out, at = [], 0
+                for s in sizes:
+                    out.append((at, s))
+                    at += s
+                return out
+    return [(0, len(data))]
+
+
+_TYPES = {
+    "sequence": (sequence, "profile int, constraints int, level int, sps_id int, chroma int, depth_luma int, depth_chroma int, max_frame_num int, poc_type int, max_refs int, width int, height int, rate_num long, rate_den long, error string"),
+    "picture": (picture, "pps_id int, sps_id int, cabac boolean, refs0 int, refs1 int, weighted boolean, bipred int, qp int, error string"),
+    "slice": (slice_start, "first_mb int, kind string, pps_id int, frame_num int, error string"),
+    "config": (config, "length_size int, profile int, level int, sets array<int>, error string"),
+    "frame": (frame_start, "profile int, show_existing int, key boolean, shown boolean, width int, height int, error string"),
+}
+
+
+def parse(kind: str, data: Column) -> Column:
+    """A header's fields as a struct; a fault gives its error, and null fields."""
+    read, schema = _TYPES[kind]
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def one(data: bytes | None) -> dict:
+        try:
+            return dict.fromkeys(names) | (read(bytes(data)) if data is not None else {})
+        except (ValueError, IndexError) as e:
+            return dict.fromkeys(names) | {"error": str(e)}
+
+    @F.pandas_udf(schema)
+    def udf(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in parts:
+            yield pd.DataFrame([one(x) for x in s], columns=names, dtype=object)
+
+    return udf(data)
+
+
