@@ -380,7 +380,9 @@ class Stream:
             if h and h[4] == (seen if h[5] else expect):
                 out.append((at, h))
                 expect, seen, at = expect + 1, seen + h[1], at + h[0] + 2
-            at = self.data.find(b"\xff", at + (0 if h else 1))
+            else:  # a payload may look like a header, even with its checksum
+                at += 1
+            at = self.data.find(b"\xff", at)
         return out
 
 

@@ -107,6 +107,17 @@ def test_kinds_that_the_writer_does_not_make():
     assert np.array_equal(flac.decode([stream([plain(mid, 16), plain(side, 17)], 8, 10, 16, both)])[0][1], both)
 
 
+def test_payloads_that_look_like_headers():
+    """Whole headers with a checksum inside plain samples: with another number, and with the next one."""
+    for number in (5, 1):
+        head = b"\xff\xf8\x24\x02" + bytes([number])
+        fake = head + bytes([flac.crc8(head)])
+        raw = np.frombuffer(fake * 96, np.int8).astype(np.int64)[:, None]
+        plain = lambda w: (w.put(0, 1).put(1, 6).put(0, 1), [w.put(int(v), 8) for v in raw[:, 0]])
+        facts, x = flac.decode([stream([plain], len(raw), 0, 8, raw), flac.encode([bytes(576)])[0]])[0]
+        assert np.array_equal(x, raw)
+
+
 def test_checksums_catch_changes():
     data = flac.encode([bytes(range(256)) * 9])[0]
     for at in range(42, len(data), 97):
