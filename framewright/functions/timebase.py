@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,10 +11,12 @@ WIDE = "decimal(38,0)"
 
 
 def gcd(a: Column, b: Column) -> Column:
-    """Greatest common divisor of whole numbers; of 0 and 0 it is 0. 93 steps are enough for 64 bits."""
+    """Greatest common divisor of whole numbers; of 0 and 0 it is 0. As many steps as the smaller number's size allows at most, so that small numbers take few."""
     pair = F.struct(F.abs(a).cast("long").alias("a"), F.abs(b).cast("long").alias("b"))
+    small = F.greatest(F.least(F.abs(a), F.abs(b)), F.lit(1)).cast("double")
+    steps = (F.floor(F.log(small) / math.log((1 + 5**0.5) / 2)) + 3).cast("int")
     step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % F.when(s["b"] == 0, 1).otherwise(s["b"])).alias("b")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(93)), pair, step, lambda s: s["a"])
+    return F.aggregate(F.sequence(F.lit(1), steps), pair, step, lambda s: s["a"])
 
 
 def reduce(num: Column, den: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..functions import bits as bt
 from ..operators.scan import running_sum
-from ..tables import table
+from ..tables import literal, table
 
 _KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
 _K = ", ".join(_KEY)
@@ -141,7 +141,7 @@ def prefix_code(spark, sf_dir):
     """A symbol by the code that begins the next bits. The code is laid out for all peeks, so that it is an equal join."""
     wide = max(len(b) for b, _ in _CODES)
     rows = [(format(i, f"0{wide}b"), s, len(b)) for i in range(1 << wide) for b, s in _CODES if format(i, f"0{wide}b").startswith(b)]
-    codes = spark.createDataFrame(rows, "head string, symbol int, used int")
+    codes = literal(spark, rows, "head string, symbol int, used int")
     df = table(spark, sf_dir, "part").select("p_partkey", F.lpad(F.bin(F.col("p_partkey") % 128), 7, "0").alias("peek"))
     return df.join(F.broadcast(codes), F.substring("peek", 1, wide) == F.col("head")).select("p_partkey", "peek", "symbol", "used")
 

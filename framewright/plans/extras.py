@@ -8,7 +8,7 @@ from ..catalog import query
 from ..functions import kernels as k
 from ..operators.scan import running_sum
 from ..plugins import Graph
-from ..tables import BLOCKS, PACKETS, blocks, packets, table
+from ..tables import BLOCKS, PACKETS, blocks, literal, packets, table
 
 
 @query(f"WITH {PACKETS} SELECT seq, stream_index::INTEGER AS stream_index, pts + 500 AS pts, size * 2 AS size FROM packets WHERE stream_index IN (0, 2) UNION ALL SELECT seq, stream_index::INTEGER, pts, size FROM packets WHERE stream_index = 3")
@@ -75,8 +75,8 @@ ALIASES = (("libx264", "h264"), ("libx265", "hevc"), ("libvpx", "vp8"), ("libvpx
 SELECT p_partkey, alias, a.codec, media FROM part JOIN a ON p_partkey % {len(ALIASES)} = i JOIN c ON a.codec = c.codec""")
 def codec_names(spark, sf_dir):
     """The codec that an encoder's name means, and its class."""
-    c = spark.createDataFrame(CODECS, "codec string, media string")
-    a = spark.createDataFrame([(i, *x) for i, x in enumerate(ALIASES)], "i long, alias string, codec string").join(c, "codec")
+    c = literal(spark, CODECS, "codec string, media string")
+    a = literal(spark, [(i, *x) for i, x in enumerate(ALIASES)], "i long, alias string, codec string").join(c, "codec")
     df = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % len(ALIASES)).alias("i"))
     return df.join(F.broadcast(a), "i").select("p_partkey", "alias", "codec", "media")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import kernels as k
-from ..tables import BLOCKS, blocks, table
+from ..tables import BLOCKS, blocks, literal, table
 
 _KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
 _K = ", ".join(_KEY)
@@ -63,7 +63,7 @@ def dequant_apply(spark, sf_dir):
 def dequant_table(spark, sf_dir):
     """Scale tables: a factor for each position at a part's qp."""
     rows = [(m, pos, SCALE[m][{0: 0, 2: 1, 1: 2}[(pos & 1) + (pos >> 2 & 1)]]) for m in range(6) for pos in range(16)]
-    base = spark.createDataFrame(rows, "m long, pos long, base long")
+    base = literal(spark, rows, "m long, pos long, base long")
     df = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 52).cast("long").alias("qp")).withColumn("m", F.col("qp") % 6)
     return df.join(F.broadcast(base), "m").select("qp", "pos", (F.col("base") * 16 * F.pow(F.lit(2), F.floor(F.col("qp") / 6) + 2).cast("long")).alias("factor"), "p_partkey")
 

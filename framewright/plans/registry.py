@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..tables import KINDS, PACKETS, packets, table
+from ..tables import KINDS, PACKETS, literal, packets, table
 
 
 @query("""SELECT p_brand, p_partkey, score, p_size AS priority FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, p_size DESC, p_partkey) AS rn FROM (SELECT *, CAST(p_partkey * 37 % 101 AS BIGINT) AS score FROM part) WHERE score > 0) WHERE rn = 1""")
@@ -33,7 +33,7 @@ d AS (SELECT doc_id, CASE doc_id % 7 {' '.join(f"WHEN {i} THEN '{e}'" for i, e i
 SELECT doc_id, d.ext, writer FROM d LEFT JOIN w ON lower(d.ext) = w.ext""")
 def writer_by_extension(spark, sf_dir):
     """The writer whose list of extensions holds a file's, in any case."""
-    writers = spark.createDataFrame(_WRITERS, "writer string, exts string").select("writer", F.explode(F.split("exts", ",")).alias("e"))
+    writers = literal(spark, _WRITERS, "writer string, exts string").select("writer", F.explode(F.split("exts", ",")).alias("e"))
     ext = F.element_at(F.array(*map(F.lit, _EXTS)), (F.col("doc_id") % 7 + 1).cast("int"))
     docs = table(spark, sf_dir, "documents").select("doc_id", ext.alias("ext"))
     return docs.join(F.broadcast(writers), F.lower("ext") == F.col("e"), "left").select("doc_id", "ext", "writer")
@@ -78,7 +78,7 @@ _FORMATS = (("u8", 1), ("s16", 2), ("s32", 4), ("flt", 4), ("dbl", 8), ("s64", 8
 SELECT vec_id, name, CAST(bytes AS INTEGER) AS bytes, CASE WHEN label % 2 = 1 THEN concat(name, 'p') ELSE name END AS form, CASE WHEN label % 2 = 1 THEN name ELSE concat(name, 'p') END AS other FROM embeddings JOIN f ON vec_id % 6 = id""")
 def sample_format_traits(spark, sf_dir):
     """Size, layout and counterpart of sample formats."""
-    f = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(_FORMATS)], "id long, name string, bytes int")
+    f = literal(spark, [(i, a, b) for i, (a, b) in enumerate(_FORMATS)], "id long, name string, bytes int")
     df = table(spark, sf_dir, "embeddings").join(F.broadcast(f), F.col("vec_id") % 6 == F.col("id"))
     planar = F.concat("name", F.lit("p"))
     return df.select("vec_id", "name", "bytes", F.when(F.col("label") % 2 == 1, planar).otherwise(F.col("name")).alias("form"), F.when(F.col("label") % 2 == 1, F.col("name")).otherwise(planar).alias("other"))

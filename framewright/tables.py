@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,3 +31,11 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, label and a: 64 whole numbers, thousandths of the vector."""
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("long")).alias("a"))
+
+
+def literal(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
+    """A small fixed table as a part of the plan itself: no task has to make it."""
+    text = ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
+    fields = [f.strip().split() for f in schema.split(",")]
+    df = spark.sql(f"SELECT * FROM VALUES {text} AS t({', '.join(n for n, _ in fields)})")
+    return df.select(*[F.col(n).cast(kind).alias(n) for n, kind in fields])
