@@ -84,7 +84,8 @@ def fit(size: np.ndarray, count: np.ndarray, target: float, most: int = 3) -> np
     rounds, rest = divmod(round(target), total)
     rounds = min(rounds, most)
     left = count if rounds < most else np.zeros_like(count)
-    share = np.array([int(c) * rest // total for c in left], np.int64)
+    aim = max(0, rest - 2 * int(size.max()))  # leaves the fit some choice
+    share = np.array([int(c) * aim // total for c in left], np.int64)
     copies = rounds * count + np.where(size > 0, share, 0)
     for limit in ((rounds + 1) * count, most * count):
         gap = round(target) - int((copies * size).sum())

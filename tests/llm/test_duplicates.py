@@ -76,6 +76,17 @@ def test_large_groups_are_cut_into_tiles(spark):
     assert roots(len(fp), [(at[r["a"]], at[r["b"]]) for r in links]) == near
 
 
+def test_near_copies(spark, docs, rows, none):
+    got = simhash.near_copies(docs).collect()
+    assert len(got) == len(rows) and simhash.near_copies(none).collect() == []
+    f = [int.from_bytes(simhash.wide_simhash(r[1], 5).astype(">u8").tobytes(), "big") for r in rows]
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if (f[i] ^ f[j]).bit_count() <= 24]
+    group = roots(len(rows), near)
+    least = {g: min((rows[i][0] for i in range(len(rows)) if group[i] == g and rows[i][0] is not None), default=None) for g in set(group)}
+    want = sorted(((rows[i][0], least[group[i]]) for i in range(len(rows))), key=repr)
+    assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=repr) == want
+
+
 def test_connected_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 100), (90, 90), (7, None)]
     got = components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()
