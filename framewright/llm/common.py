@@ -20,6 +20,13 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def bounded_batches(spark: SparkSession, size: int = 16 << 20) -> None:
+    """Arrow batches of ``size`` bytes at most from now on in this session (Spark's default is four times that), so that long texts don't add up in a worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is not None:
+        spark.conf.set(key, str(size))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -35,6 +42,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for a query, and bounded batches for what it runs."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
