@@ -49,6 +49,7 @@ class Page:
 
     def __init__(self, html: str):
         self.tag, self.parent, self.gone, self.marked = ["#"], [-1], [False], [False]
+        self.count: dict[str, int] = {}  # open elements of each name: what is not open need not be looked for
         self.parts: list[tuple[int, str | None]] = []  # (element, text); None: a block begins or ends
         stack, at, end = [0], 0, len(html)
         search = _TAG.search
@@ -80,14 +81,14 @@ class Page:
             self.parts.append((stack[-1], " "))
             return
         block = name not in INLINE
-        if block:
+        if block and self.count.get("p"):
             for i in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
                 if tag[stack[i]] == "p":
                     self._pop(stack, i)
                     break
                 if tag[stack[i]] not in INLINE:
                     break
-        if name in CLOSES:
+        if name in CLOSES and any(self.count.get(x) for x in CLOSES[name][0]):
             ends, until = CLOSES[name]
             for i in range(len(stack) - 1, 0, -1):
                 if tag[stack[i]] in until:
@@ -119,15 +120,20 @@ class Page:
             self.parts.append((stack[-1], None))
         if name not in VOID and not attrs.endswith("/") or name in RAW:
             stack.append(node)
+            self.count[name] = self.count.get(name, 0) + 1
 
     def _pop(self, stack: list[int], i: int) -> None:
         for node in stack[i:]:
             if self.tag[node] not in INLINE:
                 self.parts.append((self.parent[node], None))
                 break
+        for node in stack[i:]:
+            self.count[self.tag[node]] -= 1
         del stack[i:]
 
     def _close(self, stack: list[int], name: str) -> None:
+        if not self.count.get(name):
+            return
         for i in range(len(stack) - 1, 0, -1):
             own = self.tag[stack[i]]
             if own == name:
@@ -218,8 +224,8 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     id_type = pages.schema[id_col].dataType.simpleString()
     keep = [c for c in pages.columns if c not in ("host", "text")]
     host = F.nullif(F.lower(F.regexp_extract(F.col(f"`{url_col}`"), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
-    own = pages.select(*[F.col(f"`{c}`") for c in keep], host.alias("host"), F.xxhash64(F.col(f"`{html_col}`")).alias("_page"))
-    rows = own.where(F.col("host").isNotNull() & (F.length(F.col(f"`{html_col}`")) > 0)).select(F.col(f"`{id_col}`").alias("page_id"), "host", F.col("_page").alias("page"), F.col(f"`{html_col}`").alias("html"))
+    own = pages.select(*[F.col(f"`{c}`") for c in keep], host.alias("host"), F.xxhash64(F.col(f"`{html_col}`")).alias("__page"))
+    rows = own.where(F.col("host").isNotNull() & (F.length(F.col(f"`{html_col}`")) > 0)).select(F.col(f"`{id_col}`").alias("page_id"), "host", F.col("__page").alias("page"), F.col(f"`{html_col}`").alias("html"))
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,7 +239,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     each = held.select("host", "page", F.explode("hashes").alias("hash"))
     often = each.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     often = often.join(pages_of, F.col("host") == F.col("p_host")).where(F.col("n") >= F.col("pages") * min_share).select(F.col("host").alias("t_host"), F.col("hash").alias("t_hash"))
-    drop = each.join(often, (F.col("host") == F.col("t_host")) & (F.col("hash") == F.col("t_hash"))).groupBy("page").agg(F.collect_set("hash").alias("_drop"), F.first("host").alias("d_host")).withColumnRenamed("page", "d_page")
+    drop = each.join(often, (F.col("host") == F.col("t_host")) & (F.col("hash") == F.col("t_hash"))).groupBy("page").agg(F.collect_set("hash").alias("__drop"), F.first("host").alias("__d_host")).withColumnRenamed("page", "__d_page")
     at = keep.index(html_col)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,5 +249,5 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
                 out = [Page(x).text(frozenset(d or ())) if x else "" for x, d in zip(part.column(at).to_pylist(), drops, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep) + 1], pa.array(out, pa.string())], [*keep, "host", "text"])
 
-    both = own.join(drop, (F.col("_page") == F.col("d_page")) & (F.col("host") == F.col("d_host")), "left").select(*[F.col(f"`{c}`") for c in keep], "host", "_drop")
-    return both.mapInArrow(texts, both.drop("_drop").schema.add("text", "string"))
+    both = own.join(drop, (F.col("__page") == F.col("__d_page")) & (F.col("host") == F.col("__d_host")), "left").select(*[F.col(f"`{c}`") for c in keep], "host", "__drop")
+    return both.mapInArrow(texts, both.drop("__drop").schema.add("text", "string"))

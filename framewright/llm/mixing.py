@@ -143,8 +143,8 @@ def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_co
     Rows of equal id and text are told apart by their number only.
     """
     number = lambda *c: F.row_number().over(Window.partitionBy(*c).orderBy(F.lit(0)))
-    times = mixed.select(F.col("id").alias("m_id"), F.col("text_hash").alias("m_hash"), "times").where("times > 0")
-    times = times.withColumn("m_n", number("m_id", "m_hash"))
-    own = docs.withColumn("_hash", F.xxhash64(F.col(f"`{text_col}`"))).withColumn("_n", number(F.col(f"`{id_col}`"), F.col("_hash")))
-    both = own.join(times, F.col(f"`{id_col}`").eqNullSafe(F.col("m_id")) & (F.col("_hash") == F.col("m_hash")) & (F.col("_n") == F.col("m_n")))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    times = mixed.select(F.col("id").alias("__mix_id2"), F.col("text_hash").alias("__mix_hash2"), F.col("times").alias("__mix_times")).where("__mix_times > 0")
+    times = times.withColumn("__mix_n2", number("__mix_id2", "__mix_hash2"))
+    own = docs.withColumn("__mix_hash", F.xxhash64(F.col(f"`{text_col}`"))).withColumn("__mix_n", number(F.col(f"`{id_col}`"), F.col("__mix_hash")))
+    both = own.join(times, F.col(f"`{id_col}`").eqNullSafe(F.col("__mix_id2")) & (F.col("__mix_hash") == F.col("__mix_hash2")) & (F.col("__mix_n") == F.col("__mix_n2")))
+    return both.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_times").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

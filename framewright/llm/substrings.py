@@ -141,9 +141,9 @@ def dedup_substrings(docs: DataFrame, min_words: int = 20, words: int = WORDS, i
     found = materialize(chunk_table(docs, words, id_col, text_col), "chunks")
     first = found.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("early"), F.count("*").alias("n")).where("n > 1").select("digest", "first", "early")
     again = found.join(first, "digest").where(F.col("doc_id").isNotNull() & (F.col("early") | (F.col("doc_id") > F.col("first")))).select("doc_id", "digest")
-    lists = again.groupBy("doc_id").agg(F.collect_set("digest").alias("_known")).withColumnRenamed("doc_id", "_id")
+    lists = again.groupBy("doc_id").agg(F.collect_set("digest").alias("__cut_known")).withColumnRenamed("doc_id", "__cut_id")
     keep = [c for c in docs.columns if c != "removed"]
-    own = docs.join(lists, F.col(f"`{id_col}`") == F.col("_id"), "left").select(*[F.col(f"`{c}`") for c in keep], "_known")
+    own = docs.join(lists, F.col(f"`{id_col}`") == F.col("__cut_id"), "left").select(*[F.col(f"`{c}`") for c in keep], "__cut_known")
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())])))
     t = keep.index(text_col)
 

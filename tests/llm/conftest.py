@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, size long, removed string, media string, fp long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, size long, removed string, media string, fp long, times long, host string"
 WORDS = "the of and to in is that it for was on are as with his they at be this from have or by one had not but what all were when we there can an your which".split()
 
 
@@ -26,8 +26,8 @@ def make_rows(n: int = 60, seed: int = 5) -> list[tuple]:
     texts[25] = "ünïcödé 日本語 𠮷 " * 3
     texts[26] = "x" * 5000
     texts[27] = "A"
-    rows = [(i, t, ("en", "de", None)[i % 3], (None if i % 11 == 0 else f"s{i % 4}"), len(t or ""), 0.5, 1, "r", "m", 9) for i, t in enumerate(texts)]
-    rows += [rows[5], rows[5], (None, "a text of no id", "en", "s1", 3, 0.5, 1, "r", "m", 9), (None, None, None, None, None, None, None, None, None, None)]
+    rows = [(i, t, ("en", "de", None)[i % 3], (None if i % 11 == 0 else f"s{i % 4}"), len(t or ""), 0.5, 1, "r", "m", 9, 7, "h") for i, t in enumerate(texts)]
+    rows += [rows[5], rows[5], (None, "a text of no id", "en", "s1", 3, 0.5, 1, "r", "m", 9, 7, "h"), (None,) * 12]
     return rows
 
 

@@ -164,7 +164,7 @@ def test_page():
     assert html_text.Page(PAGE).text() == "Title & more\nOne bold text next\nTwo\na\nb\nc1\nc2\ntail <x> a < b"
 
 
-@pytest.mark.parametrize("html", ["", "text only", "<p", "<p>a</div></p>b", "<!-- open", "<script>x", "<b><p>x</b>y</p>", "<a title='>'>t</a>", "&#x110000; &bad; &amp", "<p " + "a" * 10000, "<" * 2000, "<div>" * 3000 + "deep", '<a b="' + "c" * 9000])
+@pytest.mark.parametrize("html", ["", "text only", "<p", "<p>a</div></p>b", "<!-- open", "<script>x", "<b><p>x</b>y</p>", "<a title='>'>t</a>", "&#x110000; &bad; &amp", "<p " + "a" * 10000, "<" * 2000, "<div>" * 3000 + "deep", "<div>" * 30000 + "</p></section>" * 30000, "<b>" * 30000 + "<p>x</p>" * 30000, '<a b="' + "c" * 9000])
 def test_broken_pages(html):
     assert isinstance(html_text.Page(html).text(), str)
 
