@@ -91,6 +91,11 @@ def fit(size: np.ndarray, count: np.ndarray, target: float, most: int = 3) -> np
         gap = round(target) - int((copies * size).sum())
         if gap > 0:
             copies = copies + knapsack(size, np.where(size > 0, np.minimum(limit, most * count) - copies, 0), gap)
+    gap = round(target) - int((copies * size).sum())
+    if gap > 0 and size.max(initial=0) > gap:  # few documents: one round fewer for all, and a free choice of the rest
+        base = max(rounds - 1, 0) * count
+        other = base + knapsack(size, np.where(size > 0, most * count - base, 0), round(target) - int((base * size).sum()))
+        copies = other if (other * size).sum() > (copies * size).sum() else copies
     return np.where(size > 0, copies, 0)
 
 
