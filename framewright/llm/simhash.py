@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .components import connected_components
 
+#: Rows of a group that are compared in one task.
+GROUP = 4096
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -137,9 +139,11 @@ def _compare(batches: Iterator[pa.RecordBatch], radius: int, tile: int, keys: in
             found.append((name[near], name[near + lag]))
         for g in np.flatnonzero(~small):
             own = slice(edge[g], edge[g] + size[g])
-            to = forest(fp[own], radius, tile)
-            at = np.flatnonzero(to != np.arange(len(to)))
-            found.append((name[own][at], name[own][to[at]]))
+            to, names = forest(fp[own], radius, tile), name[own]
+            least = names.copy()  # a component is named alike in all groups that hold it, so that its links are the same
+            np.minimum.at(least, to, names)
+            at = np.flatnonzero(least[to] != names)
+            found.append((names[at], least[to][at]))
         if found:
             a, b = (np.concatenate(x) for x in zip(*found, strict=True))
             if len(a):
@@ -235,15 +239,16 @@ def near_copies(docs: DataFrame, k: int = 5, radius: int = 24, tables: int = 60,
         low, high = (int(x) for x in np.packbits(mask).view(">i8"))
         keys.append(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(low)), F.col("fp2").bitwiseAND(F.lit(high))))
     rows = classes.where("node is not null").select("node", "fp", "fp2", F.explode(F.array(*keys)).alias("key"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(sizes, "key")
     # a large group goes to tiles by hash, and each row to every pair of tiles that holds its own
-    parts = F.ceil(F.col("n") / 4096).cast("long")
-    mine = F.pmod(F.xxhash64("node"), parts)
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j")))
+    large = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP)
+    large = materialize(large.select(F.col("key").alias("large"), F.ceil(F.col("n") / GROUP).cast("long").alias("parts")), "large")
+    hint = F.broadcast if large.count() <= 100_000 else (lambda x: x)
+    rows = rows.join(hint(large), F.col("key") == F.col("large"), "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    mine = F.pmod(F.xxhash64("node"), F.col("parts"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j")))
     rows = rows.select("key", "node", "fp", "fp2", F.explode(pairs).alias("t")).select("key", "t.i", "t.j", "node", "fp", "fp2")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lambda it: _compare(it, radius, 1024, 3), "a long, b long").distinct()
+    links = rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lambda it: _compare(it, radius, 512, 3), "a long, b long").distinct()
     roots = connected_components(links)
     named = classes.join(roots, "node", "left").select(F.col("fp").alias("c_fp"), F.col("fp2").alias("c_fp2"), F.coalesce("root", "node").alias("component_id"))
     return marked.join(named, (F.col("fp") == F.col("c_fp")) & (F.col("fp2") == F.col("c_fp2"))).select("doc_id", "component_id")
