@@ -10,7 +10,9 @@ stretches of text take their steps together.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -22,24 +24,49 @@ TRAIN_CHARS = 24_000
 #: Longest stretch that is parsed by itself; each stretch of a text ends its last phrase.
 STRETCH = 512
 UNKNOWN = "und"
+#: Bits of a hash that a level tells apart, and texts that the last range of a sample may hold.
+_LEVEL_BITS, _RANGE_TEXTS = 12, 64
 _SLICE_CHARS = 1_500_000
 _models: dict = {}
 
 
+def _any(conditions: Iterable[Column]) -> Column:
+    """Whether one of the conditions holds."""
+    return reduce(or_, conditions, F.lit(False))
+
+
 def training_text(docs: DataFrame, labelled: Column, train_chars: int = TRAIN_CHARS, seed: int = 9, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, str]:
-    """lang -> sample of whole labelled texts, cut at ``train_chars``.
+    """lang -> sample of labelled texts, cut at ``train_chars``.
 
-    Rows are taken by the hash of their text, so that the sample does not follow
-    the order of rows; what reaches the driver is bounded by ``train_chars`` for
-    each language.
+    Of each language the different texts of the smallest hashes are taken until
+    they fill ``train_chars``, so that every language is learned, copies count once
+    and the sample does not follow the order of rows. The hash up to which they do
+    is found by counts of ranges of hashes, each level within one range of the one
+    before; what reaches the driver is bounded for each language.
     """
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(labelled & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select("lang", "text", F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 20)).alias("h"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
-    share = F.lit(False)
-    for lang, n in sorted(sizes.items()):  # about four times the characters that are needed
-        share = share | ((F.col("lang") == lang) & (F.col("h") < min(1 << 20, 4 * train_chars * (1 << 20) // max(1, n) + 64)))
-    took = rows.where(share).select("lang", "h", F.substring("text", 1, train_chars).alias("text")).orderBy("lang", "h", "text").collect() if sizes else []
+    rows = rows.select("lang", F.substring("text", 1, train_chars).alias("text"), F.shiftrightunsigned(F.xxhash64("text", F.lit(seed)), 1).alias("h"))
+    each = rows.groupBy("lang", "h").agg(F.min(F.length("text")).alias("n"))
+    upto: dict[str, int] = {}  # hash up to which a language's texts are taken
+    open_: dict[str, tuple[int, int]] = {}  # where a language's range starts, and the characters before it
+    shift, inside = 63, each
+    while shift and (shift == 63 or open_):
+        last, shift = shift, max(0, shift - _LEVEL_BITS)
+        if open_:
+            inside = each.where(_any(((F.col("lang") == lang) & F.col("h").between(lo, lo + (1 << last) - 1)) for lang, (lo, _) in sorted(open_.items())))
+        ranges = inside.groupBy("lang", F.shiftright("h", shift).alias("r")).agg(F.sum("n").alias("chars"), F.count("*").alias("texts")).orderBy("lang", "r").collect()
+        before, open_ = open_, {}
+        filled = {lang: n for lang, (_, n) in before.items()}
+        for r in ranges:
+            lang, had = r["lang"], filled.get(r["lang"], 0)
+            if had < train_chars:
+                filled[lang] = had + r["chars"]
+                upto[lang] = ((r["r"] + 1) << shift) - 1
+                open_.pop(lang, None)
+                if filled[lang] >= train_chars and r["texts"] > _RANGE_TEXTS:
+                    open_[lang] = (r["r"] << shift, had)
+    share = _any(((F.col("lang") == lang) & (F.col("h") <= h)) for lang, h in sorted(upto.items()))
+    took = rows.where(share).groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("lang", "h").collect() if upto else []
     out: dict[str, str] = {}
     for r in took:
         if len(out.get(r["lang"], "")) < train_chars:
