@@ -23,6 +23,8 @@ from .common import materialize
 
 #: A subtree is template if so many different pages of its host hold it, and so large a share of them.
 MIN_PAGES, MIN_SHARE = 4, 0.3
+#: A subtree on so many different pages of a host is template however many pages the host has.
+MANY_PAGES = 1000
 _SLICE_CHARS = 4_000_000
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
@@ -238,8 +240,8 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     pages_of = held.groupBy("host").agg(F.count("*").alias("pages")).withColumnRenamed("host", "p_host")
     each = held.select("host", "page", F.explode("hashes").alias("hash"))
     often = each.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    often = often.join(pages_of, F.col("host") == F.col("p_host")).where(F.col("n") >= F.col("pages") * min_share).select(F.col("host").alias("t_host"), F.col("hash").alias("t_hash"))
-    drop = each.join(often, (F.col("host") == F.col("t_host")) & (F.col("hash") == F.col("t_hash"))).groupBy("page").agg(F.collect_set("hash").alias("__drop"), F.first("host").alias("__d_host")).withColumnRenamed("page", "__d_page")
+    often = often.join(pages_of, F.col("host") == F.col("p_host")).where((F.col("n") >= F.col("pages") * min_share) | (F.col("n") >= MANY_PAGES)).select(F.col("host").alias("t_host"), F.col("hash").alias("t_hash"))
+    drop = each.join(often, (F.col("host") == F.col("t_host")) & (F.col("hash") == F.col("t_hash"))).groupBy(F.col("host").alias("__d_host"), F.col("page").alias("__d_page")).agg(F.collect_set("hash").alias("__drop"))
     at = keep.index(html_col)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
