@@ -4,7 +4,7 @@ A pair of fingerprints that differ in at most ``radius`` bits agrees in full on
 at least ``agree`` of ``radius + agree`` blocks of bits. So fingerprints are dealt by
 every choice of ``agree`` blocks, and those that share one are compared, in tiles,
 with exclusive-or and bit counts; tile pairs whose bit counts differ by more than
-the radius are skipped. Nothing within the radius is lost (but by near_copies), and no two texts are
+the radius are skipped. Nothing within the radius is lost, and no two texts are
 compared that share no such choice. Equal fingerprints are one row throughout.
 A group beyond ``tile`` rows is cut into tiles by bit count and by hash, and each
 pair of tiles is a row group of its own, so that no group lands in one task.
@@ -48,6 +48,11 @@ def wide_simhash(text: str | None, k: int = 4, seed: int = 42, width: int = 2) -
     end = end[len(words) - n :].tolist()
     digest = xxhash.xxh64_intdigest
     h = np.fromiter((digest(data[i:j], seed) for i, j in zip(start, end, strict=True)), np.uint64, n)
+    return of_hashes(h, width)
+
+
+def of_hashes(h: np.ndarray, width: int = 2) -> np.ndarray:
+    """The fingerprint of shingles' hashes."""
     return np.array([_majority(h if w == 0 else _mixed(h, w)) for w in range(width)], np.uint64)
 
 
@@ -211,45 +216,74 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, seed: int = 42
     return marked.join(linked, marked["fp"] == linked["c_fp"]).select("doc_id", "fp", "component_id")
 
 
-def near_copies(docs: DataFrame, k: int = 5, radius: int = 24, tables: int = 60, bits: int = 18, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) for every row, from fingerprints of 128 bits: for similarities that lie beyond a few bits of 64.
+def _nearest(batches: Iterator[pa.RecordBatch], radius: int, tile: int = 512) -> Iterator[pa.RecordBatch]:
+    """(a, b, bits): for rows (key, salt, node, fp, fp2), sorted by the first two, the nearest of the rows before in its group by bit count."""
 
-    A Jaccard similarity of 0.8 is 19 bits of 128 on average, of 0.9 it is 13; two
-    strangers differ in 64. No choice of blocks finds all pairs within so many bits,
-    so pairs are compared that agree on all of ``bits`` bits, drawn by a fixed seed,
-    in one of ``tables`` draws: 99.1 % of the pairs at 16 bits, 89 % at 20, 65 % at
-    24. The comparison is exact, in tiles. The pipeline takes copies.one_of_copies,
-    which loses none.
-    Nulls, empty texts and repeated rows are as in near_duplicates; a null id is no
-    component's.
-    """
-    id_type = docs.schema[id_col].dataType.simpleString()
+    def links(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        fp = np.ascontiguousarray(rows[:, 3:]).view(np.uint64)
+        pop = np.bitwise_count(fp).sum(axis=1, dtype=np.int64)
+        order = np.lexsort((rows[:, 2], pop, rows[:, 1], rows[:, 0]))
+        rows, fp, pop = rows[order], fp[order], pop[order]
+        edge = np.flatnonzero(np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)))
+        size = np.diff(np.append(edge, len(rows)))
+        group, small = np.repeat(np.arange(len(edge)), size), size <= 16
+        best, to = np.full(len(rows), radius + 1), np.full(len(rows), -1)
+        for lag in range(1, int(size[small].max(initial=0))):  # all pairs of all small groups at one distance
+            i = np.flatnonzero((group[:-lag] == group[lag:]) & small[group[:-lag]])
+            far = np.bitwise_count(fp[i] ^ fp[i + lag]).sum(axis=1, dtype=np.int64)
+            ok = far < best[i + lag]
+            best[i[ok] + lag], to[i[ok] + lag] = far[ok], i[ok]
+        for g in np.flatnonzero(~small):
+            lo, hi = int(edge[g]), int(edge[g] + size[g])
+            for at in range(lo, hi, tile):
+                end = min(at + tile, hi)
+                for other in range(lo, end, tile):
+                    stop = min(other + tile, hi)
+                    if pop[at] - pop[stop - 1] > radius:
+                        continue
+                    far = sum(np.bitwise_count(fp[at:end, None, w] ^ fp[None, other:stop, w]).astype(np.int64) for w in range(fp.shape[1]))
+                    far[np.arange(other, stop)[None, :] >= np.arange(at, end)[:, None]] = radius + 1
+                    j = far.argmin(axis=1)
+                    far = far[np.arange(end - at), j]
+                    ok = np.flatnonzero(far < best[at:end])
+                    best[at + ok], to[at + ok] = far[ok], other + j[ok]
+        has = np.flatnonzero(to >= 0)
+        if len(has):
+            yield pa.RecordBatch.from_arrays([pa.array(rows[has, 2]), pa.array(rows[to[has], 2]), pa.array(best[has])], ["a", "b", "bits"])
+
+    held = np.zeros((0, 5), np.int64)
+    for batch in batches:
+        rows = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns], axis=1)])
+        if len(rows):
+            last = int(np.flatnonzero(np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)))[-1])
+            if last:
+                yield from links(rows[:last])
+            held = rows[last:]
+    if len(held):
+        yield from links(held)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = np.array([wide_simhash(x.as_py(), k, seed) for x in batch.column(1)], np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp[:, 0]), pa.array(fp[:, 1])], ["doc_id", "fp", "fp2"])
 
-    marked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {id_type}, fp long, fp2 long")
-    marked = materialize(marked, "simhash")
-    classes = materialize(marked.groupBy("fp", "fp2").agg(F.min("doc_id").cast("long").alias("node")), "classes")
+def nearest_links(fps: DataFrame, count: int, radius: int = 24, draws: int = 6, group: int = GROUP, seed: int = 42) -> DataFrame:
+    """(a, b): for rows (node, fp, fp2) with fingerprints of 128 bits, at most one link each to a near one; not all that are near.
+
+    Rows that agree on some drawn bits (as many as ``count`` rows need for groups of
+    a few) are compared in tiles, and each is linked to its nearest of a lower bit
+    count. A group of more than ``group`` rows is split by hash. A first step for what finds the rest.
+    """
+    bits = min(40, max(12, int(count).bit_length()))
     rng, keys = np.random.default_rng(seed), []
-    for t in range(tables):
+    for t in range(draws):
         mask = np.zeros(128, np.uint8)
         mask[rng.choice(128, bits, replace=False)] = 1
         low, high = (int(x) for x in np.packbits(mask).view(">i8"))
         keys.append(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(low)), F.col("fp2").bitwiseAND(F.lit(high))))
-    rows = classes.where("node is not null").select("node", "fp", "fp2", F.explode(F.array(*keys)).alias("key"))
-    # a large group goes to tiles by hash, and each row to every pair of tiles that holds its own
-    large = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP)
-    large = materialize(large.select(F.col("key").alias("large"), F.ceil(F.col("n") / GROUP).cast("long").alias("parts")), "large")
+    rows = fps.select("node", "fp", "fp2", F.explode(F.array(*keys)).alias("key"))
+    large = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > group)
+    large = materialize(large.select(F.col("key").alias("large"), F.ceil(F.col("n") / group).cast("long").alias("parts")), "large")
     hint = F.broadcast if large.count() <= 100_000 else (lambda x: x)
-    rows = rows.join(hint(large), F.col("key") == F.col("large"), "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
-    mine = F.pmod(F.xxhash64("node"), F.col("parts"))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j")))
-    rows = rows.select("key", "node", "fp", "fp2", F.explode(pairs).alias("t")).select("key", "t.i", "t.j", "node", "fp", "fp2")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lambda it: _compare(it, radius, 512, 3), "a long, b long").distinct()
-    roots = connected_components(links)
-    named = classes.join(roots, "node", "left").select(F.col("fp").alias("c_fp"), F.col("fp2").alias("c_fp2"), F.coalesce("root", "node").alias("component_id"))
-    return marked.join(named, (F.col("fp") == F.col("c_fp")) & (F.col("fp2") == F.col("c_fp2"))).select("doc_id", "component_id")
+    rows = rows.join(hint(large), F.col("key") == F.col("large"), "left")
+    salt = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1).cast("long")))
+    rows = rows.select("key", salt.alias("salt"), "node", "fp", "fp2")
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = rows.repartition(n, "key", "salt").sortWithinPartitions("key", "salt").mapInArrow(lambda it: _nearest(it, radius), "a long, b long, bits long")
+    return found.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("x")).select("a", F.col("x.b").alias("b"))

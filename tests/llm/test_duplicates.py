@@ -6,6 +6,7 @@ import hashlib
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -76,15 +77,17 @@ def test_large_groups_are_cut_into_tiles(spark):
     assert roots(len(fp), [(at[r["a"]], at[r["b"]]) for r in links]) == near
 
 
-def test_near_copies(spark, docs, rows, none):
-    got = simhash.near_copies(docs).collect()
-    assert len(got) == len(rows) and simhash.near_copies(none).collect() == []
-    f = [int.from_bytes(simhash.wide_simhash(r[1], 5).astype(">u8").tobytes(), "big") for r in rows]
-    near = [(i, j) for i in range(len(rows)) for j in range(i) if (f[i] ^ f[j]).bit_count() <= 24]
-    group = roots(len(rows), near)
-    least = {g: min((rows[i][0] for i in range(len(rows)) if group[i] == g and rows[i][0] is not None), default=None) for g in set(group)}
-    want = sorted(((rows[i][0], least[group[i]]) for i in range(len(rows))), key=repr)
-    assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=repr) == want
+@pytest.mark.parametrize("group", [4096, 32])
+def test_nearest_links_are_near_and_one_for_each(spark, group):
+    rng = np.random.default_rng(2)
+    fp = rng.integers(0, 2**63, (12, 2), dtype=np.uint64).repeat(30, axis=0)
+    fp[:, 0] ^= np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (len(fp), 5), dtype=np.uint64), axis=1)
+    rows = [(i, *map(int, x)) for i, x in enumerate(fp.view(np.int64))]
+    got = simhash.nearest_links(spark.createDataFrame(rows, "node long, fp long, fp2 long"), len(rows), group=group).collect()
+    assert len({r["a"] for r in got}) == len(got)
+    assert all(np.bitwise_count(fp[r["a"]] ^ fp[r["b"]]).sum() <= 24 for r in got)
+    groups = len(set(roots(len(rows), [(r["a"], r["b"]) for r in got])))
+    assert 12 <= groups < (36 if group == 4096 else 200)
 
 
 def test_connected_components(spark):

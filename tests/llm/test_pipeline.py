@@ -12,9 +12,9 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
 from framewright.llm import mixing
-from framewright.llm.simhash import wide_simhash
 
-from .test_duplicates import plain_chunks, plain_simhash, roots
+from .test_copies import plain_kept
+from .test_duplicates import plain_chunks
 
 
 @pytest.fixture(scope="module")
@@ -47,15 +47,9 @@ def test_language(stages):
 
 def test_one_of_near_copies(stages):
     _, before, after, _ = stages[1]
-    f = [int.from_bytes(wide_simhash(r["text"], 5).astype(">u8").tobytes(), "big") for r in before]
-    assert [x >> 64 for x in f] == [plain_simhash(r["text"], 5) for r in before]
-    group = roots(len(before), [(i, j) for i in range(len(before)) for j in range(i) if (f[i] ^ f[j]).bit_count() <= 24])
-    least = defaultdict(lambda: 1 << 60)
-    for g, r in zip(group, before, strict=True):
-        least[g] = min(least[g], r["doc_id"])
-    kept, want = {r["doc_id"] for r in after}, set(least.values())
-    assert want <= kept and len(after) == len(kept) < len(before)
-    assert len(before) - len(kept) >= 0.9 * (len(before) - len(want)), "of the documents that go by all pairs"
+    want, count, near = plain_kept([(r["doc_id"], r["text"]) for r in before])
+    kept = {r["doc_id"] for r in after}
+    assert near and kept == {i for _, i in want} and len(after) == count < len(before)
 
 
 def test_repeats(stages):
