@@ -1,11 +1,12 @@
 """Main text of web pages, with site template removal.
 
-A page is parsed into its elements. What markup names as no part of an article
-goes first (menus, headers, footers, asides, forms, adverts, notices, comments).
-Then every subtree is hashed; Spark counts the pages of each host that hold it,
-copies of one page counted once, and subtrees that recur on many pages of their
-host are deleted too. Paragraphs inside an element that the page itself marks as
-its article are text, however often they recur; only boxes in it can be template.
+A page is parsed into its elements. Every subtree with text is hashed, wherever it is on
+the page; Spark counts the pages of each host that hold it, copies of one page counted
+once, and subtrees that recur on many pages of their host are deleted. Paragraphs
+inside an element that the page itself marks as its article are text, however often
+they recur: only boxes in it can be template. A page of a host with few pages has nothing to be
+compared with, and menus vary: what markup names as no part of an article (menus,
+headers, footers, asides, adverts, notices, comments) goes also where it does not recur.
 """
 
 from __future__ import annotations
@@ -21,9 +22,11 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: A subtree is template if so many different pages of its host hold it, and so large a share of them.
-MIN_PAGES, MIN_SHARE = 4, 0.3
-#: A subtree on so many different pages of a host is template however many pages the host has.
+#: A subtree is template if so many different pages of its host hold it,
+MIN_PAGES = 4
+#: and, but for what lies outside the article that a page marks, so large a share of them
+MIN_SHARE = 0.3
+#: or so many of them.
 MANY_PAGES = 1000
 _SLICE_CHARS = 4_000_000
 
@@ -37,20 +40,25 @@ RAW = frozenset("script style textarea title iframe noembed noframes xmp".split(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
 LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote dt dd td th tr tbody thead figcaption".split())
-GONE = frozenset("nav footer aside form script style noscript template iframe svg canvas object button select textarea menu dialog head title noembed noframes audio video map input fieldset".split())
-#: Words in class, id or role that name no part of an article.
+#: What is no text of a page at all.
+GONE = frozenset("form script style noscript template iframe svg canvas button select textarea input head title noembed noframes audio video".split())
+#: Elements that are no part of an article.
+ASIDE = frozenset("nav footer aside menu dialog".split())
+#: Names in class, id or role that are no part of an article: outside one also as a word of a longer name.
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adbox adslot sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead topbar toolbar comment comments disqus respond reply replies newsletter subscribe subscription signup login share sharing social related recommended popup modal overlay widget pagination pager skip search contentinfo complementary".split()
 )
+#: Longer names that stand for one of them inside an article too.
+_KIND = re.compile(r"(?:ads?|advert|advertisement|sponsored|promo|cookie|consent|comments?|newsletter|share|sharing|social|related|nav|menu|sidebar)[-_](?:box|block|slot|unit|banner|bar|list|section|wrapper|container|widget|buttons?|links?|form|area|posts|articles|signup)|(?:site|page|main|top|bottom|side|social|reader|user|post)[-_](?:nav|menu|header|footer|sidebar|share|comments?|ads?)")
 #: Elements that end an open one of the same kind, and where the search for it ends.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 
 class Page:
-    """The elements of a page: tag, parent, whether named as no text, and its pieces of text in page order."""
+    """The elements of a page: tag, parent, whether no text (gone) or named as no part of an article, and its pieces of text in page order."""
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.gone, self.marked = ["#"], [-1], [False], [False]
+        self.tag, self.parent, self.gone, self.named, self.marked = ["#"], [-1], [False], [False], [False]
         self.count: dict[str, int] = {}  # open elements of each name: what is not open need not be looked for
         self.parts: list[tuple[int, str | None]] = []  # (element, text); None: a block begins or ends
         stack, at, end = [0], 0, len(html)
@@ -102,21 +110,25 @@ class Page:
         tag.append(name)
         self.parent.append(stack[-1])
         inside = self.marked[stack[-1]]
-        gone = name in GONE or (name == "header" and not inside)
+        gone = name in GONE
+        named = name in ASIDE or (name == "header" and not inside)
         marked = inside
-        if attrs and not gone and ("=" in attrs or "hidden" in attrs):
+        if attrs and not gone and "=" in attrs:
             for key, value in _ATTR.findall(attrs):
                 key, value = key.lower(), value.strip("\"'")
                 if key in ("class", "id", "role"):
-                    words = {w.lower() for name_ in value.split() if not _LAYOUT.match(name_) for w in _WORD.findall(name_)}
-                    gone = gone or not words.isdisjoint(NAMES) or (not inside and "header" in words and name not in ("article", "main", "body", "html"))
-                elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
-                    gone = True
+                    own = [x for x in value.split() if not _LAYOUT.match(x)]
+                    if inside:
+                        named = named or any(x.lower() in NAMES or _KIND.fullmatch(x.lower()) for x in own)
+                    else:
+                        words = {w.lower() for x in own for w in _WORD.findall(x)}
+                        named = named or not words.isdisjoint(NAMES) or ("header" in words and name not in ("article", "main", "body", "html"))
                 elif key == "itemprop" and value.lower() == "articlebody":
                     marked = True
             if name in ("html", "body", "main", "article"):
-                gone = gone and name == "article" and bool(re.search(r"comment|promo|sponsor|related", attrs))
+                named = named and name == "article" and bool(re.search(r"comment|promo|sponsor|related", attrs))
         self.gone.append(gone)
+        self.named.append(named)
         self.marked.append(marked or name in ("article", "main"))
         if block:
             self.parts.append((stack[-1], None))
@@ -144,25 +156,25 @@ class Page:
             if name in INLINE and own not in INLINE:
                 return
 
-    def article(self) -> list[bool]:
+    def article(self, dead: list[bool]) -> list[bool]:
         """Whether each element is in the part that holds the article: articles, else main, else everything."""
-        dead, out = self.dead(), [False] * len(self.tag)
+        out = [False] * len(self.tag)
         for kind in (("article",), ("main",), None):
             for i in range(len(self.tag)):
-                out[i] = not dead[i] and (kind is None or self.tag[i] in kind or (kind[0] == "article" and self._named(i)) or (i > 0 and out[self.parent[i]]))
+                out[i] = not dead[i] and (kind is None or self.tag[i] in kind or (kind[0] == "article" and self._body(i)) or (i > 0 and out[self.parent[i]]))
             if kind is None or any(out[node] and text and not text.isspace() for node, text in self.parts):
                 return out
         return out
 
-    def _named(self, i: int) -> bool:
+    def _body(self, i: int) -> bool:
         """Whether an attribute marks an element as an article's body."""
         return self.marked[i] and not self.marked[self.parent[i]] and self.tag[i] != "main"
 
-    def dead(self, template: frozenset = frozenset()) -> list[bool]:
+    def below(self, *marks: list[bool]) -> list[bool]:
+        """Whether an element or one that it is in has one of the marks."""
         out = [False]
-        hashes = self.hashes() if template else None
         for i in range(1, len(self.tag)):
-            out.append(out[self.parent[i]] or self.gone[i] or bool(hashes and hashes[i] in template and self.candidate(i)))
+            out.append(out[self.parent[i]] or any(x[i] for x in marks))
         return out
 
     def candidate(self, i: int) -> bool:
@@ -188,23 +200,37 @@ class Page:
                 inner[self.parent[i]].append(f"{out[i]:x}")
         return [h - (1 << 64) if h >= 1 << 63 else h for h in out]
 
-    def text(self, template: frozenset = frozenset()) -> str:
-        dead, inside = self.dead(template), self.article()
-        blocks, now = [], []
+    def text(self, template: frozenset = frozenset()) -> tuple[str, int, int]:
+        """The main text, and the characters that were left out as template and for other reasons (scripts and the like aside)."""
+        hashes = self.hashes() if template else None
+        same = self.below([bool(hashes) and hashes[i] in template and self.candidate(i) for i in range(len(self.tag))])
+        gone = self.below(self.gone)
+        dead = self.below(self.gone, self.named, same)
+        inside = self.article(dead)
+        blocks, now, cut, other = [], [], 0, 0
         for node, text in self.parts:
             if text is None:
                 blocks.append(now)
                 now = []
             elif inside[node] and not dead[node]:
                 now.append(text)
+            elif not gone[node]:
+                n = sum(map(len, text.split()))
+                cut, other = (cut + n, other) if same[node] else (cut, other + n)
         blocks.append(now)
         lines = (" ".join("".join(x).split()) for x in blocks if x)
-        return "\n".join(x for x in lines if x)
+        return "\n".join(x for x in lines if x), cut, other
 
-    def template_candidates(self) -> set[int]:
-        """Hashes of the subtrees with text that are left and may be template."""
-        dead, inside, hashes = self.dead(), self.article(), self.hashes()
-        return {h for i, h in enumerate(hashes) if h and inside[i] and not dead[i] and self.candidate(i)}
+    def candidates(self) -> dict[int, bool]:
+        """Hashes of the subtrees with text that may be template, and whether they lie outside the article that the page marks."""
+        gone, hashes, holds = self.below(self.gone), self.hashes(), [False] * len(self.tag)
+        for i in range(len(self.tag) - 1, 0, -1):
+            holds[self.parent[i]] |= holds[i] or (self.marked[i] and not self.marked[self.parent[i]])
+        marks, out = any(self.marked), {}
+        for i, h in enumerate(hashes):
+            if h and not gone[i] and not holds[i] and self.candidate(i):
+                out[h] = out.get(h, True) and marks and not self.marked[i]
+        return out
 
 
 def _slices(batch: pa.RecordBatch, col: int) -> Iterator[pa.RecordBatch]:
@@ -217,39 +243,46 @@ def _slices(batch: pa.RecordBatch, col: int) -> Iterator[pa.RecordBatch]:
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """All columns of pages, and host and text: the main text, blocks joined by a line feed.
+    """All columns of pages, and host, text (the main text, blocks joined by a line feed), template_chars and other_chars.
 
-    A null or empty html gives an empty text; pages of a null or unreadable url
-    share the host of null, of which nothing is template. Rows that repeat count as
-    one page and get the same text. Columns named host or text are replaced.
+    The last two count the characters, white space aside, that were left out because
+    their subtree recurs on the host, and for what markup says. A null or empty html
+    gives an empty text; pages of a null or unreadable url share the host of null, of
+    which nothing is template. Rows that repeat count as one page and get the same
+    text. Columns of those four names are replaced; others may have any name but
+    those that begin with __fw_.
     """
-    id_type = pages.schema[id_col].dataType.simpleString()
-    keep = [c for c in pages.columns if c not in ("host", "text")]
+    new = ("host", "text", "template_chars", "other_chars")
+    keep = [c for c in pages.columns if c not in new]
     host = F.nullif(F.lower(F.regexp_extract(F.col(f"`{url_col}`"), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
-    own = pages.select(*[F.col(f"`{c}`") for c in keep], host.alias("host"), F.xxhash64(F.col(f"`{html_col}`")).alias("__page"))
-    rows = own.where(F.col("host").isNotNull() & (F.length(F.col(f"`{html_col}`")) > 0)).select(F.col(f"`{id_col}`").alias("page_id"), "host", F.col("__page").alias("page"), F.col(f"`{html_col}`").alias("html"))
+    own = pages.select(*[F.col(f"`{c}`") for c in keep], host.alias("__fw_host"), F.xxhash64(F.col(f"`{html_col}`")).alias("__fw_page"))
+    rows = own.where(F.col("__fw_host").isNotNull() & (F.length(F.col(f"`{html_col}`")) > 0)).select(F.col("__fw_host").alias("host"), F.col("__fw_page").alias("page"), F.col(f"`{html_col}`").alias("html"))
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch, 3):
-                found = [sorted(Page(x).template_candidates()) for x in part.column(3).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(found, pa.list_(pa.int64()))], ["page_id", "host", "page", "hashes"])
+            for part in _slices(batch, 2):
+                found = [sorted(Page(x).candidates().items()) for x in part.column(2).to_pylist()]
+                held = [pa.array([[x[i] for x in one] for one in found], pa.list_(kind)) for i, kind in enumerate((pa.int64(), pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *held], ["host", "page", "hashes", "outside"])
 
-    held = rows.mapInArrow(subtrees, f"page_id {id_type}, host string, page long, hashes array<long>")
-    held = materialize(held.groupBy("host", "page").agg(F.first("hashes").alias("hashes")), "subtrees")
+    held = rows.mapInArrow(subtrees, "host string, page long, hashes array<long>, outside array<boolean>")
+    held = materialize(held.groupBy("host", "page").agg(F.first("hashes").alias("hashes"), F.first("outside").alias("outside")), "subtrees")
     pages_of = held.groupBy("host").agg(F.count("*").alias("pages")).withColumnRenamed("host", "p_host")
-    each = held.select("host", "page", F.explode("hashes").alias("hash"))
-    often = each.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    often = often.join(pages_of, F.col("host") == F.col("p_host")).where((F.col("n") >= F.col("pages") * min_share) | (F.col("n") >= MANY_PAGES)).select(F.col("host").alias("t_host"), F.col("hash").alias("t_hash"))
-    drop = each.join(often, (F.col("host") == F.col("t_host")) & (F.col("hash") == F.col("t_hash"))).groupBy(F.col("host").alias("__d_host"), F.col("page").alias("__d_page")).agg(F.collect_set("hash").alias("__drop"))
+    each = held.select("host", "page", F.explode(F.arrays_zip("hashes", "outside")).alias("x")).select("host", "page", F.col("x.hashes").alias("hash"), F.col("x.outside").alias("outside"))
+    often = each.groupBy("host", "hash").agg(F.count("*").alias("n"), F.count_if("outside").alias("n_outside")).where(F.col("n") >= min_pages)
+    often = often.join(pages_of, F.col("host") == F.col("p_host"))
+    often = often.where((F.col("n_outside") >= min_pages) | (F.col("n") >= F.col("pages") * min_share) | (F.col("n") >= MANY_PAGES)).select(F.col("host").alias("t_host"), F.col("hash").alias("t_hash"))
+    drop = each.join(often, (F.col("host") == F.col("t_host")) & (F.col("hash") == F.col("t_hash")))
+    drop = drop.groupBy(F.col("host").alias("__fw_d_host"), F.col("page").alias("__fw_d_page")).agg(F.collect_set("hash").alias("__fw_drop"))
     at = keep.index(html_col)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch, at):
                 drops = part.column(len(keep) + 1).to_pylist()
-                out = [Page(x).text(frozenset(d or ())) if x else "" for x, d in zip(part.column(at).to_pylist(), drops, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep) + 1], pa.array(out, pa.string())], [*keep, "host", "text"])
+                out = [Page(x).text(frozenset(d or ())) if x else ("", 0, 0) for x, d in zip(part.column(at).to_pylist(), drops, strict=True)]
+                cols = [pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep) + 1], *cols], [*keep, *new])
 
-    both = own.join(drop, (F.col("__page") == F.col("__d_page")) & (F.col("host") == F.col("__d_host")), "left").select(*[F.col(f"`{c}`") for c in keep], "host", "__drop")
-    return both.mapInArrow(texts, both.drop("__drop").schema.add("text", "string"))
+    both = own.join(drop, (F.col("__fw_page") == F.col("__fw_d_page")) & (F.col("__fw_host") == F.col("__fw_d_host")), "left").select(*[F.col(f"`{c}`") for c in keep], F.col("__fw_host").alias("host"), "__fw_drop")
+    return both.mapInArrow(texts, both.drop("__fw_drop").schema.add("text", "string").add("template_chars", "long").add("other_chars", "long"))

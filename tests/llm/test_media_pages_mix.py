@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import html as htmllib
 import itertools
 import re
 import struct
@@ -161,12 +162,12 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>a{}</style></head><b
 
 
 def test_page():
-    assert html_text.Page(PAGE).text() == "Title & more\nOne bold text next\nTwo\na\nb\nc1\nc2\ntail <x> a < b"
+    assert html_text.Page(PAGE).text()[0] == "Title & more\nOne bold text next\nTwo\na\nb\nc1\nc2\ntail <x> a < b"
 
 
 @pytest.mark.parametrize("html", ["", "text only", "<p", "<p>a</div></p>b", "<!-- open", "<script>x", "<b><p>x</b>y</p>", "<a title='>'>t</a>", "&#x110000; &bad; &amp", "<p " + "a" * 10000, "<" * 2000, "<div>" * 3000 + "deep", "<div>" * 30000 + "</p></section>" * 30000, "<b>" * 30000 + "<p>x</p>" * 30000, '<a b="' + "c" * 9000])
 def test_broken_pages(html):
-    assert isinstance(html_text.Page(html).text(), str)
+    assert isinstance(html_text.Page(html).text()[0], str)
 
 
 def test_recurring_subtrees_go(spark):
@@ -196,6 +197,52 @@ def test_op5_against_the_pages_own_articles(spark):
         assert r["text"] == "\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
 
 
+def test_template_against_a_plain_count(spark):
+    """Characters that go as template, by counting the boxes outside the articles of all pages of a larger table."""
+    from urllib.parse import urlsplit
+
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url", "html")
+    got = {r["page_id"]: r for r in html_text.extract(pages).drop("html").collect()}
+    inner = lambda x: "".join(re.sub(r"<[^>]*>", "", x).split())
+    plain = lambda x: re.sub(r"\s+| href=\"[^\"]*\"", "", x)
+    boxes, on = {}, defaultdict(set)
+    for r in pages.collect():
+        text, host = re.sub(r"<article>.*?</article>", "", r["html"], flags=re.S), urlsplit(r["url"]).hostname
+        found = [(m[0], re.findall(r"<li>.*?</li>", m[0], re.S)) for m in re.finditer(r"<nav>.*?</nav>|<div class=\"ad\">.*?</div>|<footer>.*?</footer>", text, re.S)]
+        boxes[r["page_id"]] = host, found
+        for box, items in found:
+            for x in {box, *items}:
+                on[host, plain(x)].add(r["html"])
+    total = left = 0
+    for page, (host, found) in boxes.items():
+        many = lambda x, host=host: len(on[host, plain(x)]) >= 4
+        want = sum(len(htmllib.unescape(inner(x))) for box, items in found for x in ([box] if many(box) else [y for y in items if many(y)]))
+        assert got[page]["template_chars"] == want, page
+        total, left = total + want, left + got[page]["other_chars"]
+    assert total > 0.15 * (total + left), "hosts have 40 pages here on average"
+
+
+def test_pages_without_helpful_names(spark):
+    page = lambda host, i, body: (i, f"http://{host}.example/{i}", body)
+    menu, foot = "<div><div>Home</div><div>About</div></div>", "<div class='x1'>All rights</div>"
+    rows = [page("plain", i, f"<body>{menu}<div><div><h2>Title {i}</h2><p>Story {i} goes on</p></div></div>{foot}</body>") for i in range(12)]
+    words = ("search-results", "related-work", "share-prices", "skip-list", "banner-year", "notice-period")
+    rows += [page("named", 100 + i, f"<body><article><p>a{i}</p><div class='{w}'><p>kept {i}</p></div><div class='ad'>buy</div><div class='comments-list'>me too</div></article></body>") for i, w in enumerate(words)]
+    rows += [page("nested", 200 + i, f"<body><div><nav>n{i}</nav><article><p>one text</p><div>its box</div></article></div></body>") for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i}\nStory {i} goes on" for i in range(12))
+    assert all(got[100 + i] == f"a{i}\nkept {i}" for i in range(len(words)))
+    assert got[200] == "one text\nits box", "what holds the article is no template"
+
+
+def test_odd_tables_of_pages(spark):
+    schema = "page_id long, url string, html string, host string, text string, page long, hash long, hashes array<long>"
+    rows = [(1, "http://a.example/", "<p>x</p>", "h", "t", 1, 2, [3]), (None, None, None, None, None, None, None, None)]
+    found = html_text.extract(spark.createDataFrame(rows, schema))
+    assert {(r["page_id"], r["host"], r["text"], r["page"]) for r in found.collect()} == {(1, "a.example", "x", 1), (None, None, "", None)}
+    assert html_text.extract(spark.createDataFrame([], schema)).collect() == []
+
+
 # ---- mix
 
 
