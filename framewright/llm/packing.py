@@ -1,14 +1,15 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
-Every source is a queue of its documents' tokens. Each round credits queue ``t``
-with ``K_t / K_max`` quanta (``K`` is the queue's length in quanta of ``quantum``
-tokens) and serves as many whole quanta as its deficit counter covers; what is
-left stays on the counter. All queues drain in the same round, so every stretch
-of the output holds the sources in their proportions of all tokens.
+Every source is a queue of its documents' tokens, and has a target weight. Each round
+credits queue ``t`` with ``w_t / w_max`` quanta of ``quantum`` tokens and serves as many
+whole quanta as its deficit counter covers; what is left stays on the counter. While
+all queues last, every window holds the sources in the proportions of their weights, within a quantum;
+a queue that is empty drops out, and the others go on by theirs. Without weights a
+queue weighs what it holds, so that all drain in the same round.
 
 The counters need no sequential pass. After ``r`` rounds queue ``t`` was served
-``floor(r * K_t / K_max)`` quanta, and the rest of that product is its deficit.
-So quantum ``k`` of queue ``s`` goes out in round ``ceil((k + 1) * K_max / K_s)``
+``floor(r * w_t / w_max)`` quanta (or all it has), and the rest of that product is its deficit.
+So quantum ``k`` of queue ``s`` goes out in round ``ceil((k + 1) * w_max / w_s)``
 and its place in the output is the sum of what the queues were served before.
 A task computes the deficits it starts with and goes on from there: they carry
 over windows and over partitions, and no token is shuffled.
@@ -19,7 +20,7 @@ partial window is cut into powers of two, so that nothing is padded.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Queues of their own go to so many of the largest sources; all others share one more queue.
+#: Queues of their own go to so many of the largest sources; all others share one more queue, of the sum of their weights.
 MAX_QUEUES = 4096
+#: Weights are told apart to one part in so many.
+SCALE = 1_000_000
 #: The table of tasks and sources is broadcast up to so many rows (some 16 MB); beyond that it is joined by shuffle.
 MAX_BROADCAST = 200_000
 #: Ids of a text that names the special token are left to the tokenizer itself.
@@ -62,10 +65,9 @@ def encoder(json_path: str, ranks_path: str, pattern: str):
             if SPECIAL not in text:
                 try:
                     return quick.encode_ordinary(text)
-                except (KeyboardInterrupt, SystemExit):
-                    raise
-                except BaseException:  # the library's own panic isn't an Exception
-                    pass
+                except BaseException as e:  # the library's own panic isn't an Exception
+                    if type(e).__name__ != "PanicException" and not isinstance(e, ValueError):
+                        raise
             if "exact" not in held:  # few texts need it, and it is large
                 held["exact"] = Tokenizer.from_file(json_path)
             return held["exact"].encode(text, add_special_tokens=False).ids
@@ -108,14 +110,18 @@ def tokenize(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, end
 
 
 class Schedule:
-    """Deficit round-robin over queues of known length, in closed form."""
+    """Deficit round-robin over queues of known length and weight, in closed form."""
 
-    def __init__(self, totals: list[int], quantum: int, sequence_length: int):
+    def __init__(self, totals: list[int], quantum: int, sequence_length: int, weights: list[float] | None = None):
         self.totals, self.quantum, self.length = totals, quantum, sequence_length
         self.quanta = [-(-n // quantum) for n in totals]
-        self.most = max(self.quanta, default=1)
+        top = max(weights or [1])
+        #: What a round credits each queue with; a whole quantum costs ``most``.
+        self.credit = [max(1, round(w / top * SCALE)) for w in weights] if weights else self.quanta
+        self.most = max(self.credit, default=1)
         #: Products stay below 2**63, or whole numbers of any size are used.
-        self.kind = np.int64 if self.most < 2_000_000_000 else object
+        rounds = max((-(-q * self.most // c) for q, c in zip(self.quanta, self.credit, strict=True) if c), default=1)
+        self.kind = np.int64 if (rounds + 1) * self.most < 1 << 62 else object
         self.windows, rest = divmod(sum(totals), sequence_length)
         ends, at = [], self.windows * sequence_length
         while rest:
@@ -125,20 +131,20 @@ class Schedule:
         #: Ends of the sequences after the last full window.
         self.tail = np.array(ends, dtype=np.int64)
 
-    def position(self, queue: int, k: np.ndarray) -> np.ndarray:
-        """Where in the stream quanta ``k`` of a queue begin."""
+    def position(self, queue: int | np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Where in the stream quanta ``k`` of a queue (or of a queue each) begin."""
         k = k.astype(self.kind)
-        rounds = -((-(k + 1) * self.most) // self.quanta[queue])
+        own = np.array(self.credit, self.kind)[queue]
+        rounds = -((-(k + 1) * self.most) // own)
         place = k * self.quantum
-        for t, (n, q) in enumerate(zip(self.totals, self.quanta, strict=True)):
-            if t != queue:
-                served = (rounds if t < queue else rounds - 1) * q // self.most
-                place = place + np.minimum(served * self.quantum, n)
+        for t, (n, c) in enumerate(zip(self.totals, self.credit, strict=True)):
+            served = np.minimum((rounds - (t > queue)) * c // self.most * self.quantum, n)
+            place = place + np.where(queue == t, 0, served)
         return place.astype(np.int64)
 
     def deficits(self, rounds: int) -> list[float]:
-        """Tokens that each queue is owed after so many rounds: under one quantum each."""
-        return [(rounds * q % self.most) * self.quantum / self.most for q in self.quanta]
+        """Tokens that each queue is owed after so many rounds, while it lasts: under one quantum each."""
+        return [(rounds * c % self.most) * self.quantum / self.most for c in self.credit]
 
     def sequence(self, place: np.ndarray) -> np.ndarray:
         """The sequence that a place in the stream is in."""
@@ -156,10 +162,7 @@ class Schedule:
         count = last - first + 1
         doc = np.repeat(np.arange(len(start)), count)
         k = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
-        place = np.empty(len(doc), np.int64)
-        for s in np.unique(queue):
-            own = queue[doc] == s
-            place[own] = self.position(int(s), k[own])
+        place = self.position(queue[doc], k)
         a = np.maximum(start[doc], k * q)
         b = np.minimum(start[doc] + size[doc], (k + 1) * q)
         place = place + (a - k * q)
@@ -182,13 +185,17 @@ class Schedule:
         return doc, a + at - place, until - at, seq, at - since
 
 
-def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, sequence_length: int = 1024, quantum: int = 64, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, sequence_length: int = 1024, quantum: int = 64, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Mapping[str | None, float] | Sequence[float] | None = None) -> DataFrame:
     """Pack all documents into sequences: one row per piece.
 
+    ``weights``: the target of each source (1 where there is none), or numbers that
+    repeat over the sources in the order of code points, null last; above 0. Sources
+    beyond the MAX_QUEUES largest share a queue and the sum of their weights.
+
     Returns doc_id, source, start, length, doc_tokens, sequence_id, offset, ids
     (little-endian uint32). A document is its ids and ``end_id``; a null text is
     an empty one; a null source is a queue of its own; rows that repeat are packed
-    as often. An empty table gives no rows. Other columns are left out.
+    as often. An empty table gives no rows. Other columns are left out. Ids are below 65,536.
     """
     tokens = materialize(tokenize(docs, json_path, ranks_path, pattern, end_id, id_col, text_col, source_col), "tokens")
     id_type = tokens.schema["doc_id"].dataType.simpleString()
@@ -196,17 +203,27 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, sequenc
     by_source = parts.groupBy("source").agg(F.sum("n").alias("n"))
     # at most MAX_QUEUES rows reach the driver: names and lengths of the queues
     top = by_source.orderBy(F.desc("n"), F.asc_nulls_last("source")).limit(MAX_QUEUES).collect()
-    total = by_source.agg(F.sum("n")).first()[0] or 0
+    total, sources = by_source.agg(F.sum("n"), F.count("*")).first()
     named = sorted(((r["source"], r["n"]) for r in top), key=lambda x: (x[0] is None, x[0] or ""))
     totals = [n for _, n in named]
-    if total > sum(totals):
+    more = sources - len(named)
+    if more:
         totals.append(total - sum(totals))
+    own = None
+    if isinstance(weights, Mapping):
+        own = [float(weights.get(s, 1)) for s, _ in named]
+        rest = sum(float(w) for s, w in weights.items() if s not in {s for s, _ in named})
+        own += [max(rest, 1.0)] if more else []
+    elif weights:
+        own = [float(weights[i % len(weights)]) for i in range(len(named))] + [more * sum(weights) / len(weights)] * bool(more)
     queue_of = tokens.sparkSession.createDataFrame([(s, i) for i, (s, _) in enumerate(named)], "q_source string, queue int")
-    schedule = Schedule(totals, quantum, sequence_length)
-    base = (
-        parts.join(F.broadcast(queue_of), F.col("source").eqNullSafe(F.col("q_source")), "left")
-        .select(F.col("source").alias("b_source"), F.col("part").alias("b_part"), F.coalesce("queue", F.lit(len(named))).alias("queue"), (F.sum("n").over(Window.partitionBy("queue").orderBy("part", "source").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("base"))
-    )
+    schedule = Schedule(totals, quantum, sequence_length, own)
+    parts = parts.join(F.broadcast(queue_of), F.col("source").eqNullSafe(F.col("q_source")), "left").select("source", "part", F.coalesce("queue", F.lit(len(named))).alias("queue"), "n")
+    # where a task's tokens of a source begin in their queue: by task, then by source, so that no window holds more than the tasks or a task's sources
+    before = lambda w, *order: F.sum("n").over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    tasks = parts.groupBy("queue", "part").agg(F.sum("n").alias("n")).select(F.col("queue").alias("t_queue"), F.col("part").alias("t_part"), before(Window.partitionBy("queue"), "part").alias("t_base"))
+    base = parts.withColumn("base", before(Window.partitionBy("queue", "part"), "source")).join(tasks, (F.col("queue") == F.col("t_queue")) & (F.col("part") == F.col("t_part")))
+    base = base.select(F.col("source").alias("b_source"), F.col("part").alias("b_part"), "queue", (F.col("base") + F.col("t_base")).alias("base"))
     small = base.count() <= MAX_BROADCAST
     base = F.broadcast(base) if small else base
     placed = tokens.join(base, (F.col("part") == F.col("b_part")) & F.col("source").eqNullSafe(F.col("b_source"))).select("doc_id", "source", "queue", (F.col("base") + F.col("start")).alias("start"), "n", "ids")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
@@ -17,10 +17,10 @@ ARGS = (P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.lists(st.integers(1, 60), min_size=1, max_size=20), min_size=1, max_size=5), st.sampled_from([8, 32, 1024]), st.sampled_from([1, 4, 8]))
-def test_schedule(sizes, length, quantum):
+@given(st.lists(st.lists(st.integers(1, 60), min_size=1, max_size=20), min_size=1, max_size=5), st.sampled_from([8, 32, 1024]), st.sampled_from([1, 4, 8]), st.sampled_from([None, (5, 2, 1), (1, 0.001, 7)]))
+def test_schedule(sizes, length, quantum, weights):
     totals = [sum(x) for x in sizes]
-    s = packing.Schedule(totals, quantum, length)
+    s = packing.Schedule(totals, quantum, length, [weights[i % 3] for i in range(len(sizes))] if weights else None)
     queue = np.concatenate([[i] * len(x) for i, x in enumerate(sizes)])
     start, size = np.concatenate([np.cumsum(x) - x for x in sizes]), np.concatenate(sizes)
     doc, at, n, seq, off = s.pieces(queue, start, size)
@@ -38,24 +38,42 @@ def test_schedule(sizes, length, quantum):
         assert v == length if k < sum(totals) // length else v < length and v & (v - 1) == 0
 
 
-def test_schedule_is_deficit_round_robin():
-    """The closed form serves the queues as the loop with counters does."""
+@pytest.mark.parametrize("weights", [None, [3, 1, 2], [1, 1, 1]])
+def test_schedule_is_deficit_round_robin(weights):
+    """The closed form serves the queues as the loop with counters does, also when some are empty."""
     totals, quantum = [50, 7, 23], 4
-    s = packing.Schedule(totals, quantum, 16)
+    s = packing.Schedule(totals, quantum, 16, weights)
     left, credit, place, want = list(s.quanta), [0] * 3, 0, {}
-    for _ in range(s.most):
+    while any(left):
         for q in range(3):
-            credit[q] += s.quanta[q]
+            credit[q] += s.credit[q]
             if credit[q] >= s.most:  # a quantum's worth
                 credit[q] -= s.most
                 k = s.quanta[q] - left[q]
-                want[q, k] = place
-                place += min(quantum, totals[q] - k * quantum)
-                left[q] -= 1
-    assert not any(left) and place == sum(totals)
+                if left[q]:
+                    want[q, k] = place
+                    place += min(quantum, totals[q] - k * quantum)
+                    left[q] -= 1
+    assert place == sum(totals)
     for q in range(3):
         assert s.position(q, np.arange(s.quanta[q])).tolist() == [want[q, k] for k in range(s.quanta[q])]
-    assert all(0 <= d < quantum for r in range(s.most) for d in s.deficits(r))
+    assert all(0 <= d < quantum for r in range(s.most if s.most < 100 else 9) for d in s.deficits(r))
+
+
+def test_windows_hold_the_targets(spark):
+    """Every window of all that lasts is within two quanta of each source's target, over task borders too."""
+    text = " ".join(["word"] * 300)
+    rows = [(i, text, f"s{i % 3}") for i in range(120)] + [(1000 + i, text, "s0") for i in range(200)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5), *ARGS, quantum=16, weights={"s0": 5, "s1": 2, "s2": 1}).collect()
+    held, total = defaultdict(Counter), Counter()
+    for r in got:
+        held[r["sequence_id"]][r["source"]] += r["length"]
+        total[r["source"]] += r["length"]
+    lasts = int(min(total[s] / w for s, w in (("s0", 5), ("s1", 2), ("s2", 1))) * 8 // 1024) - 1
+    assert lasts >= 10
+    for i in range(lasts):
+        assert all(abs(held[i][s] - 1024 * w / 8) <= 32 for s, w in (("s0", 5), ("s1", 2), ("s2", 1)))
+    assert held[max(held)].keys() <= total.keys() and sum(total.values()) == len(rows) * 301
 
 
 def test_wide_numbers():
@@ -91,10 +109,10 @@ def test_nothing(none):
     assert packing.pack(none, *ARGS).collect() == []
 
 
-@pytest.mark.parametrize("most", [1, 2])
-def test_further_sources_share_a_queue(docs, monkeypatch, most):
+@pytest.mark.parametrize("most,weights", [(1, None), (2, (5, 2, 1)), (2, {"s1": 3, "s2": 2})])
+def test_further_sources_share_a_queue(docs, monkeypatch, most, weights):
     monkeypatch.setattr(packing, "MAX_QUEUES", most)
-    got = packing.pack(docs, *ARGS, sequence_length=128, quantum=16).collect()
+    got = packing.pack(docs, *ARGS, sequence_length=128, quantum=16, weights=weights).collect()
     ends = Counter()
     for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
         assert r["offset"] == ends[r["sequence_id"]]
