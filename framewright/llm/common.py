@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Only where it is unset (tests on one machine) one is made."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, one is made in local mode only; a cluster must name its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="spark-shared-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
@@ -48,6 +50,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def crc_fold(id_col: str | Column, mod: int) -> Column:
-    """crc32 of the id's decimal text, modulo mod."""
+    """crc32 of the id's decimal text, modulo mod. A null id counts as the empty text: 0."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col
-    return F.crc32(c.cast("string").cast("binary")) % mod
+    return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % mod

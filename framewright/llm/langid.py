@@ -5,7 +5,9 @@ from any place of a new text. A text is parsed greedily into such matches; the
 language that needs the fewest phrases, each weighed by the bits that name a place
 in the training text, wins. Only the number of phrases counts, so the automaton is
 laid out as one table whose steps also tell whether a phrase ended, and many
-stretches of text take their steps together.
+stretches of text take their steps together: each first as if a phrase began with
+it, and then from where the stretch before ended, until both are in one state. So
+the count is that of the whole text.
 """
 
 from __future__ import annotations
@@ -21,8 +23,10 @@ from pyspark.sql import functions as F
 
 #: The training text of a language is a sample of its labelled rows of at most so many characters.
 TRAIN_CHARS = 24_000
-#: Longest stretch that is parsed by itself; each stretch of a text ends its last phrase.
+#: Letters that many stretches take in step.
 STRETCH = 512
+#: An automaton of more states times letters is kept as a sorted list of its edges instead of a table.
+DENSE = 6_000_000
 UNKNOWN = "und"
 #: Bits of a hash that a level tells apart, and texts that the last range of a sample may hold.
 _LEVEL_BITS, _RANGE_TEXTS = 12, 64
@@ -36,7 +40,7 @@ def _any(conditions: Iterable[Column]) -> Column:
 
 
 def training_text(docs: DataFrame, labelled: Column, train_chars: int = TRAIN_CHARS, seed: int = 9, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, str]:
-    """lang -> sample of labelled texts, cut at ``train_chars``.
+    """lang -> sample of labelled texts of ``train_chars`` characters in all; of a longer text, that many from a place that follows from its hash.
 
     Of each language the different texts of the smallest hashes are taken until
     they fill ``train_chars``, so that every language is learned, copies count once
@@ -45,7 +49,9 @@ def training_text(docs: DataFrame, labelled: Column, train_chars: int = TRAIN_CH
     before; what reaches the driver is bounded for each language.
     """
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(labelled & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select("lang", F.substring("text", 1, train_chars).alias("text"), F.shiftrightunsigned(F.xxhash64("text", F.lit(seed)), 1).alias("h"))
+    rows = rows.select("lang", "text", F.shiftrightunsigned(F.xxhash64("text", F.lit(seed)), 1).alias("h"))
+    at = F.pmod("h", F.greatest(F.length("text") - train_chars + 1, F.lit(1))).cast("int") + 1
+    rows = rows.select("lang", F.substring(F.col("text"), at, F.lit(train_chars)).alias("text"), "h")
     each = rows.groupBy("lang", "h").agg(F.min(F.length("text")).alias("n"))
     upto: dict[str, int] = {}  # hash up to which a language's texts are taken
     open_: dict[str, tuple[int, int]] = {}  # where a language's range starts, and the characters before it
@@ -88,42 +94,57 @@ def _is_letter() -> np.ndarray:
     return _models["letter"]
 
 
-def automaton(code: list[int], size: int) -> np.ndarray:
-    """Table of the suffix automaton's steps: twice the next row's offset, plus one where a phrase ended. Code 0 stands still."""
-    step: list[dict] = [{}]
-    link, length, last = [-1], [0], 0
-    for c in code:
-        cur = len(step)
-        step.append({})
-        length.append(length[last] + 1)
-        link.append(0)
-        p = last
-        while p >= 0 and c not in step[p]:
-            step[p][c] = cur
-            p = link[p]
-        if p >= 0:
-            q = step[p][c]
-            if length[p] + 1 == length[q]:
-                link[cur] = q
-            else:
-                clone = len(step)
-                step.append(dict(step[q]))
-                length.append(length[p] + 1)
-                link.append(link[q])
-                while p >= 0 and step[p].get(c) == q:
-                    step[p][c] = clone
-                    p = link[p]
-                link[q] = link[cur] = clone
-        last = cur
-    again = np.ones(size, np.int32)  # a letter not in the text ends the phrase that it follows
-    for c, to in step[0].items():
-        again[c] = 2 * to * size + 1
-    table = np.tile(again, (len(step), 1))
-    table[:, 0] = 2 * size * np.arange(len(step))
-    for s, row in enumerate(step):
-        for c, to in row.items():
-            table[s, c] = 2 * to * size
-    return table.ravel()
+class Automaton:
+    """A suffix automaton's steps: twice the next state's number times ``size``, plus one where a phrase ended."""
+
+    def __init__(self, code: list[int], size: int):
+        step: list[dict] = [{}]
+        link, length, last = [-1], [0], 0
+        for c in code:
+            cur = len(step)
+            step.append({})
+            length.append(length[last] + 1)
+            link.append(0)
+            p = last
+            while p >= 0 and c not in step[p]:
+                step[p][c] = cur
+                p = link[p]
+            if p >= 0:
+                q = step[p][c]
+                if length[p] + 1 == length[q]:
+                    link[cur] = q
+                else:
+                    clone = len(step)
+                    step.append(dict(step[q]))
+                    length.append(length[p] + 1)
+                    link.append(link[q])
+                    while p >= 0 and step[p].get(c) == q:
+                        step[p][c] = clone
+                        p = link[p]
+                    link[q] = link[cur] = clone
+            last = cur
+        #: A letter that doesn't go on begins the next phrase; one that the text has not ends the phrase that it follows.
+        self.again = np.ones(size, np.int64)
+        for c, to in step[0].items():
+            self.again[c] = 2 * to * size + 1
+        self.table = None
+        if len(step) * size <= DENSE:
+            table = np.tile(self.again.astype(np.int32), (len(step), 1))
+            for s, row in enumerate(step):
+                for c, to in row.items():
+                    table[s, c] = 2 * to * size
+            self.table = table.ravel()
+        else:
+            edges = sorted((s * size + c, 2 * to * size) for s, row in enumerate(step) for c, to in row.items())
+            self.keys, self.to = (np.array(x, np.int64) for x in zip(*edges, strict=True))
+            self.size = size
+
+    def step(self, at: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        key = at + letter
+        if self.table is not None:
+            return self.table[key]
+        i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[i] == key, self.to[i], self.again[letter])
 
 
 class Model:
@@ -133,14 +154,14 @@ class Model:
         self.langs = sorted(texts)
         codes = [letters(texts[x]) for x in self.langs]
         known = np.unique(np.concatenate([np.array([32]), *codes]))
-        self.size = len(known) + 2  # 0 stands still, the last is any other letter
-        self.code = np.full(0x110000, self.size - 1, np.int16)
-        self.code[known] = np.arange(1, len(known) + 1)
-        self.tables = [automaton(self.code[x].tolist(), self.size) for x in codes]
+        self.size = len(known) + 1  # the last is any other letter
+        self.code = np.full(0x110000, self.size - 1, np.int32)
+        self.code[known] = np.arange(len(known))
+        self.machines = [Automaton(self.code[x].tolist(), self.size) for x in codes]
         self.bits = np.array([np.log2(max(2, len(x))) for x in codes])
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases [text, language], and the letters of each text."""
+        """Phrases [text, language] of whole texts, and the letters of each text."""
         each = [self.code[letters(x)] for x in texts]
         size = np.array([len(x) for x in each], np.int64)
         count = -(-size // STRETCH)
@@ -148,27 +169,58 @@ class Model:
         owner = np.repeat(np.arange(len(each)), count)
         if not len(owner):
             return total, size
-        left = np.repeat(size, count) - STRETCH * (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count))
-        length = np.minimum(left, STRETCH)
+        turn = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        length = np.minimum(np.repeat(size, count) - STRETCH * turn, STRETCH)
         order = np.argsort(-length, kind="stable")
         flat, begin = np.concatenate(each), np.cumsum(length) - length
-        grid = np.zeros((STRETCH, len(owner)), np.int16)  # one column each, the longest first
+        grid = np.zeros((STRETCH, len(owner)), np.int32)  # one column each, the longest first
         pos = np.arange(len(flat)) - np.repeat(begin, length)
         rank = np.empty(len(owner), np.int64)
         rank[order] = np.arange(len(owner))
         grid[pos, np.repeat(rank, length)] = flat
         alive = np.searchsorted(-length[order], -np.arange(STRETCH), side="left")
-        for j, table in enumerate(self.tables):
-            at, n = np.zeros(len(owner), np.int32), np.zeros(len(owner), np.int32)
-            for row, m in zip(grid, alive, strict=True):
+        follows = turn > 0
+        for j, machine in enumerate(self.machines):
+            at, n = np.zeros(len(owner), np.int64), np.zeros(len(owner), np.int32)
+            states, counts = np.zeros((STRETCH, len(owner)), np.int32 if machine.table is not None else np.int64), np.zeros((STRETCH, len(owner)), np.int16)
+            for i, m in enumerate(alive):
                 if not m:
                     break
-                to = table[at[:m] + row[:m]]
+                to = machine.step(at[:m], grid[i, :m])
                 n[:m] += to & 1
                 at[:m] = to >> 1
-            np.add.at(total[:, j], owner, (n + (at != 0))[rank])
+                states[i], counts[i] = at, n
+            end, n = at[rank], n[rank]  # from here on in the order of the text
+            base, took = n.copy(), np.zeros(len(owner), np.int64)  # took: the state with which a stretch was last begun
+            while True:
+                start = np.where(follows, np.append(0, end[:-1]), 0)
+                now = np.flatnonzero(start != took)
+                if not len(now):
+                    break
+                took[now] = start[now]
+                self._redo(machine, grid, states, counts, now, rank[now], length[now], start[now], base, n, end, at[rank])
+            np.add.at(total[:, j], owner, n)
+            last = np.append(owner[1:] != owner[:-1], True)
+            total[owner[last], j] += end[last] != 0
         return total, size
 
+    @staticmethod
+    def _redo(machine: Automaton, grid: np.ndarray, states: np.ndarray, counts: np.ndarray, own: np.ndarray, column: np.ndarray, length: np.ndarray, at: np.ndarray, base: np.ndarray, n: np.ndarray, end: np.ndarray, ends: np.ndarray) -> None:
+        """Stretches ``own`` again from the states ``at``, until they meet their first run; sets their phrases and ends."""
+        got = np.zeros(len(own), np.int64)
+        for i in range(STRETCH):
+            to = machine.step(at, grid[i, column])
+            got, at = got + (to & 1), to >> 1
+            met = at == states[i, column]
+            done = met | (length == i + 1)
+            if done.any():
+                k = own[done]
+                n[k] = np.where(met[done], base[k] + got[done] - counts[i, column[done]], got[done])
+                end[k] = np.where(met[done], ends[k], at[done])
+                own, column, length, at, got = (x[~done] for x in (own, column, length, at, got))
+            if not len(own):
+                return
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and bits a letter of each text; a null text or one without a letter is unknown with score 0."""
         texts = [x or "" for x in texts]

@@ -5,12 +5,15 @@ each character; dynamic programming keeps the best score and the number of piece
 up to it. Rules are the tokenizer's own: scores add up in double precision, of
 equal scores the piece that begins first wins, and a character that is no piece by
 itself may also be unknown, at ten below the lowest score, and counts as its UTF-8
-bytes. Text is cut before each space, and a word's count is kept, so that words
+bytes. Spaces become their own mark, and one comes first. No piece has that mark
+behind another character, so texts are cut there, and the count of each cut is kept: words
 that recur are counted once in a worker.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -19,17 +22,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE, PENALTY = "▁", 10.0
-#: Words whose counts a worker keeps.
-KEPT = 400_000
+#: Words whose counts a worker keeps, by characters in all (50 more for each), and the longest of them.
+KEPT, LONGEST = 40_000_000, 200
+_RUN = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _counters: dict = {}
 
 
 def vocabulary(model_path: str) -> list[tuple[str, float]]:
-    """(piece, score) of a sentencepiece model file."""
+    """(piece, score) of a sentencepiece model file as a unigram vocabulary.
+
+    Control, unknown, unused and byte pieces are no pieces of text and left out. The
+    scores of a merge vocabulary are ranks (0, -1, -2, ...); a piece's score is then the logarithm of a
+    share that falls with its rank, -log(rank + 2). Pieces that the model scores out of
+    reach (runs of spaces) come last in rank.
+    """
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
-    return [(sp.id_to_piece(i), sp.get_score(i)) for i in range(sp.get_piece_size())]
+    own = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i))]
+    scores = {i: sp.get_score(i) for i in own}
+    ranked = [s for s in scores.values() if s > -1e8]
+    if ranked and all(s == round(s) for s in ranked):
+        last = max(-s for s in ranked) + 1
+        scores = {i: -math.log(min(-s, last) + 2) for i, s in scores.items()}
+    return [(sp.id_to_piece(i), scores[i]) for i in own]
 
 
 class Counter(dict):
@@ -37,16 +53,22 @@ class Counter(dict):
 
     def __init__(self, vocab: list[tuple[str, float]]):
         super().__init__()
-        self.machine = ahocorasick.Automaton()
+        self.machine, self.held = ahocorasick.Automaton(), 0
         for piece, score in vocab:
             self.machine.add_word(piece, (len(piece), score))
         self.machine.make_automaton()
         self.unknown = min(s for _, s in vocab) - PENALTY
+        #: Whether no piece goes over the place before a mark.
+        self.cut = not any(x != SPACE and y == SPACE for piece, _ in vocab for x, y in zip(piece, piece[1:], strict=False))
 
     def __missing__(self, word: str) -> tuple[int, float]:
-        if len(self) >= KEPT:
-            self.clear()
-        found = self[word] = self.count(word)
+        found = self.count(word)
+        if len(word) <= LONGEST:
+            self.held += len(word) + 50
+            if self.held > KEPT:
+                self.clear()
+                self.held = len(word)
+            self[word] = found
         return found
 
     def count(self, word: str) -> tuple[int, float]:
@@ -83,10 +105,9 @@ class Counter(dict):
         """Pieces and score of a text."""
         if not text:
             return 0, 0.0
-        words = text.replace(SPACE, " ").split(" ")
-        if not words[0]:
-            del words[0]
-        got = [self[SPACE + w] for w in words]
+        text = text.replace(" ", SPACE)
+        text = text if text[0] == SPACE else SPACE + text
+        got = [self[w] for w in _RUN.findall(text)] if self.cut else [self.count(text)]
         return sum(n for n, _ in got), sum(s for _, s in got)
 
 

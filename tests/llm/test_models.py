@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -21,21 +22,34 @@ SF = "/root/testdata/sf0.01"
 
 
 def plain_phrases(text: str, train: str) -> int:
-    known, code, n = "".join(map(chr, langid.letters(train))), "".join(map(chr, langid.letters(text))), 0
-    for k in range(0, len(code), langid.STRETCH):
-        part, i = code[k : k + langid.STRETCH], 0
-        while i < len(part):
-            j = i
-            while j < len(part) and part[i : j + 1] in known:
-                j += 1
-            i = j + (j < len(part) and part[j] not in known)
-            n += 1
+    known, code, n, i = "".join(map(chr, langid.letters(train))), "".join(map(chr, langid.letters(text))), 0, 0
+    while i < len(code):
+        j = i
+        while j < len(code) and code[i : j + 1] in known:
+            j += 1
+        i = j + (j < len(code) and code[j] not in known)
+        n += 1
     return n
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.text("abc dé", min_size=1, max_size=80), st.text("abcé xz", max_size=60))
-def test_phrases(train, text):
+@settings(max_examples=60, deadline=None)
+@given(st.text("abc dé", min_size=1, max_size=80), st.text("abcé xz", max_size=60), st.sampled_from([1, 2, 3, 7, 512]), st.sampled_from([0, 10**7]))
+def test_phrases(train, text, stretch, dense):
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(langid, "STRETCH", stretch)
+        m.setattr(langid, "DENSE", dense)
+        _phrases(train, text)
+
+
+def test_a_large_alphabet_has_no_table():
+    train = "".join(chr(0x4E00 + i * 7 % 2600) for i in range(9000))
+    m = langid.Model({"zh": train, "en": "the cat sat"})
+    assert m.machines[1].table is None and m.machines[0].table is not None
+    n, _ = m.phrases([train[100:900] + "the cat", "the cat sat"])
+    assert n[0, 1] == plain_phrases(train[100:900] + "the cat", train) and n[1, 0] == 1
+
+
+def _phrases(train, text):
     m = langid.Model({"x": train, "y": "a"})
     n, size = m.phrases([text, "", text * 30])
     assert n[0].tolist() == [plain_phrases(text, train), plain_phrases(text, "a")]
@@ -117,35 +131,80 @@ def test_held_out_quality(spark):
 
 # ---- token counts
 
-VOCAB = [("<unk>", 0.0), ("▁", -3.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("▁a", -2.0), ("ba", -2.0), ("aba", -3.0), ("▁ab", -4.0), ("bb", -1.5)]
+VOCAB = [("▁", -3.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("▁a", -2.0), ("ba", -2.0), ("aba", -3.0), ("▁ab", -4.0), ("bb", -1.5), ("▁▁▁", -4.0)]
+NONE = "\U0010fffd"
+
+
+def plain_count(tok, text):
+    """Pieces of the tokenizer; an unknown stretch, which is number 0, counts as its bytes."""
+    got = tok.encode(text, add_special_tokens=False)
+    return sum(1 if i else len(piece.encode()) for i, piece in zip(got.ids, got.tokens, strict=True))
 
 
 def unigram(vocab):
-    tok = Tokenizer(models.Unigram(vocab, 0, True))
-    tok.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always")
-    tok.encode_special_tokens = True
+    tok = Tokenizer(models.Unigram([(NONE, 0.0), *vocab], 0, False))
+    tok.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=False)
     return tok
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text("ab ▁", max_size=24))
+@given(st.text("ab ▁x", max_size=24))
 def test_ties_follow_the_tokenizer(text):
-    tok = unigram(VOCAB)
-    assert token_counts.Counter(VOCAB).text(text)[0] == len(tok.encode(text).ids)
+    assert token_counts.Counter(VOCAB).text(text)[0] == plain_count(unigram(VOCAB), text)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("ab ", max_size=24))
+def test_pieces_over_words(text):
+    vocab = [*VOCAB, ("a▁b", -0.5)]
+    assert token_counts.Counter(vocab).text(text)[0] == plain_count(unigram(vocab), text)
 
 
 def test_counts_of_a_large_vocabulary(docs, none, rows, spark):
     path = P.path("piece_bpe_32k.model")
-    tok = unigram(token_counts.vocabulary(path))
+    vocab = token_counts.vocabulary(path)
+    assert not {"<s>", "<unk>", "<0x0A>"} & {p for p, _ in vocab} and min(s for _, s in vocab) > -11
+    tok = unigram(vocab)
     got = token_counts.count_tokens(docs, path).select("doc_id", "text", "n_tokens").collect()
     assert len(got) == len(rows)
     for r in got:
-        assert r["n_tokens"] == len(tok.encode(r["text"] or "", add_special_tokens=False).ids)
+        assert r["n_tokens"] == plain_count(tok, r["text"] or "")
     assert token_counts.count_tokens(none, path).collect() == []
     rng, count = random.Random(1), token_counts.counter(path)
     for _ in range(500):
-        t = "".join(rng.choice("abcdeé日 \n<s>01▁") for _ in range(rng.randint(1, 40)))
-        assert count.text(t)[0] == len(tok.encode(t, add_special_tokens=False).ids)
+        t = "".join(rng.choice(["a", "b", "c", "de", "é", "日", " ", "  ", "     ", "\n", "<s>", "<0x0A>", "0", "1", "▁", "𠮷"]) for _ in range(rng.randint(1, 40)))
+        assert count.text(t)[0] == plain_count(tok, t)
+    assert [count.text(t)[0] for t in ("x<s>y", "x<0x0A>y", "a    b", "tokenization of words", "𠮷" * 3)] == [5, 8, 3, 4, 13]
+
+
+def test_counts_are_near_those_of_the_merges(spark):
+    """The same vocabulary read as merges by its own library."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(300).collect()]
+    own = token_counts.counter(P.path("piece_bpe_32k.model"))
+    ours, theirs = sum(own.text(t)[0] for t in texts), sum(len(sp.encode(t)) for t in texts)
+    assert abs(ours / theirs - 1) < 0.08, (ours, theirs)
+
+
+def test_what_a_worker_keeps_is_bounded(monkeypatch):
+    monkeypatch.setattr(token_counts, "KEPT", 1000)
+    own = token_counts.Counter(VOCAB)
+    for i in range(300):
+        own.text(f"ab{'b' * (i % 40)} {'a' * 500}")
+    assert own.held <= 1100 and max(map(len, own)) <= token_counts.LONGEST
+
+
+def test_null_ids_have_a_fold(spark, tmp_path):
+    """A null doc_id counts as the empty text, whose crc32 is 0: held out by op3, learned from by op9."""
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    rows = [(None, "the cat and the dog", "en", "s", 1), (1, "der Hund und die Katze", "de", "s", 1), (2, None, None, None, None)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (None, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for query, mod, hit in ((queries.op3_quality, 5, 0), (queries.op9_cross_parsing, 3, 1)):
+        got = {r["doc_id"]: r["held_out"] for r in query(spark, str(tmp_path)).collect()}
+        assert got == {i: zlib.crc32(str(i).encode() if i is not None else b"") % mod == hit for i in (None, 1, 2)}
 
 
 def test_folds(spark):
