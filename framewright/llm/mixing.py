@@ -1,8 +1,9 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Per source, the histogram of exact document sizes says all that the fit needs: a
-proportional share of every size comes first, and bounded-knapsack dynamic
-programming over the sizes that are left fills the rest of the budget. Which
+proportional share of every size comes first, what is left over at one size being carried to the next
+smaller one, up to twice the longest document below the budget; bounded-knapsack
+dynamic programming over the documents that are left fills the rest. Which
 documents of a size are taken follows from a seeded hash.
 """
 
@@ -17,8 +18,10 @@ from .common import materialize
 
 #: Words are runs of anything but these six characters.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Sizes above the budget that the table covers are first taken one by one, the largest first.
-TABLE = 65_536
+#: A source of so many documents at most may be fitted as a whole, without a share that comes first.
+FEW = 64
+#: A table of so many sources is broadcast; beyond, it is joined by shuffle.
+SMALL = 50_000
 #: Documents of one size are counted by so many ranges of their hash.
 SLOTS = 1024
 
@@ -43,18 +46,14 @@ def knapsack(size: np.ndarray, count: np.ndarray, budget: int) -> np.ndarray:
     """How many of each size to take, so that the sum is the largest that is no more than the budget."""
     took = np.zeros(len(size), np.int64)
     order = np.argsort(-size, kind="stable")
-    for i in order:  # whole steps towards a budget that the table holds
-        if budget > TABLE and size[i] > 0:
-            took[i] = min(count[i], max(0, (budget - TABLE) // int(size[i]) + 1), budget // int(size[i]))
-            budget -= int(took[i] * size[i])
-    budget = int(min(budget, TABLE))
-    last = np.full(budget + 1, -1, np.int64)  # the size that reached a sum first
+    budget = int(min(budget, (size * count).sum()))
+    last = np.full(budget + 1, -1, np.int32)  # the size that reached a sum first
     last[0] = len(size)
     for i in order:
-        left, s = int(count[i] - took[i]), int(size[i])
+        left, s = int(count[i]), int(size[i])
         if not 0 < s <= budget or left <= 0:
             continue
-        used = np.zeros(budget + 1, np.int64)
+        used = np.zeros(budget + 1, np.int32)
         for low in range(s, budget + 1, s):  # sums that one more of this size reaches, one stride at a time
             now = slice(low, min(low + s, budget + 1))
             back = slice(low - s, low - s + now.stop - now.start)
@@ -83,22 +82,54 @@ def fit(size: np.ndarray, count: np.ndarray, target: float, most: int = 3) -> np
         return np.zeros(len(size), np.int64)
     rounds, rest = divmod(round(target), total)
     rounds = min(rounds, most)
-    left = count if rounds < most else np.zeros_like(count)
+    copies = rounds * count
     aim = max(0, rest - 2 * int(size.max()))  # leaves the fit some choice
-    share = np.array([int(c) * aim // total for c in left], np.int64)
-    copies = rounds * count + np.where(size > 0, share, 0)
+    if rounds < most and aim:
+        due = 0  # words of the share so far, times total
+        for i in np.argsort(-size, kind="stable"):
+            if size[i] > 0:
+                due += int(size[i]) * int(count[i]) * aim
+                n = min(int(count[i]), due // (total * int(size[i])))
+                copies[i] += n
+                due -= n * int(size[i]) * total
     for limit in ((rounds + 1) * count, most * count):
         gap = round(target) - int((copies * size).sum())
         if gap > 0:
             copies = copies + knapsack(size, np.where(size > 0, np.minimum(limit, most * count) - copies, 0), gap)
     gap = round(target) - int((copies * size).sum())
-    if gap > 0 and size.max(initial=0) > gap:  # few documents: one round fewer for all, and a free choice of the rest
+    if gap > 0 and count.sum() <= FEW:  # one round fewer for all, and a free choice of the rest
         base = max(rounds - 1, 0) * count
         other = base + knapsack(size, np.where(size > 0, most * count - base, 0), round(target) - int((base * size).sum()))
         copies = other if (other * size).sum() > (copies * size).sum() else copies
     return np.where(size > 0, copies, 0)
 
 
+def source_targets(by_source: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0) -> DataFrame:
+    """(src, source_size, target) of (src, source_size), as targets() has them, for any number of sources.
+
+    Sources are ranked by ranges of their order; who is held at ``most`` times its
+    size follows from the words a weight of 1 gets, which a few sums settle.
+    """
+    n = int(by_source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(by_source.repartitionByRange(n, "src").withColumn("part", F.spark_partition_id()), "ranged")
+    ends = ranged.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()  # one row a range
+    before = np.cumsum([0] + [r["n"] for r in ends])[:-1].tolist() if ends else []
+    base = F.create_map(*[F.lit(x) for r, b in zip(ends, before, strict=True) for x in (r["part"], b)]) if ends else F.create_map(F.lit(0), F.lit(0))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("src")) - 1 + F.element_at(base, F.col("part"))
+    ranked = ranged.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(rank, F.lit(len(weights))) + 1).cast("int"))).select("src", "source_size", "w")
+    ranked = materialize(ranked, "ranked")
+    high, share = most * F.col("source_size"), None
+    while True:
+        free = F.lit(True) if share is None else F.lit(share) * F.col("w") <= high
+        total, held, w = ranked.agg(F.sum(F.col("source_size").cast("double")), F.sum(F.when(free, F.lit(0.0)).otherwise(high)), F.sum(F.when(free, F.col("w")))).first()
+        now = ((total or 0.0) - (held or 0.0)) / w if w else share
+        if not w or (share is not None and now <= share * (1 + 1e-12)):  # it only grows
+            break
+        share = now
+    share = F.lit(share if share is not None else 0.0) * F.col("w")
+    return ranked.select("src", "source_size", F.least(share, high.cast("double")).alias("target"))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seed: int = 10, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """All columns of docs, and size, source_size, target, times (how often the mix takes the row) and taken (its words).
 
@@ -116,9 +147,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3
     rows = materialize(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("src"), size.alias("size"), rank.alias("rank"), slot.alias("slot"), F.col(f"`{text_col}`").alias("text")).select("id", "src", "size", "rank", "slot", F.xxhash64("text").alias("text_hash")), "sizes")
     rows = rows.withColumn("src", F.struct(F.col("src").isNull().alias("none"), F.coalesce("src", F.lit("")).alias("name")))
     slots = materialize(rows.groupBy("src", "size", "slot").agg(F.count("*").alias("n")), "slots")
-    by_source = slots.groupBy("src").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size")).orderBy("src").collect()
-    goal = targets([(r["src"]["name"], r["source_size"]) for r in by_source], weights, most)
-    plan = docs.sparkSession.createDataFrame([(r["src"], r["source_size"], t) for r, t in zip(by_source, goal, strict=True)], "src struct<none:boolean,name:string>, source_size long, target double")
+    plan = materialize(source_targets(slots.groupBy("src").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size")), weights, most), "targets")
+    hint = F.broadcast if plan.count() <= SMALL else (lambda x: x)
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("size")
@@ -126,7 +156,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3
         return pd.DataFrame({"none": group["none"], "name": group["name"], "size": group["size"], "source_size": group["source_size"], "target": group["target"], "rounds": rounds, "extra": extra})
 
     # one row for each source and size: no group is larger than the number of different sizes
-    sizes = slots.groupBy("src", "size").agg(F.sum("n").alias("n")).join(F.broadcast(plan), "src").select("src.none", "src.name", "size", "n", "source_size", "target")
+    sizes = slots.groupBy("src", "size").agg(F.sum("n").alias("n")).join(hint(plan), "src").select("src.none", "src.name", "size", "n", "source_size", "target")
     fits = sizes.groupBy("none", "name").applyInPandas(one, "none boolean, name string, size long, source_size long, target double, rounds long, extra long")
     fits = materialize(fits.select(F.struct("none", "name").alias("src"), "size", "source_size", "target", "rounds", "extra"), "fits")
     # of the documents of a size that are taken once more than the others, whole hash slots go first; in the slot where they end, rows are ranked

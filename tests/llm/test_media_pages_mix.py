@@ -256,11 +256,26 @@ def test_knapsack(sizes, budget):
     assert (took * size).sum() == best
 
 
-def test_knapsack_beyond_its_table(monkeypatch):
-    monkeypatch.setattr(mixing, "TABLE", 50)
-    size, count = np.array([3, 7, 20]), np.array([40, 40, 40])
-    took = mixing.knapsack(size, count, 611)
-    assert (took <= count).all() and (took * size).sum() == 611
+def test_large_budgets_are_met():
+    """Beyond any table of 65,536 sums: a share first, then the fit, without a greedy part."""
+    rng = np.random.default_rng(6)
+    size = np.unique(np.append(rng.integers(5, 4000, 900), [70_001, 90_000]))
+    count = rng.integers(1, 60, len(size))
+    total = int((size * count).sum())
+    for target in (total // 3, total // 2 + 1, int(1.7 * total), int(2.9 * total)):
+        copies = mixing.fit(size, count, target)
+        assert (copies >= 0).all() and (copies <= 3 * count).all() and (copies * size).sum() == target
+        share = copies / count
+        assert np.abs(share.mean() - target / total) < 0.1, "every size has its share"
+    took = mixing.knapsack(np.array([3, 7, 20]), np.array([40, 40, 40]), 611)
+    assert (took <= 40).all() and (took * np.array([3, 7, 20])).sum() == 611
+
+
+@pytest.mark.parametrize("sizes", [[("a", 100), ("b", 1000), ("c", 10)], [("a", 10), ("b", 10), ("c", 10), (None, 10)], [("a", 0), ("b", 0)], [(f"s{i:03}", 7 * i % 50) for i in range(300)], []])
+def test_targets_of_any_number_of_sources(spark, sizes):
+    rows = [((s is None, s or ""), n) for s, n in sizes]
+    got = mixing.source_targets(spark.createDataFrame(rows, "src struct<none:boolean,name:string>, source_size long")).orderBy("src").collect()
+    assert [r["target"] for r in got] == pytest.approx(mixing.targets(sizes))
 
 
 def test_targets():
