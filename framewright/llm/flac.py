@@ -567,6 +567,14 @@ def pcm_blocks(df: DataFrame, keys: list[str], samples: int = BLOCK * SEEK, deco
     return rows.select(*keys, "block", first.alias("first_sample"), n.cast("int").alias("n_samples"), F.substring(F.col("_d.pcm"), (first * F.col("_step") + 1).cast("int"), (n * F.col("_step")).cast("int")).alias("pcm"))
 
 
+def block_index(decoded: str = "decoded"):
+    """For each seek point of a decoded stream of one channel and 8 bits the PCM block from it to the next: its first sample, samples, the byte of its frame in the stream, and the crc32 of its PCM."""
+    points, samples = F.col(f"{decoded}.seek"), F.col(f"{decoded}.samples")
+    until = lambda i: F.coalesce(F.get(points, i + 1)["sample"], samples)
+    block = lambda x, i: F.struct(x["sample"].alias("first_sample"), (until(i) - x["sample"]).alias("n_samples"), x["byte"].alias("frame_byte"), F.crc32(F.substring(F.col(f"{decoded}.pcm"), (x["sample"] + 1).cast("int"), (until(i) - x["sample"]).cast("int"))).alias("pcm_crc32"))
+    return F.transform(points, block)
+
+
 def padded(text_col: str = "text", block: int = BLOCK):
     """A text's UTF-8 bytes, followed by bytes 255 up to a positive multiple of the block; null as an empty text."""
     raw = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "utf-8")

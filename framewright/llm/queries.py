@@ -56,18 +56,19 @@ def op7_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), flac.padded("text").alias("payload"))
     back = flac.read_column(flac.write_column(rows).drop("payload"))
     pcm = F.col("decoded.pcm")
-    return back.select("doc_id", "n_bytes", F.octet_length(pcm).cast("long").alias("payload_bytes"), F.sha2(pcm, 256).alias("payload_sha256"), F.crc32(F.substring(pcm, -32, 32)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), F.col("decoded.feature").alias("feature"))
+    return back.select("doc_id", "n_bytes", F.octet_length(pcm).cast("long").alias("payload_bytes"), F.sha2(pcm, 256).alias("payload_sha256"), F.crc32(F.substring(pcm, -32, 32)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), F.col("decoded.feature").alias("feature"), flac.block_index("decoded").alias("blocks"))
 
 
 def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and how alike they and the next document's are."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = spotsigs.with_next(spotsigs.with_signatures(docs, "text", "sigs"), "doc_id", ["text", "sigs"], tie="text")
+    anchors = spotsigs.common_words(docs)
+    docs = spotsigs.with_next(spotsigs.with_signatures(docs, "text", "sigs", anchors), "doc_id", ["text", "sigs"], tie="text")
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))
     docs = docs.select("doc_id", n.cast("long").alias("n_chars"), "sigs", "next_sigs", edited.alias("edited"))
-    docs = spotsigs.with_signatures(docs, "edited", "edited_sigs")
+    docs = spotsigs.with_signatures(docs, "edited", "edited_sigs", anchors)
     like = lambda other: spotsigs.likeness(F.col("sigs"), F.col(other))
     return docs.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), spotsigs.as_text(F.col("sigs")).alias("fingerprint"), spotsigs.as_text(F.col("edited_sigs")).alias("edited_fingerprint"), like("edited_sigs").alias("near_edited"), like("next_sigs").alias("near_next"))
 
@@ -87,9 +88,55 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and target of every source in the mix of op10."""
+    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(mixing.WORD)), F.lit(0)).cast("long")
+    src = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
+    sizes = table(spark, sf_dir, "documents").groupBy(src.alias("src")).agg(F.sum(size).alias("source_size"))
+    found = mixing.source_targets(sizes, (5, 2, 1), 3)
+    return found.select(F.when(~F.col("src.none"), F.col("src.name")).alias("source"), "source_size", F.round("target", 3).alias("target"))
+
+
+MIX_TARGETS = r"""
+WITH sizes AS (SELECT source, CAST(sum(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)) AS BIGINT) AS size FROM documents GROUP BY source),
+ranked AS (SELECT *, [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) + 1]::DOUBLE AS w FROM sizes),
+held AS (SELECT sum(3.0::DOUBLE * size) OVER o AS held, sum(w) OVER () - sum(w) OVER o AS free FROM ranked WINDOW o AS (ORDER BY 3.0::DOUBLE * size / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+cuts AS (SELECT * FROM held UNION ALL SELECT 0.0, sum(w) FROM ranked),
+share AS (SELECT max(((SELECT sum(size) FROM sizes)::DOUBLE - held) / free) AS share FROM cuts WHERE free > 0)
+SELECT source, size AS source_size, round(least(share * w, 3.0::DOUBLE * size), 3) AS target FROM ranked, share
+"""
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and digests of what op7 stores, before it is stored."""
+    payload = flac.padded("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"))
+
+
+MEDIA_PAYLOADS = r"""
+WITH raw AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents),
+padded AS (SELECT doc_id, raw, greatest((octet_length(raw) + 575) // 576, 1) * 576 - octet_length(raw) AS short FROM raw)
+SELECT doc_id, CAST(octet_length(raw) AS BIGINT) AS n_bytes, CAST(octet_length(raw) + short AS BIGINT) AS payload_bytes, sha256(raw || repeat('\xFF'::BLOB, short)) AS payload_sha256 FROM padded
+"""
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edited texts of op8: the next document is found as there."""
+    return op8_spotsigs(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+EDITED_TEXTS = """
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+pairs AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS following FROM texts)
+SELECT doc_id, length(text) AS n_chars, sha256(substring(text, 1, length(text) - length(text) // 3) || substring(following, 1, length(text) // 3)) AS edited_sha256 FROM pairs
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    """The ten operators, and those of their parts that SQL can say."""
+    parts = {f.__name__: f for f in (mix_targets, media_payloads, edited_texts)}
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | parts
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"mix_targets": MIX_TARGETS, "media_payloads": MEDIA_PAYLOADS, "edited_texts": EDITED_TEXTS}

@@ -1,7 +1,9 @@
 """SpotSigs document fingerprints, by DataFrame functions only.
 
 A signature is a common word (the anchor) and the chain of the next content words
-after it; a document's fingerprint is the set of its signatures. Two documents
+after it; a document's fingerprint is the set of its signatures. The common words are
+those in the most documents of the corpus at hand. One other word in ``EVERY``, by its
+hash, is an anchor too, so that texts in a language of few documents have signatures. Two documents
 are as alike as the Jaccard similarity of their sets. Sets whose sizes are further
 apart than the threshold allows can't be alike enough: sets are dealt to
 partitions by size, and only those of one partition or the next are compared.
@@ -16,13 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Common words of English, German, French and Spanish that may be anchors.
-ANCHORS = tuple(
-    "a an and are as at be by for from in is it not of on or that the this to was were with "
-    "auch auf aus bei das dem den der des die ein eine ist mit nicht sich sie und von zu "
-    "au aux avec ce dans du elle en est et il la le les ne pas pour que qui sur un une "
-    "al con de del el es las lo los no para por se su una y".split()
-)
+#: Anchors are at most so many words, each in at least this share of the documents.
+COMMON, SHARE = 120, 0.02
+#: One word in so many is an anchor whatever its frequency.
+EVERY = 16
 #: Content words in a chain.
 CHAIN = 3
 #: Ids are dealt to windows by ranges of so many.
@@ -36,21 +35,32 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def with_signatures(df: DataFrame, text_col: str, out: str, anchors: tuple[str, ...] = ANCHORS, chain: int = CHAIN) -> DataFrame:
-    """df and ``out``: the sorted set of the text's signatures, as 32-bit hashes.
+def common_words(docs: DataFrame, text_col: str = "text", most: int = COMMON, share: float = SHARE) -> tuple[str, ...]:
+    """The words in most documents of the whole table, at most ``most``: what the driver gets."""
+    each = docs.select(F.explode(F.array_distinct(words(F.coalesce(F.col(text_col), F.lit(""))))).alias("w"))
+    found = each.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(most).collect()
+    least = share * docs.count()
+    return tuple(sorted(r["w"] for r in found if r["n"] >= least))
+
+
+def with_signatures(df: DataFrame, text_col: str, out: str, anchors: tuple[str, ...], chain: int = CHAIN) -> DataFrame:
+    """df and ``out``: the sorted set of the text's signatures, as 64-bit hashes.
 
     The begin of a text counts as an anchor too, so that any text with a content
-    word has a signature; one without is its own text's hash. Null as empty.
+    word has a signature; one without is its own text's hash. Null as empty. Columns
+    whose names begin with __fw_ are its own.
     """
     common = list(anchors)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    df = df.withColumn("_w", words(text))
-    before = lambda w, i: F.struct(w.alias("w"), F.when(i == 0, F.lit("^")).otherwise(F.get("_w", i - 1)).alias("a"))
-    df = df.withColumn("_c", F.filter(F.transform("_w", before), lambda x: ~x["w"].isin(common))).drop("_w")
-    follow = lambda x, j: F.when((j == 0) | x["a"].isin(common), F.hash(x["a"], x["w"], *[F.get("_c", j + i)["w"] for i in range(1, chain)]))
-    sigs = F.array_sort(F.array_distinct(F.array_compact(F.transform("_c", follow))))
-    df = df.withColumn(out, sigs).drop("_c")
-    return df.withColumn(out, F.when(F.size(out) > 0, F.col(out)).otherwise(F.array(F.hash(text))))
+    df = df.withColumn("__fw_w", words(text))
+    before = lambda w, i: F.struct(w.alias("w"), F.when(i == 0, F.lit("^")).otherwise(F.get("__fw_w", i - 1)).alias("a"))
+    rare = (lambda w: ~w.isin(common)) if common else (lambda w: F.lit(True))
+    df = df.withColumn("__fw_c", F.filter(F.transform("__fw_w", before), lambda x: rare(x["w"]))).drop("__fw_w")
+    begins = lambda x, j: (j == 0) | ~rare(x["a"]) | (F.pmod(F.xxhash64(x["a"]), F.lit(EVERY)) == 0)
+    follow = lambda x, j: F.when(begins(x, j), F.xxhash64(x["a"], x["w"], *[F.get("__fw_c", j + i)["w"] for i in range(1, chain)]))
+    sigs = F.array_sort(F.array_distinct(F.array_compact(F.transform("__fw_c", follow))))
+    df = df.withColumn(out, sigs).drop("__fw_c")
+    return df.withColumn(out, F.when(F.size(out) > 0, F.col(out)).otherwise(F.array(F.xxhash64(text))))
 
 
 def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
@@ -61,8 +71,8 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
 
 
 def as_text(sigs: Column) -> Column:
-    """A fingerprint as text: 8 hex digits for each signature."""
-    return F.array_join(F.transform(sigs, lambda x: F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), "")
+    """A fingerprint as text: 16 hex digits for each signature."""
+    return F.array_join(F.transform(sigs, lambda x: F.lpad(F.hex(x), 16, "0")), "")
 
 
 def _next_lower(keys: DataFrame, key: str, fan: int = 4096) -> DataFrame:
@@ -74,11 +84,11 @@ def _next_lower(keys: DataFrame, key: str, fan: int = 4096) -> DataFrame:
     if keys.count() <= SMALL:
         order = Window.partitionBy(F.lit(0)).orderBy(F.desc(key))
         return keys.select(key, F.coalesce(F.lead(key).over(order), F.max(key).over(Window.partitionBy(F.lit(0)))).alias("below"))
-    dealt = keys.select(key, F.floor(F.col(key) / fan).cast("long").alias("_up"))
-    tops = materialize(dealt.groupBy("_up").agg(F.max(key).alias("_top")), "tops")
-    above = _next_lower(tops.select("_up"), "_up", fan).join(tops.select(F.col("_up").alias("below"), F.col("_top").alias("_next")), "below").select("_up", "_next")
-    order = Window.partitionBy("_up").orderBy(F.desc(key))
-    return dealt.withColumn("below", F.lead(key).over(order)).join(above, "_up").select(key, F.coalesce("below", "_next").alias("below"))
+    dealt = keys.select(key, F.floor(F.col(key) / fan).cast("long").alias("__fw_up"))
+    tops = materialize(dealt.groupBy("__fw_up").agg(F.max(key).alias("__fw_top")), "tops")
+    above = _next_lower(tops.select("__fw_up"), "__fw_up", fan).join(tops.select(F.col("__fw_up").alias("below"), F.col("__fw_top").alias("__fw_next")), "below").select("__fw_up", "__fw_next")
+    order = Window.partitionBy("__fw_up").orderBy(F.desc(key))
+    return dealt.withColumn("below", F.lead(key).over(order)).join(above, "__fw_up").select(key, F.coalesce("below", "__fw_next").alias("below"))
 
 
 def with_next(df: DataFrame, id_col: str, cols: list[str], tie: str) -> DataFrame:
@@ -88,18 +98,18 @@ def with_next(df: DataFrame, id_col: str, cols: list[str], tie: str) -> DataFram
     dealt out by ranges of ids: one shuffle, and no task has more than a range.
     """
     key = F.coalesce(F.floor(F.col(id_col) / RANGE).cast("long"), F.lit(-(1 << 62)))
-    df = df.withColumn("_range", key)
-    order = Window.partitionBy("_range").orderBy(F.desc_nulls_last(id_col), tie)
-    heads = materialize(df.groupBy("_range").agg(F.max(id_col).alias("_head")), "ranges")
-    below = _next_lower(heads.select("_range"), "_range")
-    first = below.join(heads.select(F.col("_range").alias("below"), "_head"), "below").select(F.col("_range").alias("_for"), "_head")
+    df = df.withColumn("__fw_range", key)
+    order = Window.partitionBy("__fw_range").orderBy(F.desc_nulls_last(id_col), tie)
+    heads = materialize(df.groupBy("__fw_range").agg(F.max(id_col).alias("__fw_head")), "ranges")
+    below = _next_lower(heads.select("__fw_range"), "__fw_range")
+    first = below.join(heads.select(F.col("__fw_range").alias("below"), "__fw_head"), "below").select(F.col("__fw_range").alias("__fw_for"), "__fw_head")
     few = heads.count() <= SMALL
     hint = F.broadcast if few else (lambda x: x)
-    tops = df.select(F.col(id_col).alias("_id"), F.struct(F.col(tie).alias("_tie"), *cols).alias("_row"))
-    tops = tops.join(hint(first), tops["_id"].eqNullSafe(first["_head"])).groupBy("_for").agg(F.min("_row").alias("_row"))
-    df = df.withColumn("_lead", F.lead(F.struct(*cols)).over(order)).withColumn("_last", F.lead(F.lit(1)).over(order).isNull())
-    df = df.join(tops, df["_range"] == tops["_for"])
-    return df.select(*[c for c in df.columns if c not in ("_range", "_lead", "_last", "_for", "_row")], *[F.when(F.col("_last"), F.col("_row")[c]).otherwise(F.col("_lead")[c]).alias(f"next_{c}") for c in cols])
+    tops = df.select(F.col(id_col).alias("__fw_id"), F.struct(F.col(tie).alias("__fw_tie"), *cols).alias("__fw_row"))
+    tops = tops.join(hint(first), tops["__fw_id"].eqNullSafe(first["__fw_head"])).groupBy("__fw_for").agg(F.min("__fw_row").alias("__fw_row"))
+    df = df.withColumn("__fw_lead", F.lead(F.struct(*cols)).over(order)).withColumn("__fw_last", F.lead(F.lit(1)).over(order).isNull())
+    df = df.join(tops, df["__fw_range"] == tops["__fw_for"])
+    return df.select(*[c for c in df.columns if c not in ("__fw_range", "__fw_lead", "__fw_last", "__fw_for", "__fw_row")], *[F.when(F.col("__fw_last"), F.col("__fw_row")[c]).otherwise(F.col("__fw_lead")[c]).alias(f"next_{c}") for c in cols])
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,7 +132,7 @@ def class_links(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     too few others to reach the threshold), the sizes first, then in full.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marked = materialize(with_signatures(own, "text", "sigs").select("doc_id", "sigs"), "spotsigs")
+    marked = materialize(with_signatures(own, "text", "sigs", common_words(own)).select("doc_id", "sigs"), "spotsigs")
     classes = materialize(marked.groupBy("sigs").agg(F.min("doc_id").alias("class_id")), "classes")
     member = marked.join(classes, "sigs").select("doc_id", "class_id")
     n = F.size("sigs")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from framewright.llm import components, queries, simhash, spotsigs, substrings
 
@@ -166,23 +168,44 @@ def test_op6_columns(spark, sf):
 # ---- SpotSigs
 
 
-def plain_sigs(text):
+def plain_common(texts):
+    """Words of most documents."""
+    n = Counter(w for t in texts for w in {w for w in re.findall(r"[^\W_]+", (t or "").lower())})
+    return {w for w, c in sorted(n.items(), key=lambda x: (-x[1], x[0]))[: spotsigs.COMMON] if c >= spotsigs.SHARE * len(texts)}
+
+
+def plain_sigs(text, common):
     words = [w for w in re.findall(r"[^\W_]+", (text or "").lower())]
-    common = set(spotsigs.ANCHORS)
     content = [(w, words[i - 1] if i else "^") for i, w in enumerate(words) if w not in common]
-    return {(a, *[content[j + k][0] if j + k < len(content) else None for k in range(3)]) for j, (_, a) in enumerate(content) if j == 0 or a in common} or {text or ""}
+    begins = lambda j, a: j == 0 or a in common or xxhash.xxh64_intdigest(a, 42) % spotsigs.EVERY == 0
+    return {(a, *[content[j + k][0] if j + k < len(content) else None for k in range(3)]) for j, (_, a) in enumerate(content) if begins(j, a)} or {text or ""}
 
 
 def test_signatures(docs, rows):
-    got = spotsigs.with_signatures(docs.select("doc_id", "text"), "text", "s").collect()
+    common = spotsigs.common_words(docs)
+    assert set(common) == plain_common([r[1] for r in rows])
+    got = spotsigs.with_signatures(docs.select("doc_id", "text"), "text", "s", common).collect()
     for r in got:
-        assert len(r["s"]) == len(plain_sigs(r["text"])), r["doc_id"]
+        assert len(r["s"]) == len(plain_sigs(r["text"], set(common))), r["doc_id"]
+
+
+def test_texts_without_common_words(spark):
+    """Texts of a language that the corpus hardly has differ unless they are alike."""
+    word = lambda s, i: "".join("абвгдежзик"[int(d)] for d in str(xxhash.xxh32_intdigest(f"{s}{i}")))
+    same = [word("s", i) for i in range(3)]
+    a, b = (" ".join(same + [word(x, i) for i in range(200)]) for x in "ab")
+    df = spark.createDataFrame([(a, b, a + " " + word("c", 1))], "a string, b string, c string")
+    for c in "abc":
+        df = spotsigs.with_signatures(df, c, f"s{c}", ("the", "of"))
+    r = df.select(spotsigs.likeness(F.col("sa"), F.col("sb")).alias("far"), spotsigs.likeness(F.col("sa"), F.col("sc")).alias("near")).first()
+    assert r["far"] < 0.2 and r["near"] > 0.6
 
 
 def test_links_at_a_threshold(spark, docs, rows):
     member, pairs = spotsigs.class_links(docs, 0.5)
-    sets = {frozenset(plain_sigs(r[1])): None for r in rows}
-    ids = {s: min((r[0] for r in rows if frozenset(plain_sigs(r[1])) == s and r[0] is not None), default=None) for s in sets}
+    common = plain_common([r[1] for r in rows])
+    sets = {frozenset(plain_sigs(r[1], common)): None for r in rows}
+    ids = {s: min((r[0] for r in rows if frozenset(plain_sigs(r[1], common)) == s and r[0] is not None), default=None) for s in sets}
     sets = [s for s in sets if ids[s] is not None]
     want = {tuple(sorted((ids[a], ids[b]))) for i, a in enumerate(sets) for b in sets[:i] if len(a & b) / len(a | b) >= 0.5}
     assert {(r["a"], r["b"]) for r in pairs.collect()} == want
@@ -193,13 +216,14 @@ def test_links_at_a_threshold(spark, docs, rows):
 def test_op8_against_plain_python(spark, sf):
     got = {r["doc_id"]: r for r in queries.op8_spotsigs(spark, sf).collect()}
     docs = sorted(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect(), key=lambda r: -r["doc_id"])
+    common = plain_common([r["text"] for r in docs])
     for i, r in enumerate(docs):
         t, nx = r["text"], docs[(i + 1) % len(docs)]["text"]
         n = len(t) // 3
         edited = t[: len(t) - n] + nx[:n]
         x = got[r["doc_id"]]
         assert x["n_chars"] == len(t) and x["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        a, b, c = plain_sigs(t), plain_sigs(edited), plain_sigs(nx)
+        a, b, c = (plain_sigs(x, common) for x in (t, edited, nx))
         assert abs(x["near_edited"] - len(a & b) / len(a | b)) < 1e-9 and abs(x["near_next"] - len(a & c) / len(a | c)) < 1e-9
 
 

@@ -152,6 +152,11 @@ def test_op7(spark, sf):
         raw = r["text"].encode()
         payload = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        at = 0
+        for b in r["blocks"]:
+            assert b["first_sample"] == at and b["n_samples"] > 0 and b["pcm_crc32"] == zlib.crc32(payload[at : at + b["n_samples"]])
+            at += b["n_samples"]
+        assert at == len(payload) and [b["frame_byte"] for b in r["blocks"]] == sorted({b["frame_byte"] for b in r["blocks"]})
 
 
 # ---- pages
