@@ -239,9 +239,10 @@ class Model:
 def model(texts: dict[str, str]) -> Model:
     """The model of these texts; a worker builds it once."""
     key = hash(tuple(sorted(texts.items())))
-    if key not in _models:
-        _models[key] = Model(texts)
-    return _models[key]
+    if _models.get("key") != key:
+        _models.pop("model", None)  # a worker that goes on to other texts keeps one
+        _models["model"], _models["key"] = Model(texts), key
+    return _models["model"]
 
 
 def identify(docs: DataFrame, texts: dict[str, str], text_col: str = "text") -> DataFrame:
