@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,15 +19,13 @@ def uint(data: Column | str, at: int, n: int, little: bool = False) -> Column:
 
 
 def adler32(data: Column, seed: int = 1) -> Column:
-    """Adler-32 with a seed of 0 or 1. The bytes come from one pass over the hexadecimal text; both sums are kept below 2**63 by the modulus."""
-    pairs = F.regexp_extract_all(F.hex(data), F.lit("(..)"), F.lit(1))
-    start = F.struct(F.lit(seed).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    """Adler-32 with a seed of 0 or 1, over Arrow batches of bytes; null of null."""
 
-    def add(s: Column, x: Column) -> Column:
-        a = (s["a"] + F.conv(x, 16, 10).cast("long")) % 65521
-        return F.struct(a.alias("a"), ((s["b"] + a) % 65521).alias("b"))
+    @F.arrow_udf("bigint")
+    def run(data: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else zlib.adler32(x, seed) for x in data.to_pylist()], pa.int64())
 
-    return F.aggregate(pairs, start, add, lambda s: s["b"] * 65536 + s["a"])
+    return run(data.cast("binary"))
 
 
 def ue_code(value: Column) -> Column:
@@ -46,33 +49,27 @@ def read_te(bits: Column, range_: Column) -> Column:
     return F.when(range_ == 1, F.lit(0).cast("long")).when(range_ == 2, 1 - F.substring(bits, 1, 1).cast("long")).otherwise(read_ue(bits))
 
 
-def without_emulation(hex_: Column) -> Column:
-    """Hexadecimal bytes without each 03 that follows two zero bytes; zeros are counted anew after it."""
-    pairs = F.regexp_extract_all(hex_, F.lit("(..)"), F.lit(1))
-    start = F.struct(F.lit(0).alias("z"), F.array().cast("array<string>").alias("out"))
-
-    def add(s: Column, x: Column) -> Column:
-        drop = (s["z"] >= 2) & (x == "03")
-        return F.struct(F.when(drop | (x != "00"), 0).otherwise(s["z"] + 1).alias("z"), F.when(drop, s["out"]).otherwise(F.array_append(s["out"], x)).alias("out"))
+def _bytes_of_hex(change: Callable[[bytes], bytes]) -> Callable[[Column], Column]:
+    """A column function that changes bytes, told in hexadecimal, over Arrow batches; null of null."""
 
-    return F.aggregate(pairs, start, add, lambda s: F.array_join(s["out"], ""))
+    def apply(hex_: Column) -> Column:
+        @F.arrow_udf("string")
+        def run(hex_: pa.Array) -> pa.Array:
+            return pa.array([None if x is None else change(bytes.fromhex(x)).hex().upper() for x in hex_.to_pylist()], pa.string())
 
+        return run(hex_)
 
-def with_emulation(hex_: Column) -> Column:
-    """Hexadecimal bytes with a 03 put in after two zero bytes where a byte of at most 3 follows."""
-    pairs = F.regexp_extract_all(hex_, F.lit("(..)"), F.lit(1))
-    start = F.struct(F.lit(0).alias("z"), F.array().cast("array<string>").alias("out"))
+    return apply
 
-    def add(s: Column, x: Column) -> Column:
-        put = (s["z"] >= 2) & x.isin("00", "01", "02", "03")
-        zero = F.when(x != "00", 0).otherwise(F.when(put, 1).otherwise(s["z"] + 1))
-        return F.struct(zero.alias("z"), F.when(put, F.concat(s["out"], F.array(F.lit("03"), x))).otherwise(F.array_append(s["out"], x)).alias("out"))
 
-    return F.aggregate(pairs, start, add, lambda s: F.array_join(s["out"], ""))
+#: Hexadecimal bytes without each 03 that follows two zero bytes; zeros are counted anew after it.
+without_emulation = _bytes_of_hex(lambda x: x.replace(b"\0\0\3", b"\0\0"))
+#: Hexadecimal bytes with a 03 put in after two zero bytes where a byte of at most 3 follows.
+with_emulation = _bytes_of_hex(lambda x: re.sub(rb"\x00\x00(?=[\x00-\x03])", b"\0\0\3", x))
 
 
-def length_prefixed(hex_: Column, most: int) -> Column:
-    """Units (pos, size, h) of bytes in which one byte of length precedes each payload; ``most`` bounds their number."""
+def length_prefixed(hex_: Column) -> Column:
+    """Units (pos, size, h) of bytes in which one byte of length precedes each payload. There are at most as many as bytes."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<pos:int,size:int,h:string>>").alias("out"))
 
     def step(s: Column, _: Column) -> Column:
@@ -81,7 +78,7 @@ def length_prefixed(hex_: Column, most: int) -> Column:
         more = 2 * s["at"] < F.length(hex_)
         return F.struct(F.when(more, s["at"] + 1 + size).otherwise(s["at"]).alias("at"), F.when(more, F.array_append(s["out"], unit)).otherwise(s["out"]).alias("out"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda s: s["out"])
+    return F.aggregate(F.sequence(F.lit(0), F.floor(F.length(hex_) / 2).cast("int")), start, step, lambda s: s["out"])
 
 
 def tag(tags: str, name: str) -> Column:

@@ -1,9 +1,11 @@
-"""Array kernels in whole numbers. A kernel is a function of values that can be added, subtracted and shifted: columns, or text of SQL."""
+"""Array kernels in whole numbers. A kernel is a function of values that can be added, subtracted and shifted: arrays of numpy that hold one value of many blocks, or text of SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,7 +37,9 @@ class Sql(str):
 
 def shift(x, n: int):
     """x >> n, rounding down."""
-    return Sql(f"({x!s} >> {n})") if isinstance(x, Sql) else F.shiftright(x, n)
+    if isinstance(x, Sql):
+        return Sql(f"({x!s} >> {n})")
+    return F.shiftright(x, n) if isinstance(x, Column) else x >> n
 
 
 def inverse4(x: list) -> list:
@@ -62,7 +66,7 @@ def hadamard4(x: list) -> list:
 
 
 def dct4(x: list) -> list:
-    """Four-point inverse cosine transform in 14-bit fixed point; each product is rounded."""
+    """Four-point inverse cosine transform in 14-bit fixed point; each product is rounded. 11585, 6270 and 15137 are fixed values of the standard."""
     r = lambda v: shift(v + 8192, 14)
     a, b = r((x[0] + x[2]) * 11585), r((x[0] - x[2]) * 11585)
     c, d = r(x[1] * 6270 - x[3] * 15137), r(x[1] * 15137 + x[3] * 6270)
@@ -70,7 +74,7 @@ def dct4(x: list) -> list:
 
 
 def adst4(x: list) -> list:
-    """Four-point inverse sine transform, rounded once at the end."""
+    """Four-point inverse sine transform, rounded once at the end. 5283, 9929, 13377 and 15212 are fixed values of the standard."""
     r = lambda v: shift(v + 8192, 14)
     s0, s1, s2 = x[0] * 5283 + x[2] * 15212, x[0] * 9929 - x[2] * 5283, x[1] * 13377
     s0, s1 = s0 + x[3] * 9929, s1 - x[3] * 15212
@@ -83,17 +87,170 @@ def rows(a: Column | str, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda r: F.slice(a, r * n + 1, n))
 
 
-def each_row(m: Column, n: int, kernel: Callable[[list], list]) -> Column:
-    return F.transform(m, lambda row: F.array(*kernel([row[i] for i in range(n)])))
-
-
 def transposed(m: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.transform(m, lambda row: F.element_at(row, i + 1)))
 
 
+def over_blocks(a: Column | str, n: int, kernel: Callable[[list], list], column_kernel: Callable[[list], list] | None = None, height: int | None = None) -> Column:
+    """The kernel on each row of ``n`` of flat arrays of ``height`` rows, then ``column_kernel`` (if any) on each column.
+
+    All blocks of an Arrow batch take each step of the kernel together. A null array
+    gives null; one of another length fails.
+    """
+
+    @F.arrow_udf("array<bigint>")
+    def run(a: pa.Array) -> pa.Array:
+        there, valid = a.drop_null(), a.is_valid().to_numpy(zero_copy_only=False)
+        x = there.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(there), height or n, n)
+        x = np.stack(kernel([x[:, :, i] for i in range(n)]), axis=2)
+        if column_kernel:
+            x = x.transpose(0, 2, 1)
+            x = np.stack(column_kernel([x[:, :, i] for i in range(x.shape[2])]), axis=2).transpose(0, 2, 1)
+        ends = np.append(0, np.cumsum(valid * (x.shape[1] * x.shape[2]))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends, mask=np.append(~valid, False)), pa.array(np.ascontiguousarray(x).ravel()))
+
+    return run(F.col(a) if isinstance(a, str) else a)
+
+
 def two_pass(a: Column | str, n: int, kernel: Callable[[list], list]) -> Column:
     """Rows, then columns, as a flat array in the order of rows."""
-    return F.flatten(transposed(each_row(transposed(each_row(rows(a, n), n, kernel), n), n, kernel), n))
+    return over_blocks(a, n, kernel, kernel)
+
+
+# ---- transforms of 8, 16 and 32 points, as the standard states them: steps on numbered places
+
+#: A step: places a and b, and the angle of a rotation in 128ths of a half turn (None: sum and difference), whether both swap then, and whether it is rounded.
+Step = tuple[int, int, "int | None", bool, bool]
+
+
+def cosine(angle: int) -> int:
+    """cos(angle * pi / 128) in 14 bits."""
+    return int(round(16384 * np.cos(angle * np.pi / 128)))
+
+
+def _reversed(i: int, bits: int) -> int:
+    return int(f"{i:0{bits}b}"[::-1], 2)
+
+
+def _turn(a: int, b: int, angle: int, swap: bool = True) -> Step:
+    return a, b, angle, swap, True
+
+
+def _sum(a: int, b: int, flip: int = 0) -> Step:
+    return (b, a, None, False, False) if flip else (a, b, None, False, False)
+
+
+def cosine_steps(bits: int) -> list[Step]:
+    """Steps of the inverse cosine transform of 2**bits points (8 to 32), its inputs in bit-reversed order."""
+    n = bits
+    out: list[Step] = []
+    if n >= 5:
+        out += [_turn(16 + i, 31 - i, 6 + (_reversed(7 - i, 3) << 3), False) for i in range(8)]
+    if n >= 4:
+        out += [_turn(8 + i, 15 - i, 12 + (_reversed(3 - i, 2) << 4), False) for i in range(4)]
+    if n >= 5:
+        out += [_sum(16 + 2 * i, 17 + 2 * i, i & 1) for i in range(8)]
+    out += [_turn(4 + i, 7 - i, 56 - 32 * i, False) for i in range(2)]
+    if n >= 4:
+        out += [_sum(8 + 2 * i, 9 + 2 * i, i & 1) for i in range(4)]
+    if n >= 5:
+        out += [_turn(30 - 4 * i - j, 17 + 4 * i + j, 24 + (j << 6) + ((1 - i) << 5)) for i in range(2) for j in range(2)]
+    out += [_turn(2 * i, 2 * i + 1, 32 + 16 * i, not i) for i in range(2)]
+    out += [_sum(4 + 2 * i, 5 + 2 * i, i) for i in range(2)]
+    if n >= 4:
+        out += [_turn(14 - i, 9 + i, 48 + 64 * i) for i in range(2)]
+    if n >= 5:
+        out += [_sum(16 + 4 * i + j, 19 + 4 * i - j, i & 1) for i in range(4) for j in range(2)]
+    out += [_sum(i, 3 - i) for i in range(2)] + [_turn(6, 5, 32)]
+    if n >= 4:
+        out += [_sum(8 + 4 * i + j, 11 + 4 * i - j, i) for i in range(2) for j in range(2)]
+    if n >= 5:
+        out += [_turn(29 - i, 18 + i, 48 + (i >> 1) * 64) for i in range(4)]
+    out += [_sum(i, 7 - i) for i in range(4)]
+    if n >= 4:
+        out += [_turn(13 - i, 10 + i, 32) for i in range(2)]
+    if n >= 5:
+        out += [_sum(16 + 8 * i + j, 23 + 8 * i - j, i) for i in range(2) for j in range(4)]
+    if n >= 4:
+        out += [_sum(i, 15 - i) for i in range(8)]
+    if n >= 5:
+        out += [_turn(27 - i, 20 + i, 32) for i in range(4)] + [_sum(i, 31 - i) for i in range(16)]
+    return out
+
+
+def sine_steps(bits: int) -> list[Step]:
+    """Steps of the inverse sine transform of 8 or 16 points; its first rotations are rounded after the sums that follow them."""
+    loose = lambda a, b, angle: (a, b, angle, True, False)
+    tight = lambda a, b: (a, b, None, False, True)
+    if bits == 3:
+        out = [loose(2 * i, 2 * i + 1, 60 - 16 * i) for i in range(4)] + [tight(i, 4 + i) for i in range(4)]
+        out += [loose(4 + 3 * i, 5 + i, 48 - 32 * i) for i in range(2)] + [_sum(i, 2 + i) for i in range(2)] + [tight(4 + i, 6 + i) for i in range(2)]
+        return out + [_turn(2 + 4 * i, 3 + 4 * i, 32) for i in range(2)]
+    out = [loose(2 * i, 2 * i + 1, 62 - 8 * i) for i in range(8)] + [tight(i, 8 + i) for i in range(8)]
+    out += [x for i in range(2) for x in (loose(8 + 2 * i, 9 + 2 * i, 56 - 32 * i), loose(13 + 2 * i, 12 + 2 * i, 8 + 32 * i))]
+    out += [_sum(i, 4 + i) for i in range(4)] + [tight(8 + i, 12 + i) for i in range(4)]
+    out += [loose(4 + 8 * j + 3 * i, 5 + 8 * j + i, 48 - 32 * i) for i in range(2) for j in range(2)]
+    out += [(_sum if j % 2 == 0 else tight)(4 * j + i, 2 + 4 * j + i) for i in range(2) for j in range(4)]
+    return out + [_turn(2 + 4 * i, 3 + 4 * i, 32) for i in range(4)]
+
+
+def places(bits: int, sine: bool) -> tuple[list[int], list[tuple[int, int]]]:
+    """Which input goes to each place, and which place each output is taken from, with its sign."""
+    n = 1 << bits
+    if not sine:
+        return [_reversed(i, bits) for i in range(n)], [(i, 1) for i in range(n)]
+    gray = [_reversed(i ^ (i >> 1), bits) for i in range(n)]
+    return [i - 1 if i & 1 else n - i - 1 for i in range(n)], [(g, -1 if i & 1 else 1) for i, g in enumerate(gray)]
+
+
+def stepped(bits: int, sine: bool = False) -> Callable[[list], list]:
+    """The transform of 2**bits points as a kernel."""
+    steps, (first, last) = sine_steps(bits) if sine else cosine_steps(bits), places(bits, sine)
+
+    def kernel(x: list) -> list:
+        t = [x[i] for i in first]
+        for a, b, angle, swap, rounded in steps:
+            if angle is None:
+                p, q = t[a] + t[b], t[a] - t[b]
+            else:
+                p, q = t[a] * cosine(angle) - t[b] * cosine(64 - angle), t[a] * cosine(64 - angle) + t[b] * cosine(angle)
+            if rounded:
+                p, q = (p + 8192) >> 14, (q + 8192) >> 14
+            t[a], t[b] = (q, p) if swap else (p, q)
+        return [t[i] * sign for i, sign in last]
+
+    return kernel
+
+
+def sql_stepped(source: str, keys: str, bits: int, sine: bool = False) -> str:
+    """The same in SQL: ``source`` gives keys and x, a list of 2**bits numbers; a query for each step gives keys and y."""
+    steps, (first, last) = sine_steps(bits) if sine else cosine_steps(bits), places(bits, sine)
+    n = len(first)
+    text = f"SELECT {keys}, {', '.join(f'x[{f + 1}] AS t{i}' for i, f in enumerate(first))} FROM ({source})"
+    at = 0
+    while at < len(steps):
+        group: list[Step] = []
+        used: set[int] = set()
+        while at < len(steps) and not used & {steps[at][0], steps[at][1]}:  # steps on other places
+            group.append(steps[at])
+            used |= {steps[at][0], steps[at][1]}
+            at += 1
+        new = {}
+        for a, b, angle, swap, rounded in group:
+            p, q = (f"t{a} + t{b}", f"t{a} - t{b}") if angle is None else (f"t{a} * ({cosine(angle)}) - t{b} * ({cosine(64 - angle)})", f"t{a} * ({cosine(64 - angle)}) + t{b} * ({cosine(angle)})")
+            p, q = (f"({v} + 8192) >> 14" for v in (p, q)) if rounded else (p, q)
+            new[a], new[b] = (q, p) if swap else (p, q)
+        text = f"SELECT {keys}, {', '.join(f'{new[i]} AS t{i}' if i in new else f't{i}' for i in range(n))} FROM ({text})"
+    return f"SELECT {keys}, [{', '.join(f'{sign} * t{i}' for i, sign in last)}] AS y FROM ({text})"
+
+
+def walsh4(x: list, first: bool = True) -> list:
+    """Four-point inverse Walsh-Hadamard transform without loss; the first turn drops two bits."""
+    a, c, d, b = (shift(v, 2) if first else v for v in x)
+    a, d = a + c, d - b
+    e = shift(a - d, 1)
+    b, c = e - b, e - c
+    return [a - b, b, c, d + c]
 
 
 def sql_two_pass(a: str, n: int, kernel: Callable[[list], list]) -> str:
@@ -112,3 +269,82 @@ def clip(x: Column, lo: int = 0, hi: int = 255) -> Column:
 def listed(x: Column) -> Column:
     """An array as text, so that results are compared as a whole."""
     return F.array_join(x.cast("array<string>"), ",")
+
+
+# ---- directional prediction of n by n blocks from their edges
+
+
+def soft2(a, b):
+    return shift(a + b + 1, 1)
+
+
+def soft3(a, b, c):
+    return shift(a + b * 2 + c + 2, 2)
+
+
+def directions(e: list, n: int) -> dict[str, list]:
+    """Predictions in the order of rows, from edges e: left from below up, the corner, then above and above right (n, 1, 2n values)."""
+    top, left = (lambda i: e[n + 1 + i]), (lambda i: e[n - 1 - i])  # left(-1) and top(-1) are the corner
+    cells = [(y, x) for y in range(n) for x in range(n)]
+
+    def right(y, x):  # steep, to the right
+        z, k = 2 * x - y, x - (y >> 1)
+        if z >= 0:
+            return soft3(top(k - 2), top(k - 1), top(k)) if z & 1 else soft2(top(k - 1), top(k))
+        return soft3(left(0), e[n], top(0)) if z == -1 else soft3(left(y - 2 * x - 1), left(y - 2 * x - 2), left(y - 2 * x - 3))
+
+    def down(y, x):  # flat, downwards
+        z, k = 2 * y - x, y - (x >> 1)
+        if z >= 0:
+            return soft3(left(k - 2), left(k - 1), left(k)) if z & 1 else soft2(left(k - 1), left(k))
+        return soft3(left(0), e[n], top(0)) if z == -1 else soft3(top(x - 2 * y - 1), top(x - 2 * y - 2), top(x - 2 * y - 3))
+
+    def up(y, x):  # flat, upwards
+        z, k = x + 2 * y, y + (x >> 1)
+        if z > 2 * n - 3:
+            return left(n - 1)
+        if z == 2 * n - 3:
+            return soft3(left(n - 2), left(n - 1), left(n - 1))
+        return soft3(left(k), left(k + 1), left(k + 2)) if z & 1 else soft2(left(k), left(k + 1))
+
+    def down_left(y, x):
+        i = x + y
+        return soft3(top(i), top(i + 1), top(min(i + 2, 2 * n - 1)))
+
+    def left_of(y, x):  # steep, to the left
+        k = x + (y >> 1)
+        return soft3(top(k), top(k + 1), top(k + 2)) if y & 1 else soft2(top(k), top(k + 1))
+
+    total = e[0]
+    for i in [*range(1, n), *range(n + 1, 2 * n + 1)]:
+        total = total + e[i]
+    mean = shift(total + n, (2 * n).bit_length() - 1)
+    rules = {
+        "vertical": lambda y, x: top(x),
+        "horizontal": lambda y, x: left(y),
+        "mean": lambda y, x: mean,
+        "down_left": down_left,
+        "down_right": lambda y, x: soft3(e[n + x - y - 1], e[n + x - y], e[n + x - y + 1]),
+        "vertical_right": right,
+        "horizontal_down": down,
+        "vertical_left": left_of,
+        "horizontal_up": up,
+    }
+    return {name: [rule(y, x) for y, x in cells] for name, rule in rules.items()}
+
+
+def smooth_edges(e: list, n: int) -> list:
+    """Edges softened along their way; both ends lean on themselves."""
+    last = len(e) - 1
+    return [soft3(e[max(i - 1, 0)], e[i], e[min(i + 1, last)]) for i in range(len(e))]
+
+
+def flat_filter(v: list, reach: int) -> list:
+    """Samples across an edge, each as the mean of those within ``reach`` and itself once more; the outermost stand for what lies beyond."""
+    last, out = len(v) - 1, [v[0]]
+    for i in range(1, last):
+        total = v[i] + (reach + 1)
+        for j in range(-reach, reach + 1):
+            total = total + v[min(max(i + j, 0), last)]
+        out.append(shift(total, (2 * reach + 2).bit_length() - 1))
+    return [*out, v[last]]

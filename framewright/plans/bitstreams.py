@@ -82,14 +82,16 @@ def nal_header_bits(spark, sf_dir):
     return df.select("doc_id", F.shiftright(b, 7).alias("forbidden"), F.shiftright(b, 5).bitwiseAND(3).alias("ref_idc"), b.bitwiseAND(31).alias("unit_type"), (F.shiftright(b, 7) == 0).alias("valid"))
 
 
-@query(f"""WITH b AS (SELECT {_K}, CASE WHEN l_partkey % 4 = 0 THEN '000003' WHEN l_partkey % 4 = 1 THEN '00000300000301' WHEN l_partkey % 4 = 2 THEN '0003000003FF' ELSE 'AB0000030000030000' END AS h FROM lineitem)
-SELECT {_K}, h, CASE WHEN l_partkey % 4 = 0 THEN '0000' WHEN l_partkey % 4 = 1 THEN '0000000001' WHEN l_partkey % 4 = 2 THEN '00030000FF' ELSE 'AB000000000000' END AS rbsp FROM b""")
+@query(r"""WITH b AS (SELECT doc_id, translate(text, 'aeiou', chr(1) || chr(2) || chr(3) || chr(3) || chr(3)) AS t FROM documents),
+h AS (SELECT doc_id, regexp_replace(regexp_replace(hex(encode(t)), '(..)', '\1 ', 'g'), '(7[0-9A-F]|20) ', '00 ', 'g') AS h FROM b)
+SELECT doc_id, replace(h, ' ', '') AS h, replace(regexp_replace(h, '00 00 03 ', '00 00 ', 'g'), ' ', '') AS rbsp, CAST((length(h) - length(regexp_replace(h, '00 00 03 ', '00 00 ', 'g'))) // 3 AS BIGINT) AS gone FROM h""")
 def emulation_removal(spark, sf_dir):
-    """The byte 3 after two zero bytes goes."""
-    k = F.col("l_partkey") % 4
-    h = F.when(k == 0, "000003").when(k == 1, "00000300000301").when(k == 2, "0003000003FF").otherwise("AB0000030000030000")
-    df = table(spark, sf_dir, "lineitem").select(*_KEY, h.alias("h"))
-    return df.select(*_KEY, "h", bt.without_emulation(F.col("h")).alias("rbsp"))
+    """The byte 3 after two zero bytes goes, from texts in which spaces and some letters are zeros and others small bytes."""
+    t = F.translate(F.col("text"), "aeiou", "\x01\x02\x03\x03\x03")
+    pairs = F.transform(F.regexp_extract_all(F.hex(F.encode(t, "utf-8")), F.lit("(..)"), F.lit(1)), lambda x: F.when(x.startswith("7") | (x == "20"), "00").otherwise(x))
+    df = table(spark, sf_dir, "documents").select("doc_id", F.array_join(pairs, "").alias("h"))
+    df = df.withColumn("rbsp", bt.without_emulation(F.col("h")))
+    return df.select("doc_id", "h", "rbsp", F.floor((F.length("h") - F.length("rbsp")) / 2).alias("gone"))
 
 
 @query("""WITH RECURSIVE b AS (SELECT o_orderkey, concat(printf('%02x', o_orderkey % 5), repeat('aa', CAST(o_orderkey % 5 AS INTEGER)), printf('%02x', o_custkey % 4), repeat('bb', CAST(o_custkey % 4 AS INTEGER)), '01cc') AS h FROM orders),
@@ -98,7 +100,7 @@ SELECT o_orderkey, box, pos, size, substring(h, 2 * pos + 3, 2 * size) AS payloa
 def tlv_walk(spark, sf_dir):
     """Length-prefixed units of a run of bytes: number, place, size and payload."""
     df = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.format_string("%02x", F.col("o_orderkey") % 5), F.repeat(F.lit("aa"), (F.col("o_orderkey") % 5).cast("int")), F.format_string("%02x", F.col("o_custkey") % 4), F.repeat(F.lit("bb"), (F.col("o_custkey") % 4).cast("int")), F.lit("01cc")).alias("h"))
-    return df.select("o_orderkey", F.posexplode(bt.length_prefixed(F.col("h"), most=8)).alias("box", "u")).select("o_orderkey", "box", "u.pos", "u.size", F.substring(F.col("u.h"), 1, 1_000_000).alias("payload"))
+    return df.select("o_orderkey", F.posexplode(bt.length_prefixed(F.col("h"))).alias("box", "u")).select("o_orderkey", "box", "u.pos", "u.size", F.col("u.h").alias("payload"))
 
 
 @query(f"""WITH o AS (SELECT {_K}, CAST(l_quantity AS BIGINT) AS size, row_number() OVER w AS n, coalesce(sum(CAST(l_quantity AS BIGINT)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate))

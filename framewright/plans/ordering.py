@@ -51,13 +51,14 @@ def reorder_depth(spark, sf_dir):
 r AS (SELECT seq, ref, pic_num, is_long, row_number() OVER (PARTITION BY seq ORDER BY is_long, CASE WHEN is_long THEN 0 ELSE -pic_num END, ref) AS n FROM c)
 SELECT seq, ref, pic_num, is_long, n FROM r WHERE n <= 4""")
 def ref_list_p(spark, sf_dir):
-    """References of a forward picture: short-term by wrapped number falling, then long-term rising; four at most are active."""
-    cur = _pics(spark, sf_dir).select("seq", "seg", F.col("frame_num").alias("cur"))
-    ref = _pics(spark, sf_dir).where("is_ref").select(F.col("seq").alias("ref"), F.col("seg").alias("rseg"), "frame_num", (F.col("o_custkey") % 5 == 0).alias("is_long"))
-    both = cur.join(ref, (F.col("seg") == F.col("rseg")) & (F.col("ref") < F.col("seq")) & (F.col("ref") >= F.col("seq") - 16))
-    both = both.withColumn("pic_num", F.when(F.col("frame_num") > F.col("cur"), F.col("frame_num") - 16).otherwise(F.col("frame_num")))
-    w = Window.partitionBy("seq").orderBy("is_long", F.when(F.col("is_long"), F.lit(0)).otherwise(-F.col("pic_num")), "ref")
-    return both.withColumn("n", F.row_number().over(w).cast("long")).where("n <= 4").select("seq", "ref", "pic_num", "is_long", "n")
+    """References of a forward picture: short-term by wrapped number falling, then long-term rising; four at most are active. A segment's last sixteen pictures are one window, so that no join is needed."""
+    w = Window.partitionBy("seg").orderBy("seq").rangeBetween(-16, -1)
+    ref = F.when(F.col("is_ref"), F.struct(F.col("seq").alias("ref"), F.col("frame_num").alias("num"), (F.col("o_custkey") % 5 == 0).alias("is_long")))
+    df = _pics(spark, sf_dir).withColumn("refs", F.collect_list(ref).over(w))
+    number = lambda x: F.when(x["num"] > F.col("frame_num"), x["num"] - 16).otherwise(x["num"])
+    keyed = F.transform("refs", lambda x: F.struct(x["is_long"].alias("is_long"), F.when(x["is_long"], F.lit(0).cast("long")).otherwise(-number(x)).alias("o"), x["ref"].alias("ref"), number(x).alias("pic_num")))
+    df = df.select("seq", F.posexplode(F.slice(F.array_sort(keyed), 1, 4)).alias("n", "x"))
+    return df.select("seq", "x.ref", "x.pic_num", "x.is_long", (F.col("n") + 1).cast("long").alias("n"))
 
 
 @query(f"""WITH {_PICS}, c AS (SELECT a.seq, a.poc, b.seq AS ref, b.poc AS rpoc FROM pics a JOIN pics b ON a.seg = b.seg AND b.seq < a.seq AND b.seq >= a.seq - 16 AND b.is_ref),
@@ -72,7 +73,7 @@ def ref_list_b(spark, sf_dir):
     key = lambda first, mark: F.struct(F.when(first, 0).otherwise(1).alias("h"), mark.alias("o"), F.col("ref"))
     lists = both.groupBy("seq").agg(F.array_sort(F.collect_list(key(past, F.when(past, -F.col("rpoc")).otherwise(F.col("rpoc"))))).alias("a"), F.array_sort(F.collect_list(key(~past, F.when(past, -F.col("rpoc")).otherwise(F.col("rpoc"))))).alias("b"))
     lists = lists.select("seq", F.col("a.ref").alias("l0"), F.col("b.ref").alias("l1"))
-    swapped = F.concat(F.array(F.get("l1", F.lit(1)), F.get("l1", F.lit(0))), F.slice("l1", 3, 1_000_000))
+    swapped = F.concat(F.array(F.get("l1", F.lit(1)), F.get("l1", F.lit(0))), F.slice(F.col("l1"), F.lit(3), F.size("l1")))
     l1 = F.when((F.size("l1") > 1) & (F.col("l0") == F.col("l1")), swapped).otherwise(F.col("l1"))
     return lists.select("seq", F.array_join("l0", ",").alias("l0"), F.array_join(l1, ",").alias("l1"))
 

@@ -6,6 +6,8 @@ import math
 import zlib
 from fractions import Fraction
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from framewright.functions import bits, kernels
@@ -86,3 +88,48 @@ def test_as_of_and_runs(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(["a", "a", None, None, "b", "a"])], "t long, v string")
     runs = matching.run_lengths(df, [], ["t"], F.floor(F.col("t") / 2), "v").orderBy("run").collect()
     assert [(r["v"], r["n"]) for r in runs] == [("a", 2), (None, 2), ("b", 1), ("a", 1)]
+
+
+@pytest.mark.parametrize("bits_,sine", [(3, False), (4, False), (5, False), (3, True), (4, True)])
+def test_stepped_transforms_are_near_the_exact_ones(bits_, sine):
+    n, rng = 1 << bits_, np.random.default_rng(bits_)
+    x, i = rng.integers(-2000, 2000, (50, n)), np.arange(n)
+    if sine:
+        exact = np.sin(np.pi * np.outer(2 * i + 1, 2 * i + 1) / (4 * n))
+    else:
+        exact = np.cos(np.pi * np.outer(2 * i + 1, i) / (2 * n)) * np.where(i == 0, 0.5**0.5, 1)
+    got = np.stack(kernels.stepped(bits_, sine)([x[:, j] for j in range(n)]), axis=1)
+    assert np.abs(got - x @ exact.T).max() < 6
+
+
+def test_walsh_goes_back_without_loss():
+    def forward(x):
+        a, b, c, d = x
+        a, d = a + b, d - c
+        e = (a - d) >> 1
+        b, c = e - b, e - c
+        return [a - c, c, d + b, b]
+
+    x = np.random.default_rng(1).integers(-255, 255, (100, 4))
+    got = kernels.walsh4([v * 4 for v in forward([x[:, i] for i in range(4)])])
+    assert np.array_equal(np.stack(got, axis=1), x)
+
+
+@pytest.mark.parametrize("n", [4, 8])
+def test_directions_follow_their_edges(n):
+    """Level edges give level blocks; a mirrored pair of edges gives mirrored blocks; each direction carries a stripe along itself."""
+    flat = kernels.directions([7] * (3 * n + 1), n)
+    assert all(set(v) == {7} for v in flat.values()) and len(flat) == 9
+    rng = np.random.default_rng(n)
+    left, corner, top = rng.integers(0, 255, n).tolist(), 9, rng.integers(0, 255, 2 * n).tolist()
+    one = kernels.directions([*left[::-1], corner, *top], n)
+    other = kernels.directions([*top[:n][::-1], corner, *left, *[0] * n], n)
+    turned = lambda v: np.array(v).reshape(n, n).T.ravel().tolist()
+    assert one["vertical"] == turned(other["horizontal"]) and one["down_right"] == turned(other["down_right"]) and one["vertical_right"] == turned(other["horizontal_down"])
+    assert np.array(one["down_left"]).reshape(n, n)[0, 1:].tolist() == np.array(one["down_left"]).reshape(n, n)[1, :-1].tolist()
+
+
+def test_blocks_without_values(spark):
+    df = spark.createDataFrame([([1] * 16,), (None,), ([2] * 16,)], "a array<long>")
+    got = [r["o"] for r in df.coalesce(1).select(kernels.two_pass("a", 4, kernels.hadamard4).alias("o")).collect()]
+    assert got[1] is None and len(got[0]) == len(got[2]) == 16 and df.where("a is null").select(kernels.two_pass("a", 4, kernels.hadamard4).alias("o")).first()["o"] is None
