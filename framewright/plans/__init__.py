@@ -1,3 +1,3 @@
 """Queries, one module for each group of operators; importing this registers them."""
 
-from . import aggregates, bitstreams, extras, headers, kernels, lookups, media, ordering, prediction, registry, samples, sets, streams, timing  # noqa: F401
+from . import aggregates, bitstreams, extras, headers, kernels, lookups, mapping, media, ordering, prediction, registry, samples, sets, streams, timing  # noqa: F401

@@ -1,4 +1,4 @@
-"""Headers of coded pictures: written from the tables as bits, and read by the parsers."""
+"""Headers of coded pictures: written from the tables as bits, and read field by field as columns."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import bits as bt
-from ..functions import headers
+from ..functions import fields
 from ..tables import table
 
 
@@ -36,8 +36,8 @@ def sequence_header(spark, sf_dir):
         F.when(crop > 0, F.concat(F.lit("1"), bt.ue_code(F.lit(0)), bt.ue_code(crop), bt.ue_code(F.lit(0)), bt.ue_code(F.lit(0)))).otherwise("0"),
         F.when(k % 2 == 0, F.concat(F.lit("1"), F.lit("0000"), F.lit("1"), _u(1001, 32), _u(30000, 32))).otherwise("0"),
     )
-    df = table(spark, sf_dir, "part").select(k, headers.parse("sequence", data).alias("h"))
-    return df.select("p_partkey", *[F.col(f"h.{c}") for c in ("profile", "level", "sps_id", "chroma", "width", "height", "rate_num", "rate_den")])
+    df = table(spark, sf_dir, "part").select(k, fields.bits_of(data).alias("bits"))
+    return fields.sequence(df, "p_partkey").select("p_partkey", "profile", "level", "sps_id", "chroma", "width", "height", "rate_num", "rate_den")
 
 
 @query("SELECT c_custkey, CAST(c_custkey % 8 AS INTEGER) AS pps_id, CAST(c_nationkey % 4 AS INTEGER) AS sps_id, c_custkey % 2 = 1 AS cabac, CAST(1 + c_custkey % 5 AS INTEGER) AS refs0, 1 AS refs1, CAST(26 + c_custkey % 21 - 10 AS INTEGER) AS qp FROM customer")
@@ -45,8 +45,8 @@ def picture_header(spark, sf_dir):
     """Picture headers."""
     k = F.col("c_custkey")
     data = _bytes(bt.ue_code(k % 8), bt.ue_code(F.col("c_nationkey").cast("long") % 4), _u(k % 2, 1), F.lit("0"), bt.ue_code(F.lit(0)), bt.ue_code(k % 5), bt.ue_code(F.lit(0)), F.lit("000"), _se(k % 21 - 10))
-    df = table(spark, sf_dir, "customer").select(k, headers.parse("picture", data).alias("h"))
-    return df.select("c_custkey", *[F.col(f"h.{c}") for c in ("pps_id", "sps_id", "cabac", "refs0", "refs1", "qp")])
+    df = table(spark, sf_dir, "customer").select(k, fields.bits_of(data).alias("bits"))
+    return fields.picture(df, "c_custkey").select("c_custkey", "pps_id", "sps_id", "cabac", "refs0", "refs1", "qp")
 
 
 @query("SELECT o_orderkey, CAST(o_custkey % 300 AS INTEGER) AS first_mb, CASE o_orderkey % 3 WHEN 0 THEN 'P' WHEN 1 THEN 'B' ELSE 'I' END AS kind, CAST(o_custkey % 8 AS INTEGER) AS pps_id, CAST(o_orderkey % 16 AS INTEGER) AS frame_num FROM orders")
@@ -54,8 +54,8 @@ def slice_header(spark, sf_dir):
     """Slice headers."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     data = _bytes(bt.ue_code(c % 300), bt.ue_code(k % 3 + 5 * (c % 2)), bt.ue_code(c % 8), _u(k % 16, 4))
-    df = table(spark, sf_dir, "orders").select(k, headers.parse("slice", data).alias("h"))
-    return df.select("o_orderkey", *[F.col(f"h.{x}") for x in ("first_mb", "kind", "pps_id", "frame_num")])
+    df = table(spark, sf_dir, "orders").select(k, fields.bits_of(data).alias("bits"))
+    return fields.slice_start(df, "o_orderkey").select("o_orderkey", "first_mb", "kind", "pps_id", "frame_num")
 
 
 @query("SELECT o_orderkey, CAST(0 AS INTEGER) AS profile, o_orderkey % 2 = 0 AS key, o_custkey % 2 = 0 AS shown, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_custkey % 1000 + 1 AS INTEGER) END AS width, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 500 + 1 AS INTEGER) END AS height FROM orders")
@@ -64,5 +64,24 @@ def frame_header(spark, sf_dir):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     size = F.concat(_u(0x498342, 24), F.lit("0100"), _u(c % 1000, 16), _u(k % 500, 16))
     data = _bytes(F.lit("10000"), _u(k % 2, 1), _u(1 - c % 2, 1), F.lit("0"), F.when(k % 2 == 0, size).otherwise("00000000"), emulation=False)
-    df = table(spark, sf_dir, "orders").select(k, headers.parse("frame", data).alias("h"))
-    return df.select("o_orderkey", *[F.col(f"h.{x}") for x in ("profile", "key", "shown", "width", "height")])
+    df = table(spark, sf_dir, "orders").select(k, fields.bits_of(data, emulation=False).alias("bits"))
+    return fields.frame_start(df, "o_orderkey").select("o_orderkey", "profile", "key", "shown", "width", "height")
+
+
+@query("""WITH RECURSIVE b AS (SELECT conv_id, turn, hex(encode(text)) AS h FROM conversations), w AS (SELECT conv_id, turn, 0 AS n, 0 AS pos, h FROM b UNION ALL SELECT conv_id, turn, n + 1, pos + 2 + CAST(('0x' || h[2 * pos + 3:2 * pos + 4]) AS INTEGER), h FROM w WHERE 2 * pos + 4 <= length(h))
+SELECT conv_id, turn, CAST(n AS INTEGER) AS n, CAST(('0x' || h[2 * pos + 1:2 * pos + 2]) AS INTEGER) AS kind, CAST(('0x' || h[2 * pos + 3:2 * pos + 4]) AS INTEGER) AS size FROM w WHERE 2 * pos + 4 <= length(h)""")
+def side_messages(spark, sf_dir):
+    """Kinds and sizes of the messages in a payload, one after the other."""
+    df = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(fields.side_messages(F.encode("text", "utf-8"))).alias("n", "m"))
+    return df.select("conv_id", "turn", "n", "m.kind", "m.size")
+
+
+@query("""SELECT o_orderkey, CAST(1 + o_orderkey % 4 AS BIGINT) AS length_size, CAST(66 + o_orderkey % 3 AS BIGINT) AS profile, CAST(10 + o_custkey % 40 AS BIGINT) AS level, CAST(octet_length(encode(o_orderpriority)) AS BIGINT) AS first_set, CAST(o_custkey % 9 AS BIGINT) AS second_set FROM orders""")
+def decoder_configuration(spark, sf_dir):
+    """Configurations with two parameter sets, written as bytes and read."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    byte = lambda v: F.lpad(F.hex(v.cast("long")), 2, "0")
+    wide = lambda v: F.lpad(F.hex(v.cast("long")), 4, "0")
+    name, n = F.encode("o_orderpriority", "utf-8"), (c % 9).cast("int")
+    data = F.unhex(F.concat(F.lit("01"), byte(66 + k % 3), F.lit("00"), byte(10 + c % 40), byte(252 + k % 4), F.lit("E1"), wide(F.octet_length(name)), F.hex(name), F.lit("01"), wide(n), F.repeat(F.lit("AB"), n)))
+    return table(spark, sf_dir, "orders").select("o_orderkey", fields.configuration(data).alias("d")).select("o_orderkey", "d.*")

@@ -1,10 +1,11 @@
-"""Header parsers on bytes by hand, and the plug-in registry."""
+"""Header fields of bits by hand, and the plug-in registry."""
 
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
-from framewright.functions import headers as h
+from framewright.functions import fields
 from framewright.plugins import Graph, Registry
 
 
@@ -19,37 +20,36 @@ def ue(v: int) -> str:
     return "0" * (len(s) - 1) + s
 
 
-def test_sequence_with_chroma_and_crop():
-    data = bits(format(100, "08b"), "00000000", format(40, "08b"), ue(3), ue(1), ue(0), ue(2), "0", "0", ue(4), ue(0), ue(2), ue(4), "0", ue(119), ue(67), "1", "1", "1", ue(0), ue(0), ue(0), ue(4), "0", "1")
-    got = h.sequence(data)
-    assert (got["sps_id"], got["width"], got["height"], got["depth_chroma"], got["max_frame_num"], got["max_refs"]) == (3, 1920, 1080, 10, 256, 4)
+def read(spark, kind, *rows, emulation=True):
+    df = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(rows)], "i long, data binary").select("i", fields.bits_of(F.col("data"), emulation).alias("bits"))
+    return fields.READERS[kind](df, "i").orderBy("i").collect()
 
 
-def test_fields_double_the_height():
-    data = bits(format(77, "08b"), "00000000", format(30, "08b"), ue(0), ue(0), ue(2), ue(1), "0", ue(44), ue(17), "0", "1", "1", "0", "0", "1")
-    got = h.sequence(data)
-    assert (got["width"], got["height"]) == (720, 576)
+def test_sequences(spark):
+    chroma = bits(format(100, "08b"), "00000000", format(40, "08b"), ue(3), ue(1), ue(0), ue(2), "0", "0", ue(4), ue(0), ue(2), ue(4), "0", ue(119), ue(67), "1", "1", "1", ue(0), ue(0), ue(0), ue(4), "0", "1")
+    doubled = bits(format(77, "08b"), "00000000", format(30, "08b"), ue(0), ue(0), ue(2), ue(1), "0", ue(44), ue(17), "0", "1", "1", "0", "0", "1")
+    scaling = bits(format(100, "08b"), "00000000", format(40, "08b"), ue(3), ue(1), ue(0), ue(2), "0", "1", "1111")
+    a, b, c, d, e = read(spark, "sequence", chroma, doubled, b"\x42\x00", b"", scaling)
+    assert (a["sps_id"], a["width"], a["height"], a["depth_chroma"], a["max_frame_num"], a["max_refs"], a["error"]) == (3, 1920, 1080, 10, 256, 4, None)
+    assert (b["width"], b["height"], b["error"]) == (720, 576, None)
+    assert c["error"] and d["error"] and c["width"] is None and e["error"] == "scaling lists"
 
 
-@pytest.mark.parametrize("data", [b"", b"\x42\x00", b"\x42\x00\x1e" + bytes(20)])
-def test_headers_that_end_early(data):
-    with pytest.raises(ValueError):
-        h.sequence(data)
-
-
-def test_messages_and_config():
-    assert h.messages(bytes([6, 1, 0x55, 255, 5, 2, 1, 2, 0x80])) == [(6, 1), (260, 2)]
-    assert h.config(bytes([1, 100, 0, 31, 0xFF, 0xE1, 0, 3, 1, 2, 3, 1, 0, 1, 9])) == {"length_size": 4, "profile": 100, "level": 31, "sets": [3, 1]}
-    with pytest.raises(ValueError):
-        h.config(bytes([1, 100, 0, 31, 0xFF, 0xE1, 0, 30, 1]))
+def test_frames(spark):
+    shown = bits("10", "00", "0", "0", "1", "0", format(0x498342, "024b"), "010", "0", format(639, "016b"), format(479, "016b"))
+    again, wrong = bits("10", "00", "1", "101"), bits("01", "00")
+    a, b, c = read(spark, "frame", shown, again, wrong, emulation=False)
+    assert (a["key"], a["shown"], a["width"], a["height"]) == (True, True, 640, 480)
+    assert (b["show_existing"], b["key"], b["shown"], b["width"]) == (5, False, True, None) and c["error"] == "no frame marker"
 
 
-def test_superframes():
-    body = b"aaabb"
-    index = bytes([0xC1, 3, 2, 0xC1])
-    assert h.superframe(body + index) == [(0, 3), (3, 2)]
-    assert h.superframe(body + bytes([0xC1, 9, 9, 0xC1])) == [(0, 9)], "sizes beyond the payload"
-    assert h.superframe(b"plain") == [(0, 5)]
+def test_messages_and_configuration(spark):
+    rows = [(bytearray([6, 1, 0x55, 255, 5, 2, 1, 2, 0x80]),), (bytearray([1, 255, 3] + [0] * 258 + [2, 0]),), (bytearray(b""),)]
+    got = spark.createDataFrame(rows, "d binary").select(fields.side_messages(F.col("d")).alias("m")).collect()
+    assert [[tuple(x) for x in r["m"]] for r in got] == [[(6, 1), (260, 2)], [(1, 258), (2, 0)], []]
+    rows = [(bytearray([1, 100, 0, 31, 0xFF, 0xE1, 0, 3, 1, 2, 3, 1, 0, 1, 9]),), (bytearray([1, 100, 0, 31, 0xFF, 0xE1, 0, 30, 1]),)]
+    got = spark.createDataFrame(rows, "d binary").coalesce(1).select(fields.configuration(F.col("d")).alias("c")).collect()
+    assert tuple(got[0]["c"]) == (4, 100, 31, 3, 1) and got[1]["c"] is None
 
 
 def test_registry_and_graph(spark):
