@@ -12,7 +12,11 @@ from .ordering import _PICS
 
 
 def _folder(spark) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-")
+    """The folder that all machines share; one is made only where there is one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return folder or tempfile.mkdtemp(prefix="spark-shared-")
 
 
 def _pictures(spark, sf_dir):
@@ -20,13 +24,17 @@ def _pictures(spark, sf_dir):
     return state.open_stream(spark, f"{sf_dir}/orders.parquet").select(k.alias("seq"), F.floor(k / 64).alias("seg"), (k * 2 + (k * 5 % 8) * 4).alias("poc"), (k % 4 != 3).alias("is_ref"))
 
 
-@query(f"WITH {_PICS}, n AS (SELECT seg, seq, poc, row_number() OVER (PARTITION BY seg ORDER BY poc, seq) AS n, max(seq % 64) OVER (PARTITION BY seg) AS last, count(*) OVER (PARTITION BY seg) AS there FROM pics) SELECT seg, seq, poc, n FROM n WHERE last = 63 OR n <= there - 16")
+#: Segments that have ended: all 64 pictures are there, or the watermark, 64 pictures behind the last, has passed.
+_ENDED = "ended AS (SELECT seg FROM pics GROUP BY seg HAVING count(*) = 64 OR seg * 64 + 63 < (SELECT max(seq) FROM pics) - 64)"
+
+
+@query(f"WITH {_PICS}, {_ENDED} SELECT seg, seq, poc, row_number() OVER (PARTITION BY seg ORDER BY poc, seq) AS n FROM pics WHERE seg IN (SELECT seg FROM ended)")
 def reorder_stream(spark, sf_dir):
     """Display order of the segments that have ended, from a stream."""
     return state.run_available(state.reorder(_pictures(spark, sf_dir)), _folder(spark))
 
 
-@query(f"""WITH {_PICS}, r AS (SELECT seg, seq, row_number() OVER (PARTITION BY seg ORDER BY seq) AS n FROM pics WHERE is_ref)
+@query(f"""WITH {_PICS}, {_ENDED}, r AS (SELECT seg, seq, row_number() OVER (PARTITION BY seg ORDER BY seq) AS n FROM pics WHERE is_ref AND seg IN (SELECT seg FROM ended))
 SELECT p.seq, CAST(count(*) AS BIGINT) AS held, min(r.seq) AS oldest FROM pics p JOIN r ON r.seg = p.seg AND r.seq <= p.seq AND r.n > (SELECT coalesce(max(n), 0) FROM r q WHERE q.seg = p.seg AND q.seq <= p.seq) - 4 GROUP BY p.seq""")
 def dpb_stream(spark, sf_dir):
     """References held after each picture, from a stream."""

@@ -1,22 +1,25 @@
-"""Stateful operators on streams of pictures.
+"""Stateful operators on streams of pictures, which may come in any order.
 
 State is kept for each segment of a stream; a segment is a barrier that no picture
-crosses, so its state ends with it.
+crosses. Its pictures wait, SEGMENT at most, until all are there or the watermark has
+passed its end; then they are taken in order and the state is removed. So results
+don't depend on how files and batches fall, and what comes after the watermark is dropped.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-from typing import Any
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: Pictures of a segment, and how many may wait.
-SEGMENT, DEPTH = 64, 16
+#: Pictures of a segment.
+SEGMENT = 64
+#: Event time of the first picture in ms: a watermark begins at 0, and what is not after it counts as late.
+_START = 86_400_000
 
 
 def open_stream(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
@@ -32,51 +35,53 @@ def run_available(stream: DataFrame, folder: str, mode: str = "append") -> DataF
     return spark.read.schema(stream.schema).parquet(where)
 
 
-def reorder(stream: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(seg, seq, poc, n): pictures in display order, as they become known.
+def by_segment(stream: DataFrame, value: str, late: str, emit: Callable[[int, list[tuple[int, int]]], list[tuple]], schema: str) -> DataFrame:
+    """Rows that ``emit`` makes of each segment's pictures (seq, value), in order of seq, once the segment has ended.
 
-    A picture leaves when more than ``depth`` wait, the lowest order first; at the
-    last picture of a segment all leave.
+    ``stream`` has seg, seq and ``value``; a picture's event time is a second for each
+    seq, and ``late`` is how far behind the latest a picture may come.
     """
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, n = (list(zip(*state.get[:2], strict=True)), state.get[2]) if state.exists else ([], 0)
-        rows = pd.concat(list(parts)).sort_values("seq")
-        out: list[tuple[Any, ...]] = []
-        ended = False
-        for seq, poc in zip(rows["seq"].tolist(), rows["poc"].tolist(), strict=True):
-            waiting.append((poc, seq))
-            ended = ended or seq % SEGMENT == SEGMENT - 1
-            while len(waiting) > (0 if ended else depth):
-                n += 1
-                first = min(waiting)
-                waiting.remove(first)
-                out.append((key[0], first[1], first[0], n))
-        if ended:
-            state.remove()
-        else:
-            state.update(([p for p, _ in waiting], [s for _, s in waiting], n))
-        yield pd.DataFrame(out, columns=["seg", "seq", "poc", "n"])
-
-    return stream.groupBy("seg").applyInPandasWithState(step, "seg long, seq long, poc long, n long", "pocs array<long>, seqs array<long>, n long", "append", GroupStateTimeout.NoTimeout)
-
-
-def reference_buffer(stream: DataFrame, capacity: int = 4) -> DataFrame:
+        seg, held = int(key[0]), dict(zip(*state.get, strict=True)) if state.exists else {}
+        for part in parts:
+            held |= dict(zip(part["seq"].tolist(), part["value"].tolist(), strict=True))
+        if state.hasTimedOut or len(held) >= SEGMENT:
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame(emit(seg, sorted(held.items())), columns=names)
+            return
+        state.update((list(held), list(held.values())))
+        end = _START + (seg * SEGMENT + SEGMENT - 1) * 1000 + 1
+        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+
+    timed = stream.select("seg", "seq", F.col(value).cast("long").alias("value"), F.timestamp_millis(_START + F.col("seq") * 1000).alias("time"))
+    return timed.withWatermark("time", late).groupBy("seg").applyInPandasWithState(step, schema, "seqs array<long>, held array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def reorder(stream: DataFrame, late: str = "64 seconds") -> DataFrame:
+    """(seg, seq, poc, n): the pictures of each segment in display order, numbered."""
+
+    def emit(seg: int, rows: list[tuple[int, int]]) -> list[tuple]:
+        return [(seg, seq, poc, n + 1) for n, (poc, seq) in enumerate(sorted((poc, seq) for seq, poc in rows))]
+
+    return by_segment(stream, "poc", late, emit, "seg long, seq long, poc long, n long")
+
+
+def reference_buffer(stream: DataFrame, capacity: int = 4, late: str = "64 seconds") -> DataFrame:
     """(seq, held, oldest): the references held after each picture; the oldest goes when there are more than ``capacity``."""
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        refs = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(parts)).sort_values("seq")
+    def emit(seg: int, rows: list[tuple[int, int]]) -> list[tuple]:
+        refs: list[int] = []
         out = []
-        for seq, is_ref in zip(rows["seq"].tolist(), rows["is_ref"].tolist(), strict=True):
-            if is_ref:
-                refs = [*refs, seq][-capacity:]
+        for seq, is_ref in rows:
+            refs = [*refs, seq][-capacity:] if is_ref else refs
             if refs:
                 out.append((seq, len(refs), refs[0]))
-        state.update((refs,))
-        yield pd.DataFrame(out, columns=["seq", "held", "oldest"])
+        return out
 
-    return stream.groupBy("seg").applyInPandasWithState(step, "seq long, held long, oldest long", "refs array<long>", "append", GroupStateTimeout.NoTimeout)
+    return by_segment(stream, "is_ref", late, emit, "seq long, held long, oldest long")
 
 
 def late_windows(stream: DataFrame, time: str, key: str, width: str = "2 hours", late: str = "1 day") -> DataFrame:

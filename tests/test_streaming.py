@@ -1,31 +1,52 @@
-"""State over several batches gives what one batch gives."""
+"""State over several batches in shuffled order gives what one batch gives, and ends with its segment."""
 
 from __future__ import annotations
 
+import os
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from framewright.streaming import state
 
 
-def _files(spark, tmp_path, n):
+def _stream(spark, tmp_path, order, step=25):
+    """Files of so many pictures each, that come one a batch in the order given."""
     k = F.col("id")
-    for i in range(n):
-        spark.range(i * 50, (i + 1) * 50).select(k.alias("seq"), F.floor(k / 64).alias("seg"), (k * 2 + (k * 5 % 8) * 4).alias("poc"), (k % 4 != 3).alias("is_ref")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        import time
-
-        time.sleep(1.1)  # a later file has a later time
-    return state.open_stream(spark, str(tmp_path / "in") + "/", files_per_batch=1)
-
-
-def test_reorder_over_batches(spark, tmp_path):
-    got = state.run_available(state.reorder(_files(spark, tmp_path, 3)), str(tmp_path)).collect()
-    for seg in (0, 1):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for turn, i in enumerate(order):
+        spark.range(i * step, (i + 1) * step).select(k.alias("seq"), F.floor(k / 64).alias("seg"), (k * 2 + (k * 5 % 8) * 4).alias("poc"), (k % 4 != 3).alias("is_ref")).coalesce(1).write.parquet(str(tmp_path / f"part{turn}"))
+        file = next((tmp_path / f"part{turn}").glob("*.parquet"))
+        os.utime(file, (1_000_000 + turn, 1_000_000 + turn))
+        file.rename(folder / f"{turn:03}.parquet")
+    return state.open_stream(spark, f"{folder}/", files_per_batch=1)
+
+
+@pytest.mark.parametrize("seed", [None, 1])
+def test_reorder_over_batches(spark, tmp_path, seed):
+    order = list(range(12))
+    if seed is not None:
+        random.Random(seed).shuffle(order)
+    got = state.run_available(state.reorder(_stream(spark, tmp_path, order), late="1 hour"), str(tmp_path)).collect()
+    assert {r["seg"] for r in got} == {0, 1, 2, 3}, "the last segment has not ended"
+    for seg in range(4):
         pics = sorted((s * 2 + (s * 5 % 8) * 4, s) for s in range(seg * 64, seg * 64 + 64))
         assert [(r["poc"], r["seq"]) for r in sorted(got, key=lambda r: r["n"]) if r["seg"] == seg] == pics
 
 
 def test_references_over_batches(spark, tmp_path):
-    got = {r["seq"]: (r["held"], r["oldest"]) for r in state.run_available(state.reference_buffer(_files(spark, tmp_path, 2)), str(tmp_path)).collect()}
-    for s in range(100):
+    got = {r["seq"]: (r["held"], r["oldest"]) for r in state.run_available(state.reference_buffer(_stream(spark, tmp_path, [2, 0, 1, 5, 4, 3]), late="1 hour"), str(tmp_path)).collect()}
+    assert set(got) == set(range(128))
+    for s in got:
         refs = [x for x in range(s // 64 * 64, s + 1) if x % 4 != 3][-4:]
         assert got[s] == (len(refs), refs[0])
+
+
+def test_the_watermark_ends_what_is_not_whole(spark, tmp_path):
+    """A segment with a gap leaves when the watermark has passed it; its late pictures are dropped and make no new state."""
+    order = [0, 1, 3, 4, 5, 6, 7, 8, 9, 10, 11, 2]
+    got = state.run_available(state.reorder(_stream(spark, tmp_path, order), late="64 seconds"), str(tmp_path)).collect()
+    first = sorted(r["seq"] for r in got if r["seg"] == 0)
+    assert first == list(range(50)) and [r["n"] for r in sorted(got, key=lambda r: r["n"]) if r["seg"] == 0] == list(range(1, 51))
