@@ -3,7 +3,7 @@
 Each word has a sparse index vector of signs, which follows from its hash; a
 word's vector is the sum of the index vectors of the words around it in the whole
 corpus. Words share ``BUCKETS`` rows by hash, so that the table has one size
-whatever the corpus. A document is the mean and the spread of its words' vectors.
+whatever the corpus: a fixed width, at which rare words share a vector with others. A document is the mean and the spread of its words' vectors.
 The network learns from a bounded sample of labelled documents; a temperature,
 fitted on part of it that was kept apart, calibrates its probabilities.
 """
@@ -228,7 +228,7 @@ def train(features: DataFrame, labels: DataFrame, label_col: str, max_labelled:
     """Learns from the rows of labels (doc_id and a 0/1 column, nulls left out) whose documents are in features."""
     rows = labels.select(F.col("doc_id").alias("l_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)")
     rows = rows.orderBy(F.xxhash64("l_id", F.lit(seed)), "l_id", "y").limit(max_labelled)  # what reaches the driver is bounded by this
-    got = rows.join(features, rows["l_id"] == features["doc_id"]).select("l_id", "y", "x").collect()
+    got = rows.join(features, rows["l_id"] == features["doc_id"]).groupBy("l_id", "y").agg(F.min("x").alias("x")).collect()  # ids that repeat count once
     got = sorted(got, key=lambda r: (r["l_id"], r["y"], r["x"]))
     y = np.array([r["y"] for r in got], np.int64)
     if len(set(y.tolist())) < 2:

@@ -173,8 +173,16 @@ def _compare(batches: Iterator[pa.RecordBatch], radius: int, tile: int, keys: in
         yield from links(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
+def blocks_to_agree(count: int, radius: int = 4, group: int = GROUP) -> int:
+    """How many blocks must agree so that groups of ``count`` even fingerprints stay below a quarter of ``group``, two at least."""
+    agree = 2
+    while agree < 6 and count >> (64 * agree // (radius + agree)) > group // 4:
+        agree += 1
+    return agree
+
+
 def hamming_links(fps: DataFrame, radius: int = 4, agree: int = 2, tile: int = 1024, group: int = 4096, fp_col: str = "fp") -> DataFrame:
-    """(a, b): links that join all fingerprints within ``radius`` bits, as forests of the groups compared."""
+    """(a, b): links that join all fingerprints within ``radius`` bits, as forests of the groups compared; any ``agree`` finds the same."""
     blocks, at = [], 0
     for i in range(radius + agree):
         width = 64 // (radius + agree) + (i < 64 % (radius + agree))
@@ -210,7 +218,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, seed: int = 42
     """
     marked = materialize(fingerprints(docs, k, seed, id_col, text_col), "simhash")
     first = marked.groupBy("fp").agg(F.min("doc_id").alias("m"))
-    roots = connected_components(hamming_links(first, radius))
+    roots = connected_components(hamming_links(first, radius, blocks_to_agree(first.count(), radius)))
     first = first.join(roots, first["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "m")
     linked = first.join(first.groupBy("root").agg(F.min("m").alias("component_id")), "root").select(F.col("fp").alias("c_fp"), "component_id")
     return marked.join(linked, marked["fp"] == linked["c_fp"]).select("doc_id", "fp", "component_id")

@@ -95,7 +95,8 @@ def with_next(df: DataFrame, id_col: str, cols: list[str], tie: str) -> DataFram
     """df, and next_<col> of the row with the next lower id; after the lowest comes the highest.
 
     Rows of equal id follow each other by ``tie``; a null id is the lowest. Rows are
-    dealt out by ranges of ids: one shuffle, and no task has more than a range.
+    dealt out by ranges of ids: one shuffle, and no task has more than a range (rows of
+    null id and of one id are in one range, as their order follows from ``tie`` alone).
     """
     key = F.coalesce(F.floor(F.col(id_col) / RANGE).cast("long"), F.lit(-(1 << 62)))
     df = df.withColumn("__fw_range", key)

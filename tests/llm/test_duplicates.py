@@ -92,6 +92,15 @@ def test_nearest_links_are_near_and_one_for_each(spark, group):
     assert 12 <= groups < (36 if group == 4096 else 200)
 
 
+def test_more_blocks_find_the_same(spark):
+    assert [simhash.blocks_to_agree(n) for n in (10, 10**6, 10**10, 10**12)] == [2, 2, 3, 4]
+    rng = np.random.default_rng(3)
+    fp = np.unique(np.repeat(rng.integers(0, 2**63, 20, dtype=np.uint64), 10) ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (200, 2), dtype=np.uint64), axis=1)).view(np.int64)
+    df, at = spark.createDataFrame([(int(x),) for x in fp], "fp long"), {int(x): i for i, x in enumerate(fp)}
+    two, three = (roots(len(fp), [(at[r["a"]], at[r["b"]]) for r in simhash.hamming_links(df, agree=n).collect()]) for n in (2, 3))
+    assert two == three and len(set(two)) == 20
+
+
 def test_connected_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 100), (90, 90), (7, None)]
     got = components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()
