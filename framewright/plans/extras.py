@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..functions import kernels as k
 from ..operators.scan import running_sum
-from ..plugins import Graph
+from ..plugins import REGISTRY
 from ..tables import BLOCKS, PACKETS, blocks, literal, packets, table
 
 
 @query(f"WITH {PACKETS} SELECT seq, stream_index::INTEGER AS stream_index, pts + 500 AS pts, size * 2 AS size FROM packets WHERE stream_index IN (0, 2) UNION ALL SELECT seq, stream_index::INTEGER, pts, size FROM packets WHERE stream_index = 3")
 def filter_graph(spark, sf_dir):
-    """A graph of filters: two streams amplified and moved, merged with a third."""
-    g = Graph().add("av", "streams", "in", keep=(0, 2)).add("loud", "gain", "av", by=2).add("late", "shift", "loud", us=500).add("other", "streams", "in", keep=(3,)).add("out", "merge", "late", "other")
-    return g.run("out", **{"in": packets(spark, sf_dir).select("seq", "stream_index", "pts", "size")})
+    """Filters by name as a chain of transforms: two streams amplified and moved, merged with a third."""
+    log = packets(spark, sf_dir).select("seq", "stream_index", "pts", "size")
+    use = lambda name, **options: REGISTRY.named("filter", name).make(**options)
+    loud = log.transform(use("streams", keep=(0, 2))).transform(use("gain", by=2)).transform(use("shift", us=500))
+    return loud.transform(use("merge", other=log.transform(use("streams", keep=(3,)))))
 
 
 @query("""WITH e AS (SELECT event_id, event_id % 32 AS arrival, event_id // 32 AS batch, ((event_id % 32) * 13 + event_id // 32) % 32 AS need FROM events)
@@ -129,13 +131,12 @@ def marking_commands(spark, sf_dir):
     return c.select("seg", F.array_join(F.aggregate(F.col("s.c"), empty, step).cast("array<string>"), ",").alias("held"))
 
 
-@query("""SELECT CASE WHEN quality = 1 AND toxic = 0 THEN 'PASS' ELSE 'FAIL' END AS status, count(*) AS n, md5(array_to_string(list(doc_id ORDER BY doc_id), ',')) AS names FROM labels GROUP BY 1""".replace("labels GROUP BY 1", "labels GROUP BY 1"))
+@query("""SELECT CASE WHEN quality = 1 AND toxic = 0 THEN 'PASS' ELSE 'FAIL' END AS status, doc_id // 4096 AS range_, count(*) AS n, md5(array_to_string(list(doc_id ORDER BY doc_id), ',')) AS names FROM labels GROUP BY 1, 2""")
 def passing_list(spark, sf_dir):
-    """Each status with the digest of its sorted names. Names are sorted in ranges, so no task sorts them all."""
-    df = table(spark, sf_dir, "labels").select("doc_id", F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "PASS").otherwise("FAIL").alias("status"))
-    parts = df.groupBy("status", F.floor(F.col("doc_id") / 65536).alias("r")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("doc_id")).cast("array<string>"), ",").alias("t"))
-    g = parts.groupBy("status").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("r", "t"))).alias("p"))
-    return g.select("status", "n", F.md5(F.array_join(F.col("p.t"), ",")).alias("names"))
+    """Each status with digests of its sorted names, one for each range of 4,096: no task holds a status."""
+    status = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "PASS").otherwise("FAIL")
+    g = table(spark, sf_dir, "labels").groupBy(status.alias("status"), F.floor(F.col("doc_id") / 4096).alias("range_")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    return g.select("status", "range_", "n", F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("names"))
 
 
 @query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, json_extract_string(props, '$.missing') IS NULL AS absent FROM events WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) > 50""")

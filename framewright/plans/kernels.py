@@ -16,6 +16,9 @@ ZIGZAG = (0, 1, 4, 8, 5, 2, 3, 6, 9, 12, 13, 10, 7, 11, 14, 15)
 #: The standard's 4 by 4 scale factors by qp modulo 6, for the three classes of position.
 SCALE = ((10, 16, 13), (11, 18, 14), (13, 20, 16), (14, 23, 18), (16, 25, 20), (18, 29, 23))
 
+#: The class of position i in a 4 by 4 block, counted from one: both even, both odd, or neither.
+_CLASS = "CASE (i & 1) + ((i >> 2) & 1) WHEN 0 THEN 1 WHEN 2 THEN 2 ELSE 3 END"
+
 
 def _join(sql: str) -> str:
     return f"array_to_string({sql}, ',')"
@@ -48,7 +51,7 @@ def hadamard_dc(spark, sf_dir):
 
 
 @query(f"""WITH {BLOCKS}, q AS (SELECT vec_id, vec_id % 52 AS qp, a FROM blocks), s AS (SELECT *, [{', '.join(str(list(x)) for x in SCALE)}][qp % 6 + 1] AS s FROM q)
-SELECT vec_id, qp, {_join("list_transform(range(0, 16), lambda i: (a[i + 1] * (s[(i & 1) + ((i >> 2) & 1) + 1] * 16 * CAST(pow(2, qp // 6 + 2) AS BIGINT)) + 32) >> 6)".replace("s[(i & 1) + ((i >> 2) & 1) + 1]", "s[CASE (i & 1) + ((i >> 2) & 1) WHEN 0 THEN 1 WHEN 2 THEN 2 ELSE 3 END]"))} AS coef FROM s""")
+SELECT vec_id, qp, {_join(f"list_transform(range(0, 16), lambda i: (a[i + 1] * (s[{_CLASS}] * 16 * CAST(pow(2, qp // 6 + 2) AS BIGINT)) + 32) >> 6)")} AS coef FROM s""")
 def dequant_apply(spark, sf_dir):
     """Coefficients times the factor of their position and qp, from a flat matrix."""
     df = blocks(spark, sf_dir).withColumn("qp", F.col("vec_id") % 52)
@@ -59,7 +62,7 @@ def dequant_apply(spark, sf_dir):
     return df.select("vec_id", "qp", k.listed(out).alias("coef"))
 
 
-@query(f"SELECT qp, pos, base * 16 * CAST(pow(2, qp // 6 + 2) AS BIGINT) AS factor, p_partkey FROM (SELECT p_partkey, p_size % 52 AS qp, unnest(range(0, 16)) AS pos, unnest(list_transform(range(0, 16), lambda i: [{', '.join(str(list(x)) for x in SCALE)}][p_size % 52 % 6 + 1][CASE (i & 1) + ((i >> 2) & 1) WHEN 0 THEN 1 WHEN 2 THEN 2 ELSE 3 END])) AS base FROM part)")
+@query(f"SELECT qp, pos, base * 16 * CAST(pow(2, qp // 6 + 2) AS BIGINT) AS factor, p_partkey FROM (SELECT p_partkey, p_size % 52 AS qp, unnest(range(0, 16)) AS pos, unnest(list_transform(range(0, 16), lambda i: [{', '.join(str(list(x)) for x in SCALE)}][p_size % 52 % 6 + 1][{_CLASS}])) AS base FROM part)")
 def dequant_table(spark, sf_dir):
     """Scale tables: a factor for each position at a part's qp."""
     rows = [(m, pos, SCALE[m][{0: 0, 2: 1, 1: 2}[(pos & 1) + (pos >> 2 & 1)]]) for m in range(6) for pos in range(16)]
@@ -155,7 +158,7 @@ def deblock_filter(spark, sf_dir):
     return df.select("vec_id", "r", active.alias("active"), F.when(active, p0 + d).otherwise(p0).alias("p"), F.when(active, q0 - d).otherwise(q0).alias("q"), F.when(active, F.shiftright(p2 + 2 * p1 + 2 * p0 + 2 * q0 + q1 + 4, 3)).otherwise(p0).alias("strong_p"))
 
 
-@query(f"WITH {BLOCKS} SELECT vec_id, {_join('list_transform(range(0, 96), lambda i: (a[i * 2 // 3 + 1] * (3 - i * 2 % 3) + a[least(i * 2 // 3 + 1, 63) + 1] * (i * 2 % 3)) // 3)'.replace('// 3)', '// 3)', 1))} AS out_ FROM blocks".replace("(a[i * 2", "floor((a[i * 2").replace("% 3)) // 3)", "% 3)) / 3.0)::BIGINT)"))
+@query(f"WITH {BLOCKS} SELECT vec_id, {_join('list_transform(range(0, 96), lambda i: floor((a[i * 2 // 3 + 1] * (3 - i * 2 % 3) + a[least(i * 2 // 3 + 1, 63) + 1] * (i * 2 % 3)) / 3.0)::BIGINT)')} AS out_ FROM blocks")
 def resample_linear(spark, sf_dir):
     """Three samples for every two, between neighbours."""
     at = lambda i: F.element_at("a", i + 1)
@@ -168,7 +171,7 @@ def resample_linear(spark, sf_dir):
 
 
 @query(f"""WITH {BLOCKS}, e AS (SELECT vec_id, a, CASE WHEN label % 4 IN (0, 1) THEN a[1:8] END AS t, CASE WHEN label % 4 IN (0, 2) THEN a[9:16] END AS l FROM blocks)
-SELECT vec_id, CAST(CASE WHEN t IS NOT NULL AND l IS NOT NULL THEN (list_sum(t) + list_sum(l) + 8) >> 4 WHEN t IS NOT NULL THEN (list_sum(t) + 4) >> 3 WHEN l IS NOT NULL THEN (list_sum(l) + 4) >> 3 ELSE 128 END AS BIGINT) AS dc FROM (SELECT vec_id, t, l FROM e)""".replace("(list_sum(t) + list_sum(l) + 8) >> 4", "CAST(list_sum(t) + list_sum(l) + 8 AS BIGINT) >> 4").replace("(list_sum(t) + 4) >> 3", "CAST(list_sum(t) + 4 AS BIGINT) >> 3").replace("(list_sum(l) + 4) >> 3", "CAST(list_sum(l) + 4 AS BIGINT) >> 3"))
+SELECT vec_id, CAST(CASE WHEN t IS NOT NULL AND l IS NOT NULL THEN CAST(list_sum(t) + list_sum(l) + 8 AS BIGINT) >> 4 WHEN t IS NOT NULL THEN CAST(list_sum(t) + 4 AS BIGINT) >> 3 WHEN l IS NOT NULL THEN CAST(list_sum(l) + 4 AS BIGINT) >> 3 ELSE 128 END AS BIGINT) AS dc FROM (SELECT vec_id, t, l FROM e)""")
 def dc_predictor(spark, sf_dir):
     """The rounded mean of the edges there are; grey without any."""
     total = lambda at: F.aggregate(F.slice("a", at, 8), F.lit(0).cast("long"), lambda s, x: s + x)

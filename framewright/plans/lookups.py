@@ -24,13 +24,13 @@ def asof_chunk_run(spark, sf_dir):
     return found.select("chunk", "run.first_chunk", "run.per_chunk")
 
 
-@query(f"""WITH {PACKETS}, k AS (SELECT stream_index, pts, seq AS key_seq FROM packets WHERE size % 5 = 0), t AS (SELECT seq, stream_index, pts FROM packets WHERE user_id % 3 = 0)
+@query(f"""WITH {PACKETS}, k AS (SELECT stream_index, pts, seq AS key_seq FROM packets WHERE size % 5 = 0), t AS (SELECT seq, stream_index, pts FROM packets)
 SELECT t.seq, k.key_seq, t.pts - k.pts AS behind FROM t ASOF LEFT JOIN k ON t.stream_index = k.stream_index AND t.pts >= k.pts""")
 def asof_keyframe_seek(spark, sf_dir):
-    """A seek in each stream lands on the last key packet at or before its target; without one it has none."""
+    """A seek to each packet of each stream lands on the last key packet at or before its target; without one it has none."""
     df = packets(spark, sf_dir)
     keys = df.where("size % 5 = 0").select("stream_index", "pts", F.struct(F.col("seq").alias("key_seq"), F.col("pts").alias("key_pts")).alias("v"))
-    targets = df.where("user_id % 3 = 0").select("stream_index", "pts", "seq")
+    targets = df.select("stream_index", "pts", "seq")
     found = as_of(targets, keys, ["stream_index"], "pts", lambda c: F.floor(c / DAY), F.col("v"), "key")
     return found.select("seq", "key.key_seq", (F.col("pts") - F.col("key.key_pts")).alias("behind"))
 
@@ -39,8 +39,8 @@ def asof_keyframe_seek(spark, sf_dir):
 def accurate_seek(spark, sf_dir):
     """The first packet of each stream at or after the middle of the log."""
     df = packets(spark, sf_dir)
-    middle = df.agg(F.floor((F.min("pts") + F.max("pts")) / 2).alias("m"))  # one row
-    after = df.join(F.broadcast(middle), F.col("pts") >= F.col("m"))
+    middle = df.agg(F.floor((F.min("pts") + F.max("pts")) / 2)).scalar()
+    after = df.where(F.col("pts") >= middle)
     return after.groupBy("stream_index").agg(F.min("pts").alias("pts"), F.min_by("seq", "pts").alias("seq"))
 
 
@@ -52,15 +52,15 @@ def parameter_set_join(spark, sf_dir):
     return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", F.col("c_custkey").alias("sps"), F.col("o_orderkey").alias("pps"), F.col("c_mktsegment").alias("profile"))
 
 
-@query("""WITH a AS (SELECT row_number() OVER (ORDER BY doc_id) AS n, md5(text) AS v FROM documents WHERE doc_id % 2 = 0), b AS (SELECT row_number() OVER (ORDER BY doc_id) AS n, md5(text) AS v FROM documents WHERE doc_id % 3 <> 1)
+@query("""WITH a AS (SELECT row_number() OVER (ORDER BY doc_id) AS n, CAST(round(length(text) / 100) AS BIGINT) AS v FROM documents), b AS (SELECT row_number() OVER (ORDER BY page_id) AS n, CAST(round(length(html) / 100) AS BIGINT) AS v FROM pages)
 SELECT coalesce(a.n, b.n) AS n, a.v AS left_value, b.v AS right_value, a.n IS NOT NULL AND b.n IS NOT NULL AND a.v IS NOT DISTINCT FROM b.v AS same FROM a FULL JOIN b ON a.n = b.n""")
 def ordinal_compare_listing(spark, sf_dir):
     """Row by row comparison of two listings; missing rows differ."""
     from ..operators.scan import row_number
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("v"))
-    number = lambda df: row_number(df, [], ["doc_id"], F.floor(F.col("doc_id") / 1024), "n").select("n", "v")
-    return ordinal_compare(number(docs.where("doc_id % 2 = 0")), number(docs.where("doc_id % 3 <> 1")), "n", "v")
+    listing = lambda name, key, text: table(spark, sf_dir, name).select(F.col(key).alias("k"), F.round(F.length(text) / 100).cast("long").alias("v"))
+    number = lambda df: row_number(df, [], ["k"], F.floor(F.col("k") / 1024), "n").select("n", "v")
+    return ordinal_compare(number(listing("documents", "doc_id", "text")), number(listing("pages", "page_id", "html")), "n", "v")
 
 
 @query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
@@ -114,9 +114,9 @@ def sample_index(spark, sf_dir):
     return df.select("chunk", "n", (F.col("chunk_offset") + F.col("inside")).alias("offset_"), "size", "dts", (F.col("dts") + cts).alias("pts"), F.col("delta").alias("duration"), ((F.col("n") == 1) | ((F.col("chunk") + F.col("n")) % 4 == 0)).alias("is_key"), "descr")
 
 
-@query("""SELECT a.o_orderkey, b.o_orderkey AS colocated, CAST(round(b.o_totalprice * 100) AS BIGINT) AS motion FROM orders a JOIN orders b ON a.o_orderkey = b.o_orderkey + 1 WHERE a.o_orderstatus = 'F'""")
+@query("""SELECT a.o_orderkey, b.o_orderkey AS colocated, CAST(round(b.o_totalprice * 100) AS BIGINT) AS motion FROM orders a JOIN orders b ON a.o_orderkey = b.o_orderkey + 1""")
 def colocated_join(spark, sf_dir):
     """Pictures with the motion that the picture before them stored."""
     orders = table(spark, sf_dir, "orders")
     b = orders.select(F.col("o_orderkey").alias("colocated"), (F.col("o_orderkey") + 1).alias("k"), F.round(F.col("o_totalprice") * 100).cast("long").alias("motion"))
-    return orders.where("o_orderstatus = 'F'").join(b, F.col("o_orderkey") == F.col("k")).select("o_orderkey", "colocated", "motion")
+    return orders.join(b, F.col("o_orderkey") == F.col("k")).select("o_orderkey", "colocated", "motion")

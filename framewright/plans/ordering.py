@@ -152,9 +152,9 @@ def rle_expand(spark, sf_dir):
 def sync_flags(spark, sf_dir):
     """Samples that a list names; an empty list names all."""
     named = table(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_orderkey").alias("k")).distinct()
-    some = named.limit(1).agg(F.count("*").alias("some"))
+    some = named.limit(1).agg(F.count("*")).scalar()
     df = table(spark, sf_dir, "orders").select("o_orderkey").join(named, F.col("o_orderkey") == F.col("k"), "left")
-    return df.join(F.broadcast(some)).select("o_orderkey", (F.col("k").isNotNull() | (F.col("some") == 0)).alias("is_sync"))
+    return df.select("o_orderkey", (F.col("k").isNotNull() | (some == 0)).alias("is_sync"))
 
 
 @query(f"""WITH {PACKETS}, n AS (SELECT stream_index, size, row_number() OVER (PARTITION BY stream_index ORDER BY pts) - 1 AS i FROM packets)

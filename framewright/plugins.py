@@ -1,17 +1,17 @@
-"""Plug-ins: readers, codecs and filters under names, and graphs of filters over DataFrames.
+"""Plug-ins: readers, codecs and filters under names.
 
-What is registered is a function of DataFrames, so a graph is only a plan that
-Catalyst sees as a whole.
+A filter's ``make`` takes its options and gives a function for DataFrame.transform, so
+a graph of filters is a chain of transforms that Catalyst sees as one plan.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-Transform = Callable[..., DataFrame]
+Transform = Callable[[DataFrame], DataFrame]
 
 
 @dataclass(frozen=True)
@@ -20,7 +20,7 @@ class Descriptor:
 
     kind: str
     name: str
-    make: Transform
+    make: Callable[..., Transform]
     priority: int = 0
     codec: str = ""
     extensions: tuple[str, ...] = ()
@@ -33,8 +33,8 @@ class Registry:
     def __init__(self) -> None:
         self.entries: list[Descriptor] = []
 
-    def add(self, kind: str, name: str, **facts) -> Callable[[Transform], Transform]:
-        def put(f: Transform) -> Transform:
+    def add(self, kind: str, name: str, **facts) -> Callable[[Callable[..., Transform]], Callable[..., Transform]]:
+        def put(f: Callable[..., Transform]) -> Callable[..., Transform]:
             self.entries.append(Descriptor(kind, name, f, **facts))
             return f
 
@@ -73,50 +73,21 @@ class Registry:
 REGISTRY = Registry()
 
 
-@dataclass
-class Graph:
-    """Filters and the links between them; inputs are named frames."""
-
-    registry: Registry = field(default_factory=lambda: REGISTRY)
-    nodes: dict[str, tuple[str, tuple[str, ...], dict]] = field(default_factory=dict)
-
-    def add(self, node: str, filter_: str, *inputs: str, **options) -> Graph:
-        if node in self.nodes:
-            raise ValueError(f"two nodes are named {node}")
-        self.nodes[node] = (filter_, inputs, options)
-        return self
-
-    def run(self, output: str, **frames: DataFrame) -> DataFrame:
-        """The frame at a node; a loop or a missing input is an error."""
-        made: dict[str, DataFrame] = dict(frames)
-
-        def at(name: str, above: tuple[str, ...]) -> DataFrame:
-            if name in made:
-                return made[name]
-            if name in above or name not in self.nodes:
-                raise ValueError(f"{name} is its own input" if name in above else f"nothing is named {name}")
-            filter_, inputs, options = self.nodes[name]
-            made[name] = self.registry.named("filter", filter_).make(*[at(x, (*above, name)) for x in inputs], **options)
-            return made[name]
-
-        return at(output, ())
-
-
 @REGISTRY.add("filter", "streams", note="packets of some streams")
-def _streams(df: DataFrame, keep: tuple[int, ...]) -> DataFrame:
-    return df.where(df["stream_index"].isin(*keep))
+def _streams(keep: tuple[int, ...]) -> Transform:
+    return lambda df: df.where(df["stream_index"].isin(*keep))
 
 
 @REGISTRY.add("filter", "gain", note="sizes times a whole factor")
-def _gain(df: DataFrame, by: int) -> DataFrame:
-    return df.withColumn("size", df["size"] * by)
+def _gain(by: int) -> Transform:
+    return lambda df: df.withColumn("size", df["size"] * by)
 
 
 @REGISTRY.add("filter", "shift", note="times moved")
-def _shift(df: DataFrame, us: int) -> DataFrame:
-    return df.withColumn("pts", df["pts"] + us)
+def _shift(us: int) -> Transform:
+    return lambda df: df.withColumn("pts", df["pts"] + us)
 
 
 @REGISTRY.add("filter", "merge", note="two logs as one")
-def _merge(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.unionByName(b)
+def _merge(other: DataFrame) -> Transform:
+    return lambda df: df.unionByName(other)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framewright.functions import fields
-from framewright.plugins import Graph, Registry
+from framewright.plugins import REGISTRY, Registry
 
 
 def bits(*parts: str) -> bytes:
@@ -52,7 +52,7 @@ def test_messages_and_configuration(spark):
     assert tuple(got[0]["c"]) == (4, 100, 31, 3, 1) and got[1]["c"] is None
 
 
-def test_registry_and_graph(spark):
+def test_registry_and_filters(spark):
     r = Registry()
     r.add("decoder", "low", codec="x", priority=50, note="first")(lambda df: df)
     r.add("decoder", "high", codec="x", priority=100)(lambda df: df)
@@ -64,8 +64,7 @@ def test_registry_and_graph(spark):
     for wrong in (lambda: r.for_codec("decoder", "y"), lambda: r.named("filter", "none"), lambda: r.for_extension("writer", "a.txt")):
         with pytest.raises(KeyError):
             wrong()
-    g = Graph().add("a", "merge", "in", "b").add("b", "merge", "a", "in")
-    with pytest.raises(ValueError):
-        g.run("a", **{"in": spark.range(1)})
-    with pytest.raises(ValueError):
-        Graph().add("a", "gain", "nowhere", by=2).run("a")
+    use = lambda name, **o: REGISTRY.named("filter", name).make(**o)
+    log = spark.createDataFrame([(0, 1, 2), (1, 1, 2)], "stream_index int, pts long, size long")
+    got = log.transform(use("streams", keep=(0,))).transform(use("gain", by=3)).transform(use("shift", us=5)).transform(use("merge", other=log)).collect()
+    assert sorted(tuple(r) for r in got) == [(0, 1, 2), (0, 6, 6), (1, 1, 2)]
