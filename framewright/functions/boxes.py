@@ -83,6 +83,34 @@ def _boxes(b: bytes) -> Iterator[tuple]:
         at += size
 
 
+def box_tree(inner: frozenset[str]) -> Callable[[Column], Column]:
+    """(path, kind, pos, head, size) of all boxes in a run of bytes, those inside boxes of the kinds ``inner`` too."""
+
+    def walk(b: bytes, path: str = "", base: int = 0) -> Iterator[tuple]:
+        for at, kind, head, size in _boxes(b):
+            yield f"{path}/{kind}", kind, base + at, head, size
+            if kind in inner:
+                yield from walk(b[at + head : at + head + size], f"{path}/{kind}", base + at + head)
+
+    return _units(walk, "path:string,kind:string,pos:bigint,head:bigint,size:bigint")
+
+
+def _messages(b: bytes) -> Iterator[tuple]:
+    at, end = 0, len(b) - (b[-1:] == b"\x80")
+    while at < end:
+        values = []
+        for _ in range(2):
+            first = at
+            while at < len(b) and b[at] == 255:
+                at += 1
+            if at >= len(b):
+                return
+            values.append(255 * (at - first) + b[at])
+            at += 1
+        yield tuple(values)
+        at += values[1]
+
+
 def _number(b: bytes, at: int) -> int:
     """Bytes of the variable number at ``at``: the place of its first set bit; 0 where there is none."""
     return 9 - b[at].bit_length() if at < len(b) and b[at] else 0
@@ -118,6 +146,10 @@ elements = _units(_elements, "pos:bigint,id:string,head:bigint,size:bigint")
 frames = _units(_frames, "pos:bigint,pts:bigint,head:bigint,size:bigint")
 
 
+#: (kind, size) of the messages of a side unit; bytes of 255 add up, and a last byte 0x80 ends it.
+messages = _units(_messages, "kind:bigint,size:bigint")
+
+
 def entries(data: Column, start: int, names: tuple[str, ...]) -> Column:
     """Rows of a table of big-endian numbers of four bytes each: their count lies four bytes before ``start``."""
 

@@ -117,27 +117,6 @@ def frame_start(df: DataFrame, *keep: str) -> DataFrame:
     return f.done(profile=profile, show_existing=c("show_existing"), key=F.coalesce(key, F.lit(False)), shown=(c("again") == 1) | (c("shown") == 1), width=c("wide") + 1, height=c("high") + 1)
 
 
-def side_messages(data: Column) -> Column:
-    """(kind, size) of the messages of a side unit; bytes of 255 add up. A last byte 0x80 ends it."""
-    octets = F.transform(F.filter(F.split(F.regexp_replace(F.hex(data), "(..)", "$1 "), " "), lambda x: x != ""), lambda x: F.conv(x, 16, 10).cast("int"))
-    last = F.size(octets)
-    rows = F.transform(octets, lambda b, i: F.struct(b.alias("b"), ((i == last - 1) & (b == 0x80)).alias("end")))
-    zero = F.lit(0)
-    start = F.struct(zero.alias("mode"), zero.alias("kind"), zero.alias("left"), F.array().cast("array<struct<kind:int,size:int>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        mode, b, more = s["mode"], x["b"], x["b"] == 255
-        total = s["left"] + b
-        told = (mode == 1) & ~more
-        after = F.when(mode == 0, F.when(x["end"] | more, 0).otherwise(1)).when(mode == 1, F.when(more, 1).when(total > 0, 2).otherwise(0)).otherwise(F.when(s["left"] > 1, 2).otherwise(0))
-        kind = F.when(mode == 0, F.when(x["end"], 0).otherwise(s["kind"] + b)).when((mode == 1) | (s["left"] > 1), F.when(told & (total == 0), 0).otherwise(s["kind"])).otherwise(0)
-        left = F.when(mode == 0, 0).when(mode == 1, total).otherwise(s["left"] - 1)
-        out = F.when(told, F.array_append(s["out"], F.struct(s["kind"].alias("kind"), total.alias("size")))).otherwise(s["out"])
-        return F.struct(after.alias("mode"), kind.alias("kind"), F.when(after == 0, 0).otherwise(left).alias("left"), out.alias("out"))
-
-    return F.aggregate(rows, start, step, lambda s: s["out"])
-
-
 def configuration(data: Column) -> Column:
     """The decoder's configuration in a container, of one parameter set of either kind: bytes of a length, profile, level and the sets' sizes; null if it is none."""
     first = uint(data, 6, 2)

@@ -61,21 +61,12 @@ def _movie(spark, sf_dir):
     return df.select("l_orderkey", file.alias("file"))
 
 
-#: Boxes that hold boxes.
-_INNER = ("moov", "trak", "mdia", "minf", "stbl")
+_boxes = bx.box_tree(frozenset(("moov", "trak", "mdia", "minf", "stbl")))
 
 
 def _tree(files):
-    """(l_orderkey, path, kind, pos, size, body): all boxes, level by level; only boxes that hold boxes are walked again, as deep as a sample table lies."""
-    level = files.select("l_orderkey", F.lit("").alias("path"), F.lit(0).cast("long").alias("base"), F.col("file").alias("body"))
-    out = None
-    for _ in range(len(_INNER) + 1):
-        units = level.select("l_orderkey", "path", "base", "body", F.explode(bx.boxes(F.col("body"))).alias("b"))
-        at = F.col("b.pos") + F.col("b.head")
-        units = units.select("l_orderkey", F.concat("path", F.lit("/"), "b.kind").alias("path"), F.col("b.kind").alias("kind"), (F.col("base") + F.col("b.pos")).alias("pos"), (F.col("base") + at).alias("base"), F.col("b.size").alias("size"), F.substring(F.col("body"), (2 * at + 1).cast("int"), (2 * F.col("b.size")).cast("int")).alias("body"))
-        out = units if out is None else out.union(units)
-        level = units.where(F.col("kind").isin(*_INNER)).select("l_orderkey", "path", "base", "body")
-    return out
+    """(l_orderkey, file, b): a row for each box of a file, at any depth."""
+    return files.select("l_orderkey", "file", F.explode(_boxes(F.col("file"))).alias("b"))
 
 
 @query("""WITH n AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey), s AS (SELECT l_orderkey, n, 8 + 8 + 8 * n AS stts, 8 + 12 + 4 * n AS stsz FROM n), z AS (SELECT *, 8 + stts + stsz + 20 AS stbl FROM s),
@@ -85,17 +76,18 @@ r AS (SELECT l_orderkey, unnest([{'p': '/ftyp', 'o': 0, 's': 8}, {'p': '/free',
 SELECT l_orderkey, u.p AS path, CAST(u.o AS BIGINT) AS pos, CAST(u.s AS BIGINT) AS size FROM r""")
 def movie_boxes(spark, sf_dir):
     """The tree of a movie's boxes: path, place and size of the payload of each."""
-    return _tree(_movie(spark, sf_dir)).select("l_orderkey", "path", "pos", "size")
+    return _tree(_movie(spark, sf_dir)).select("l_orderkey", "b.path", "b.pos", "b.size")
 
 
 @query(f"""SELECT l_orderkey, row_number() OVER w AS n, CAST(l_quantity AS BIGINT) AS size, l_suppkey + 1 AS delta, CAST(coalesce(sum(l_suppkey + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS dts,
  CAST(l_orderkey * 100 + coalesce(sum(CAST(l_quantity AS BIGINT)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS place, CAST(1000 + l_orderkey % 7 AS BIGINT) AS timescale FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY {_ORDER})""")
 def movie_samples(spark, sf_dir):
     """Samples of a movie from the leaf boxes of its bytes: sizes, times and places joined by the sample's number."""
-    leaf = _tree(_movie(spark, sf_dir)).where(F.col("kind").isin("stts", "stsz", "stco", "mdhd"))
-    bodies = leaf.groupBy("l_orderkey").agg(*[F.max(F.when(F.col("kind") == x, F.col("body"))).alias(x) for x in ("stts", "stsz", "stco", "mdhd")])  # one row a file
-    body = lambda x: F.col(x)
-    df = bodies.select("l_orderkey", bx.read_big(body("mdhd"), 12, 4).alias("timescale"), bx.read_big(body("stco"), 8, 4).alias("first"), bx.entries(body("stts"), 8, ("count", "delta")).alias("t"), bx.entries(body("stsz"), 12, ("size",)).alias("s"))
+    files = _movie(spark, sf_dir).withColumn("tree", _boxes(F.col("file")))
+    leaf = lambda x: F.get(F.filter("tree", lambda b: b["kind"] == x), F.lit(0))
+    cut = lambda x: F.substring(F.col("file"), (2 * (leaf(x)["pos"] + leaf(x)["head"]) + 1).cast("int"), (2 * leaf(x)["size"]).cast("int"))
+    body = F.col
+    df = files.select("l_orderkey", *[cut(x).alias(x) for x in ("stts", "stsz", "stco", "mdhd")]).select("l_orderkey", bx.read_big(body("mdhd"), 12, 4).alias("timescale"), bx.read_big(body("stco"), 8, 4).alias("first"), bx.entries(body("stts"), 8, ("count", "delta")).alias("t"), bx.entries(body("stsz"), 12, ("size",)).alias("s"))
     df = df.select("l_orderkey", "timescale", "first", F.posexplode(F.arrays_zip("t", "s")).alias("i", "x")).select("l_orderkey", "timescale", "first", (F.col("i") + 1).cast("long").alias("n"), F.col("x.s.size").alias("size"), F.col("x.t.delta").alias("delta"))
     w = Window.partitionBy("l_orderkey").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     return df.select("l_orderkey", "n", "size", "delta", F.coalesce(F.sum("delta").over(w), F.lit(0)).alias("dts"), (F.col("first") + F.coalesce(F.sum("size").over(w), F.lit(0))).alias("place"), "timescale")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..functions import bits as bt
 from ..functions import fields
+from ..functions.boxes import messages
 from ..tables import table
 
 
@@ -69,10 +70,10 @@ def frame_header(spark, sf_dir):
 
 
 @query("""WITH RECURSIVE b AS (SELECT conv_id, turn, hex(encode(text)) AS h FROM conversations), w AS (SELECT conv_id, turn, 0 AS n, 0 AS pos, h FROM b UNION ALL SELECT conv_id, turn, n + 1, pos + 2 + CAST(('0x' || h[2 * pos + 3:2 * pos + 4]) AS INTEGER), h FROM w WHERE 2 * pos + 4 <= length(h))
-SELECT conv_id, turn, CAST(n AS INTEGER) AS n, CAST(('0x' || h[2 * pos + 1:2 * pos + 2]) AS INTEGER) AS kind, CAST(('0x' || h[2 * pos + 3:2 * pos + 4]) AS INTEGER) AS size FROM w WHERE 2 * pos + 4 <= length(h)""")
+SELECT conv_id, turn, CAST(n AS INTEGER) AS n, CAST(('0x' || h[2 * pos + 1:2 * pos + 2]) AS BIGINT) AS kind, CAST(('0x' || h[2 * pos + 3:2 * pos + 4]) AS BIGINT) AS size FROM w WHERE 2 * pos + 4 <= length(h)""")
 def side_messages(spark, sf_dir):
     """Kinds and sizes of the messages in a payload, one after the other."""
-    df = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(fields.side_messages(F.encode("text", "utf-8"))).alias("n", "m"))
+    df = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(messages(F.hex(F.encode("text", "utf-8")))).alias("n", "m"))
     return df.select("conv_id", "turn", "n", "m.kind", "m.size")
 
 

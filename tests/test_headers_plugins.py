@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from framewright.functions import fields
+from framewright.functions import boxes, fields
 from framewright.plugins import REGISTRY, Registry
 
 
@@ -45,7 +45,7 @@ def test_frames(spark):
 
 def test_messages_and_configuration(spark):
     rows = [(bytearray([6, 1, 0x55, 255, 5, 2, 1, 2, 0x80]),), (bytearray([1, 255, 3] + [0] * 258 + [2, 0]),), (bytearray(b""),)]
-    got = spark.createDataFrame(rows, "d binary").select(fields.side_messages(F.col("d")).alias("m")).collect()
+    got = spark.createDataFrame(rows, "d binary").select(boxes.messages(F.hex("d")).alias("m")).collect()
     assert [[tuple(x) for x in r["m"]] for r in got] == [[(6, 1), (260, 2)], [(1, 258), (2, 0)], []]
     rows = [(bytearray([1, 100, 0, 31, 0xFF, 0xE1, 0, 3, 1, 2, 3, 1, 0, 1, 9]),), (bytearray([1, 100, 0, 31, 0xFF, 0xE1, 0, 30, 1]),)]
     got = spark.createDataFrame(rows, "d binary").coalesce(1).select(fields.configuration(F.col("d")).alias("c")).collect()
