@@ -22,8 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def bounded_batches(spark: SparkSession, size: int = 16 << 20) -> None:
-    """Arrow batches of ``size`` bytes at most from now on in this session (Spark's default is four times that), so that long texts don't add up in a worker."""
+def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Arrow batches of ``size`` bytes at most from now on in this session (a sixteenth of what Spark has by default), so that long texts don't add up in a worker."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key, None) is not None:
         spark.conf.set(key, str(size))
