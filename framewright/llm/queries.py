@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import flac, html_text, langid, mixing, packing, quality, simhash, spotsigs, substrings, token_counts
+from . import decontaminate, flac, html_text, langid, mixing, packing, quality, simhash, spotsigs, substrings, token_counts
 from .common import crc_fold, table
 
 
@@ -88,6 +88,26 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that windows of 10 words of benchmark items hit, and which items."""
+    found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10, keep=["doc_id"])
+    n_hit = F.size("covered").cast("long")
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+OP13 = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+g AS (SELECT DISTINCT item, least(len(w), 10) AS n, unnest(list_transform(range(1, greatest(len(w) - 10, 0) + 2), lambda i: array_to_string(w[i:i + 9], ' '))) AS gram FROM b WHERE len(w) > 0),
+o AS (SELECT r, n, unnest(range(1, len(w) - n + 2)) AS p, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS gram FROM d, (SELECT DISTINCT n FROM g)),
+h AS (SELECT r, p, n, item FROM o JOIN g USING (n, gram)),
+c AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM (SELECT DISTINCT r, p, n FROM h)) GROUP BY r),
+i AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (r) LEFT JOIN i USING (r)
+"""
+
+
 def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and target of every source in the mix of op10."""
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(mixing.WORD)), F.lit(0)).cast("long")
@@ -133,10 +153,10 @@ SELECT doc_id, length(text) AS n_chars, sha256(substring(text, 1, length(text) -
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """The ten operators, and those of their parts that SQL can say."""
+    """The operators, and those of their parts that SQL can say."""
     parts = {f.__name__: f for f in (mix_targets, media_payloads, edited_texts)}
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | parts
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"mix_targets": MIX_TARGETS, "media_payloads": MEDIA_PAYLOADS, "edited_texts": EDITED_TEXTS}
+    return {"op13_decontamination": OP13, "mix_targets": MIX_TARGETS, "media_payloads": MEDIA_PAYLOADS, "edited_texts": EDITED_TEXTS}
