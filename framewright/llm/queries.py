@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, flac, html_text, langid, lexical, mixing, packing, quality, simhash, spotsigs, substrings, token_counts
+from . import conversations, decontaminate, flac, html_text, langid, lexical, mixing, packing, quality, simhash, spotsigs, substrings, token_counts
 from .common import crc_fold, table
 
 
@@ -105,6 +105,11 @@ SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_
 """
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation after planted faults: what is wrong with it, and the cheapest edits that repair it."""
+    return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that windows of 10 words of benchmark items hit, and which items."""
     found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10, keep=["doc_id"])
