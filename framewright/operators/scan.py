@@ -1,60 +1,98 @@
 """Ordered scans that no single task has to do alone.
 
-A window over a whole stream puts the stream into one task. Here a stream is cut
-into ranges of its order; windows run within a range, and what a range needs from
-those before it comes from a small table with one row per range.
+A window over a whole stream puts the stream into one task. Here rows are dealt once
+by ranges of their keys and order (``ranged``); Spark takes the bounds from a sample of the
+data, so that ranges have about equally many rows however dense a stretch is, and
+equal times are split by what breaks their ties. Windows run within a range, and what a range needs from
+those before it comes from a table with a row for each range and key. As many
+scans as needed run over one ranged table, in the same exchange.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of time in µs: a day.
-DAY = 86_400_000_000
+from ..scratch import materialize
 
+#: The range of a row; results keep it, so that scans can follow each other.
+RANGE = "_r"
 
-def _keys(keys: list[str]) -> list[Column]:
-    return [F.col(k) for k in keys] or [F.lit(0)]
 
+def ranged(df: DataFrame, keys: list[str], order: list[str], ranges: int | None = None) -> DataFrame:
+    """df and _r: rows dealt by ranges of keys and order and written once; so many ranges, or as Spark sees fit. ``order`` should tell all rows of a key apart."""
+    if RANGE in df.columns:
+        return df
+    return materialize(df.repartitionByRange(*([ranges] if ranges else []), *keys, *order).withColumn(RANGE, F.spark_partition_id()), "ranged")
 
-def running_sum(df: DataFrame, keys: list[str], order: list[str], range_: Column, value: Column, out: str, inclusive: bool = False) -> DataFrame:
-    """df and ``out``: the sum of ``value`` over the rows before (or up to) each row of its keys, in the order given.
 
-    ``range_`` must not fall as the order goes on. Two shuffles, one of them of a
-    row for each range.
-    """
-    df = df.withColumn("_r", range_).withColumn("_v", value)
-    totals = df.groupBy(*keys, "_r").agg(F.sum("_v").alias("_t"))
-    before = totals.withColumn("_b", F.coalesce(F.sum("_t").over(Window.partitionBy(*_keys(keys)).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")
-    own = F.sum("_v").over(Window.partitionBy(*keys, "_r").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    total = F.col("_b") + F.coalesce(own, F.lit(0)) - (F.lit(0) if inclusive else F.coalesce(F.col("_v"), F.lit(0)))
-    return df.join(before, [*keys, "_r"]).withColumn(out, total).drop("_r", "_v", "_b")
+def _within(keys: list[str], order: list[str]) -> Window:
+    return Window.partitionBy(*keys, RANGE).orderBy(*order)
+
+
+def _between(keys: list[str]) -> Window:
+    """Over a table with a row for each range, of which there are as many as shuffle partitions."""
+    return Window.partitionBy(*([F.col(k) for k in keys] or [F.lit(0)])).orderBy(RANGE)
+
+
+def _join(df: DataFrame, ranges: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """df and a column of its range; null keys are a key."""
+    ranges = ranges.select(*[F.col(k).alias(f"_k_{k}") for k in [*keys, RANGE]], value)
+    same = reduce(Column.__and__, [df[k].eqNullSafe(ranges[f"_k_{k}"]) for k in keys], df[RANGE] == ranges[f"_k_{RANGE}"])
+    return df.join(ranges, same, "left").drop(*[f"_k_{k}" for k in [*keys, RANGE]])
 
 
-def row_number(df: DataFrame, keys: list[str], order: list[str], range_: Column, out: str) -> DataFrame:
+def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, inclusive: bool = False) -> DataFrame:
+    """df and ``out``: the sum of ``value`` over the rows before (or up to) each row of its keys, in the order given."""
+    df = ranged(df, keys, order).withColumn("_v", value)
+    totals = df.groupBy(*keys, RANGE).agg(F.sum("_v").alias("_t"))
+    before = totals.withColumn("_b", F.sum("_t").over(_between(keys).rowsBetween(Window.unboundedPreceding, -1)))
+    own = F.sum("_v").over(_within(keys, order).rowsBetween(Window.unboundedPreceding, 0))
+    total = F.coalesce(F.col("_b"), F.lit(0)) + F.coalesce(own, F.lit(0)) - (F.lit(0) if inclusive else F.coalesce(F.col("_v"), F.lit(0)))
+    return _join(df, before, keys, "_b").withColumn(out, total).drop("_v", "_b")
+
+
+def row_number(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
     """df and ``out``: the number of each row in the order of its keys, from 1."""
-    return running_sum(df, keys, order, range_, F.lit(1).cast("long"), out, inclusive=True)
+    return running_sum(df, keys, order, F.lit(1).cast("long"), out, inclusive=True)
 
 
-def last_known(df: DataFrame, keys: list[str], order: list[str], range_: Column, value: Column, out: str) -> DataFrame:
+def last_known(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str) -> DataFrame:
     """df and ``out``: the last value that is not null up to each row."""
-    df = df.withColumn("_r", range_).withColumn("_v", value)
-    at = F.struct(*order)
-    lasts = df.where(F.col("_v").isNotNull()).groupBy(*keys, "_r").agg(F.max_by("_v", at).alias("_l"))
-    ranges = df.select(*keys, "_r").distinct().join(lasts, [*keys, "_r"], "left")
-    before = ranges.withColumn("_b", F.last("_l", ignorenulls=True).over(Window.partitionBy(*_keys(keys)).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))).drop("_l")
-    own = F.last("_v", ignorenulls=True).over(Window.partitionBy(*keys, "_r").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.join(before, [*keys, "_r"]).withColumn(out, F.coalesce(own, F.col("_b"))).drop("_r", "_v", "_b")
+    df = ranged(df, keys, order).withColumn("_v", value)
+    lasts = df.groupBy(*keys, RANGE).agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))).alias("_l"))
+    before = lasts.withColumn("_b", F.last("_l", ignorenulls=True).over(_between(keys).rowsBetween(Window.unboundedPreceding, -1)))
+    own = F.last("_v", ignorenulls=True).over(_within(keys, order).rowsBetween(Window.unboundedPreceding, 0))
+    return _join(df, before, keys, "_b").withColumn(out, F.coalesce(own, F.col("_b"))).drop("_v", "_b")
 
 
-def neighbour(df: DataFrame, keys: list[str], order: list[str], range_: Column, value: Column, out: str, step: int = 1) -> DataFrame:
+def neighbour(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, step: int = 1) -> DataFrame:
     """df and ``out``: the value of the next row (step 1) or of the one before (step -1); null at the end."""
-    df = df.withColumn("_r", range_).withColumn("_v", value)
-    at = F.struct(*order)
-    edge = (F.min_by if step > 0 else F.max_by)(F.struct("_v"), at)
-    edges = df.groupBy(*keys, "_r").agg(edge.alias("_e"))
-    over = Window.partitionBy(*_keys(keys)).orderBy("_r")
-    beyond = edges.withColumn("_n", (F.lead if step > 0 else F.lag)("_e").over(over)).drop("_e")
-    own = (F.lead if step > 0 else F.lag)(F.struct("_v")).over(Window.partitionBy(*keys, "_r").orderBy(*order))
-    return df.join(beyond, [*keys, "_r"]).withColumn(out, F.coalesce(own, F.col("_n"))["_v"]).drop("_r", "_v", "_n")
+    df = ranged(df, keys, order).withColumn("_v", value)
+    beside = F.lead if step > 0 else F.lag
+    edges = df.groupBy(*keys, RANGE).agg((F.min_by if step > 0 else F.max_by)(F.struct("_v"), F.struct(*order)).alias("_e"))
+    beyond = edges.withColumn("_n", beside("_e").over(_between(keys)))
+    own = beside(F.struct("_v")).over(_within(keys, order))
+    return _join(df, beyond, keys, "_n").withColumn(out, F.coalesce(own, F.col("_n"))["_v"]).drop("_v", "_n")
+
+
+def with_halo(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, rows: int, step: int = -1) -> DataFrame:
+    """df and ``out``: the values of up to ``rows`` rows before each row (step -1) or after it (step 1), in order, over the ends of ranges too.
+
+    A range hands on its last (or first) rows; one with fewer rows hands on what it got as well.
+    """
+    df = ranged(df, keys, order).withColumn("_v", F.struct(value.alias("v")))
+    at = F.struct(*order).alias("_at")
+    kept = df.select(*keys, RANGE, at, "_v").withColumn("_i", F.row_number().over(Window.partitionBy(*keys, RANGE).orderBy(F.col("_at").asc() if step > 0 else F.col("_at").desc()))).where(F.col("_i") <= rows)
+    edges = kept.groupBy(*keys, RANGE).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_v"))), lambda x: x["_v"]).alias("_e"))
+    frame = (1, rows) if step > 0 else (-rows, -1)
+    near = F.flatten(F.collect_list("_e").over(_between(keys).rowsBetween(*frame)))
+    beyond = edges.withColumn("_n", F.slice(near, 1, rows) if step > 0 else F.slice(near, F.greatest(F.size(near) - rows, F.lit(0)) + 1, F.lit(rows)))
+    own = F.collect_list("_v").over(_within(keys, order).rowsBetween(*frame))
+    df = _join(df, beyond, keys, "_n").withColumn("_o", own)
+    more = F.greatest(F.lit(rows) - F.size("_o"), F.lit(0))
+    there = F.coalesce("_n", F.array().cast(f"array<{df.schema['_v'].dataType.simpleString()}>"))
+    both = F.concat("_o", F.slice(there, F.lit(1), more)) if step > 0 else F.concat(F.slice(there, F.greatest(F.size(there) - more, F.lit(0)) + 1, more), F.col("_o"))
+    return df.withColumn(out, F.transform(both, lambda x: x["v"])).drop("_v", "_n", "_o")

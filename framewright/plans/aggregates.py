@@ -45,7 +45,7 @@ def plane_max_diff(spark, sf_dir):
 r AS (SELECT event_type, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM e GROUP BY event_type, g) SELECT row_number() OVER (ORDER BY first) AS run, event_type, n, first, last FROM r""")
 def rle_encode(spark, sf_dir):
     """Runs of equal kinds of events."""
-    return run_lengths(table(spark, sf_dir, "events").select("event_id", "event_type"), [], ["event_id"], F.floor(F.col("event_id") / 8192), "event_type")
+    return run_lengths(table(spark, sf_dir, "events").select("event_id", "event_type"), [], ["event_id"], "event_type")
 
 
 @query(f"""WITH {PACKETS}, h AS (SELECT *, pts // 3600000000 AS hour, seq // 256 AS part FROM packets) SELECT stream_index::INTEGER AS stream_index, hour, part, count(*) AS samples, CAST(sum(size) AS BIGINT) AS bytes, array_to_string(list(size ORDER BY pts), ',') AS sizes, array_to_string(list(seq ORDER BY pts) FILTER (is_key), ',') AS keys, bool_or(user_id % 10 = 0) AS has_cts FROM h GROUP BY 1, 2, 3""")

@@ -24,7 +24,7 @@ FROM s LEFT JOIN x ON s.conv_id = x.conv_id AND s.turn = x.turn""")
 def packet_listing(spark, sf_dir):
     """The checksum listing: a line for each packet with stream, times, size and Adler-32 of seed 0."""
     df = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.octet_length("text").cast("long").alias("size"), bt.adler32(F.encode("text", "utf-8"), seed=0).alias("checksum"))
-    df = running_sum(df, ["role"], ["conv_id", "turn"], F.floor(F.col("conv_id") / 256), F.col("size"), "dts")
+    df = running_sum(df, ["role"], ["conv_id", "turn"], F.col("size"), "dts")
     stream = F.when(F.col("role") == "assistant", 0).when(F.col("role") == "system", 1).otherwise(2)
     return df.select("conv_id", "turn", "role", "dts", "size", "checksum", F.format_string("%d, %d, %d, %d, %d, 0x%08x", stream, "dts", "dts", "size", "size", "checksum").alias("line"))
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import kernels as k
-from ..operators.scan import running_sum
 from ..plugins import REGISTRY
 from ..tables import BLOCKS, PACKETS, blocks, literal, packets, table
 
@@ -164,5 +164,6 @@ def list_equality(spark, sf_dir):
 def chunk_offsets(spark, sf_dir):
     """Places of samples within their chunks."""
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate"]
-    df = running_sum(table(spark, sf_dir, "lineitem"), ["l_orderkey"], order, F.lit(0), F.col("l_quantity").cast("long"), "inside")
+    before = Window.partitionBy("l_orderkey").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)  # a chunk is small
+    df = table(spark, sf_dir, "lineitem").withColumn("inside", F.coalesce(F.sum(F.col("l_quantity").cast("long")).over(before), F.lit(0)))
     return df.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "inside")

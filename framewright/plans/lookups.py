@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..operators.matching import as_of, ordinal_compare
-from ..operators.scan import DAY, running_sum
+from ..operators.scan import last_known, row_number, running_sum
 from ..tables import BLOCKS, PACKETS, blocks, packets, table
 
 _LINE = "l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate"
@@ -20,7 +20,7 @@ def asof_chunk_run(spark, sf_dir):
     """Each chunk takes the last run that begins no later."""
     runs = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("chunk"), F.struct(F.col("o_orderkey").alias("first_chunk"), (1 + F.col("o_orderkey") % 4).alias("per_chunk")).alias("v"))
     chunks = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("chunk")).distinct()
-    found = as_of(chunks, runs, [], "chunk", lambda c: F.floor(c / 4096), F.col("v"), "run")
+    found = as_of(chunks, runs, [], "chunk", F.col("v"), "run")
     return found.select("chunk", "run.first_chunk", "run.per_chunk")
 
 
@@ -31,7 +31,7 @@ def asof_keyframe_seek(spark, sf_dir):
     df = packets(spark, sf_dir)
     keys = df.where("size % 5 = 0").select("stream_index", "pts", F.struct(F.col("seq").alias("key_seq"), F.col("pts").alias("key_pts")).alias("v"))
     targets = df.select("stream_index", "pts", "seq")
-    found = as_of(targets, keys, ["stream_index"], "pts", lambda c: F.floor(c / DAY), F.col("v"), "key")
+    found = as_of(targets, keys, ["stream_index"], "pts", F.col("v"), "key", ties=("seq",))
     return found.select("seq", "key.key_seq", (F.col("pts") - F.col("key.key_pts")).alias("behind"))
 
 
@@ -56,10 +56,8 @@ def parameter_set_join(spark, sf_dir):
 SELECT coalesce(a.n, b.n) AS n, a.v AS left_value, b.v AS right_value, a.n IS NOT NULL AND b.n IS NOT NULL AND a.v IS NOT DISTINCT FROM b.v AS same FROM a FULL JOIN b ON a.n = b.n""")
 def ordinal_compare_listing(spark, sf_dir):
     """Row by row comparison of two listings; missing rows differ."""
-    from ..operators.scan import row_number
-
     listing = lambda name, key, text: table(spark, sf_dir, name).select(F.col(key).alias("k"), F.round(F.length(text) / 100).cast("long").alias("v"))
-    number = lambda df: row_number(df, [], ["k"], F.floor(F.col("k") / 1024), "n").select("n", "v")
+    number = lambda df: row_number(df, [], ["k"], "n").select("n", "v")
     return ordinal_compare(number(listing("documents", "doc_id", "text")), number(listing("pages", "page_id", "html")), "n", "v")
 
 
@@ -107,9 +105,11 @@ def sample_index(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     chunks = orders.select("o_orderkey", (F.col("o_orderkey") * 100_000).alias("chunk_offset"), (1 + F.col("o_orderkey") % 4).alias("delta"))
     df = lines.join(chunks, F.col("l_orderkey") == F.col("o_orderkey"))
-    df = running_sum(df, [], ["l_orderkey", "n"], F.floor(F.col("l_orderkey") / 4096), F.col("delta"), "dts").withColumnRenamed("l_orderkey", "chunk")
     runs = orders.where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("chunk"), (F.col("o_orderkey") % 3).alias("v"))
-    df = as_of(df, runs, [], "chunk", lambda c: F.floor(c / 4096), F.col("v"), "descr")
+    # runs are rows that come before their chunk's samples and take no time: both scans share one table
+    both = df.withColumnRenamed("l_orderkey", "chunk").unionByName(runs, allowMissingColumns=True)
+    df = running_sum(both, [], ["chunk", "n"], F.col("delta"), "dts")
+    df = last_known(df, [], ["chunk", "n"], F.col("v"), "descr").where("n is not null")
     cts = F.when(F.col("chunk") % 2 == 0, F.col("n") % 3).otherwise(0)
     return df.select("chunk", "n", (F.col("chunk_offset") + F.col("inside")).alias("offset_"), "size", "dts", (F.col("dts") + cts).alias("pts"), F.col("delta").alias("duration"), ((F.col("n") == 1) | ((F.col("chunk") + F.col("n")) % 4 == 0)).alias("is_key"), "descr")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..functions import timebase as tb
 from ..operators.matching import as_of
-from ..operators.scan import DAY, last_known, neighbour, row_number, running_sum
+from ..operators.scan import last_known, neighbour, row_number, running_sum
 from ..tables import PACKETS, packets, table
 
 #: Orders as pictures: decode order is the key, display order (poc) is the key moved within a group of eight, and every 64th begins anew.
@@ -27,7 +27,7 @@ def dts_interleave(spark, sf_dir):
     pts = F.col("pts")
     us = F.when(F.col("stream_index") % 2 == 0, tb.rescale(F.expr("pts div 90"), F.lit(1_000_000), F.lit(11_111), "zero")).otherwise(pts)
     df = packets(spark, sf_dir).select("seq", "stream_index", us.alias("dts_us"))
-    return row_number(df, [], ["dts_us", "stream_index", "seq"], F.floor(F.col("dts_us") / DAY), "n").select("seq", "stream_index", "dts_us", "n")
+    return row_number(df, [], ["dts_us", "stream_index", "seq"], "n").select("seq", "stream_index", "dts_us", "n")
 
 
 @query(f"WITH {_PICS} SELECT seq, seg, poc, row_number() OVER (PARTITION BY seg ORDER BY poc, seq) AS n FROM pics")
@@ -112,21 +112,19 @@ v AS (SELECT *, CASE WHEN gap > 0 AND gap < 10000 THEN gap END AS ok FROM g)
 SELECT seq, round(last_value(ok IGNORE NULLS) OVER (PARTITION BY stream_index ORDER BY pts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 3) AS duration FROM v""")
 def pts_gap(spark, sf_dir):
     """Durations from the next packet's time; a gap out of range takes the duration before."""
-    r = F.floor(F.col("pts") / DAY)
-    df = neighbour(packets(spark, sf_dir).select("seq", "stream_index", "pts"), ["stream_index"], ["pts"], r, F.col("pts"), "next")
+    df = neighbour(packets(spark, sf_dir).select("seq", "stream_index", "pts"), ["stream_index"], ["pts"], F.col("pts"), "next")
     gap = (F.col("next") - F.col("pts")) / 1_000_000
     df = df.withColumn("ok", F.when((gap > 0) & (gap < 10_000), gap))
-    return last_known(df, ["stream_index"], ["pts"], r, F.col("ok"), "d").select("seq", F.round("d", 3).alias("duration"))
+    return last_known(df, ["stream_index"], ["pts"], F.col("ok"), "d").select("seq", F.round("d", 3).alias("duration"))
 
 
 @query("""WITH c AS (SELECT o_orderkey AS seq, o_orderkey * 3 % 256 AS counter FROM orders), w AS (SELECT seq, counter, CASE WHEN counter < lag(counter) OVER (ORDER BY seq) THEN 1 ELSE 0 END AS wrap FROM c)
 SELECT seq, counter, CAST(counter + 256 * sum(wrap) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS unwrapped FROM w""")
 def counter_unwrap(spark, sf_dir):
     """A counter modulo 256 as one that only grows."""
-    r = F.floor(F.col("seq") / 8192)
     df = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), (F.col("o_orderkey") * 3 % 256).alias("counter"))
-    df = neighbour(df, [], ["seq"], r, F.col("counter"), "before", step=-1)
-    df = running_sum(df, [], ["seq"], r, F.when(F.col("counter") < F.col("before"), 1).otherwise(0).cast("long"), "wraps", inclusive=True)
+    df = neighbour(df, [], ["seq"], F.col("counter"), "before", step=-1)
+    df = running_sum(df, [], ["seq"], F.when(F.col("counter") < F.col("before"), 1).otherwise(0).cast("long"), "wraps", inclusive=True)
     return df.select("seq", "counter", (F.col("counter") + 256 * F.col("wraps")).alias("unwrapped"))
 
 
@@ -135,7 +133,7 @@ SELECT seq AS n, seq, false AS filled, seq * 2 AS poc FROM n UNION ALL SELECT m
 def gap_fill(spark, sf_dir):
     """Placeholders for missing counters, made from the last picture before them."""
     p = table(spark, sf_dir, "orders").where("o_orderkey % 5 not in (2, 3)").select(F.col("o_orderkey").alias("seq"))
-    p = neighbour(p, [], ["seq"], F.floor(F.col("seq") / 8192), F.col("seq"), "prev", step=-1)
+    p = neighbour(p, [], ["seq"], F.col("seq"), "prev", step=-1)
     there = p.select(F.col("seq").alias("n"), "seq", F.lit(False).alias("filled"), (F.col("seq") * 2).alias("poc"))
     gaps = p.where("seq - prev > 1").select("prev", F.explode(F.sequence(F.col("prev") + 1, F.col("seq") - 1)).alias("m"))
     return there.unionByName(gaps.select(F.col("m").alias("n"), F.col("prev").alias("seq"), F.lit(True).alias("filled"), (F.col("prev") * 2 + 2 * (F.col("m") - F.col("prev"))).alias("poc")))
@@ -161,7 +159,7 @@ def sync_flags(spark, sf_dir):
 SELECT stream_index::INTEGER AS stream_index, i // 64 AS block, count(*) AS n, CAST(sum(size) AS BIGINT) AS total, CAST(64 - count(*) AS BIGINT) AS padding, md5(array_to_string(list(size ORDER BY i), ',')) AS digest FROM n GROUP BY stream_index, i // 64""")
 def chunk_fixed(spark, sf_dir):
     """Blocks of 64 packets of each stream; the last one is padded."""
-    df = row_number(packets(spark, sf_dir), ["stream_index"], ["pts"], F.floor(F.col("pts") / DAY), "n").withColumn("i", F.col("n") - 1)
+    df = row_number(packets(spark, sf_dir), ["stream_index"], ["pts"], "n").withColumn("i", F.col("n") - 1)
     g = df.groupBy("stream_index", F.floor(F.col("i") / 64).alias("block")).agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.array_sort(F.collect_list(F.struct("i", "size"))).alias("s"))
     return g.select("stream_index", "block", "n", "total", (64 - F.col("n")).alias("padding"), F.md5(F.array_join(F.col("s.size").cast("array<string>"), ",")).alias("digest"))
 
@@ -169,7 +167,7 @@ def chunk_fixed(spark, sf_dir):
 @query(f"WITH {PACKETS} SELECT seq, CAST(coalesce(sum(size) OVER (PARTITION BY stream_index ORDER BY pts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS dts FROM packets")
 def cumulative_dts(spark, sf_dir):
     """Decode times from durations."""
-    return running_sum(packets(spark, sf_dir), ["stream_index"], ["pts"], F.floor(F.col("pts") / DAY), F.col("size"), "dts").select("seq", "dts")
+    return running_sum(packets(spark, sf_dir), ["stream_index"], ["pts"], F.col("size"), "dts").select("seq", "dts")
 
 
 @query("SELECT p_partkey, array_to_string(list_transform(range(0, 8), lambda i: CASE WHEN (p_size * 5 >> CAST(i AS INTEGER)) & 1 = 1 THEN p_partkey ELSE i END), ',') AS slots FROM part")
@@ -202,7 +200,7 @@ def av_clock_interp(spark, sf_dir):
     """The audio clock at each picture: the last audio packet, and how far time has run since."""
     df = packets(spark, sf_dir)
     audio = df.where("kind = 'view'").select("pts", F.struct("size", "pts").alias("v"))
-    found = as_of(df.where("kind = 'click'").select("pts", "seq"), audio, [], "pts", lambda c: F.floor(c / DAY), F.col("v"), "a")
+    found = as_of(df.where("kind = 'click'").select("pts", "seq"), audio, [], "pts", F.col("v"), "a", ties=("seq",))
     return found.select("seq", F.col("a.size").alias("audio_size"), F.round((F.col("pts") - F.col("a.pts")) / 1_000_000, 4).alias("ahead"))
 
 
@@ -222,7 +220,7 @@ def sync_delay(spark, sf_dir):
 SELECT seq, coalesce(shown > next, false) AS dropped FROM n""")
 def late_drop(spark, sf_dir):
     """Pictures that come so late that the next one is due."""
-    df = neighbour(packets(spark, sf_dir).select("seq", "stream_index", "pts", "size"), ["stream_index"], ["pts"], F.floor(F.col("pts") / DAY), F.col("pts"), "next")
+    df = neighbour(packets(spark, sf_dir).select("seq", "stream_index", "pts", "size"), ["stream_index"], ["pts"], F.col("pts"), "next")
     return df.select("seq", F.coalesce(F.col("pts") + F.col("size") * 100_000 > F.col("next"), F.lit(False)).alias("dropped"))
 
 
@@ -231,5 +229,5 @@ SELECT seq, CAST(pts + sum(pause) OVER (PARTITION BY stream_index ORDER BY pts R
 def pause_resume(spark, sf_dir):
     """The timeline moved by all pauses so far."""
     pause = F.when(F.col("is_key"), F.col("size") * 1000).otherwise(0)
-    df = running_sum(packets(spark, sf_dir).select("seq", "pts", "is_key", "size"), [], ["pts"], F.floor(F.col("pts") / DAY), pause, "p", inclusive=True)
+    df = running_sum(packets(spark, sf_dir).select("seq", "pts", "is_key", "size"), [], ["pts"], pause, "p", inclusive=True)
     return df.select("seq", (F.col("pts") + F.col("p")).alias("shifted"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import timebase as tb
-from ..operators.scan import DAY, running_sum
+from ..operators.scan import running_sum
 from ..tables import BLOCKS, PACKETS, blocks, packets, table
 
 _KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
@@ -114,7 +114,7 @@ def gapless_trim(spark, sf_dir):
 SELECT seq, CAST(greatest(0, least(size, 100000 - before)) AS BIGINT) AS trim, CAST(size - greatest(0, least(size, 100000 - before)) AS BIGINT) AS left_ FROM r""")
 def trim_budget(spark, sf_dir):
     """An encoder's delay, taken from the first packets of each stream until it is used up."""
-    df = running_sum(packets(spark, sf_dir), ["stream_index"], ["pts"], F.floor(F.col("pts") / DAY), F.col("size"), "before")
+    df = running_sum(packets(spark, sf_dir), ["stream_index"], ["pts"], F.col("size"), "before")
     cut = F.greatest(F.lit(0), F.least(F.col("size"), 100_000 - F.col("before")))
     return df.select("seq", cut.alias("trim"), (F.col("size") - cut).alias("left_"))
 

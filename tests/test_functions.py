@@ -62,31 +62,42 @@ def test_kernels_do_the_same_in_sql_and_in_columns(spark):
         assert got == duckdb.sql(f"SELECT {kernels.sql_two_pass(str(x[: n * n]), n, kernel)}").fetchall()[0][0]
 
 
-def test_scans_agree_with_a_plain_loop(spark):
-    rows = [(k, i, (i * 7 + k) % 5 if i % 3 else None) for k in (0, 1) for i in range(50)]
-    df = spark.createDataFrame(rows, "k int, t long, v long")
-    r = F.floor(F.col("t") / 8)
-    df = scan.running_sum(df, ["k"], ["t"], r, F.col("v"), "s")
-    df = scan.last_known(df, ["k"], ["t"], r, F.col("v"), "l")
-    df = scan.neighbour(df, ["k"], ["t"], r, F.col("v"), "n")
-    df = scan.neighbour(df, ["k"], ["t"], r, F.col("v"), "p", step=-1)
-    got = {(x["k"], x["t"]): (x["s"], x["l"], x["n"], x["p"]) for x in df.collect()}
-    for k in (0, 1):
+@pytest.mark.parametrize("ranges", [1, 7, 40])
+def test_scans_agree_with_a_plain_loop(spark, ranges):
+    rows = [(k, i, (i * 7 + (k or 5)) % 5 if i % 3 else None) for k in (0, 1, None) for i in range(50)]
+    df = scan.ranged(spark.createDataFrame(rows, "k int, t long, v long"), ["k"], ["t"], ranges)
+    df = scan.running_sum(df, ["k"], ["t"], F.col("v"), "s")
+    df = scan.last_known(df, ["k"], ["t"], F.col("v"), "l")
+    df = scan.neighbour(df, ["k"], ["t"], F.col("v"), "n")
+    df = scan.neighbour(df, ["k"], ["t"], F.col("v"), "p", step=-1)
+    df = scan.with_halo(df, ["k"], ["t"], F.col("v"), "h", 3)
+    df = scan.with_halo(df, ["k"], ["t"], F.col("t"), "f", 20, step=1)
+    got = {(x["k"], x["t"]): (x["s"], x["l"], x["n"], x["p"], x["h"], x["f"]) for x in df.collect()}
+    assert len(got) == len(rows)
+    for k in (0, 1, None):
         own, total, last = [x for x in rows if x[0] == k], 0, None
+        values, times = [x[2] for x in own], [x[1] for x in own]
         for i, (_, t, v) in enumerate(own):
             last = v if v is not None else last
-            want = (total, last, own[i + 1][2] if i + 1 < len(own) else None, own[i - 1][2] if i else None)
+            want = (total, last, own[i + 1][2] if i + 1 < len(own) else None, own[i - 1][2] if i else None, values[max(i - 3, 0) : i], times[i + 1 : i + 21])
             assert got[k, t] == want
             total += v or 0
 
 
+def test_equal_times_are_split_by_their_ties(spark):
+    df = scan.ranged(spark.range(5000).selectExpr("0 AS t", "id"), [], ["t", "id"], 8)
+    assert max(r["count"] for r in df.groupBy("_r").count().collect()) < 2500
+    got = scan.row_number(df, [], ["t", "id"], "n").where("n <> id + 1").count()
+    assert got == 0
+
+
 def test_as_of_and_runs(spark):
     left = spark.createDataFrame([(t,) for t in range(0, 60, 7)], "t long")
     right = spark.createDataFrame([(t,) for t in (5, 21, 22, 50)], "t long")
-    got = matching.as_of(left, right, [], "t", lambda c: F.floor(c / 16), F.col("t"), "m").collect()
+    got = matching.as_of(left, right, [], "t", F.col("t"), "m").collect()
     assert {r["t"]: r["m"] for r in got} == {t: max((x for x in (5, 21, 22, 50) if x <= t), default=None) for t in range(0, 60, 7)}
     df = spark.createDataFrame([(i, v) for i, v in enumerate(["a", "a", None, None, "b", "a"])], "t long, v string")
-    runs = matching.run_lengths(df, [], ["t"], F.floor(F.col("t") / 2), "v").orderBy("run").collect()
+    runs = matching.run_lengths(df, [], ["t"], "v").orderBy("run").collect()
     assert [(r["v"], r["n"]) for r in runs] == [("a", 2), (None, 2), ("b", 1), ("a", 1)]
 
 
