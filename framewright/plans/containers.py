@@ -103,21 +103,3 @@ def cluster_blocks(spark, sf_dir):
     df = _per_order(spark, sf_dir, block).select("l_orderkey", "u", F.posexplode(bx.elements(F.col("u"))).alias("n", "e"))
     at = F.col("e.pos") + F.col("e.head")
     return df.select("l_orderkey", "n", "e.pos", "e.id", "e.size", (bx.read_big(F.col("u"), at, 1) - 0x80).alias("track"), bx.read_big(F.col("u"), at + 1, 2).alias("time_"), bx.read_big(F.col("u"), at + 3, 1).alias("flags"))
-
-
-@query(f"""WITH u AS (SELECT l_orderkey, row_number() OVER w AS pos, [9, 7, 8, 5, 1, 1, 6][l_linenumber] AS kind, l_partkey % 3 = 0 AS starts, CAST(l_quantity AS BIGINT) AS size FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY {_ORDER})),
-m AS (SELECT *, coalesce(max(CASE WHEN kind IN (1, 5) THEN pos END) OVER (PARTITION BY l_orderkey ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS slice_before, coalesce(max(CASE WHEN kind IN (6, 7, 8, 9) THEN pos END) OVER (PARTITION BY l_orderkey ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS head_before FROM u),
-b AS (SELECT *, CASE WHEN pos = 1 OR (slice_before > head_before AND (kind IN (6, 7, 8, 9) OR (kind IN (1, 5) AND starts))) THEN 1 ELSE 0 END AS begins FROM m),
-g AS (SELECT *, CAST(sum(begins) OVER (PARTITION BY l_orderkey ORDER BY pos) AS BIGINT) AS unit FROM b)
-SELECT l_orderkey, unit, unit - 1 AS pts, count(*) AS parts, CAST(sum(size) AS BIGINT) AS bytes, bool_or(kind = 5) AS is_key FROM g GROUP BY l_orderkey, unit""")
-def access_units(spark, sf_dir):
-    """Units of a byte stream as pictures: one begins at a header, or at a first slice, that follows a slice; gaps and islands."""
-    w = Window.partitionBy("l_orderkey").orderBy(*_LINE)
-    kind = F.get(F.array(*map(F.lit, (9, 7, 8, 5, 1, 1, 6))), F.col("l_linenumber") - 1)
-    df = table(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(w).alias("pos"), kind.alias("kind"), (F.col("l_partkey") % 3 == 0).alias("starts"), F.col("l_quantity").cast("long").alias("size"))
-    w = Window.partitionBy("l_orderkey").orderBy("pos")
-    slices, heads = F.col("kind").isin(1, 5), F.col("kind").isin(6, 7, 8, 9)
-    last = lambda x: F.coalesce(F.max(F.when(x, F.col("pos"))).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    begins = (F.col("pos") == 1) | ((last(slices) > last(heads)) & (heads | (slices & F.col("starts"))))
-    df = df.withColumn("begins", begins.cast("long")).withColumn("unit", F.sum("begins").over(w))
-    return df.groupBy("l_orderkey", "unit").agg(F.count("*").alias("parts"), F.sum("size").alias("bytes"), F.bool_or(F.col("kind") == 5).alias("is_key")).select("l_orderkey", "unit", (F.col("unit") - 1).alias("pts"), "parts", "bytes", "is_key")
