@@ -20,25 +20,31 @@ def ue(v: int) -> str:
     return "0" * (len(s) - 1) + s
 
 
-def read(spark, kind, *rows, emulation=True):
-    df = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(rows)], "i long, data binary").select("i", fields.bits_of(F.col("data"), emulation).alias("bits"))
+def se(v: int) -> str:
+    return ue(2 * v - 1 if v > 0 else -2 * v)
+
+
+def read(spark, kind, *rows):
+    df = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(rows)], "i long, data binary")
     return fields.READERS[kind](df, "i").orderBy("i").collect()
 
 
 def test_sequences(spark):
     chroma = bits(format(100, "08b"), "00000000", format(40, "08b"), ue(3), ue(1), ue(0), ue(2), "0", "0", ue(4), ue(0), ue(2), ue(4), "0", ue(119), ue(67), "1", "1", "1", ue(0), ue(0), ue(0), ue(4), "0", "1")
     doubled = bits(format(77, "08b"), "00000000", format(30, "08b"), ue(0), ue(0), ue(2), ue(1), "0", ue(44), ue(17), "0", "1", "1", "0", "0", "1")
-    scaling = bits(format(100, "08b"), "00000000", format(40, "08b"), ue(3), ue(1), ue(0), ue(2), "0", "1", "1111")
+    scaling = bits(format(100, "08b"), "00000000", format(40, "08b"), ue(3), ue(1), ue(0), ue(2), "0", "1", "0", "1" + se(-8), "1" + "1" * 3 + se(5) + "1" * 2 + se(-13), "00000", "0" * 0, ue(0), ue(1), "0", se(-3), se(2), ue(2), se(5), se(-7), ue(2), "0", ue(0), ue(0), "1", "1", "0", "0")
     a, b, c, d, e = read(spark, "sequence", chroma, doubled, b"\x42\x00", b"", scaling)
     assert (a["sps_id"], a["width"], a["height"], a["depth_chroma"], a["max_frame_num"], a["max_refs"], a["error"]) == (3, 1920, 1080, 10, 256, 4, None)
     assert (b["width"], b["height"], b["error"]) == (720, 576, None)
-    assert c["error"] and d["error"] and c["width"] is None and e["error"] == "scaling lists"
+    assert c["error"] and d["error"] and c["width"] is None and e["error"] is None
+    assert e["scaling"] == [[], [0], [8, 8, 8, 13, 13, 13] + [13] * 10, [], [], [], [], []]
+    assert (e["poc_type"], e["off_ref"], e["off_field"], e["cycle"], e["width"]) == (1, -3, 2, [5, -7], 16)
 
 
 def test_frames(spark):
     shown = bits("10", "00", "0", "0", "1", "0", format(0x498342, "024b"), "010", "0", format(639, "016b"), format(479, "016b"))
     again, wrong = bits("10", "00", "1", "101"), bits("01", "00")
-    a, b, c = read(spark, "frame", shown, again, wrong, emulation=False)
+    a, b, c = read(spark, "frame", shown, again, wrong)
     assert (a["key"], a["shown"], a["width"], a["height"]) == (True, True, 640, 480)
     assert (b["show_existing"], b["key"], b["shown"], b["width"]) == (5, False, True, None) and c["error"] == "no frame marker"
 
