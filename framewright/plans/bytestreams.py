@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..functions import prefix
 from ..operators import bytestream
 from ..tables import table
 
@@ -43,3 +44,35 @@ def access_units(spark, sf_dir):
     """Pictures of a byte stream: one begins at a header, or at a first slice, that follows a slice; gaps and islands over the units of its bytes."""
     found = bytestream.pictures(bytestream.units(_chunks(spark, sf_dir), ["source"], ["doc_id"], "bytes"), ["source"])
     return found.select("source", F.col("picture").alias("unit"), (F.col("picture") - 1).alias("pts"), "first_unit", "parts", "bytes", "is_key")
+
+
+_CODES = r"""d AS (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE text <> ''),
+y AS (SELECT doc_id, unnest(range(0, length(h) // 2)) AS i, CAST(('0x' || unnest(regexp_extract_all(h, '..'))) AS INTEGER) AS symbol FROM d),
+x AS (SELECT doc_id, CAST(i // 4096 AS INTEGER) AS block, i, symbol, CASE WHEN i % 4096 = 0 THEN 0 ELSE lag(symbol) OVER (PARTITION BY doc_id ORDER BY i) END AS b FROM y),
+c AS (SELECT doc_id, block, i, symbol, CASE WHEN b <= 32 THEN 0 WHEN b BETWEEN 97 AND 122 THEN 1 WHEN b < 128 THEN 2 ELSE 3 END AS context FROM x),
+n AS (SELECT context, symbol, count(*) AS n FROM c GROUP BY context, symbol),
+r AS (SELECT *, greatest(n, (CAST(sum(n) OVER (PARTITION BY context) AS BIGINT) + 65535) // 65536) AS m FROM n),
+l AS (SELECT *, (CAST(sum(m) OVER (PARTITION BY context) AS BIGINT) + m - 1) // m - 1 AS most FROM r),
+s AS (SELECT context, symbol, n, CAST(CASE WHEN most > 0 THEN length(bin(most)) ELSE 1 END AS INTEGER) AS length FROM l),
+k AS (SELECT context, symbol, n, length, left(lpad(bin(CAST(coalesce(sum(1::BIGINT << (18 - length)) OVER (PARTITION BY context ORDER BY length, symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT)), 18, '0'), length) AS code FROM s)"""
+
+
+def _pieces(spark, sf_dir):
+    return prefix.blocks(table(spark, sf_dir, "documents"), ["doc_id"], "text")
+
+
+@query(f"WITH {_CODES} SELECT context, symbol, n, length, code FROM k")
+def prefix_tables(spark, sf_dir):
+    """Prefix codes of bytes by context, from the counts of all documents."""
+    return prefix.codes(prefix.counts(_pieces(spark, sf_dir)))
+
+
+@query(f"""WITH {_CODES},
+b AS (SELECT doc_id, block, count(*) AS n_bytes, CAST(sum(length) AS BIGINT) AS n_bits, string_agg(code, '' ORDER BY i) AS bits, string_agg(printf('%02X', symbol), '' ORDER BY i) AS raw FROM c JOIN k USING (context, symbol) GROUP BY doc_id, block),
+p AS (SELECT *, rpad(bits, CAST((n_bits + 7) // 8 * 8 AS INTEGER), '0') AS full_ FROM b)
+SELECT doc_id, block, n_bytes, n_bits, md5(array_to_string(list_transform(regexp_extract_all(full_, '....'), lambda x: substr('0123456789ABCDEF', 1 + 8 * CAST(x[1] AS INTEGER) + 4 * CAST(x[2] AS INTEGER) + 2 * CAST(x[3] AS INTEGER) + CAST(x[4] AS INTEGER), 1)), '')) AS packed, md5(raw) AS decoded FROM p""")
+def prefix_round_trip(spark, sf_dir):
+    """All documents in prefix codes of their own counts, and read back by two lookups a symbol."""
+    pieces = _pieces(spark, sf_dir)
+    found = prefix.round_trip(pieces, prefix.codes(prefix.counts(pieces)))
+    return found.select("doc_id", "block", "n_bytes", "n_bits", F.md5(F.hex("packed")).alias("packed"), F.md5(F.hex("decoded")).alias("decoded"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import zlib
 from fractions import Fraction
 
@@ -10,8 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framewright.functions import bits, kernels
-from framewright.functions import timebase as tb
+from framewright.functions import bits, kernels, prefix
+from framewright.functions import timebase as tb, prefix
 from framewright.operators import matching, scan
 
 
@@ -144,3 +145,19 @@ def test_blocks_without_values(spark):
     df = spark.createDataFrame([([1] * 16,), (None,), ([2] * 16,)], "a array<long>")
     got = [r["o"] for r in df.coalesce(1).select(kernels.two_pass("a", 4, kernels.hadamard4).alias("o")).collect()]
     assert got[1] is None and len(got[0]) == len(got[2]) == 16 and df.where("a is null").select(kernels.two_pass("a", 4, kernels.hadamard4).alias("o")).first()["o"] is None
+
+
+def test_prefix_codes_read_back_what_they_write(spark):
+    rng = random.Random(4)
+    texts = [None, "", "a", "é" * 3000, "".join(chr(rng.randrange(1, 0x2FFF)) for _ in range(9000))] + ["".join(rng.choice("etaoin  \n") for _ in range(rng.randrange(9000))) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    pieces = prefix.blocks(df, ["i"], "t")
+    table = prefix.codes(prefix.counts(pieces))
+    codes = [(r["context"], r["code"]) for r in table.collect()]
+    assert max(len(c) for _, c in codes) > prefix.FIRST and max(len(c) for _, c in codes) <= prefix.LONGEST
+    assert not any(a is not b and a[0] == b[0] and b[1].startswith(a[1]) for a in codes for b in codes)
+    back: dict = {}
+    for r in prefix.round_trip(pieces, table).orderBy("i", "block").collect():
+        back[r["i"]] = back.get(r["i"], b"") + bytes(r["decoded"])
+        assert len(r["packed"]) == (r["n_bits"] + 7) // 8 and r["n_bytes"] <= prefix.BLOCK
+    assert back == {i: t.encode() for i, t in enumerate(texts) if t}
