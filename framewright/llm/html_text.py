@@ -4,9 +4,11 @@ A page is parsed into its elements. Every subtree with text is hashed, wherever
 the page; Spark counts the pages of each host that hold it, copies of one page counted
 once, and subtrees that recur on many pages of their host are deleted. Paragraphs
 inside an element that the page itself marks as its article are text, however often
-they recur: only boxes in it can be template. A page of a host with few pages has nothing to be
-compared with, and menus vary: what markup names as no part of an article (menus,
-headers, footers, asides, adverts, notices, comments) goes also where it does not recur.
+they recur: only boxes in it can be template. What is left is the text: where a host has pages to
+compare, no mark of an article is asked for. A page of a host with few pages has nothing to be
+compared with; of it the marked article is taken, if there is one. Menus and adverts vary:
+what markup names as no part of an article (menus, headers, footers, asides, adverts, notices,
+comments) goes also where it does not recur.
 """
 
 from __future__ import annotations
@@ -48,8 +50,10 @@ ASIDE = frozenset("nav footer aside menu dialog".split())
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adbox adslot sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead topbar toolbar comment comments disqus respond reply replies newsletter subscribe subscription signup login share sharing social related recommended popup modal overlay widget pagination pager skip search contentinfo complementary".split()
 )
+#: Those that count inside an article too: adverts, notices, menus (also of buttons), sidebars, forms and reader comments.
+INSIDE = frozenset("ad ads advert adverts advertisement advertising adbox adslot sponsor sponsored promo cookie cookies consent gdpr notice notices nav navbar navigation menu breadcrumb breadcrumbs sidebar newsletter share sharing comment comments".split())
 #: Longer names that stand for one of them inside an article too.
-_KIND = re.compile(r"(?:ads?|advert|advertisement|sponsored|promo|cookie|consent|comments?|newsletter|share|sharing|social|related|nav|menu|sidebar)[-_](?:box|block|slot|unit|banner|bar|list|section|wrapper|container|widget|buttons?|links?|form|area|posts|articles|signup)|(?:site|page|main|top|bottom|side|social|reader|user|post)[-_](?:nav|menu|header|footer|sidebar|share|comments?|ads?)")
+_KIND = re.compile(r"(?:ads?|advert|advertisement|sponsored|promo|cookie|consent|comments?|newsletter|share|sharing|nav|menu|sidebar)[-_](?:box|block|slot|unit|banner|bar|list|section|wrapper|container|widget|buttons?|links?|form|area|posts|articles|signup)|(?:site|page|main|top|bottom|side|social|reader|user|post)[-_](?:nav|menu|header|footer|sidebar|share|comments?|ads?)")
 #: Elements that end an open one of the same kind, and where the search for it ends.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
@@ -119,7 +123,7 @@ class Page:
                 if key in ("class", "id", "role"):
                     own = [x for x in value.split() if not _LAYOUT.match(x)]
                     if inside:
-                        named = named or any(x.lower() in NAMES or _KIND.fullmatch(x.lower()) for x in own)
+                        named = named or any(x.lower() in INSIDE or _KIND.fullmatch(x.lower()) for x in own)
                     else:
                         words = {w.lower() for x in own for w in _WORD.findall(x)}
                         named = named or not words.isdisjoint(NAMES) or ("header" in words and name not in ("article", "main", "body", "html"))
@@ -200,13 +204,17 @@ class Page:
                 inner[self.parent[i]].append(f"{out[i]:x}")
         return [h - (1 << 64) if h >= 1 << 63 else h for h in out]
 
-    def text(self, template: frozenset = frozenset()) -> tuple[str, int, int]:
-        """The main text, and the characters that were left out as template and for other reasons (scripts and the like aside)."""
+    def text(self, template: frozenset = frozenset(), compared: bool = False) -> tuple[str, int, int]:
+        """The main text, and the characters that were left out as template and for other reasons (scripts and the like aside).
+
+        Of a page that was ``compared`` with others of its host, it is what template and
+        names leave; of one that wasn't, the part that holds the article.
+        """
         hashes = self.hashes() if template else None
         same = self.below([bool(hashes) and hashes[i] in template and self.candidate(i) for i in range(len(self.tag))])
         gone = self.below(self.gone)
         dead = self.below(self.gone, self.named, same)
-        inside = self.article(dead)
+        inside = [not x for x in dead] if compared else self.article(dead)
         blocks, now, cut, other = [], [], 0, 0
         for node, text in self.parts:
             if text is None:
@@ -247,8 +255,8 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
 
     The last two count the characters, white space aside, that were left out because
     their subtree recurs on the host, and for what markup says. A null or empty html
-    gives an empty text; pages of a null or unreadable url share the host of null, of
-    which nothing is template. Rows that repeat count as one page and get the same
+    gives an empty text; pages of a null or unreadable url have no host to be compared in, and
+    nothing of them is template. Rows that repeat count as one page and get the same
     text. Columns of those four names are replaced; others may have any name but
     those that begin with __fw_.
     """
@@ -267,20 +275,22 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
 
     held = rows.mapInArrow(subtrees, "host string, page long, hashes array<long>, outside array<boolean>")
     held = materialize(held.groupBy("host", "page").agg(F.first("hashes").alias("hashes"), F.first("outside").alias("outside")), "subtrees")
-    pages_of = held.groupBy("host").agg(F.count("*").alias("pages")).withColumnRenamed("host", "p_host")
+    pages_of = materialize(held.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages).withColumnRenamed("host", "p_host"), "hosts")
     each = held.select("host", "page", F.explode(F.arrays_zip("hashes", "outside")).alias("x")).select("host", "page", F.col("x.hashes").alias("hash"), F.col("x.outside").alias("outside"))
     often = each.groupBy("host", "hash").agg(F.count("*").alias("n"), F.count_if("outside").alias("n_outside")).where(F.col("n") >= min_pages)
     often = often.join(pages_of, F.col("host") == F.col("p_host"))
     often = often.where((F.col("n_outside") >= min_pages) | (F.col("n") >= F.col("pages") * min_share) | (F.col("n") >= MANY_PAGES)).select(F.col("host").alias("t_host"), F.col("hash").alias("t_hash"))
+    # pages that were compared have a list, if an empty one
+    compared = held.join(pages_of, F.col("host") == F.col("p_host")).select("host", "page", F.lit(None).cast("long").alias("hash"))
     drop = each.join(often, (F.col("host") == F.col("t_host")) & (F.col("hash") == F.col("t_hash")))
-    drop = drop.groupBy(F.col("host").alias("__fw_d_host"), F.col("page").alias("__fw_d_page")).agg(F.collect_set("hash").alias("__fw_drop"))
+    drop = drop.select("host", "page", "hash").union(compared).groupBy(F.col("host").alias("__fw_d_host"), F.col("page").alias("__fw_d_page")).agg(F.collect_set("hash").alias("__fw_drop"))
     at = keep.index(html_col)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch, at):
                 drops = part.column(len(keep) + 1).to_pylist()
-                out = [Page(x).text(frozenset(d or ())) if x else ("", 0, 0) for x, d in zip(part.column(at).to_pylist(), drops, strict=True)]
+                out = [Page(x).text(frozenset(d or ()), d is not None) if x else ("", 0, 0) for x, d in zip(part.column(at).to_pylist(), drops, strict=True)]
                 cols = [pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep) + 1], *cols], [*keep, *new])
 
