@@ -162,6 +162,22 @@ SELECT doc_id, CAST(octet_length(raw) AS BIGINT) AS n_bytes, CAST(octet_length(r
 """
 
 
+def media_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The PCM blocks that op7's streams decode to, each with the sample that it begins at."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", flac.padded("text").alias("payload"))
+    blocks = flac.pcm_blocks(flac.read_column(flac.write_column(docs).drop("payload")), ["doc_id"])
+    return blocks.select("doc_id", "block", "first_sample", "n_samples", F.md5("pcm").alias("pcm_md5"))
+
+
+MEDIA_BLOCKS = rf"""
+WITH raw AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents),
+padded AS (SELECT doc_id, hex(raw || repeat('\xFF'::BLOB, greatest((octet_length(raw) + 575) // 576, 1) * 576 - octet_length(raw))) AS h FROM raw),
+b AS (SELECT doc_id, h, unnest(range(0, (length(h) // 2 + {flac.BLOCK * flac.SEEK - 1}) // {flac.BLOCK * flac.SEEK})) AS block FROM padded),
+c AS (SELECT doc_id, block, substring(h, block * {2 * flac.BLOCK * flac.SEEK} + 1, {2 * flac.BLOCK * flac.SEEK}) AS h FROM b)
+SELECT doc_id, CAST(block AS INTEGER) AS block, block * {flac.BLOCK * flac.SEEK} AS first_sample, CAST(length(h) // 2 AS INTEGER) AS n_samples, md5(unhex(h)) AS pcm_md5 FROM c
+"""
+
+
 def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edited texts of op8: the next document is found as there."""
     return op8_spotsigs(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
@@ -176,9 +192,9 @@ SELECT doc_id, length(text) AS n_chars, sha256(substring(text, 1, length(text) -
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The operators, and those of their parts that SQL can say."""
-    parts = {f.__name__: f for f in (mix_targets, media_payloads, edited_texts)}
+    parts = {f.__name__: f for f in (mix_targets, media_payloads, media_blocks, edited_texts)}
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | parts
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_lexical_search": OP11, "op13_decontamination": OP13, "mix_targets": MIX_TARGETS, "media_payloads": MEDIA_PAYLOADS, "edited_texts": EDITED_TEXTS}
+    return {"op11_lexical_search": OP11, "op13_decontamination": OP13, "mix_targets": MIX_TARGETS, "media_payloads": MEDIA_PAYLOADS, "media_blocks": MEDIA_BLOCKS, "edited_texts": EDITED_TEXTS}
