@@ -1,104 +1,58 @@
-"""Container files made from the tables and read back: what comes out must be what went in."""
+"""Media files written from whole tables by the data source's sink, and read back by their sample indexes."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
 
-import pandas as pd
-import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..sources import containers
-from ..sources.files import parse
-from ..tables import table
+from ..scratch import shared_dir
+from ..sources import datasource
+from ..tables import BLOCKS, blocks, table
 
 
-def _made(df, key: str, order: list[str], build):
-    """(key, content): one file for each key from its rows in order. A key's rows must fit a task: conversations and orders do."""
-    rest = [c for c in df.columns if c not in (key, *order)]
-    lists = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, *rest))).alias("rows"))
+def _there_and_back(df: DataFrame, range_bytes: int, **options: str | int) -> DataFrame:
+    """df written as media files in the shared folder, a file for each task, and read back in ranges."""
+    spark = df.sparkSession
+    datasource.register(spark)
+    path = f"{shared_dir(spark)}/media-{uuid.uuid4().hex}"
+    df.write.format(datasource.NAME).options(**options).mode("append").save(path)
+    return spark.read.format(datasource.NAME).option("rangeBytes", range_bytes).options(**options).load(path)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([build(r) for r in batch.column(1).to_pylist()], pa.binary())], [key, "content"])
 
-    return lists.mapInArrow(run, f"{key} long, content binary")
+def _turns(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.encode("text", "utf-8").alias("payload"))
 
 
-def _turns(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").where("octet_length(text) > 0").select("conv_id", "turn", "role", F.encode("text", "utf-8").alias("payload"))
-
-
-_OUT = "md5(text) AS digest, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM conversations WHERE octet_length(encode(text)) > 0"
-
-
-@query(f"SELECT conv_id, CAST(turn * 40 AS BIGINT) AS pts, {_OUT}")
+@query("SELECT CAST(conv_id * 1000 + turn AS BIGINT) AS pts, md5(text) AS digest, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM conversations")
 def ivf_round_trip(spark, sf_dir):
-    """Conversations as frame files, read back."""
-    files = _made(_turns(spark, sf_dir), "conv_id", ["turn"], lambda rows: containers.write_ivf([(r["turn"] * 40, r["payload"]) for r in rows]))
-    return parse(files, keys=("conv_id",)).select("conv_id", "pts", F.md5("data").alias("digest"), F.octet_length("data").cast("long").alias("size"))
-
-
-@query(f"SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS seq, CAST(turn * 40 AS BIGINT) AS pts, role = 'user' AS is_key, {_OUT}")
-def webm_round_trip(spark, sf_dir):
-    """Conversations as block files of clusters, read back."""
-
-    def build(rows):
-        clusters: dict = {}
-        for r in rows:
-            clusters.setdefault(r["turn"] // 4 * 160, []).append((r["turn"] % 4 * 40, r["role"] == "user", r["payload"]))
-        return containers.write_webm(sorted(clusters.items()))
-
-    files = _made(_turns(spark, sf_dir), "conv_id", ["turn"], build)
-    return parse(files, keys=("conv_id",)).select("conv_id", "seq", "pts", "is_key", F.md5("data").alias("digest"), F.octet_length("data").cast("long").alias("size"))
+    """Turns of conversations, empty ones too, as frame files; ranges of their bytes are read back."""
+    df = _turns(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("pts"), "payload")
+    return _there_and_back(df, 100_000, layout="ivf").select("pts", F.md5("payload").alias("digest"), "size")
 
 
-@query(f"""WITH s AS (SELECT conv_id, turn, role, text, 1 + turn % 3 AS d, CASE WHEN turn % 2 = 0 THEN 5 ELSE 0 END AS cts FROM conversations WHERE octet_length(encode(text)) > 0),
-t AS (SELECT *, coalesce(sum(d) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS dts FROM s)
-SELECT conv_id, CAST(dts AS BIGINT) AS dts, CAST(dts + cts AS BIGINT) AS pts, CAST(d AS BIGINT) AS duration, role = 'user' AS is_key, md5(text) AS digest FROM t""")
+@query("""SELECT conv_id, turn, CAST(1 + turn % 3 AS BIGINT) AS duration, CASE WHEN turn % 2 = 0 THEN 5 ELSE 0 END AS shift, role = 'user' AS is_key, md5(text) AS digest FROM conversations""")
 def mp4_round_trip(spark, sf_dir):
-    """Conversations as box files with a sample index, read back through it."""
-    build = lambda rows: containers.write_mp4([(1 + r["turn"] % 3, 5 if r["turn"] % 2 == 0 else 0, r["role"] == "user", r["payload"]) for r in rows])
-    files = _made(_turns(spark, sf_dir), "conv_id", ["turn"], build)
-    return parse(files, keys=("conv_id",)).select("conv_id", "dts", "pts", "duration", "is_key", F.md5("data").alias("digest"))
-
-
-@query("""WITH b AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) * 1000) AS BIGINT)) AS a FROM embeddings)
-SELECT vec_id, CAST(i * 16 AS BIGINT) AS pts, array_to_string(list_transform(a[i * 16 + 1:i * 16 + 16], lambda x: (x % 32768)), ',') AS samples FROM (SELECT vec_id, a, unnest(range(0, 4)) AS i FROM b)""")
+    """Turns of conversations as samples of movies; tables of runs, chunks, shifts and key samples give them back."""
+    turn = F.col("turn")
+    tagged = F.concat(F.encode(F.concat_ws(":", "conv_id", "turn"), "utf-8"), F.encode(F.lit("|"), "utf-8"), F.col("payload"))
+    df = _turns(spark, sf_dir).select(tagged.alias("payload"), (1 + turn % 3).alias("duration"), F.when(turn % 2 == 0, 5).otherwise(0).alias("shift"), (F.col("role") == "user").alias("is_key"))
+    text = F.decode("payload", "utf-8")
+    back = _there_and_back(df, 100_000, layout="mp4").withColumn("tag", F.substring_index(text, "|", 1))
+    body = F.substring(F.col("payload"), F.length("tag") + 2, F.octet_length("payload"))
+    part = F.split("tag", ":")
+    return back.select(part[0].cast("long").alias("conv_id"), part[1].cast("long").alias("turn"), "duration", (F.col("pts") - F.col("dts")).alias("shift"), "is_key", F.md5(body).alias("digest"))
+
+
+@query(f"WITH {BLOCKS} SELECT array_to_string(list_transform(a, lambda x: x % 32768), ',') AS samples, CAST(64 AS BIGINT) AS duration FROM blocks")
 def wav_round_trip(spark, sf_dir):
-    """Blocks as wave files of 16-bit samples, read back in packets of 16."""
-    import numpy as np
-
-    from ..tables import blocks
-
-    def pack(it):
-        for pdf in it:
-            yield pd.DataFrame({"vec_id": pdf["vec_id"], "content": [containers.write_wav(np.fmod(np.asarray(a), 32768).astype("<i2").tobytes()) for a in pdf["a"]]})
-
-    def unpack(it):
-        for pdf in it:
-            out = [(v, p[1], ",".join(map(str, np.frombuffer(p[5], "<i2").tolist()))) for v, c in zip(pdf["vec_id"], pdf["content"], strict=True) for p in containers.read_wav(c, 16)]
-            yield pd.DataFrame(out, columns=["vec_id", "pts", "samples"])
-
-    return blocks(spark, sf_dir).select("vec_id", "a").mapInPandas(pack, "vec_id long, content binary").mapInPandas(unpack, "vec_id long, pts long, samples string")
-
-
-@query("""WITH u AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) AS i, l_partkey % 3 AS k, l_suppkey % 2 AS f FROM lineitem),
-t AS (SELECT *, CASE k WHEN 0 THEN 5 WHEN 1 THEN 1 ELSE 6 END AS kind FROM u),
-c AS (SELECT *, kind IN (1, 5) AS is_slice FROM t),
-e AS (SELECT *, sum(is_slice::INT) OVER (PARTITION BY l_orderkey ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen, max(CASE WHEN is_slice THEN i END) OVER (PARTITION BY l_orderkey ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_slice FROM c),
-m AS (SELECT *, max(CASE WHEN kind = 6 THEN i END) OVER (PARTITION BY l_orderkey ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_sei FROM e),
-o AS (SELECT *, CASE WHEN last_slice IS NULL THEN 0 WHEN kind = 6 AND last_slice > coalesce(last_sei, 0) THEN 1 WHEN is_slice AND f = 1 AND last_slice > coalesce(last_sei, 0) THEN 1 ELSE 0 END AS opens FROM m),
-g AS (SELECT *, sum(opens) OVER (PARTITION BY l_orderkey ORDER BY i) AS au FROM o)
-SELECT l_orderkey, CAST(au AS BIGINT) AS pts, CAST(count(*) AS BIGINT) AS units, bool_or(kind = 5) AS is_key FROM g GROUP BY l_orderkey, au""")
-def annexb_round_trip(spark, sf_dir):
-    """Lines as units of start-code streams, read back as pictures."""
-    line = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate"]
-    kind = F.element_at(F.array(F.lit(5), F.lit(1), F.lit(6)), (F.col("l_partkey") % 3 + 1).cast("int"))
-    df = table(spark, sf_dir, "lineitem").select("l_orderkey", *line, kind.alias("kind"), (F.col("l_suppkey") % 2).alias("f"))
-    build = lambda rows: containers.write_annexb([bytes([0x60 | r["kind"], 0x80 * r["f"] + 1, 7]) for r in rows])
-    files = _made(df, "l_orderkey", line, build)
-    found = parse(files, keys=("l_orderkey",))
-    n = F.size(F.regexp_extract_all(F.hex("data"), F.lit("(00000001)"), F.lit(1)))
-    return found.select("l_orderkey", "pts", n.cast("long").alias("units"), "is_key")
+    """Vectors as wave files of 16-bit samples, read back in packets of 64."""
+    clipped = F.transform("a", lambda x: x % 32_768)
+    hexed = F.transform(clipped, lambda x: F.lpad(F.hex(F.pmod(x, F.lit(65_536))), 4, "0"))
+    little = F.array_join(F.transform(hexed, lambda h: F.concat(F.substring(h, 3, 2), F.substring(h, 1, 2))), "")
+    back = _there_and_back(blocks(spark, sf_dir).select(F.unhex(little).alias("payload")), 100_000, layout="wav", packet=64)
+    each = F.transform(F.regexp_extract_all(F.hex("payload"), F.lit("(....)"), F.lit(1)), lambda h: F.conv(F.concat(F.substring(h, 3, 2), F.substring(h, 1, 2)), 16, 10).cast("long"))
+    signed = F.transform(each, lambda v: F.when(v >= 32_768, v - 65_536).otherwise(v))
+    return back.select(F.array_join(signed.cast("array<string>"), ",").alias("samples"), "duration")
