@@ -73,6 +73,11 @@ def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), spotsigs.as_text(F.col("sigs")).alias("fingerprint"), spotsigs.as_text(F.col("edited_sigs")).alias("edited_fingerprint"), like("edited_sigs").alias("near_edited"), like("next_sigs").alias("near_next"))
 
 
+def spotsigs_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of equal fingerprints of all documents, and how many other classes each is alike to at 0.8 or more."""
+    return spotsigs.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8)
+
+
 def op9_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; learned from those whose fold is not 1."""
     docs = table(spark, sf_dir, "documents")
@@ -192,7 +197,7 @@ SELECT doc_id, length(text) AS n_chars, sha256(substring(text, 1, length(text) -
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The operators, and those of their parts that SQL can say."""
-    parts = {f.__name__: f for f in (mix_targets, media_payloads, media_blocks, edited_texts)}
+    parts = {f.__name__: f for f in (mix_targets, media_payloads, media_blocks, edited_texts, spotsigs_classes)}
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | parts
 
 

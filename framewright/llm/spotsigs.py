@@ -53,11 +53,13 @@ def with_signatures(df: DataFrame, text_col: str, out: str, anchors: tuple[str,
     common = list(anchors)
     text = F.coalesce(F.col(text_col), F.lit(""))
     df = df.withColumn("__fw_w", words(text))
-    before = lambda w, i: F.struct(w.alias("w"), F.when(i == 0, F.lit("^")).otherwise(F.get("__fw_w", i - 1)).alias("a"))
-    rare = (lambda w: ~w.isin(common)) if common else (lambda w: F.lit(True))
-    df = df.withColumn("__fw_c", F.filter(F.transform("__fw_w", before), lambda x: rare(x["w"]))).drop("__fw_w")
-    begins = lambda x, j: (j == 0) | ~rare(x["a"]) | (F.pmod(F.xxhash64(x["a"]), F.lit(EVERY)) == 0)
-    follow = lambda x, j: F.when(begins(x, j), F.xxhash64(x["a"], x["w"], *[F.get("__fw_c", j + i)["w"] for i in range(1, chain)]))
+    # each word is looked up once: what stands before a content word comes along with it
+    df = df.withColumn("__fw_w", F.transform("__fw_w", lambda w: F.struct(w.alias("w"), (w.isin(common) if common else F.lit(False)).alias("c"))))
+    begin = F.struct(F.lit("^").alias("w"), F.lit(False).alias("c"))
+    before = lambda x, i: F.struct(x["w"].alias("w"), x["c"].alias("c"), F.when(i == 0, begin).otherwise(F.get("__fw_w", i - 1)).alias("a"))
+    df = df.withColumn("__fw_c", F.filter(F.transform("__fw_w", before), lambda x: ~x["c"])).drop("__fw_w")
+    begins = lambda x, j: (j == 0) | x["a"]["c"] | (F.pmod(F.xxhash64(x["a"]["w"]), F.lit(EVERY)) == 0)
+    follow = lambda x, j: F.when(begins(x, j), F.xxhash64(x["a"]["w"], x["w"], *[F.get("__fw_c", j + i)["w"] for i in range(1, chain)]))
     sigs = F.array_sort(F.array_distinct(F.array_compact(F.transform("__fw_c", follow))))
     df = df.withColumn(out, sigs).drop("__fw_c")
     return df.withColumn(out, F.when(F.size(out) > 0, F.col(out)).otherwise(F.array(F.xxhash64(text))))
@@ -94,7 +96,7 @@ def _next_lower(keys: DataFrame, key: str, fan: int = 4096) -> DataFrame:
 def with_next(df: DataFrame, id_col: str, cols: list[str], tie: str) -> DataFrame:
     """df, and next_<col> of the row with the next lower id; after the lowest comes the highest.
 
-    Rows of equal id follow each other by ``tie``; a null id is the lowest. Rows are
+    Ids are whole numbers. Rows of equal id follow each other by ``tie``; a null id is the lowest. Rows are
     dealt out by ranges of ids: one shuffle, and no task has more than a range (rows of
     null id and of one id are in one range, as their order follows from ``tie`` alone).
     """
@@ -117,7 +119,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     """(doc_id, class_id, links): class_id tells equal sets apart, links is the number of other classes at ``threshold`` or more; plus no pairs of copies.
 
     See also class_links for the pairs of classes. Null as empty text; a class's id
-    is its smallest doc_id.
+    is its smallest doc_id; classes of null ids only have none, and no links.
     """
     member, pairs = class_links(docs, threshold, id_col, text_col)
     both = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).groupBy("c").agg(F.count("*").alias("links"))
