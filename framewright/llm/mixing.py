@@ -18,8 +18,8 @@ from .common import materialize
 
 #: Words are runs of anything but these six characters.
 WORD = r"[^\x20\x09-\x0D]+"
-#: A source of so many documents at most may be fitted as a whole, without a share that comes first.
-FEW = 64
+#: Where a target isn't met yet, so many of a source's smallest documents are chosen anew.
+FREE = 64
 #: A table of so many sources is broadcast; beyond, it is joined by shuffle.
 SMALL = 50_000
 #: Documents of one size are counted by so many ranges of their hash.
@@ -75,7 +75,7 @@ def fit(size: np.ndarray, count: np.ndarray, target: float, most: int = 3) -> np
 
     Whole rounds over all documents first, then a proportional share of every size,
     then the fit of what is left; where once more of each is too little, other
-    documents are taken again.
+    documents are taken again, and at last the smallest are chosen anew.
     """
     total = int((size * count).sum())
     if total == 0:
@@ -97,8 +97,12 @@ def fit(size: np.ndarray, count: np.ndarray, target: float, most: int = 3) -> np
         if gap > 0:
             copies = copies + knapsack(size, np.where(size > 0, np.minimum(limit, most * count) - copies, 0), gap)
     gap = round(target) - int((copies * size).sum())
-    if gap > 0 and count.sum() <= FEW:  # one round fewer for all, and a free choice of the rest
-        base = max(rounds - 1, 0) * count
+    if gap > 0:  # the smallest documents are free again
+        order = np.argsort(size, kind="stable")
+        order = order[size[order] > 0]
+        freed = np.zeros(len(size), np.int64)
+        freed[order] = np.diff(np.minimum(np.cumsum(count[order]), FREE), prepend=0)
+        base = copies - freed * (copies // np.maximum(count, 1))
         other = base + knapsack(size, np.where(size > 0, most * count - base, 0), round(target) - int((base * size).sum()))
         copies = other if (other * size).sum() > (copies * size).sum() else copies
     return np.where(size > 0, copies, 0)
@@ -131,16 +135,14 @@ def source_targets(by_source: DataFrame, weights: tuple[float, ...] = (5, 2, 1),
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seed: int = 10, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """All columns of docs, and size, source_size, target, times (how often the mix takes the row) and taken (its words).
+    """(id, text_hash, size, source_size, target, times, taken) of each row: its words, those of its source, the source's target, how often the mix takes the row, and the words it takes.
 
     A null text has size 0; documents of size 0 are taken 0 times. Sources are
     ranked by code point, null last. Rows that repeat count each, and among rows of
     equal id and text it is the number of those taken that is defined. An empty
-    table gives no rows; columns of those names are replaced. ``most`` is a whole
-    number at least 1.
+    table gives no rows; other columns of docs are not read. ``most`` is a whole
+    number at least 1. apply_mix makes rows of it.
     """
-    new = ("size", "source_size", "target", "times", "taken")
-    keep = [c for c in docs.columns if c not in new]
     size = F.coalesce(F.regexp_count(F.col(f"`{text_col}`").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     rank = F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.lit(seed))
     slot = F.shiftrightunsigned(rank, 54)
