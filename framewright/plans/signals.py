@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..functions import noise
 from ..operators import resample
-from ..tables import BLOCKS, blocks
+from ..operators.scan import running_sum
+from ..tables import BLOCKS, blocks, table
 
 
 def _resampled(rate: int, to: int) -> str:
@@ -35,3 +37,35 @@ def resample_down(spark, sf_dir):
 def resample_up(spark, sf_dir):
     """Long signals from two to three samples in chunks that share their ends, by 128 taps."""
     return resample.resample(blocks(spark, sf_dir).select("label", "vec_id", F.col("a")), ["label"], ["vec_id"], "a", 32_000, 48_000)
+
+
+#: Samples of a row of the noise; the rate of the sweep.
+_ROW, _RATE = 256, 8000
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT 0 AS k, 314159::HUGEINT AS a, 1::HUGEINT AS c UNION ALL SELECT k + 1, a * a % 4294967296, (c * a + c) % 4294967296 FROM p WHERE k < 31),
+s AS (SELECT o_orderkey AS n, -1 AS k, 1::HUGEINT AS x FROM orders UNION ALL SELECT n, p.k, CASE WHEN (n * {_ROW} >> p.k) & 1 = 1 THEN (x * a + c) % 4294967296 ELSE x END FROM s JOIN p ON p.k = s.k + 1),
+w AS (SELECT n, 0 AS i, x FROM s WHERE k = 31 UNION ALL SELECT n, i + 1, (x * 314159 + 1) % 4294967296 FROM w WHERE i < {_ROW}),
+v AS (SELECT n, i, CAST(x % 20000 - 10000 AS BIGINT) AS v FROM w WHERE i > 0)
+SELECT n AS o_orderkey, CAST(n * {_ROW} AS BIGINT) AS first_sample, CAST(sum(v) AS BIGINT) AS total, md5(string_agg(v, ',' ORDER BY i)) AS digest FROM v GROUP BY n""")
+def noise_source(spark, sf_dir):
+    """A long signal of noise, 256 samples for each order: any row begins at its own sample by powers of the step."""
+    at = F.col("o_orderkey") * _ROW
+    df = table(spark, sf_dir, "orders").select("o_orderkey", at.alias("first_sample"), noise.state_at(at).alias("x"))
+    df = df.withColumn("v", noise.noise_from(F.col("x"), _ROW, 20_000))
+    return df.select("o_orderkey", "first_sample", F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"), F.md5(F.array_join(F.col("v").cast("array<string>"), ",")).alias("digest"))
+
+
+@query(f"""WITH f AS (SELECT o_orderkey AS n, (100 + 9900 * o_orderkey // {_RATE}) * 65536 // {_RATE} AS step FROM orders),
+a AS (SELECT n, coalesce(sum(step) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 65536 AS a FROM f),
+h AS (SELECT n, a, CASE WHEN a >= 32768 THEN 65536 - a ELSE a END AS b FROM a),
+q AS (SELECT n, a, b > 16384 AS low, CASE WHEN b > 16384 THEN 32768 - b ELSE b END AS c FROM h),
+t AS (SELECT n, a, low, c, CAST(round(32768 * cos(pi() * (c // 128) / 256)) AS BIGINT) AS p, CASE WHEN c // 128 = 128 THEN 0 ELSE CAST(round(32768 * cos(pi() * (c // 128 + 1) / 256)) AS BIGINT) END AS q FROM q),
+v AS (SELECT n, a, low, p + CAST(((q - p) * (c % 128) + 64) >> 7 AS BIGINT) AS v FROM t)
+SELECT n AS o_orderkey, CAST(a AS BIGINT) AS angle, CAST(((CASE WHEN low THEN -v ELSE v END) * 2 * 10000) >> 16 AS BIGINT) AS sample FROM v""")
+def sweep_source(spark, sf_dir):
+    """A cosine whose frequency rises from 100 Hz on: angles are running sums of whole steps, samples from a quarter wave."""
+    n = F.col("o_orderkey")
+    step = F.floor((100 + F.floor(9900 * n / _RATE)) * 65_536 / _RATE).cast("long")
+    df = running_sum(table(spark, sf_dir, "orders").select("o_orderkey"), [], ["o_orderkey"], step, "angle")
+    return df.select("o_orderkey", (F.col("angle") % 65_536).alias("angle"), F.floor(noise.cosine(F.col("angle")) * 10_000 / 65_536).cast("long").alias("sample"))

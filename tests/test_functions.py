@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framewright.functions import bits, kernels, prefix
+from framewright.functions import bits, kernels, noise, prefix
 from framewright.functions import timebase as tb, prefix
 from framewright.operators import matching, scan
 
@@ -161,3 +161,22 @@ def test_prefix_codes_read_back_what_they_write(spark):
         back[r["i"]] = back.get(r["i"], b"") + bytes(r["decoded"])
         assert len(r["packed"]) == (r["n_bits"] + 7) // 8 and r["n_bytes"] <= prefix.BLOCK
     assert back == {i: t.encode() for i, t in enumerate(texts) if t}
+
+
+def test_noise_begins_at_any_sample(spark):
+    x, states = 1, [1]
+    for _ in range(3000):
+        x = (x * 314_159 + 1) % (1 << 32)
+        states.append(x)
+    got = spark.range(3001).select(noise.state_at(F.col("id")).alias("x")).collect()
+    assert [r["x"] for r in got] == states
+    far = 1 << 40
+    a, c = noise.affine_power(far)
+    assert spark.range(1).select(noise.state_at(F.lit(far + 1).cast("long")).alias("x")).first()["x"] == ((a + c) * 314_159 + 1) % (1 << 32)
+    row = spark.range(1).select(noise.noise_from(F.lit(states[100]).cast("long"), 50, 20_000).alias("v")).first()["v"]
+    assert row == [s % 20_000 - 10_000 for s in states[101:151]]
+
+
+def test_cosine(spark):
+    got = spark.range(-70_000, 140_000, 37).select("id", noise.cosine(F.col("id")).alias("c")).collect()
+    assert max(abs(r["c"] - 65_536 * math.cos(2 * math.pi * r["id"] / 65_536)) for r in got) < 8
