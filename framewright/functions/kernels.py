@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -282,9 +282,16 @@ def soft3(a, b, c):
     return shift(a + b * 2 + c + 2, 2)
 
 
-def directions(e: list, n: int) -> dict[str, list]:
-    """Predictions in the order of rows, from edges e: left from below up, the corner, then above and above right (n, 1, 2n values)."""
+def directions(e: list, n: int, plain: bool = False) -> dict[str, list]:
+    """Predictions in the order of rows, from edges e: left from below up, the corner, then above and above right (n, 1, 2n values).
+
+    ``plain`` is the rule of the codec without softened edges: to the left, blocks of more than
+    four samples a side end with the last sample right above them, and a block of four with its
+    last sample above.
+    """
     top, left = (lambda i: e[n + 1 + i]), (lambda i: e[n - 1 - i])  # left(-1) and top(-1) are the corner
+    end = n - 1 if plain and n > 4 else 2 * n - 1
+    above = lambda i: top(min(i, end))
     cells = [(y, x) for y in range(n) for x in range(n)]
 
     def right(y, x):  # steep, to the right
@@ -309,11 +316,13 @@ def directions(e: list, n: int) -> dict[str, list]:
 
     def down_left(y, x):
         i = x + y
-        return soft3(top(i), top(i + 1), top(min(i + 2, 2 * n - 1)))
+        if plain and n == 4 and i == 2 * n - 2:
+            return top(end)
+        return soft3(above(i), above(i + 1), above(i + 2))
 
     def left_of(y, x):  # steep, to the left
         k = x + (y >> 1)
-        return soft3(top(k), top(k + 1), top(k + 2)) if y & 1 else soft2(top(k), top(k + 1))
+        return soft3(above(k), above(k + 1), above(k + 2)) if y & 1 else soft2(above(k), above(k + 1))
 
     total = e[0]
     for i in [*range(1, n), *range(n + 1, 2 * n + 1)]:
@@ -348,3 +357,32 @@ def flat_filter(v: list, reach: int) -> list:
             total = total + v[min(max(i + j, 0), last)]
         out.append(shift(total, (2 * reach + 2).bit_length() - 1))
     return [*out, v[last]]
+
+
+def edge(df: DataFrame) -> DataFrame:
+    """df and taps (0, 4, 8 or 16) and out: sixteen samples ``v`` across an edge, filtered.
+
+    df has level (0 to 63), sharp (0 to 7), ours and theirs (widths of the blocks behind and before the
+    edge) and x (its place): an edge is where a block of ours begins.
+    """
+    at = lambda i: F.get("v", F.lit(i))
+    p, q = [at(7 - i) for i in range(8)], [at(8 + i) for i in range(8)]
+    level, sharp = F.col("level"), F.col("sharp")
+    limit = F.when(sharp > 4, F.shiftright(level, 2)).when(sharp > 0, F.shiftright(level, 1)).otherwise(level)
+    df = df.withColumn("inner", F.greatest(F.when(sharp > 0, F.least(limit, 9 - sharp)).otherwise(limit), F.lit(1)))
+    near = lambda xs, top: F.greatest(*[F.abs(a - b) for a, b in xs]) <= top
+    steps = [(p[i + 1], p[i]) for i in range(3)] + [(q[i + 1], q[i]) for i in range(3)]
+    on = (F.col("x") % F.col("ours") == 0) & (level > 0) & near(steps, F.col("inner")) & (2 * F.abs(p[0] - q[0]) + F.shiftright(F.abs(p[1] - q[1]), 1) <= F.least(2 * (level + 2) + F.col("inner"), F.lit(255)))
+    flat = lambda lo, hi: near([(x[i], x[0]) for x in (p, q) for i in range(lo, hi)], 1)
+    width = F.least("ours", "theirs")
+    df = df.withColumn("taps", F.when(~on, 0).when((width >= 16) & flat(1, 4) & flat(4, 8), 16).when((width >= 8) & flat(1, 4), 8).otherwise(4))
+    top = F.shiftright(level, 4)
+    df = df.withColumn("hev", (F.abs(p[1] - p[0]) > top) | (F.abs(q[1] - q[0]) > top))
+    df = df.withColumn("f", clip(F.when(F.col("hev"), clip(p[1] - q[1], -128, 127)).otherwise(0) + 3 * (q[0] - p[0]), -128, 127))
+    f1, f2 = F.shiftright(F.least(F.col("f") + 4, F.lit(127)), 3), F.shiftright(F.least(F.col("f") + 3, F.lit(127)), 3)
+    half, v = F.shiftright(f1 + 1, 1), [at(i) for i in range(16)]
+    outer = lambda x, y: F.when(F.col("hev"), x).otherwise(clip(y, 0, 255))
+    four = [*v[:6], outer(p[1], p[1] + half), clip(p[0] + f2, 0, 255), clip(q[0] - f1, 0, 255), outer(q[1], q[1] - half), *v[10:]]
+    eight = [*v[:4], *flat_filter(v[4:12], 3), *v[12:]]
+    kinds = F.when(F.col("taps") == 0, F.col("v")).when(F.col("taps") == 4, F.array(*four)).when(F.col("taps") == 8, F.array(*eight)).otherwise(F.array(*flat_filter(v, 7)))
+    return df.withColumn("out", kinds.cast("array<long>"))

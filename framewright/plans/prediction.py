@@ -97,12 +97,12 @@ def _directions_sql(n: int, smooth: bool) -> str:
     return f"WITH {BLOCKS} SELECT vec_id, {', '.join(f'''array_to_string([{', '.join(v)}], ',') AS {name}''' for name, v in out.items())} FROM ({source})"
 
 
-def _directed(spark, sf_dir, n: int, smooth: bool):
+def _directed(spark, sf_dir, n: int, smooth: bool, plain: bool = False):
     size = 3 * n + 1
     df = blocks(spark, sf_dir).select("vec_id", *[F.col("a")[i].alias(f"e{i}") for i in range(size)])
     if smooth:
         df = df.select("vec_id", *[x.alias(f"e{i}") for i, x in enumerate(k.smooth_edges([F.col(f"e{i}") for i in range(size)], n))])
-    out = k.directions([F.col(f"e{i}") for i in range(size)], n)
+    out = k.directions([F.col(f"e{i}") for i in range(size)], n, plain)
     return df.select("vec_id", *[k.listed(F.array(*v)).alias(name) for name, v in out.items()])
 
 
@@ -118,10 +118,38 @@ def directions8x8(spark, sf_dir):
     return _directed(spark, sf_dir, 8, True)
 
 
-@query(_directions_sql(8, False))
+def _plain_sql(n: int) -> str:
+    """Each mode by a formula of its row and column: a[n - y] is on the left, a[n + 1] the corner, a[n + 2 + x] above."""
+    up = lambda k: f"a[{n + 2} + {f'least({k}, {n - 1})' if n > 4 else k}]"
+    x, y = f"(i % {n})", f"(i // {n})"
+    j, k, d, m = f"({n} + {x} - {y})", f"({x} - {y} // 2)", f"({y} - {x} // 2)", f"({y} + {x} // 2)"
+    corner = f"(a[{n}] + 2 * a[{n + 1}] + a[{n + 2}] + 2) >> 2"
+    left = f"({x} + {y} // 2)"
+    modes = {
+        "vertical": f"a[{n + 2} + {x}]",
+        "horizontal": f"a[{n} - {y}]",
+        "mean": f"CAST(list_sum(a[1:{n}]) + list_sum(a[{n + 2}:{2 * n + 1}]) + {n} AS BIGINT) >> {n.bit_length()}",
+        "down_left": f"CASE WHEN {n} = 4 AND {x} + {y} = {2 * n - 2} THEN a[{3 * n + 1}] ELSE ({up(f'({x} + {y})')} + 2 * {up(f'({x} + {y} + 1)')} + {up(f'({x} + {y} + 2)')} + 2) >> 2 END",
+        "down_right": f"(a[{j}] + 2 * a[{j} + 1] + a[{j} + 2] + 2) >> 2",
+        "vertical_right": f"CASE WHEN 2 * {x} - {y} >= 0 AND {y} % 2 = 0 THEN (a[{n + 1} + {k}] + a[{n + 2} + {k}] + 1) >> 1 WHEN 2 * {x} - {y} >= 0 THEN (a[{n} + {k}] + 2 * a[{n + 1} + {k}] + a[{n + 2} + {k}] + 2) >> 2 WHEN 2 * {x} - {y} = -1 THEN {corner} ELSE (a[{n + 1} - {y} + 2 * {x}] + 2 * a[{n + 2} - {y} + 2 * {x}] + a[{n + 3} - {y} + 2 * {x}] + 2) >> 2 END",
+        "horizontal_down": f"CASE WHEN 2 * {y} - {x} >= 0 AND {x} % 2 = 0 THEN (a[{n + 1} - {d}] + a[{n} - {d}] + 1) >> 1 WHEN 2 * {y} - {x} >= 0 THEN (a[{n + 2} - {d}] + 2 * a[{n + 1} - {d}] + a[{n} - {d}] + 2) >> 2 WHEN 2 * {y} - {x} = -1 THEN {corner} ELSE (a[{n + 1} + {x} - 2 * {y}] + 2 * a[{n} + {x} - 2 * {y}] + a[{n - 1} + {x} - 2 * {y}] + 2) >> 2 END",
+        "vertical_left": f"CASE WHEN {y} % 2 = 0 THEN ({up(left)} + {up(left + ' + 1')} + 1) >> 1 ELSE ({up(left)} + 2 * {up(left + ' + 1')} + {up(left + ' + 2')} + 2) >> 2 END",
+        "horizontal_up": f"CASE WHEN {x} + 2 * {y} > {2 * n - 3} THEN a[1] WHEN {x} + 2 * {y} = {2 * n - 3} THEN (a[2] + 3 * a[1] + 2) >> 2 WHEN {x} % 2 = 1 THEN (a[{n} - {m}] + 2 * a[{n - 1} - {m}] + a[{n - 2} - {m}] + 2) >> 2 ELSE (a[{n} - {m}] + a[{n - 1} - {m}] + 1) >> 1 END",
+    }
+    cells = [f"array_to_string(list_transform(range(0, {n * n}), lambda i: {v}), ',') AS {name}" for name, v in modes.items()]
+    return f"WITH {BLOCKS} SELECT vec_id, {', '.join(cells)} FROM blocks"
+
+
+@query(_plain_sql(8))
 def directions8x8_plain(spark, sf_dir):
-    """The predictions of an 8 by 8 block from its edges as they are."""
-    return _directed(spark, sf_dir, 8, False)
+    """The predictions of an 8 by 8 block from its edges as they are; to the left they end with the last sample right above."""
+    return _directed(spark, sf_dir, 8, False, plain=True)
+
+
+@query(_plain_sql(4))
+def directions4x4_plain(spark, sf_dir):
+    """The predictions of a 4 by 4 block from its edges as they are."""
+    return _directed(spark, sf_dir, 4, False, plain=True)
 
 
 @query(f"""WITH {BLOCKS}, s AS (SELECT vec_id, a, label % 4 AS m, CAST(list_sum(a[1:16]) AS BIGINT) AS t, CAST(list_sum(a[17:32]) AS BIGINT) AS l FROM blocks)
@@ -202,20 +230,42 @@ def flat_filter16(spark, sf_dir):
     return _flat(spark, sf_dir, 16, 7)
 
 
-@query(f"""WITH {BLOCKS}, e AS (SELECT vec_id, unnest(range(0, 16)) AS r, a FROM blocks), v AS (SELECT vec_id, r, (a[r * 4 + 1] % 128) AS p1, (a[r * 4 + 2] % 128) AS p0, (a[r * 4 + 3] % 128) AS q0, (a[r * 4 + 4] % 128) AS q1 FROM e),
+@query(f"""WITH {BLOCKS}, e AS (SELECT vec_id, unnest(range(0, 16)) AS r, a FROM blocks), v AS (SELECT vec_id, r, ((a[r * 4 + 1] % 256) + 256) % 256 AS p1, ((a[r * 4 + 2] % 256) + 256) % 256 AS p0, ((a[r * 4 + 3] % 256) + 256) % 256 AS q0, ((a[r * 4 + 4] % 256) + 256) % 256 AS q1 FROM e),
 h AS (SELECT *, abs(p1 - p0) > 40 OR abs(q1 - q0) > 40 AS hev FROM v), f AS (SELECT *, least(greatest(CASE WHEN hev THEN least(greatest(p1 - q1, -128), 127) ELSE 0 END + 3 * (q0 - p0), -128), 127) AS f FROM h),
 g AS (SELECT *, least(f + 4, 127) >> 3 AS f1, least(f + 3, 127) >> 3 AS f2 FROM f)
-SELECT vec_id, r, hev, CASE WHEN hev THEN p1 ELSE p1 + ((f1 + 1) >> 1) END AS p1, p0 + f2 AS p0, q0 - f1 AS q0, CASE WHEN hev THEN q1 ELSE q1 - ((f1 + 1) >> 1) END AS q1 FROM g""")
+SELECT vec_id, r, hev, CASE WHEN hev THEN p1 ELSE least(greatest(p1 + ((f1 + 1) >> 1), 0), 255) END AS p1, least(greatest(p0 + f2, 0), 255) AS p0, least(greatest(q0 - f1, 0), 255) AS q0, CASE WHEN hev THEN q1 ELSE least(greatest(q1 - ((f1 + 1) >> 1), 0), 255) END AS q1 FROM g""")
 def narrow_filter(spark, sf_dir):
     """The filter of two samples on either side; where the edge is steep only the inner ones move."""
     rows = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda r: F.slice("a", r * 4 + 1, 4))
-    df = blocks(spark, sf_dir).select("vec_id", F.posexplode(rows).alias("r", "v")).select("vec_id", F.col("r").cast("long").alias("r"), *[(F.col("v")[i] % 128).alias(n) for i, n in enumerate(("p1", "p0", "q0", "q1"))])
+    df = blocks(spark, sf_dir).select("vec_id", F.posexplode(rows).alias("r", "v")).select("vec_id", F.col("r").cast("long").alias("r"), *[F.pmod(F.col("v")[i], F.lit(256)).alias(n) for i, n in enumerate(("p1", "p0", "q0", "q1"))])
     p1, p0, q0, q1 = (F.col(c) for c in ("p1", "p0", "q0", "q1"))
     df = df.withColumn("hev", (F.abs(p1 - p0) > 40) | (F.abs(q1 - q0) > 40))
     df = df.withColumn("f", k.clip(F.when(F.col("hev"), k.clip(p1 - q1, -128, 127)).otherwise(0) + 3 * (q0 - p0), -128, 127))
     df = df.withColumn("f1", F.shiftright(F.least(F.col("f") + 4, F.lit(127)), 3)).withColumn("f2", F.shiftright(F.least(F.col("f") + 3, F.lit(127)), 3))
     half = F.shiftright(F.col("f1") + 1, 1)
-    return df.select("vec_id", "r", "hev", F.when(F.col("hev"), p1).otherwise(p1 + half).alias("p1"), (p0 + F.col("f2")).alias("p0"), (q0 - F.col("f1")).alias("q0"), F.when(F.col("hev"), q1).otherwise(q1 - half).alias("q1"))
+    return df.select("vec_id", "r", "hev", F.when(F.col("hev"), p1).otherwise(k.clip(p1 + half, 0, 255)).alias("p1"), k.clip(p0 + F.col("f2"), 0, 255).alias("p0"), k.clip(q0 - F.col("f1"), 0, 255).alias("q0"), F.when(F.col("hev"), q1).otherwise(k.clip(q1 - half, 0, 255)).alias("q1"))
+
+
+@query(f"""WITH {BLOCKS}, e AS (SELECT vec_id, label, a, unnest(range(0, 4)) AS r FROM blocks),
+s AS (SELECT vec_id, r, CAST(vec_id % 64 AS BIGINT) AS level, label % 8 AS sharp, [4, 8, 16, 32][CAST((vec_id * 7 + r) % 4 + 1 AS INTEGER)] AS ours, [4, 8, 16, 32][CAST((vec_id // 3 + r) % 4 + 1 AS INTEGER)] AS theirs, 8 * (vec_id % 8) AS x,
+ list_transform(a[r * 16 + 1:r * 16 + 16], lambda v: least(greatest(120 + CAST(floor(v / (100 + 300 * (vec_id % 5))) AS BIGINT), 0), 255)) AS v FROM e),
+l AS (SELECT *, greatest(CASE WHEN sharp > 0 THEN least(level >> ((sharp + 3) >> 2), 9 - sharp) ELSE level END, 1) AS inner_, x % ours = 0 AS edge, least(ours, theirs, 16) AS width FROM s),
+g AS (SELECT *, edge AND level > 0 AND greatest(abs(v[5] - v[6]), abs(v[6] - v[7]), abs(v[7] - v[8]), abs(v[10] - v[9]), abs(v[11] - v[10]), abs(v[12] - v[11])) <= inner_ AND 2 * abs(v[8] - v[9]) + (abs(v[7] - v[10]) >> 1) <= least(2 * (level + 2) + inner_, 255) AS on_,
+ list_max(list_transform([5, 6, 7], lambda i: greatest(abs(v[i] - v[8]), abs(v[17 - i] - v[9])))) <= 1 AS flat, list_max(list_transform([1, 2, 3, 4], lambda i: greatest(abs(v[i] - v[8]), abs(v[17 - i] - v[9])))) <= 1 AS flat2 FROM l),
+k AS (SELECT *, CASE WHEN NOT on_ THEN 0 WHEN width >= 16 AND flat AND flat2 THEN 16 WHEN width >= 8 AND flat THEN 8 ELSE 4 END AS taps, abs(v[7] - v[8]) > level >> 4 OR abs(v[10] - v[9]) > level >> 4 AS hev FROM g),
+f AS (SELECT *, least(greatest(CASE WHEN hev THEN least(greatest(v[7] - v[10], -128), 127) ELSE 0 END + 3 * (v[9] - v[8]), -128), 127) AS f FROM k),
+h AS (SELECT *, least(f + 4, 127) >> 3 AS f1, least(f + 3, 127) >> 3 AS f2 FROM f)
+SELECT vec_id, r, taps, array_to_string(CASE taps WHEN 0 THEN v WHEN 4 THEN list_transform(range(1, 17), lambda i: CASE WHEN i = 7 AND NOT hev THEN least(greatest(v[7] + ((f1 + 1) >> 1), 0), 255) WHEN i = 8 THEN least(greatest(v[8] + f2, 0), 255) WHEN i = 9 THEN least(greatest(v[9] - f1, 0), 255) WHEN i = 10 AND NOT hev THEN least(greatest(v[10] - ((f1 + 1) >> 1), 0), 255) ELSE v[i] END)
+ WHEN 8 THEN list_transform(range(1, 17), lambda i: CASE WHEN i BETWEEN 6 AND 11 THEN CAST(list_sum(list_transform(range(-3, 4), lambda j: v[least(greatest(i + j, 5), 12)])) + v[i] + 4 AS BIGINT) >> 3 ELSE v[i] END)
+ ELSE list_transform(range(1, 17), lambda i: CASE WHEN i BETWEEN 2 AND 15 THEN CAST(list_sum(list_transform(range(-7, 8), lambda j: v[least(greatest(i + j, 1), 16)])) + v[i] + 8 AS BIGINT) >> 4 ELSE v[i] END) END, ',') AS samples FROM h""")
+def edge_filter(spark, sf_dir):
+    """Edges between blocks: levels and sharpness give limits, block sizes say which edges there are and how many samples may move, gates choose 4, 8 or 16."""
+    v, r = F.col("vec_id"), F.col("r")
+    df = blocks(spark, sf_dir).select("vec_id", "label", "a", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("r"))
+    size = lambda c: F.get(F.array(*map(F.lit, (4, 8, 16, 32))), (c % 4).cast("int"))
+    px = F.transform(F.slice("a", (r * 16 + 1).cast("int"), F.lit(16)), lambda x: k.clip(120 + F.floor(x / (100 + 300 * (v % 5))), 0, 255))
+    df = df.select("vec_id", "r", (v % 64).alias("level"), (F.col("label") % 8).alias("sharp"), size(v * 7 + r).alias("ours"), size(F.floor(v / 3) + r).alias("theirs"), (8 * (v % 8)).alias("x"), px.alias("v"))
+    return k.edge(df).select("vec_id", "r", "taps", k.listed(F.col("out")).alias("samples"))
 
 
 #: Taps on either side of a windowed sinc.
