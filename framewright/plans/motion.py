@@ -76,3 +76,75 @@ def motion_candidates(spark, sf_dir):
     part = lambda i, axis: F.least(F.greatest(F.coalesce(F.get("found", F.lit(i))[axis], F.lit(0)), F.lit(_LOW)), F.lit(_HIGH))
     found = candidates(_blocks(spark, sf_dir))
     return found.select("pic", "r", "c", F.size("found").alias("n"), part(0, "x").alias("nearest_x"), part(0, "y").alias("nearest_y"), part(1, "x").alias("near_x"), part(1, "y").alias("near_y"))
+
+
+def _lists(pic: Column) -> Column:
+    """Three references of a picture by index: for one of an odd number those behind it, from another place on for each picture; for an even one those two apart."""
+    behind = F.array(*[F.when(pic % 2 == 1, pic - 1 - 2 * i).otherwise(pic - 2 - 2 * i) for i in range(3)])
+    turn = (F.floor(pic / 2) % 3).cast("int")
+    return F.when(pic % 2 == 1, F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.get(behind, (i + turn) % 3))).otherwise(behind)
+
+
+def _order(pic: Column) -> Column:
+    """The place of a picture in display order."""
+    return 2 * pic + F.when(pic % 3 == 0, 1).otherwise(0)
+
+
+def _with_colocated(grid: DataFrame) -> DataFrame:
+    """Blocks of pictures of odd numbers, each with the block of the next picture in its place: the picture that this refers to, and its motion."""
+    col = grid.select((F.col("pic") - 1).alias("p"), F.col("r").alias("cr"), F.col("c").alias("cc"), F.when(F.col("ref0") >= 0, F.get(_lists(F.col("pic")), F.col("ref0").cast("int"))).alias("points"), F.col("ref0").alias("c_ref"), F.col("x0").alias("cx"), F.col("y0").alias("cy"))
+    return grid.where("pic % 2 = 1").join(col, (F.col("pic") == F.col("p")) & (F.col("r") == F.col("cr")) & (F.col("c") == F.col("cc")))
+
+
+_LISTS = """l AS (SELECT *, CASE WHEN pic % 2 = 1 THEN list_transform(range(3), lambda i: pic - 1 - 2 * ((i + pic // 2 % 3) % 3)) ELSE list_transform(range(3), lambda i: pic - 2 - 2 * i) END AS refs, 2 * pic + CASE WHEN pic % 3 = 0 THEN 1 ELSE 0 END AS poc FROM g),
+j AS (SELECT b.*, CASE WHEN k.ref0 >= 0 THEN k.refs[k.ref0 + 1] END AS points, k.ref0 AS c_ref, k.x0 AS cx, k.y0 AS cy, k.poc AS poc1 FROM l b JOIN l k ON k.pic = b.pic + 1 AND k.r = b.r AND k.c = b.c WHERE b.pic % 2 = 1)"""
+
+
+@query(f"""WITH {_GRID}, {_LISTS},
+i AS (SELECT *, CASE WHEN points IS NULL THEN 0 ELSE list_position(refs, points) - 1 END AS idx, CASE WHEN points IS NULL THEN 0 ELSE cx END AS mx, CASE WHEN points IS NULL THEN 0 ELSE cy END AS my FROM j),
+t AS (SELECT *, refs[idx + 1] AS rp FROM i),
+d AS (SELECT *, least(greatest(poc - (2 * rp + CASE WHEN rp % 3 = 0 THEN 1 ELSE 0 END), -128), 127) AS tb, least(greatest(poc1 - (2 * rp + CASE WHEN rp % 3 = 0 THEN 1 ELSE 0 END), -128), 127) AS td FROM t),
+s AS (SELECT *, CASE WHEN td = 0 THEN NULL ELSE least(greatest((tb * ((16384 + abs(td // 2)) // td) + 32) >> 6, -1024), 1023) END AS scale FROM d)
+SELECT pic, r, c, CAST(idx AS BIGINT) AS ref, CASE WHEN scale IS NULL THEN mx ELSE (scale * mx + 128) >> 8 END AS x0, CASE WHEN scale IS NULL THEN my ELSE (scale * my + 128) >> 8 END AS y0, CASE WHEN scale IS NULL THEN 0 ELSE ((scale * mx + 128) >> 8) - mx END AS x1, CASE WHEN scale IS NULL THEN 0 ELSE ((scale * my + 128) >> 8) - my END AS y1 FROM s""")
+def direct_temporal(spark, sf_dir):
+    """Motion scaled from the colocated block by distances in display order; its reference is looked up in the block's own list."""
+    df = _with_colocated(_blocks(spark, sf_dir))
+    there = F.col("points").isNotNull()
+    df = df.withColumn("refs", _lists(F.col("pic"))).withColumn("ref", F.when(there, F.array_position("refs", F.col("points")) - 1).otherwise(F.lit(0).cast("long")))
+    at = _order(F.get("refs", F.col("ref").cast("int")))
+    df = df.withColumn("tb", F.least(F.greatest(_order(F.col("pic")) - at, F.lit(-128)), F.lit(127))).withColumn("td", F.least(F.greatest(_order(F.col("pic") + 1) - at, F.lit(-128)), F.lit(127)))
+    df = df.withColumn("tx", F.expr("CASE WHEN td = 0 THEN NULL ELSE (16384 + abs(td div 2)) div td END"))
+    df = df.withColumn("scale", F.least(F.greatest(F.shiftright(F.col("tb") * F.col("tx") + 32, 6), F.lit(-1024)), F.lit(1023)))
+    scaled = F.col("td") != 0
+    out = []
+    for axis in ("x", "y"):
+        own = F.when(there, F.col(f"c{axis}")).otherwise(0)
+        first = F.when(scaled, F.shiftright(F.col("scale") * own + 128, 8)).otherwise(own)
+        out += [first.alias(f"{axis}0"), F.when(scaled, first - own).otherwise(0).alias(f"{axis}1")]
+    return df.select("pic", "r", "c", "ref", *out)
+
+
+@query(f"""WITH {_GRID}, {_LISTS},
+n AS (SELECT j.pic, j.r, j.c, j.c_ref, j.cx, j.cy, coalesce(a.ref0, -1) AS ra, coalesce(a.x0, 0) AS xa, coalesce(a.y0, 0) AS ya, coalesce(b.ref0, -1) AS rb, coalesce(b.x0, 0) AS xb, coalesce(b.y0, 0) AS yb, coalesce(d.ref0, e.ref0, -1) AS rc, coalesce(d.x0, e.x0, 0) AS xc, coalesce(d.y0, e.y0, 0) AS yc
+ FROM j LEFT JOIN g a ON a.pic = j.pic AND a.r = j.r AND a.c = j.c - 1 LEFT JOIN g b ON b.pic = j.pic AND b.r = j.r - 1 AND b.c = j.c LEFT JOIN g d ON d.pic = j.pic AND d.r = j.r - 1 AND d.c = j.c + 1 LEFT JOIN g e ON e.pic = j.pic AND e.r = j.r - 1 AND e.c = j.c - 1),
+f AS (SELECT *, coalesce(list_min(list_filter([ra, rb, rc], lambda v: v >= 0)), -1) AS ref FROM n),
+m AS (SELECT *, [CASE WHEN ra >= 0 THEN xa ELSE 0 END, CASE WHEN rb >= 0 THEN xb ELSE 0 END, CASE WHEN rc >= 0 THEN xc ELSE 0 END] AS xs, [CASE WHEN ra >= 0 THEN ya ELSE 0 END, CASE WHEN rb >= 0 THEN yb ELSE 0 END, CASE WHEN rc >= 0 THEN yc ELSE 0 END] AS ys, list_filter([1, 2, 3], lambda i: [ra, rb, rc][i] = ref) AS same FROM f)
+SELECT pic, r, c, greatest(ref, 0) AS ref, CASE WHEN ref < 0 OR (ref = 0 AND c_ref = 0 AND abs(cx) <= 1 AND abs(cy) <= 1) THEN 0 WHEN len(same) = 1 THEN xs[same[1]] ELSE list_sort(xs)[2] END AS x, CASE WHEN ref < 0 OR (ref = 0 AND c_ref = 0 AND abs(cx) <= 1 AND abs(cy) <= 1) THEN 0 WHEN len(same) = 1 THEN ys[same[1]] ELSE list_sort(ys)[2] END AS y FROM m""")
+def direct_spatial(spark, sf_dir):
+    """The least reference of three neighbours and the motion they predict for it; still where the colocated block hardly moves."""
+    grid = _blocks(spark, sf_dir)
+    # each block tells those that it is a neighbour of: left, above, above right, above left
+    pic, r, c = F.col("pic"), F.col("r"), F.col("c")
+    to = lambda name, rr, cc: F.struct(F.lit(name).alias("side"), rr.alias("r"), cc.alias("c"))
+    sent = grid.where("pic % 2 = 1").select("pic", F.struct("ref0", "x0", "y0").alias("m"), F.explode(F.array(to("a", r, c + 1), to("b", r + 1, c), to("d", r + 1, c - 1), to("e", r + 1, c + 1))).alias("t"))
+    near = sent.groupBy("pic", F.col("t.r").alias("r"), F.col("t.c").alias("c")).agg(*[F.max(F.when(F.col("t.side") == s, F.col("m"))).alias(s) for s in "abde"])
+    df = _with_colocated(grid).join(near, ["pic", "r", "c"], "left")
+    three = F.array("a", "b", F.coalesce("d", "e"))
+    refs = F.transform(three, lambda m: F.coalesce(m["ref0"], F.lit(-1)))
+    ref = F.coalesce(F.array_min(F.filter(refs, lambda v: v >= 0)), F.lit(-1))
+    df = df.withColumn("three", three).withColumn("ref", ref)
+    same = F.filter("three", lambda m: m["ref0"] == F.col("ref"))
+    still = (F.col("ref") < 0) | ((F.col("ref") == 0) & (F.col("c_ref") == 0) & (F.abs("cx") <= 1) & (F.abs("cy") <= 1))
+    median = lambda n: F.get(F.array_sort(F.transform("three", lambda m: F.when(m["ref0"] >= 0, m[n]).otherwise(0))), F.lit(1))
+    part = lambda n: F.when(still, 0).when(F.size(same) == 1, F.get(same, F.lit(0))[n]).otherwise(median(n))
+    return df.select("pic", "r", "c", F.greatest(F.col("ref"), F.lit(0)).alias("ref"), part("x0").alias("x"), part("y0").alias("y"))
