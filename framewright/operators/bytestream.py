@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .scan import last_known, neighbour, ranged, row_number, running_sum, with_halo
+from .scan import last_knowns, neighbour, ranged, row_number, running_sum, running_sums, settled, with_halo
 
 #: Unit types of slices, and those that begin a picture where one has slices already.
 SLICES, HEADS = (1, 5), (6, 7, 8, 9, 14, 15)
@@ -68,8 +68,7 @@ def start_codes(chunks: DataFrame, keys: list[str], order: list[str], data: str)
     rows = chunks.select(*keys, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.col(data).cast("binary").alias("bytes")).where(F.octet_length("bytes") > 0)
     order = [f"_o{i}" for i in range(len(order))]
     rows = ranged(rows.withColumn("sum", _byte_sum("bytes")), keys, order)
-    rows = running_sum(rows, keys, order, F.octet_length("bytes").cast("long"), "base")
-    rows = running_sum(rows, keys, order, F.col("sum"), "base_sum")
+    rows = running_sums(rows, keys, order, {"base": F.octet_length("bytes").cast("long"), "base_sum": F.col("sum")})
     rows = with_halo(rows, keys, order, F.substring("bytes", -3, 3), "_b", 3)
     rows = with_halo(rows, keys, order, F.substring("bytes", 1, 3), "_a", 3, step=1)
     join = lambda c: F.unhex(F.array_join(F.transform(c, F.hex), ""))
@@ -95,7 +94,7 @@ def units(chunks: DataFrame, keys: list[str], order: list[str], data: str) -> Da
     found = codes.join(ends, same).withColumn("size", F.coalesce(F.col("next.end"), F.col("_size")) - F.col("at")).where("size > 0")
     found = row_number(found, keys, ["at"], "unit")
     total = F.coalesce(F.col("next.sum"), F.col("_sum")) - F.col("after")
-    return found.select(*keys, "_r", "unit", F.col("at").alias("pos"), "size", "first", F.when(F.col("size") > 1, F.col("second")).otherwise(-1).alias("second"), total.alias("total"))
+    return settled(found.select(*keys, "_r", "unit", F.col("at").alias("pos"), "size", "first", F.when(F.col("size") > 1, F.col("second")).otherwise(-1).alias("second"), total.alias("total")))
 
 
 def pictures(found: DataFrame, keys: list[str]) -> DataFrame:
@@ -106,8 +105,7 @@ def pictures(found: DataFrame, keys: list[str]) -> DataFrame:
     """
     kind = F.col("first").bitwiseAND(31)
     df = ranged(found, keys, ["unit"]).withColumn("slice", kind.isin(*SLICES)).withColumn("head", kind.isin(*HEADS))
-    df = last_known(df, keys, ["unit"], F.when(F.col("slice"), F.col("unit")), "_s")
-    df = last_known(df, keys, ["unit"], F.when(F.col("head"), F.col("unit")), "_h")
+    df = last_knowns(df, keys, ["unit"], {"_s": F.when(F.col("slice"), F.col("unit")), "_h": F.when(F.col("head"), F.col("unit"))})
     df = neighbour(df, keys, ["unit"], F.struct(F.coalesce("_s", F.lit(0)).alias("s"), F.coalesce("_h", F.lit(0)).alias("h")), "_before", step=-1)
     begins = F.col("_before").isNull() | ((F.col("_before.s") > F.col("_before.h")) & (F.col("head") | (F.col("slice") & (F.col("second") >= 128))))
     df = running_sum(df, keys, ["unit"], begins.cast("long"), "picture", inclusive=True)

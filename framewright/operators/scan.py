@@ -4,8 +4,9 @@ A window over a whole stream puts the stream into one task. Here rows are dealt
 by ranges of their keys and order (``ranged``); Spark takes the bounds from a sample of the
 data, so that ranges have about equally many rows however dense a stretch is, and
 equal times are split by what breaks their ties. Windows run within a range, and what a range needs from
-those before it comes from a table with a row for each range and key. As many
-scans as needed run over one ranged table, in the same exchange.
+those before it comes from a table with a row for each range and key. Scans run over one
+ranged table, in the same exchange; each asks twice for what it is given, so a long
+chain of them is written in between (``settled``).
 """
 
 from __future__ import annotations
@@ -28,6 +29,11 @@ def ranged(df: DataFrame, keys: list[str], order: list[str], ranges: int | None
     return materialize(df.repartitionByRange(*([ranges] if ranges else []), *keys, *order).withColumn(RANGE, F.spark_partition_id()), "ranged")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """What scans have made so far, written, with its ranges."""
+    return materialize(df, "settled")
+
+
 def _within(keys: list[str], order: list[str]) -> Window:
     return Window.partitionBy(*keys, RANGE).orderBy(*order)
 
@@ -44,14 +50,21 @@ def _join(df: DataFrame, ranges: DataFrame, keys: list[str], value: str) -> Data
     return df.join(ranges, same, "left").drop(*[f"_k_{k}" for k in [*keys, RANGE]])
 
 
+def running_sums(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], inclusive: bool = False) -> DataFrame:
+    """df and a column for each of ``values``: its sum over the rows before (or up to) each row of its keys, in the order given. One scan for all."""
+    df = ranged(df, keys, order).withColumn("_v", F.struct(*[v.alias(n) for n, v in values.items()]))
+    totals = df.groupBy(*keys, RANGE).agg(F.struct(*[F.sum(F.col("_v")[n]).alias(n) for n in values]).alias("_t"))
+    earlier = _between(keys).rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.withColumn("_b", F.struct(*[F.sum(F.col("_t")[n]).over(earlier).alias(n) for n in values]))
+    upto = _within(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    none = lambda c: F.coalesce(c, F.lit(0))
+    sums = {n: none(F.col("_b")[n]) + none(F.sum(F.col("_v")[n]).over(upto)) - (F.lit(0) if inclusive else none(F.col("_v")[n])) for n in values}
+    return _join(df, before, keys, "_b").withColumns(sums).drop("_v", "_b")
+
+
 def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, inclusive: bool = False) -> DataFrame:
     """df and ``out``: the sum of ``value`` over the rows before (or up to) each row of its keys, in the order given."""
-    df = ranged(df, keys, order).withColumn("_v", value)
-    totals = df.groupBy(*keys, RANGE).agg(F.sum("_v").alias("_t"))
-    before = totals.withColumn("_b", F.sum("_t").over(_between(keys).rowsBetween(Window.unboundedPreceding, -1)))
-    own = F.sum("_v").over(_within(keys, order).rowsBetween(Window.unboundedPreceding, 0))
-    total = F.coalesce(F.col("_b"), F.lit(0)) + F.coalesce(own, F.lit(0)) - (F.lit(0) if inclusive else F.coalesce(F.col("_v"), F.lit(0)))
-    return _join(df, before, keys, "_b").withColumn(out, total).drop("_v", "_b")
+    return running_sums(df, keys, order, {out: value}, inclusive)
 
 
 def row_number(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
@@ -59,13 +72,21 @@ def row_number(df: DataFrame, keys: list[str], order: list[str], out: str) -> Da
     return running_sum(df, keys, order, F.lit(1).cast("long"), out, inclusive=True)
 
 
+def last_knowns(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
+    """df and a column for each of ``values``: its last one that is not null up to each row. One scan for all."""
+    df = ranged(df, keys, order).withColumn("_v", F.struct(*[v.alias(n) for n, v in values.items()]))
+    at = lambda n: F.when(F.col("_v")[n].isNotNull(), F.struct(*order))
+    lasts = df.groupBy(*keys, RANGE).agg(F.struct(*[F.max_by(F.col("_v")[n], at(n)).alias(n) for n in values]).alias("_l"))
+    earlier = _between(keys).rowsBetween(Window.unboundedPreceding, -1)
+    before = lasts.withColumn("_b", F.struct(*[F.last(F.col("_l")[n], ignorenulls=True).over(earlier).alias(n) for n in values]))
+    upto = _within(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    found = {n: F.coalesce(F.last(F.col("_v")[n], ignorenulls=True).over(upto), F.col("_b")[n]) for n in values}
+    return _join(df, before, keys, "_b").withColumns(found).drop("_v", "_b")
+
+
 def last_known(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str) -> DataFrame:
     """df and ``out``: the last value that is not null up to each row."""
-    df = ranged(df, keys, order).withColumn("_v", value)
-    lasts = df.groupBy(*keys, RANGE).agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))).alias("_l"))
-    before = lasts.withColumn("_b", F.last("_l", ignorenulls=True).over(_between(keys).rowsBetween(Window.unboundedPreceding, -1)))
-    own = F.last("_v", ignorenulls=True).over(_within(keys, order).rowsBetween(Window.unboundedPreceding, 0))
-    return _join(df, before, keys, "_b").withColumn(out, F.coalesce(own, F.col("_b"))).drop("_v", "_b")
+    return last_knowns(df, keys, order, {out: value})
 
 
 def neighbour(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, step: int = 1) -> DataFrame:
