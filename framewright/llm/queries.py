@@ -63,7 +63,7 @@ def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and how alike they and the next document's are."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     anchors = spotsigs.common_words(docs)
-    docs = spotsigs.with_next(spotsigs.with_signatures(docs, "text", "sigs", anchors), "doc_id", ["text", "sigs"], tie="text")
+    docs = spotsigs.with_next(docs, "doc_id", ["text", "sigs"], tie="text", late=lambda df: spotsigs.with_signatures(df, "text", "sigs", anchors))
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))

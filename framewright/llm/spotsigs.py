@@ -12,6 +12,7 @@ partitions by size, and only those of one partition or the next are compared.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -93,12 +94,14 @@ def _next_lower(keys: DataFrame, key: str, fan: int = 4096) -> DataFrame:
     return dealt.withColumn("below", F.lead(key).over(order)).join(above, "__fw_up").select(key, F.coalesce("below", "__fw_next").alias("below"))
 
 
-def with_next(df: DataFrame, id_col: str, cols: list[str], tie: str) -> DataFrame:
+def with_next(df: DataFrame, id_col: str, cols: list[str], tie: str, late: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """df, and next_<col> of the row with the next lower id; after the lowest comes the highest.
 
     Ids are whole numbers. Rows of equal id follow each other by ``tie``; a null id is the lowest. Rows are
     dealt out by ranges of ids: one shuffle, and no task has more than a range (rows of
     null id and of one id are in one range, as their order follows from ``tie`` alone).
+    ``late`` adds those of ``cols`` that are dear to make, so that they are made once a row and not
+    for all rows again to find the first of each range.
     """
     key = F.coalesce(F.floor(F.col(id_col) / RANGE).cast("long"), F.lit(-(1 << 62)))
     df = df.withColumn("__fw_range", key)
@@ -108,8 +111,9 @@ def with_next(df: DataFrame, id_col: str, cols: list[str], tie: str) -> DataFram
     first = below.join(heads.select(F.col("__fw_range").alias("below"), "__fw_head"), "below").select(F.col("__fw_range").alias("__fw_for"), "__fw_head")
     few = heads.count() <= SMALL
     hint = F.broadcast if few else (lambda x: x)
-    tops = df.select(F.col(id_col).alias("__fw_id"), F.struct(F.col(tie).alias("__fw_tie"), *cols).alias("__fw_row"))
-    tops = tops.join(hint(first), tops["__fw_id"].eqNullSafe(first["__fw_head"])).groupBy("__fw_for").agg(F.min("__fw_row").alias("__fw_row"))
+    tops = df.join(hint(first), df[id_col].eqNullSafe(first["__fw_head"]))
+    tops = late(tops).groupBy("__fw_for").agg(F.min(F.struct(F.col(tie).alias("__fw_tie"), *cols)).alias("__fw_row"))
+    df = late(df)
     df = df.withColumn("__fw_lead", F.lead(F.struct(*cols)).over(order)).withColumn("__fw_last", F.lead(F.lit(1)).over(order).isNull())
     df = df.join(tops, df["__fw_range"] == tops["__fw_for"])
     return df.select(*[c for c in df.columns if c not in ("__fw_range", "__fw_lead", "__fw_last", "__fw_for", "__fw_row")], *[F.when(F.col("__fw_last"), F.col("__fw_row")[c]).otherwise(F.col("__fw_lead")[c]).alias(f"next_{c}") for c in cols])
