@@ -11,29 +11,35 @@ from ..catalog import query
 from ..functions import bits as bt
 from ..tables import PACKETS, literal, packets, table
 
-#: Codecs of the tracks made here.
-CODECS = ("aac", "opus", "flac", "pcm_s24le", "vorbis", "pcm_f32be", "pcm_u8", "wavpack")
+#: Codecs of the tracks made here: interchange names, fixed values.
+CODECS = (
+    "aac", "opus", "flac", "vorbis", "wavpack", "alac", "mp1", "mp2", "mp3", "adpcm_ima_wav", "adpcm_ms", "ac3", "pcm_u8", "pcm_s16le", "pcm_s16be", "pcm_u16le", "pcm_u16be", "pcm_s24le", "pcm_s24be", "pcm_u24le", "pcm_u24be",
+    "pcm_s32le", "pcm_s32be", "pcm_u32le", "pcm_u32be", "pcm_f32le", "pcm_f32be", "pcm_f64le", "pcm_f64be",
+)
 
 
-@query("""WITH t AS (SELECT o_orderkey, ['aac', 'opus', 'flac', 'pcm_s24le', 'vorbis', 'pcm_f32be', 'pcm_u8', 'wavpack'][o_orderkey % 8 + 1] AS codec, CASE WHEN o_custkey % 3 = 0 THEN o_custkey % 8 + 1 END AS declared, o_custkey % 9 AS hint, CASE WHEN o_custkey % 2 = 0 THEN 16 ELSE 24 END AS bits, CASE WHEN o_custkey % 5 > 0 THEN 8000 * (o_custkey % 5) END AS rate FROM orders),
+@query(f"""WITH t AS (SELECT o_orderkey, {list(CODECS)}[o_orderkey % {len(CODECS)} + 1] AS codec, CASE WHEN o_custkey % 7 = 0 THEN concat(1001, '/', 1000 * (1 + o_custkey % 60)) END AS base, CASE WHEN o_custkey % 3 = 0 THEN o_custkey % 8 + 1 END AS declared, o_custkey % 9 AS hint, [8, 16, 24, 32, 64][o_custkey % 5 + 1] AS bits, CASE WHEN o_custkey % 5 > 0 THEN 8000 * (o_custkey % 5) END AS rate FROM orders),
 c AS (SELECT *, CAST(coalesce(declared, CASE codec WHEN 'aac' THEN CASE WHEN hint BETWEEN 1 AND 6 THEN hint WHEN hint = 7 THEN 8 ELSE 0 END WHEN 'opus' THEN hint ELSE 0 END) AS BIGINT) AS channels FROM t)
 SELECT o_orderkey, codec, channels, CASE channels WHEN 0 THEN NULL WHEN 1 THEN 'mono' WHEN 2 THEN 'stereo' WHEN 6 THEN '5.1' WHEN 8 THEN '7.1' ELSE concat(channels, ' channels') END AS layout,
- CASE WHEN codec = 'pcm_u8' THEN 'u8' WHEN codec = 'pcm_s24le' THEN 's32' WHEN codec IN ('flac', 'wavpack') THEN CASE WHEN bits <= 16 THEN 's16' ELSE 's32' END ELSE 'flt' END AS sample_format, CASE WHEN rate IS NOT NULL THEN concat('1/', rate) END AS time_base FROM c""")
+ CASE WHEN codec = 'pcm_u8' THEN 'u8' WHEN codec IN ('pcm_s16le', 'pcm_s16be', 'pcm_u16le', 'pcm_u16be', 'adpcm_ima_wav', 'adpcm_ms') THEN 's16' WHEN codec IN ('pcm_f32le', 'pcm_f32be', 'aac', 'opus', 'vorbis', 'mp1', 'mp2', 'mp3') THEN 'flt' WHEN codec IN ('pcm_f64le', 'pcm_f64be') THEN 'dbl'
+ WHEN codec IN ('flac', 'alac', 'wavpack') AND bits <= 16 THEN 's16' ELSE 's32' END AS sample_format, coalesce(base, '1/' || rate) AS time_base FROM c""")
 def track_parameters(spark, sf_dir):
-    """Streams from tracks: channels as declared, else from the codec's own bytes; sample format by codec and depth; time base by rate."""
+    """Streams from tracks: channels as declared, else from the codec's own bytes; sample format by the codec's name and depth; the track's time base, else one by its rate."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    codec = F.get(F.array(*map(F.lit, CODECS)), (k % 8).cast("int"))
+    codec = F.get(F.array(*map(F.lit, CODECS)), (k % len(CODECS)).cast("int"))
     hint = (c % 9).cast("int")
     own = F.when(codec == "aac", F.concat(F.lit("12"), F.lpad(F.hex(F.shiftleft(hint, 3)), 2, "0"))).when(codec == "opus", F.concat(F.hex(F.lit("OpusHead")), F.lit("01"), F.lpad(F.hex(hint), 2, "0")))
-    df = table(spark, sf_dir, "orders").select(k, codec.alias("codec"), F.when(c % 3 == 0, c % 8 + 1).alias("declared"), F.unhex(own).alias("extra"), F.when(c % 2 == 0, 16).otherwise(24).alias("bits"), F.when(c % 5 > 0, 8000 * (c % 5)).alias("rate"))
+    df = table(spark, sf_dir, "orders").select(k, codec.alias("codec"), F.when(c % 3 == 0, c % 8 + 1).alias("declared"), F.unhex(own).alias("extra"), F.get(F.array(*map(F.lit, (8, 16, 24, 32, 64))), (c % 5).cast("int")).alias("bits"), F.when(c % 5 > 0, 8000 * (c % 5)).alias("rate"), F.when(c % 7 == 0, F.concat(F.lit("1001/"), (1000 * (1 + c % 60)).cast("string"))).alias("base"))
     setting = F.shiftright(bt.uint("extra", 1, 1), 3).bitwiseAND(15)
     aac = F.when(setting.between(1, 6), setting).when(setting == 7, 8).otherwise(0)
     opus = F.when(F.substring("extra", 1, 8) == F.encode(F.lit("OpusHead"), "utf-8"), bt.uint("extra", 9, 1)).otherwise(0)
     df = df.withColumn("channels", F.coalesce("declared", F.when(F.col("codec") == "aac", aac).when(F.col("codec") == "opus", opus), F.lit(0)).cast("long"))
     n, name = F.col("channels"), F.col("codec")
     layout = F.when(n == 1, "mono").when(n == 2, "stereo").when(n == 6, "5.1").when(n == 8, "7.1").when(n > 0, F.concat(n.cast("string"), F.lit(" channels")))
-    form = F.when(name == "pcm_u8", "u8").when(name == "pcm_s24le", "s32").when(name.isin("flac", "wavpack"), F.when(F.col("bits") <= 16, "s16").otherwise("s32")).otherwise("flt")
-    return df.select("o_orderkey", "codec", "channels", layout.alias("layout"), form.alias("sample_format"), F.when(F.col("rate").isNotNull(), F.concat(F.lit("1/"), F.col("rate").cast("string"))).alias("time_base"))
+    width = F.regexp_extract(name, "^pcm_[suf]([0-9]+)", 1)
+    form = F.when(width == "8", "u8").when((width == "16") | name.startswith("adpcm_"), "s16").when(name.startswith("pcm_f"), F.when(width == "32", "flt").otherwise("dbl"))
+    form = form.when(name.isin("aac", "opus", "vorbis", "mp1", "mp2", "mp3"), "flt").when(name.isin("flac", "alac", "wavpack") & (F.col("bits") <= 16), "s16").otherwise("s32")
+    return df.select("o_orderkey", "codec", "channels", layout.alias("layout"), form.alias("sample_format"), F.coalesce("base", F.concat(F.lit("1/"), F.col("rate").cast("string"))).alias("time_base"))
 
 
 @query("""WITH t AS (SELECT p_partkey, ['h264', 'av1', 'vp9', 'aac', 'pcm_s16le', 'opus', 'pcm_f64be', 'subrip'][p_partkey % 8 + 1] AS codec, CASE WHEN p_size % 4 > 0 THEN p_size * 1000 ELSE 0 END AS rate, CASE WHEN p_size % 3 > 0 THEN p_size * 30 ELSE 0 END AS den FROM part)
