@@ -66,6 +66,35 @@ def sine_cosine8x8(spark, sf_dir):
     return blocks(spark, sf_dir).select("vec_id", k.listed(F.transform(px, lambda x: F.shiftright(x + 16, 5))).alias("px"))
 
 
+def _reconstructed(bits: int) -> str:
+    n = 1 << bits
+    rows = k.sql_stepped(f"SELECT blk, r, a[r * {n} + 1:r * {n} + {n}] AS x FROM z, range({n}) t(r)", "blk, r", bits)
+    columns = k.sql_stepped(f"SELECT blk, c, list(y[c + 1] ORDER BY r) AS x FROM p, range({n}) t(c) GROUP BY blk, c", "blk, c", bits)
+    return f"""WITH {BLOCKS}, w AS (SELECT vec_id // {n * n // 64} AS blk, flatten(list(a ORDER BY vec_id)) AS l FROM blocks GROUP BY 1), z AS (SELECT blk, list_concat(l, list_transform(range({n * n} - len(l)), lambda i: 0::BIGINT)) AS a FROM w), p AS ({rows}), q AS ({columns})
+SELECT blk, string_agg(CAST(least(greatest((blk * 7 + r * {n} + c) % 256 + ((y[r + 1] + 32) >> 6), 0), 255) AS VARCHAR), ',' ORDER BY r, c) AS px FROM q, range({n}) t(r) GROUP BY blk"""
+
+
+def _reconstruct(spark, sf_dir, bits: int):
+    """Vectors side by side as a block of coefficients (zeros fill the last), transformed, and added to a prediction of 8 bits."""
+    n, blk = 1 << bits, F.floor(F.col("vec_id") / ((1 << 2 * bits) // 64))
+    each = blocks(spark, sf_dir).groupBy(blk.alias("blk")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "a"))), lambda x: x["a"])).alias("a"))
+    each = each.select("blk", F.concat("a", F.array_repeat(F.lit(0).cast("long"), n * n - F.size("a"))).alias("a"))
+    px = k.over_blocks("a", n, k.stepped(bits), k.stepped(bits))
+    return each.select("blk", k.listed(F.transform(px, lambda x, i: k.clip((F.col("blk") * 7 + i) % 256 + F.shiftright(x + 32, 6), 0, 255))).alias("px"))
+
+
+@query(_reconstructed(4))
+def reconstruct16x16(spark, sf_dir):
+    """Blocks of 16 by 16: rows and columns transformed, rounded, added to a prediction and kept in 8 bits."""
+    return _reconstruct(spark, sf_dir, 4)
+
+
+@query(_reconstructed(5))
+def reconstruct32x32(spark, sf_dir):
+    """Blocks of 32 by 32, as those of 16 by 16."""
+    return _reconstruct(spark, sf_dir, 5)
+
+
 def _walsh_sql() -> str:
     one = lambda first: "[" + ", ".join(k.walsh4([k.Sql(f"row[{i + 1}]") for i in range(4)], first)) + "]"
     turned = lambda m: f"list_transform(range(1, 5), lambda i: list_transform({m}, lambda row: row[i]))"
