@@ -333,3 +333,23 @@ def resample_cubic(spark, sf_dir):
     m, p, c, n = (F.get("a", k.clip(base + d, 0, 63)) for d in (-1, 0, 1, 2))
     out = 54 * p + 9 * (c - m) * f + 3 * (2 * m - 5 * p + 4 * c - n) * f * f + (3 * (p - c) + n - m) * f * f * f
     return df.select("vec_id", F.col("i").cast("long").alias("i"), out.alias("out_"))
+
+
+#: The six taps of half positions: fixed values of the standard.
+_SIX = (1, -5, 20, 20, -5, 1)
+
+
+@query(f"""WITH {BLOCKS}, px AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, ((a[i + 1] % 256) + 256) % 256 AS v FROM blocks, range(64) t(i)),
+t(d, w) AS (VALUES {', '.join(f'({i - 2}, {t})' for i, t in enumerate(_SIX))}),
+b AS (SELECT p.vec_id, p.y, p.x - d AS x, sum(w * v) AS b FROM px p, t WHERE p.x - d BETWEEN 2 AND 4 GROUP BY ALL),
+h AS (SELECT p.vec_id, p.y - d AS y, p.x, sum(w * v) AS h FROM px p, t WHERE p.y - d BETWEEN 2 AND 4 GROUP BY ALL),
+j AS (SELECT b.vec_id, b.y - d AS y, b.x, sum(w * b) AS j FROM b, t WHERE b.y - d BETWEEN 2 AND 4 GROUP BY ALL),
+c AS (SELECT g.vec_id, g.y, g.x, g.v AS g, r.v AS r, m.v AS d, least(greatest((b.b + 16) >> 5, 0), 255) AS b, least(greatest((s.b + 16) >> 5, 0), 255) AS s, least(greatest((h.h + 16) >> 5, 0), 255) AS h, least(greatest((k.h + 16) >> 5, 0), 255) AS m, least(greatest((j.j + 512) >> 10, 0), 255) AS j
+ FROM px g JOIN px r ON r.vec_id = g.vec_id AND r.y = g.y AND r.x = g.x + 1 JOIN px m ON m.vec_id = g.vec_id AND m.y = g.y + 1 AND m.x = g.x JOIN b ON b.vec_id = g.vec_id AND b.y = g.y AND b.x = g.x JOIN b s ON s.vec_id = g.vec_id AND s.y = g.y + 1 AND s.x = g.x
+ JOIN h ON h.vec_id = g.vec_id AND h.y = g.y AND h.x = g.x JOIN h k ON k.vec_id = g.vec_id AND k.y = g.y AND k.x = g.x + 1 JOIN j ON j.vec_id = g.vec_id AND j.y = g.y AND j.x = g.x)
+SELECT vec_id, y, x, array_to_string([g, (g + b + 1) >> 1, b, (b + r + 1) >> 1, (g + h + 1) >> 1, (b + h + 1) >> 1, (b + j + 1) >> 1, (b + m + 1) >> 1, h, (h + j + 1) >> 1, j, (j + m + 1) >> 1, (h + d + 1) >> 1, (h + s + 1) >> 1, (j + s + 1) >> 1, (m + s + 1) >> 1], ',') AS positions FROM c""")
+def quarter_positions(spark, sf_dir):
+    """All sixteen quarter positions of samples: halves by six taps in either direction and in both, quarters as means of two."""
+    px = F.transform("a", lambda v: F.pmod(v, F.lit(256)))
+    found = blocks(spark, sf_dir).select("vec_id", F.posexplode(k.quarter_positions(px)).alias("i", "p"))
+    return found.select("vec_id", (2 + F.floor(F.col("i") / 3)).alias("y"), (2 + F.col("i") % 3).cast("long").alias("x"), k.listed(F.col("p")).alias("positions"))
