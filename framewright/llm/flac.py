@@ -11,11 +11,14 @@ seek point for every ``SEEK`` frames.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,11 +30,12 @@ RATE = 8000
 #: The writer's linear predictors have this order, and coefficients of so many bits.
 ORDER, PRECISION, SHIFT = 4, 8, 6
 PARTITIONS = 4
-_SLICE = 1_200_000
 #: More bytes than a sample takes in all channels, unless a code is absurdly long.
 BYTES = 96
-#: Frames that are handled together at most: what bounds memory for very long streams.
-GROUP = 2048
+#: Frames that are handled together, half as many more at most: what bounds memory for very long streams.
+GROUP = 1024
+#: Bytes of streams or payloads that a task handles together, about.
+_SLICE = GROUP * BLOCK
 
 
 class FlacError(ValueError):
@@ -47,6 +51,8 @@ def _crc_table(poly: int, bits: int) -> np.ndarray:
 
 CRC8, CRC16 = _crc_table(0x07, 8), _crc_table(0x8005, 16)
 _CRC8 = CRC8.tolist()
+#: What two bytes, the CRC before them added to them, give.
+_CRC16 = (CRC16[(CRC16[:, None] >> 8) ^ np.arange(256)] ^ (CRC16[:, None] << 8 & 0xFFFF)).ravel()
 
 
 def crc8(data: bytes) -> int:
@@ -57,18 +63,27 @@ def crc8(data: bytes) -> int:
 
 
 def crc16(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """CRC-16 of stretches of the bytes, all at once."""
-    order = np.argsort(-size, kind="stable")
+    """CRC-16 of stretches of the bytes, all at once and two bytes a step; of an odd stretch, the first byte goes before."""
+    order = np.argsort(-(size >> 1), kind="stable")
     begin, crc = start[order], np.zeros(len(start), np.int64)
-    alive = np.searchsorted(-size[order], -np.arange(int(size.max(initial=0))), side="left")
+    odd = np.flatnonzero(size[order] & 1)
+    crc[odd] = CRC16[data[begin[odd]]]
+    begin[odd] += 1
+    pair = (data[:-1].astype(np.uint16) << 8) | data[1:]
+    alive = np.searchsorted(-(size[order] >> 1), -np.arange(int(size.max(initial=0)) >> 1), side="left")
     for i, n in enumerate(alive.tolist()):
-        c = crc[:n]
-        crc[:n] = CRC16[(c >> 8) ^ data[begin[:n] + i]] ^ (c << 8 & 0xFFFF)
+        crc[:n] = _CRC16[crc[:n] ^ pair[begin[:n] + 2 * i]]
     out = np.empty_like(crc)
     out[order] = crc
     return out
 
 
+def _groups(n: int) -> list[tuple[int, int]]:
+    """Stretches of about GROUP of n frames, as long as each other."""
+    cut = np.linspace(0, n, max(1, round(n / GROUP)) + 1).astype(int).tolist()
+    return list(zip(cut[:-1], cut[1:], strict=True))
+
+
 # ---- writing
 
 
@@ -83,8 +98,8 @@ def _number(n: int) -> bytes:
 
 def _predictors(x: np.ndarray) -> np.ndarray:
     """Quantised linear predictors [frame, ORDER] of frames, by the autocorrelation method."""
-    f = x.astype(np.float64)
-    r = np.stack([(f[:, : x.shape[1] - k] * f[:, k:]).sum(axis=1) for k in range(ORDER + 1)], axis=1)
+    f = x.astype(np.float32)  # exact: sums of BLOCK products of 8-bit samples have under 24 bits
+    r = np.stack([np.einsum("ij,ij->i", f[:, : x.shape[1] - k], f[:, k:]) for k in range(ORDER + 1)], axis=1).astype(np.float64)
     err = np.maximum(r[:, 0], 1e-9)
     a = np.zeros((len(x), ORDER))
     for i in range(ORDER):
@@ -99,27 +114,28 @@ def _predictors(x: np.ndarray) -> np.ndarray:
 
 def encode_frames(x: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Frames of 8-bit samples [frame, BLOCK] and their numbers -> joined bytes, and the size of each frame."""
-    n, x = len(x), x.astype(np.int64)
-    first = np.concatenate([x[:, :1], np.diff(x, axis=1)], axis=1)
+    n, x = len(x), x.astype(np.int16)
     coef = _predictors(x)
-    guess = np.zeros_like(x)
+    guess, wide = np.zeros((n, BLOCK - ORDER), np.int32), x.astype(np.int32)
     for j in range(ORDER):
-        guess[:, ORDER:] += coef[:, j : j + 1] * x[:, ORDER - 1 - j : BLOCK - 1 - j]
-    linear = x - (guess >> SHIFT)
-    choices = np.stack([x, first, linear])
-    kind = np.abs(choices).sum(axis=2).argmin(axis=0)  # 0: order 0, 1: order 1, 2: linear
+        guess += coef[:, j : j + 1].astype(np.int32) * wide[:, ORDER - 1 - j : BLOCK - 1 - j]
+    first, linear = x.copy(), x.copy()
+    first[:, 1:] -= x[:, :-1]
+    linear[:, ORDER:] -= (guess >> SHIFT).astype(np.int16)
+    choices = (x, first, linear)
+    kind = np.stack([np.abs(c).sum(axis=1, dtype=np.int32) for c in choices]).argmin(axis=0)  # 0: order 0, 1: order 1, 2: linear
     flat = (x == x[:, :1]).all(axis=1)
-    res = choices[kind, np.arange(n)]
+    res = np.where((kind == 2)[:, None], linear, np.where((kind == 1)[:, None], first, x))
     warm = np.array([0, 1, ORDER])[kind]
     lead = np.arange(BLOCK)[None, :] < warm[:, None]
-    u = np.where(lead, 0, (res << 1) ^ (res >> 63))
+    u = ((res << 1) ^ (res >> 15)).view(np.uint16)
+    u[lead] = 0
     part = BLOCK // PARTITIONS
-    grouped = u.reshape(n, PARTITIONS, part)
     counts = part - np.where(np.arange(PARTITIONS)[None, :] == 0, warm[:, None], 0)
-    costs = np.stack([(grouped >> k).sum(axis=2) + counts * (k + 1) for k in range(14)])
+    # a parameter beyond the longest code's bits only costs more
+    costs = np.stack([(u >> k).reshape(n, PARTITIONS, part).sum(axis=2, dtype=np.int32) + counts * (k + 1) for k in range(min(14, int(u.max(initial=0)).bit_length() + 1))])
     k = costs.argmin(axis=0)
-    ks = np.repeat(k, part, axis=1)
-    width = np.where(lead, 8, (u >> ks) + 1 + ks)
+    ks = np.repeat(k.astype(np.uint16), part, axis=1)
     # bits: header, kind, warm-up, [predictor], method and order, then each partition's parameter and its codes
     heads = []
     for i in number.tolist():
@@ -127,34 +143,39 @@ def encode_frames(x: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.nda
         heads.append(raw + bytes([crc8(raw)]))
     head = np.fromiter(map(len, heads), np.int64, n) * 8
     side = np.where(kind == 2, 9 + ORDER * PRECISION, 0) + 6
-    extra = np.zeros_like(width)
-    extra[:, ::part] += 4
-    extra[np.arange(n), warm] += side
-    extra[np.arange(n)[warm > 0], warm[warm > 0]] += 4  # the first partition's parameter follows the warm-up
-    extra[warm > 0, 0] -= 4
-    at = np.cumsum(width + extra, axis=1) - width  # where each sample's code begins, after the frame's first two fields
-    bits_in = np.where(flat, head + 16, head + 8 + at[:, -1] + width[:, -1])
+    at = ((u >> ks) + (ks + np.uint16(1))).astype(np.int32)  # a code's bits
+    at[lead] = 8
+    long = at[:, -1].copy()
+    at[:, 1:], at[:, 0] = at[:, :-1].copy(), 0
+    at[:, ::part] += 4
+    at[np.arange(n), warm] += side
+    at[np.arange(n)[warm > 0], warm[warm > 0]] += 4  # the first partition's parameter follows the warm-up
+    at[warm > 0, 0] -= 4
+    at = np.cumsum(at, axis=1, dtype=np.int64)  # where each sample's code begins, after the frame's first two fields
+    bits_in = np.where(flat, head + 16, head + 8 + at[:, -1] + long)
     size = (bits_in + 7) // 8 + 2
     begin = np.cumsum(size) - size
-    bits = np.zeros(int(size.sum()) * 8, np.uint8)
-    put = lambda where, value, m: [bits.__setitem__(where + j, value >> (m - 1 - j) & 1) for j in range(m)]
+    words = np.zeros(int(size.sum()) // 4 + 3)  # of 32 bits; what is put in them never overlaps, so that sums are exact
+
+    def put(where: np.ndarray, value: np.ndarray, m: np.ndarray | int) -> None:
+        """``m`` bits (32 at most) of each value from each place."""
+        both = value.astype(np.uint64) << (64 - m - (where & 31)).astype(np.uint64)
+        word = where >> 5
+        words[:] += np.bincount(word, weights=both >> np.uint64(32), minlength=len(words))
+        words[:] += np.bincount(word + 1, weights=both & np.uint64(0xFFFFFFFF), minlength=len(words))
+
     body = begin * 8 + head
-    for m in np.unique(head):
-        own = np.flatnonzero(head == m)
-        raw = np.frombuffer(b"".join(heads[i] for i in own.tolist()), np.uint8).reshape(len(own), -1)
-        bits[begin[own, None] * 8 + np.arange(m)] = np.unpackbits(raw, axis=1)
     put(body, np.where(flat, 0, np.where(kind == 2, (32 + ORDER - 1) << 1, (8 + kind) << 1)), 8)
     put(body[flat] + 8, x[flat, 0] & 0xFF, 8)
     live = np.flatnonzero(~flat)
-    at = at + (body + 8)[:, None]
+    at += (body + 8)[:, None]
     for w in range(ORDER):
         own = live[warm[live] > w]
         put(at[own, w], x[own, w] & 0xFF, 8)
     after = at[np.arange(n), warm] - 4 - 6  # method and order of the residual
     lpc = live[kind[live] == 2]
     base = after[lpc] - 9 - ORDER * PRECISION
-    put(base, np.full(len(lpc), PRECISION - 1), 4)
-    put(base + 4, np.full(len(lpc), SHIFT), 5)
+    put(base, np.full(len(lpc), (PRECISION - 1) << 5 | SHIFT), 9)
     for j in range(ORDER):
         put(base + 9 + j * PRECISION, coef[lpc, j] & ((1 << PRECISION) - 1), PRECISION)
     put(after[live], np.full(len(live), PARTITIONS.bit_length() - 1), 6)
@@ -162,12 +183,12 @@ def encode_frames(x: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.nda
         where = at[live, p * part] - 4 if p else after[live] + 6
         put(where, k[live, p], 4)
     code = ~lead & ~flat[:, None]
-    stop, kk, uu = (at + (u >> ks))[code], ks[code], u[code]
-    bits[stop] = 1
-    for j in range(1, int(kk.max(initial=0)) + 1):
-        own = kk >= j
-        bits[stop[own] + j] = uu[own] >> (kk[own] - j) & 1
-    data = np.packbits(bits)
+    kk, uu = ks[code], u[code]
+    put(at[code] + (uu >> kk), np.uint16(1) << kk | uu & ((np.uint16(1) << kk) - np.uint16(1)), kk.astype(np.int64) + 1)
+    data = words.astype(">u4").view(np.uint8)[: int(size.sum())].copy()
+    for m in np.unique(head):
+        own = np.flatnonzero(head == m)
+        data[begin[own, None] + np.arange(m // 8)] = np.frombuffer(b"".join(heads[i] for i in own.tolist()), np.uint8).reshape(len(own), -1)
     crc = crc16(data, begin, size - 2)
     data[begin + size - 2], data[begin + size - 1] = crc >> 8, crc & 0xFF
     return data, size
@@ -182,7 +203,7 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     x = (raw.astype(np.int16) - 128).reshape(-1, BLOCK)
     last = np.cumsum(count)
     number = np.arange(len(x)) - np.repeat(last - count, count)
-    parts = [encode_frames(x[i : i + GROUP], number[i : i + GROUP]) for i in range(0, len(x), GROUP)]
+    parts = [encode_frames(x[i:j], number[i:j]) for i, j in _groups(len(x))]
     data, size = (np.concatenate([p[j] for p in parts]) for j in (0, 1))
     ends = np.append(0, np.cumsum(size))
     out = []
@@ -204,15 +225,52 @@ class Bits:
     def __init__(self, data: bytes):
         raw = np.frombuffer(data + bytes(16), np.uint8)
         self.data, self.size = raw, len(data) * 8
-        one = np.flatnonzero(np.unpackbits(raw[: len(data)])).astype(np.int32)
-        #: The first set bit at or after each place.
-        gaps = np.diff(np.append(-1, one))
-        self.next = np.append(np.repeat(one, gaps), np.full(self.size + 128 - (one[-1] + 1 if len(one) else 0), self.size, np.int32))
         wide = np.zeros(len(raw) - 8, np.uint64)
         for j in range(8):
-            wide = (wide << np.uint64(8)) | raw[j : len(raw) - 8 + j]
+            whole = raw[j : j + (len(raw) - j) // 8 * 8].view(">u8")
+            wide[j::8] = whole[: len(wide[j::8])]
         self.wide = wide  # 8 bytes from each
 
+    @functools.cached_property
+    def next(self) -> np.ndarray:
+        """The first set bit at or after each place; made only for wasted bits and very long runs of zeros."""
+        one = np.flatnonzero(np.unpackbits(self.data[: self.size // 8])).astype(np.int32)
+        gaps = np.diff(np.append(-1, one))
+        return np.append(np.repeat(one, gaps), np.full(self.size + 128 - (one[-1] + 1 if len(one) else 0), self.size, np.int32))
+
+    def _look(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """At least 57 bits from each place, and how many zeros they begin with: more than 52 if the first 53 are."""
+        word = self.wide[at >> 3] << (at & 7).view(np.uint64)
+        # the exponent of the first 53 bits as a float tells the first that is set
+        return word, 1075 - ((word >> np.uint64(11)).view(np.int64).astype(np.float64).view(np.int64) >> 52)
+
+    def _first(self, at: np.ndarray) -> np.ndarray:
+        """The first set bit at or after each place."""
+        start = at
+        for _ in range(8):
+            zeros = self._look(at)[1]
+            far = (zeros > 52) & (at < self.size)
+            at = np.minimum(at + np.where(far, 53, np.minimum(zeros, 53)), self.size)
+            if not far.any():
+                return at
+        return self.next[start].astype(np.int64)
+
+    def codes(self, at: np.ndarray, k: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rice codes of parameters ``k`` (``most`` at most) from each place, unsigned, and where they end."""
+        at = np.minimum(at, self.size)
+        word, zeros = self._look(at)
+        stop = zeros + 1
+        if zeros.max(initial=0) + most > 55:
+            far = np.flatnonzero(zeros + most > 55)
+            stop[far] = 1
+            low = (word << stop.view(np.uint64)) >> np.uint64(1) >> (63 - k).view(np.uint64)
+            first = self._first(at[far])
+            zeros[far], stop[far] = first - at[far], first - at[far] + 1
+            low[far] = self.take(first + 1, k[far]).view(np.uint64)
+        else:
+            low = (word << stop.view(np.uint64)) >> np.uint64(1) >> (63 - k).view(np.uint64)
+        return (zeros << k) | low.view(np.int64), at + stop + k
+
     def take(self, at: np.ndarray, n: np.ndarray | int) -> np.ndarray:
         """``n`` bits (0 to 32) from each place, unsigned."""
         at = np.minimum(at, self.size)
@@ -233,7 +291,9 @@ def subframes(bits: Bits, at: np.ndarray, size: np.ndarray, depth: np.ndarray) -
     """Samples [frame, longest] of the subframes at these places, and where they end."""
     n, longest = len(at), int(size.max())
     kind = bits.take(at + 1, 6)
-    wasted = np.where(bits.take(at + 7, 1) == 1, bits.next[np.minimum(at + 8, bits.size)] - (at + 8) + 1, 0)
+    wasted = bits.take(at + 7, 1)
+    if wasted.any():
+        wasted = np.where(wasted == 1, bits.next[np.minimum(at + 8, bits.size)] - (at + 8) + 1, 0)
     at, depth = at + 8 + wasted, depth - wasted
     out = np.zeros((longest, n), np.int64)
     constant, verbatim = kind == 0, kind == 1
@@ -288,11 +348,11 @@ def _predicted(bits: Bits, at: np.ndarray, size: np.ndarray, depth: np.ndarray,
     part = size >> bits.take(at + 2, 4)
     at = at + 6
     k, raw, escaped = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
-    uniform = bool((size == size[0]).all() and (order == order[0]).all() and (part == part[0]).all())
-    back = coef[::-1]
-    for i in range(int(order.min()), longest):
-        if uniform:
-            go, new = None, np.ones(n, bool) if i == order[0] or i % part[0] == 0 else None
+    least, even = int(order.min()), bool((size == longest).all() and (part == part[0]).all())
+    res = out[most:]  # the residuals, and in place of them the samples
+    for i in range(least, longest):
+        if even and i > most:  # all frames are past their warm-up, and begin partitions at the same samples
+            go, new = None, np.ones(n, bool) if i % part[0] == 0 else None
         else:
             go = (i >= order) & (i < size)
             new = go & ((i == order) | (i % part == 0))
@@ -306,21 +366,29 @@ def _predicted(bits: Bits, at: np.ndarray, size: np.ndarray, depth: np.ndarray,
                 hit = new & escaped
                 raw = np.where(hit, bits.take(at, 5), raw)
                 at = np.where(hit, at + 5, at)
-        here = np.minimum(at, bits.size)
-        stop = bits.next[here].astype(np.int64) + 1
-        u = ((stop - 1 - at) << k) | bits.take(stop, k)
-        end, res = stop + k, (u >> 1) ^ -(u & 1)
-        if escaped.any():
-            res = np.where(escaped, bits.signed(at, raw), res)
+            high, some = int(k.max()), bool(escaped.any())
+        u, end = bits.codes(at, k, high)
+        value = (u >> 1) ^ -(u & 1)
+        if some:
+            value = np.where(escaped, bits.signed(at, raw), value)
             end = np.where(escaped, at + raw, end)
-        value = ((back * out[i : i + most]).sum(axis=0) >> shift) + res if most else res
         if go is None:
-            out[most + i], at = value, end
+            res[i], at = value, end
         else:
-            out[most + i] = np.where(go, value, out[most + i])
+            res[i] = np.where(go, value, res[i])
             at = np.where(go, end, at)
     if (at > bits.size).any():
         raise FlacError("a residual beyond the end")
+    once = ~linear & (order == 1)
+    res[:, once] = np.cumsum(res[:, once], axis=0)
+    own = np.flatnonzero((order > 0) & ~once)
+    if len(own):
+        some, back, down = out[:, own], np.ascontiguousarray(coef[::-1, own]), shift[own]
+        late = order[own]
+        for i in range(int(late.min()), longest):
+            value = (back * some[i : i + most]).sum(axis=0) >> down
+            some[most + i] += value if i >= most else np.where(i >= late, value, 0)
+        out[:, own] = some
     return out[most:], at
 
 
@@ -355,6 +423,10 @@ def header(data: bytes, at: int, depth: int) -> tuple[int, int, int, int, int, b
     return p + 1, n, channels, _DEPTHS.get(bits, depth), number, bool(b[1] & 1)
 
 
+#: How a frame begins.
+SYNC = re.compile(rb"\xff[\xf8\xf9]")
+
+
 class Stream:
     """A stream's facts: where frames begin, and what its header says."""
 
@@ -382,7 +454,8 @@ class Stream:
                 expect, seen, at = expect + 1, seen + h[1], at + h[0] + 2
             else:  # a payload may look like a header, even with its checksum
                 at += 1
-            at = self.data.find(b"\xff", at)
+            found = SYNC.search(self.data, at)
+            at = found.start() if found else -1
         return out
 
 
@@ -407,7 +480,7 @@ def _in_turn(f: Stream) -> tuple[Stream, np.ndarray]:
             raise FlacError(f"frame {len(parts)}: no header, or its checksum differs")
         part, size = _read(f.data[at : at + BYTES * h[1]], np.array([0]), [h])
         end = at + int(size[0])
-        if int(crc16(np.frombuffer(f.data, np.uint8), np.array([at]), np.array([end - at - 2]))[0]) != int.from_bytes(f.data[end - 2 : end], "big"):
+        if int(crc16(np.frombuffer(f.data[at:end], np.uint8), np.array([0]), np.array([end - at - 2]))[0]) != int.from_bytes(f.data[end - 2 : end], "big"):
             raise FlacError(f"frame {len(parts)}: its checksum differs")
         parts.append(part[0])
         at = end
@@ -435,7 +508,7 @@ def _read(data: bytes, at: np.ndarray, heads: list[tuple]) -> tuple[list[np.ndar
         mid = (a << 1) | (b & 1)
         planes[0] = np.where(m == 9, a + b, np.where(m == 10, (mid + b) >> 1, a))
         planes[1] = np.where(m == 8, a - b, np.where(m == 10, (mid - b) >> 1, b))
-    return [np.stack([p[i, : size[i]] for p in planes[: channels[i]]], axis=1) for i in range(len(at))], (place + 7) // 8 + 2 - at
+    return [planes[0][i, : size[i], None] if c == 1 else np.stack([p[i, : size[i]] for p in planes[:c]], axis=1) for i, c in enumerate(channels.tolist())], (place + 7) // 8 + 2 - at
 
 
 def _together(facts: list[Stream], found: list[list[tuple]]) -> list[tuple[Stream, np.ndarray]]:
@@ -447,8 +520,7 @@ def _together(facts: list[Stream], found: list[list[tuple]]) -> list[tuple[Strea
     data = b"".join(f.data for f in facts)
     heads = [h for frames in found for _, h in frames]
     parts, size = [], np.zeros(len(at), np.int64)
-    for i in range(0, len(at), GROUP):
-        j = min(i + GROUP, len(at))
+    for i, j in _groups(len(at)):
         some, size[i:j] = _read(data[at[i] : ends[j - 1]], at[i:j] - at[i], heads[i:j])
         parts += some
     if (at + size != ends).any():
@@ -472,6 +544,8 @@ def _checked(f: Stream, parts: list[np.ndarray]) -> tuple[Stream, np.ndarray]:
 def signed_bytes(x: np.ndarray, depth: int) -> bytes:
     """Samples in turn, little-endian, in whole bytes."""
     wide = -(-depth // 8)
+    if wide == 1:
+        return x.astype(np.int8).tobytes()
     return np.ascontiguousarray(x.astype("<i4")).view(np.uint8).reshape(-1, 4)[:, :wide].tobytes()
 
 
@@ -479,24 +553,26 @@ def signed_bytes(x: np.ndarray, depth: int) -> bytes:
 
 
 def _slices(size: np.ndarray) -> Iterator[tuple[int, int]]:
-    slot = np.cumsum(size) // _SLICE
+    slot = (np.cumsum(size) - size) // _SLICE
     for s in np.unique(slot):
         lo, hi = np.searchsorted(slot, [s, s + 1])
         yield int(lo), int(hi)
 
 
 def _sizes(col: pa.Array) -> np.ndarray:
-    return np.array([len(x.as_buffer() or b"") if x.is_valid else 0 for x in col], np.int64)
+    return pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def write_column(df: DataFrame, payload: str = "payload", media: str = "media") -> DataFrame:
-    """All columns of df and ``media``: the payload (a positive multiple of 576 bytes) as a FLAC stream of 8-bit samples.
+def write_column(df: DataFrame, payload: str = "payload", media: str = "media", keep: bool = True) -> DataFrame:
+    """All columns of df (without the payload if it isn't to be kept) and ``media``: the payload (a positive multiple of 576 bytes) as a FLAC stream of 8-bit samples.
 
     A null payload gives a null stream. A column of that name is replaced.
     """
     rows = df.drop(media)
     names = rows.columns
     at = names.index(payload)
+    own = [i for i in range(len(names)) if keep or i != at]
+    fields = [rows.schema.fields[i] for i in own]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -504,9 +580,9 @@ def write_column(df: DataFrame, payload: str = "payload", media: str = "media")
                 part = batch.slice(lo, hi - lo)
                 values = part.column(at).to_pylist()
                 made = iter(encode([v for v in values if v is not None]))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([None if v is None else next(made) for v in values], pa.binary())], [*names, media])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in own), pa.array([None if v is None else next(made) for v in values], pa.binary())], [*(names[i] for i in own), media])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(media, T.BinaryType())]))
+    return rows.mapInArrow(run, T.StructType([*fields, T.StructField(media, T.BinaryType())]))
 
 
 #: What read_column gives: PCM (8 bits: unsigned, else signed little-endian), the stream's facts, and (first sample, byte of its frame in the stream) of its seek points.
