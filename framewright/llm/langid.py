@@ -128,7 +128,7 @@ class Automaton:
         for c, to in step[0].items():
             self.again[c] = 2 * to * size + 1
         self.table = None
-        if len(step) * size <= DENSE:
+        if not code or len(step) * size <= DENSE:  # a text without letters has no edges to search
             table = np.tile(self.again.astype(np.int32), (len(step), 1))
             for s, row in enumerate(step):
                 for c, to in row.items():

@@ -49,6 +49,12 @@ def test_a_large_alphabet_has_no_table():
     assert n[0, 1] == plain_phrases(train[100:900] + "the cat", train) and n[1, 0] == 1
 
 
+def test_a_text_without_letters_needs_no_edges(monkeypatch):
+    monkeypatch.setattr(langid, "DENSE", 0)
+    _phrases(" ", "")
+    _phrases("  ", "abc a")
+
+
 def _phrases(train, text):
     m = langid.Model({"x": train, "y": "a"})
     n, size = m.phrases([text, "", text * 30])
