@@ -62,10 +62,32 @@ def _bytes_of_hex(change: Callable[[bytes], bytes]) -> Callable[[Column], Column
     return apply
 
 
+def _kept_from_starts(x: bytes) -> bytes:
+    return re.sub(rb"\x00\x00(?=[\x00-\x03])", b"\0\0\3", x)
+
+
 #: Hexadecimal bytes without each 03 that follows two zero bytes; zeros are counted anew after it.
 without_emulation = _bytes_of_hex(lambda x: x.replace(b"\0\0\3", b"\0\0"))
 #: Hexadecimal bytes with a 03 put in after two zero bytes where a byte of at most 3 follows.
-with_emulation = _bytes_of_hex(lambda x: re.sub(rb"\x00\x00(?=[\x00-\x03])", b"\0\0\3", x))
+with_emulation = _bytes_of_hex(_kept_from_starts)
+
+
+def packed(bits: Column, emulation: bool = True) -> Column:
+    """A text of bits as bytes, over Arrow batches: zeros up to a whole byte, and the bytes that keep start codes out; null of null.
+
+    A long expression is read here once. A lambda over its octets would work it out anew for each of them.
+    """
+
+    def pack(x: str) -> bytes:
+        rest = -len(x) % 8
+        octets = (int(x or "0", 2) << rest).to_bytes((len(x) + rest) // 8, "big")
+        return _kept_from_starts(octets) if emulation else octets
+
+    @F.arrow_udf("binary")
+    def run(bits: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else pack(x) for x in bits.to_pylist()], pa.binary())
+
+    return run(bits)
 
 
 def length_prefixed(hex_: Column) -> Column:

@@ -13,11 +13,7 @@ from ..tables import table
 
 def _bytes(*parts, emulation: bool = True):
     """Bits as bytes: a stop bit, then zeros up to a whole byte, and the bytes that keep start codes out."""
-    text = F.concat(*parts, F.lit("1"))
-    text = F.rpad(text, (F.ceil(F.length(text) / 8) * 8).cast("int"), "0")
-    octets = F.transform(F.sequence(F.lit(0), (F.length(text) / 8 - 1).cast("int")), lambda i: F.lpad(F.conv(F.substring(text, i * 8 + 1, F.lit(8)), 2, 16), 2, "0"))
-    hexed = F.array_join(octets, "")
-    return F.unhex(bt.with_emulation(hexed) if emulation else hexed)
+    return bt.packed(F.concat(*parts, F.lit("1")), emulation)
 
 
 def _u(v, n: int):

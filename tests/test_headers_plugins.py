@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from framewright.functions import boxes, fields
+from framewright.functions import bits as bt
+from framewright.plans import headers
 from framewright.plugins import REGISTRY, Registry
 
 
@@ -49,6 +51,21 @@ def test_frames(spark):
     assert (b["show_existing"], b["key"], b["shown"], b["width"]) == (5, False, True, None) and c["error"] == "no frame marker"
 
 
+def test_bits_are_packed(spark):
+    texts = ["1", "00000001", "1" * 7 + "0" * 30, "0" * 22 + "1", "0" * 40 + "11", "0" * 8 + "1" * 9, "01" * 400, "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = df.select("i", bt.packed(F.col("t"), False).alias("p"), bt.packed(F.col("t")).alias("e"), headers._bytes(F.col("t")).alias("b")).orderBy("i").collect()
+    for t, r in zip(texts, got, strict=True):
+        assert r["p"] == (None if t is None else bits(t)) and (None if t is None else bytes(r["e"]).replace(b"\0\0\3", b"\0\0")) == r["p"]
+        assert r["b"] is None if t is None else bytes(r["b"]).replace(b"\0\0\3", b"\0\0") == bits(t, "1")
+    assert bytes(got[3]["e"]) == b"\0\0\3\2" and bytes(got[4]["e"]) == b"\0\0\3\0\0\3\0\xc0"
+
+
+def test_bits_are_worked_out_once(spark):
+    plan = spark.range(3).select(headers._bytes(F.bin(F.col("id") + 4711)).alias("d"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("4711") == 1, plan
+
+
 def test_messages_and_configuration(spark):
     rows = [(bytearray([6, 1, 0x55, 255, 5, 2, 1, 2, 0x80]),), (bytearray([1, 255, 3] + [0] * 258 + [2, 0]),), (bytearray(b""),)]
     got = spark.createDataFrame(rows, "d binary").select(boxes.messages(F.hex("d")).alias("m")).collect()
