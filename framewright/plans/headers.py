@@ -97,8 +97,8 @@ SELECT k AS o_orderkey, c % 300 AS first_mb, ['P', 'B', 'I'][kind + 1] AS kind,
  CASE WHEN c % 2 = 1 AND kind <> 2 THEN k % 3 ELSE 0 END AS cabac_table, 26 + c % 21 - 10 + k % 13 - 6 AS slice_qp, CASE WHEN (c // 8) % 2 = 1 THEN k % 3 ELSE 0 END AS edges_off, CASE WHEN (c // 8) % 2 = 1 AND k % 3 <> 1 THEN 2 * (k % 5 - 2) ELSE 0 END AS alpha, CASE WHEN (c // 8) % 2 = 1 AND k % 3 <> 1 THEN 2 * (1 - k % 3) ELSE 0 END AS beta FROM t""")
 def slice_header(spark, sf_dir):
     """Slice headers, read after a join with their parameter sets: what is there, and how wide, depends on these."""
-    found = fields.slices(_slices(spark, sf_dir), "o_orderkey").where("error is null")
-    return found.select("o_orderkey", "first_mb", "kind", "pps_id", "frame_num", "field", "bottom", "idr_id", "poc_lsb", "delta_bottom", "delta0", "delta1", "redundant_no", "direct_spatial", "refs0", "refs1", "cabac_table", "slice_qp", "edges_off", "alpha", "beta")
+    names = ("first_mb", "kind", "pps_id", "frame_num", "field", "bottom", "idr_id", "poc_lsb", "delta_bottom", "delta0", "delta1", "redundant_no", "direct_spatial", "refs0", "refs1", "cabac_table", "slice_qp", "edges_off", "alpha", "beta")
+    return fields.slices(_slices(spark, sf_dir), "o_orderkey", only=names).where("error is null").select("o_orderkey", *names)
 
 
 @query(f"""{_LISTED}, l AS (SELECT *, CASE WHEN kind = 2 THEN 0 ELSE k % 5 END AS m0, CASE WHEN kind = 1 THEN k % 4 ELSE 0 END AS m1, CASE WHEN k % 4 = 0 OR idr THEN 0 ELSE k % 7 END AS m FROM t)
@@ -107,7 +107,7 @@ SELECT k AS o_orderkey, list_transform(range(1, m0 + 1), lambda i: (i + k) % 3)
  CASE WHEN told THEN list_transform(range(1, n0 + 1), lambda i: CASE WHEN (i + k) % 2 = 0 THEN i + 20 ELSE 32 END) ELSE [] END AS luma0, CASE WHEN told THEN list_transform(range(1, n0 + 1), lambda i: CASE WHEN (i + k) % 3 = 0 THEN i - 30 ELSE 16 END) ELSE [] END AS cb0, CASE WHEN told THEN list_transform(range(1, n1 + 1), lambda i: CASE WHEN (i + k) % 3 = 0 THEN -i ELSE 0 END) ELSE [] END AS cr_offset1 FROM l""")
 def slice_lists(spark, sf_dir):
     """Lists in slice headers: changes of both reference lists, marking commands and weights, each as long as it says."""
-    found = fields.slices(_slices(spark, sf_dir), "o_orderkey").where("error is null")
+    found = fields.slices(_slices(spark, sf_dir), "o_orderkey", only=("changes0", "changes1", "long_term", "commands", "weights0", "weights1")).where("error is null")
     return found.select("o_orderkey", F.col("changes0.op").alias("ops0"), F.col("changes0.value").alias("values0"), F.col("changes1.op").alias("ops1"), F.col("changes1.value").alias("values1"), "long_term", F.col("commands.op").alias("commands"), F.col("commands.a").alias("a"), F.col("commands.b").alias("b"), F.col("weights0.luma").alias("luma0"), F.col("weights0.cb").alias("cb0"), F.col("weights1.cr_offset").alias("cr_offset1"))
 
 

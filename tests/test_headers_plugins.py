@@ -66,6 +66,20 @@ def test_bits_are_worked_out_once(spark):
     assert plan.count("4711") == 1, plan
 
 
+def test_slices_give_what_is_asked(spark, sf):
+    cut = F.when(F.col("o_orderkey") % 5 == 0, F.substring("data", 1, 3)).otherwise(F.col("data"))
+    df = headers._slices(spark, sf).withColumn("data", cut)
+    names = ("weights1", "kind", "changes0", "idr_id")
+    some = fields.slices(df, "o_orderkey", only=names)
+    assert some.columns == ["o_orderkey", *names, "error"]
+    got = some.orderBy("o_orderkey").collect()
+    assert got == fields.slices(df, "o_orderkey").select(*some.columns).orderBy("o_orderkey").collect()
+    assert 0 < sum(r["error"] is not None for r in got) < len(got)
+    for f, other in ((headers.slice_lists, "first_mb"), (headers.slice_header, "changes0")):
+        plan = f(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert f"{other}#" not in plan
+
+
 def test_messages_and_configuration(spark):
     rows = [(bytearray([6, 1, 0x55, 255, 5, 2, 1, 2, 0x80]),), (bytearray([1, 255, 3] + [0] * 258 + [2, 0]),), (bytearray(b""),)]
     got = spark.createDataFrame(rows, "d binary").select(boxes.messages(F.hex("d")).alias("m")).collect()
